@@ -42,9 +42,45 @@ FROM w LEFT JOIN a ON w.doc_id = a.doc_id
 """
 
 
+def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard import jaccard_components
+
+    return jaccard_components(_table(spark, sf_dir, "documents"), size=5, percent=75)
+
+
+_OP8_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words
+  FROM documents
+), g AS (
+  SELECT DISTINCT doc_id, md5(array_to_string(words[i:i + 4], ' ')) AS h
+  FROM (SELECT doc_id, words, unnest(range(1, greatest(2, len(words) - 3))) AS i FROM w WHERE len(words) > 0)
+), n AS (
+  SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id
+), s AS (
+  SELECT g.doc_id, g.h FROM g WHERE h IN (SELECT h FROM g GROUP BY h HAVING count(*) > 1)
+), c AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o
+  FROM s a JOIN s b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY 1, 2
+), e AS (
+  SELECT c.a, c.b FROM c JOIN n x ON c.a = x.doc_id JOIN n y ON c.b = y.doc_id
+  WHERE 100 * o >= 75 * (x.n + y.n - o)
+), r AS (
+  SELECT a AS x, b AS y FROM e UNION SELECT b, a FROM e
+), reach AS (
+  SELECT x, y FROM r UNION SELECT reach.x, r.y FROM reach JOIN r ON reach.y = r.x
+), least AS (
+  SELECT x, min(y) AS y FROM reach GROUP BY x
+)
+SELECT w.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, least(w.doc_id, coalesce(least.y, w.doc_id)) AS component_id
+FROM w LEFT JOIN n ON w.doc_id = n.doc_id LEFT JOIN least ON w.doc_id = least.x
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_repeats": op2_repeats}
+    return {"op2_repeats": op2_repeats, "op8_jaccard": op8_jaccard}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_repeats": _OP2_SQL}
+    return {"op2_repeats": _OP2_SQL, "op8_jaccard": _OP8_SQL}
