@@ -11,6 +11,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import find_leaks
+
+    return find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op2_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .repeats import remove_repeats
 
@@ -42,6 +48,19 @@ FROM w LEFT JOIN a ON w.doc_id = a.doc_id
 """
 
 
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .bpe import tokenize
+
+    out = tokenize(_table(spark, sf_dir, "documents"), tokenizer_path(), with_tokens=False)
+    return out.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
 def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .jaccard import jaccard_components
 
@@ -79,7 +98,12 @@ FROM w LEFT JOIN n ON w.doc_id = n.doc_id LEFT JOIN least ON w.doc_id = least.x
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_repeats": op2_repeats, "op8_jaccard": op8_jaccard}
+    return {
+        "op1_decontaminate": op1_decontaminate,
+        "op2_repeats": op2_repeats,
+        "op4_bpe": op4_bpe,
+        "op8_jaccard": op8_jaccard,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
