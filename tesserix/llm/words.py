@@ -84,24 +84,28 @@ class Words:
             self.start = self.end = np.empty(0, np.int64)
         self.bounds = np.searchsorted(self.start, bounds)
         self.folded = folded
-        self.hash = self._hashes(folded) if hashed else None
+        self.hash = self._hashes(self.end) if hashed else None
 
     def __len__(self) -> int:
         return len(self.start)
 
-    def _hashes(self, folded: np.ndarray) -> np.ndarray:
+    def prefix_hash(self, n_bytes: int) -> np.ndarray:
+        """Of each word's first bytes, as if they were a word (the word's own if it is short)."""
+        return self._hashes(np.minimum(self.end, self.start + n_bytes))
+
+    def _hashes(self, end: np.ndarray) -> np.ndarray:
         out = np.empty(len(self.start), np.uint64)
         k = 0
         while k < len(out):
             base = self.start[k]
-            upto = max(k + 1, int(np.searchsorted(self.end, base + BLOCK, "right")))
-            part = folded[base : self.end[upto - 1]]
+            upto = max(k + 1, int(np.searchsorted(end, base + BLOCK, "right")))
+            part = self.folded[base : end[upto - 1]]
             sums = np.zeros(len(part) + 1, np.uint64)
             np.cumsum(_BYTE_CODES[part] * _powers(_BYTE_BASE, len(part)), out=sums[1:])
-            s, e = self.start[k:upto] - base, self.end[k:upto] - base
+            s, e = self.start[k:upto] - base, end[k:upto] - base
             out[k:upto] = (sums[e] - sums[s]) * _inverse(_BYTE_BASE, len(part) + 1)[s]
             k = upto
-        return mix(out ^ (self.end - self.start).astype(np.uint64))
+        return mix(out ^ (end - self.start).astype(np.uint64))
 
     def counts(self) -> np.ndarray:
         return np.diff(self.bounds)
