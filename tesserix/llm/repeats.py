@@ -18,6 +18,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -53,7 +54,7 @@ def _by_bucket(buckets_of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _hot_entries(answers: pa.Table, phase: int, names: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """A flag for each distinct key, from the answers of the buckets."""
     hot = np.zeros(bounds[-1], bool)
-    mine = answers.filter(pa.compute.equal(answers["phase"], phase))
+    mine = answers.filter(pc.equal(answers["phase"], phase))
     for bucket, bits in zip(mine["bucket"].to_pylist(), mine["hot"].to_pylist(), strict=True):
         k = int(np.searchsorted(names, bucket))
         n = bounds[k + 1] - bounds[k]

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 _RNG = np.random.default_rng(20240229)
 _BYTE_CODES = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -155,7 +156,7 @@ def hex_digest(parts: list[bytes], joined: bytes = b"") -> str:
 def slices(batch: pa.RecordBatch, column: str = "text", limit: int = BLOCK):
     """The batch in runs of rows with about ``limit`` bytes of text (one row at least)."""
     at = batch.schema.get_field_index(column)
-    sizes = pa.compute.binary_length(batch.column(at)).fill_null(0).to_numpy(zero_copy_only=False)
+    sizes = pc.binary_length(batch.column(at)).fill_null(0).to_numpy(zero_copy_only=False)
     total, first = 0, 0
     for i, n in enumerate(sizes):
         if i > first and total + n > limit:
