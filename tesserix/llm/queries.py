@@ -69,6 +69,19 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", "predicted", F.size("offending").alias("n_offending"))
 
 
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import scan_licenses
+
+    return scan_licenses(_table(spark, sf_dir, "documents"))
+
+
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import scan_secrets
+
+    found = scan_secrets(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
+
+
 def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .jaccard import jaccard_components
 
@@ -111,6 +124,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_repeats": op2_repeats,
         "op4_bpe": op4_bpe,
         "op5_toxicity": op5_toxicity,
+        "op6_licenses": op6_licenses,
+        "op7_secrets": op7_secrets,
         "op8_jaccard": op8_jaccard,
     }
 
