@@ -49,6 +49,28 @@ FROM w LEFT JOIN a ON w.doc_id = a.doc_id
 """
 
 
+def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .topk import top_k
+
+    return top_k(_table(spark, sf_dir, "embeddings"), k=20, every=20, scale=64.0)
+
+
+_OP3_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS e
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: isfinite(x))) = len(embedding)
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id
+), r AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+  FROM s
+)
+SELECT * FROM r WHERE rank <= 20
+"""
+
+
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
@@ -118,17 +140,39 @@ FROM w LEFT JOIN n ON w.doc_id = n.doc_id LEFT JOIN least ON w.doc_id = least.x
 """
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import archive_round_trip
+
+    archived = archive_round_trip(_table(spark, sf_dir, "pages"))
+    return archived.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+_OP10_SQL = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS d, strlen(coalesce(html, '')) AS n FROM pages
+), m AS (
+  SELECT d, max(page_id) AS kept FROM p WHERE n >= 1000 GROUP BY d HAVING count(*) > 1
+)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, p.d AS payload_digest,
+       CASE WHEN kept IS NOT NULL AND page_id <> kept THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN kept IS NOT NULL AND page_id <> kept THEN kept END AS refers_to
+FROM p LEFT JOIN m ON p.d = m.d
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontaminate": op1_decontaminate,
         "op2_repeats": op2_repeats,
+        "op3_topk": op3_topk,
         "op4_bpe": op4_bpe,
         "op5_toxicity": op5_toxicity,
         "op6_licenses": op6_licenses,
         "op7_secrets": op7_secrets,
         "op8_jaccard": op8_jaccard,
+        "op10_warc": op10_warc,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_repeats": _OP2_SQL, "op8_jaccard": _OP8_SQL}
+    return {"op2_repeats": _OP2_SQL, "op3_topk": _OP3_SQL, "op8_jaccard": _OP8_SQL, "op10_warc": _OP10_SQL}
