@@ -140,6 +140,12 @@ FROM w LEFT JOIN n ON w.doc_id = n.doc_id LEFT JOIN least ON w.doc_id = least.x
 """
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import scan_personal_data
+
+    return scan_personal_data(_table(spark, sf_dir, "documents")).drop("found")
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import archive_round_trip
 
@@ -170,6 +176,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_licenses": op6_licenses,
         "op7_secrets": op7_secrets,
         "op8_jaccard": op8_jaccard,
+        "op9_pii": op9_pii,
         "op10_warc": op10_warc,
     }
 
