@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from .plans import association_queries, model_queries
+
 
 def queries() -> dict:
-    return {}
+    return association_queries.QUERIES | model_queries.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return association_queries.SQL | model_queries.SQL
