@@ -7,7 +7,8 @@ so training itself finds the sentences that account for a label, and the same sc
 them afterwards.
 
 Only the fit uses a sample: at most ``MAX_LABELLED`` labelled texts of at most ``MAX_BYTES``
-together, drawn by a hash of their ids.  Scoring is one pass over the texts.
+together, drawn by a hash of their ids.  One task fits it and only the model comes to the
+driver.  Scoring is one pass over the texts.
 """
 
 from __future__ import annotations
@@ -126,10 +127,13 @@ def fit(bags: list[tuple[int, np.ndarray, np.ndarray]]) -> ToxicityModel:
     sentence = np.concatenate([b[2] + f for b, f in zip(kept, first[:-1], strict=True)])
     bag_of = np.repeat(np.arange(len(kept)), n_sentences)
 
-    vocabulary, code = np.unique(hashes, return_inverse=True)
-    vocabulary, code = _screened(vocabulary, code, hashes, sentence, labels[bag_of], first)
-    pairs = np.unique(sentence[code > 0] * (len(vocabulary) + 1) + code[code > 0])
-    sentence, code = pairs // (len(vocabulary) + 1), pairs % (len(vocabulary) + 1) - 1
+    pairs = np.unique(sentence.astype(np.uint64) << np.uint64(32) | hashes)  # distinct words of each sentence
+    sentence, hashes = (pairs >> np.uint64(32)).astype(np.int64), pairs.astype(np.uint32)
+    del pairs
+    vocabulary = _screened(sentence, hashes, labels[bag_of] > 0)
+    code = np.minimum(np.searchsorted(vocabulary, hashes), max(0, len(vocabulary) - 1))
+    on = vocabulary[code] == hashes if len(vocabulary) else np.zeros(len(hashes), bool)
+    sentence, code = sentence[on], code[on]
 
     w, bias = np.zeros(len(vocabulary)), float(np.log(labels.mean() / n_sentences.mean()))
     moments = np.zeros((2, len(w) + 1))
@@ -146,30 +150,24 @@ def fit(bags: list[tuple[int, np.ndarray, np.ndarray]]) -> ToxicityModel:
     return ToxicityModel(vocabulary, w, bias)
 
 
-def _screened(vocabulary, code, hashes, sentence, label_of, first):
-    """The words that the model weighs, and each word's place among them (from 1; 0: none).
+def _screened(sentence: np.ndarray, hashes: np.ndarray, positive: np.ndarray) -> np.ndarray:
+    """The features that the model weighs, of the distinct ones of each sentence.
 
     Each different sentence counts once, so copied passages have no more say than others.
     """
     heads = np.flatnonzero(np.append(True, sentence[1:] != sentence[:-1]))
-    with np.errstate(over="ignore"):
-        marks = np.add.reduceat(mix(hashes.astype(np.uint64)), heads)
-    _, once = np.unique(marks, return_index=True)
-    fresh = np.zeros(first[-1], bool)
+    _, once = np.unique(np.add.reduceat(mix(hashes.astype(np.uint64)), heads), return_index=True)
+    fresh = np.zeros(len(positive), bool)
     fresh[sentence[heads[once]]] = True
-    on = fresh[sentence]
-    pairs = np.unique(sentence[on] * len(vocabulary) + code[on])
-    of, word = pairs // len(vocabulary), pairs % len(vocabulary)
-    positive = label_of > 0
-    a = np.bincount(word[positive[of]], minlength=len(vocabulary)) + 0.5
-    b = np.bincount(word[~positive[of]], minlength=len(vocabulary)) + 0.5
+    counts = [np.unique(hashes[(fresh & kind)[sentence]], return_counts=True) for kind in (positive, ~positive)]
+    features = np.union1d(counts[0][0], counts[1][0])
+    a, b = (np.full(len(features), 0.5) for _ in range(2))
+    for n, (found, times) in zip((a, b), counts, strict=True):
+        n[np.searchsorted(features, found)] += times
     odds = np.log(a / b) - np.log((fresh & positive).sum() + 1) + np.log((fresh & ~positive).sum() + 1)
     z = np.abs(odds) / np.sqrt(1 / a + 1 / b)
     good = np.flatnonzero((a + b > LEAST_SENTENCES) & (z > LEAST_Z))
-    good = np.sort(good[np.argsort(-z[good], kind="stable")[:MAX_FEATURES]])
-    place = np.zeros(len(vocabulary), np.int64)
-    place[good] = np.arange(1, len(good) + 1)
-    return vocabulary[good], place[code]
+    return np.sort(features[good[np.argsort(-z[good], kind="stable")[:MAX_FEATURES]]])
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -218,14 +216,25 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED,
 
     # the sample has max_labelled rows of two numbers at most
     found = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
-    found = found.mapInArrow(bags, "doc_id long, toxic int, features binary, lengths binary").collect()
-    found.sort(key=lambda r: (r["doc_id"], r["features"]))
-    lengths = [np.frombuffer(r["lengths"], np.int32) for r in found]
-    return fit(
-        [
-            (r["toxic"], np.frombuffer(r["features"], np.uint32), np.repeat(np.arange(len(n)), n))
-            for r, n in zip(found, lengths, strict=True)
-        ]
+    found = found.mapInArrow(bags, "doc_id long, toxic int, features binary, lengths binary")
+    # the sample is bounded, so one task can fit it
+    row = found.repartition(1).mapInArrow(_fitted, "vocabulary binary, weights binary, bias double").first()
+    if row is None:
+        return fit([])
+    return ToxicityModel(np.frombuffer(row["vocabulary"], np.uint32), np.frombuffer(row["weights"]), row["bias"])
+
+
+def _fitted(batches):
+    rows = []
+    for batch in batches:
+        rows += zip(*(batch.column(c).to_pylist() for c in ("doc_id", "features", "toxic", "lengths")), strict=True)
+    rows.sort(key=lambda r: r[:2])
+    lengths = [np.frombuffer(r[3], np.int32) for r in rows]
+    model = fit(
+        [(r[2], np.frombuffer(r[1], np.uint32), np.repeat(np.arange(len(n), dtype=np.int32), n)) for r, n in zip(rows, lengths, strict=True)]
+    )
+    yield pa.RecordBatch.from_pydict(
+        {"vocabulary": [model.vocabulary.tobytes()], "weights": [model.weights.tobytes()], "bias": [float(model.bias)]}
     )
 
 
