@@ -35,11 +35,12 @@ PERCENT = 75
 BLOCK = 4096
 #: Rounds of blocking before the exact search.
 ROUNDS = 2
-_NO_ID = (1 << 63) - 1
+#: Nodes from here on stand for rows without a doc_id.
+_NO_ID = 1 << 62
 
-_REPORT = "bucket int, batch int, prints binary, counts binary"
+_REPORT = "bucket int, batch int, prints binary"
 _ANSWER = "batch int, bucket int, levels binary"
-_SETS = "doc_id long, n_shingles long, digest binary, n_shared int, tokens binary"
+_SETS = "node long, text_key long, n_shingles long, digest binary, tokens binary"
 
 
 def shingles(texts, size: int):
@@ -72,22 +73,22 @@ class _Frequencies:
     def report(self, key, texts: pa.Table) -> pa.Table:
         distinct, _, index = shingles(texts["text"], self.size)
         names, bounds = self._runs(distinct)
-        counts = np.minimum(np.bincount(index, minlength=len(distinct)), 255).astype(np.uint8)
+        # 30 bits of each hash besides its bucket, and one text, two or more here
+        counts = np.minimum(np.bincount(index, minlength=len(distinct)), 3).astype(np.uint32)
+        prints = distinct.astype(np.uint32) << np.uint32(2) | counts
         return pa.table(
             {
                 "bucket": pa.array(names.astype(np.int32)),
                 "batch": pa.array(np.full(len(names), key[0].as_py()), pa.int32()),
-                "prints": binary_column(distinct.astype(np.uint32), bounds),
-                "counts": binary_column(counts, bounds),
+                "prints": binary_column(prints, bounds),
             }
         )
 
     def answer(self, key, reports: pa.Table) -> pa.Table:
         """Levels: 0 for a frequency of one, else one more than eight times its logarithm."""
         prints, bounds = flat_binary(reports["prints"], np.uint32)
-        counts, _ = flat_binary(reports["counts"], np.uint8)
-        _, index = np.unique(prints, return_inverse=True)
-        total = np.bincount(index, weights=counts)
+        _, index = np.unique(prints >> np.uint32(2), return_inverse=True)
+        total = np.bincount(index, weights=prints & np.uint32(3))
         levels = np.where(total > 1, np.minimum(255, 1 + np.floor(8 * np.log2(np.maximum(total, 1)))), 0)
         levels = levels.astype(np.uint8)[index]
         some = [i for i in range(len(bounds) - 1) if levels[bounds[i] : bounds[i + 1]].any()]
@@ -124,10 +125,10 @@ class _Frequencies:
                 tokens[i] = h[np.argsort(lv, kind="stable")].tobytes()
         return pa.table(
             {
-                "doc_id": texts["doc_id"].combine_chunks().fill_null(_NO_ID) if n_texts else texts["doc_id"],
+                "node": texts["node"],
+                "text_key": texts["text_key"],
                 "n_shingles": pa.array(n.astype(np.int64)),
                 "digest": pa.array(digests, pa.binary()),
-                "n_shared": pa.array(shared.astype(np.int32)),
                 "tokens": pa.array(tokens, pa.binary()),
             }
         )
@@ -272,11 +273,18 @@ def _prefixes(batches, percent: int):
         )
 
 
+def _home(comp: np.ndarray, n_comp: np.ndarray, n_blocks: int, block: int) -> tuple[np.ndarray, np.ndarray]:
+    """The block that a component is searched in: its own if it has over ``block`` classes, else
+    that of all smaller ones that hash alike."""
+    big = n_comp > block
+    return big, np.where(big, comp, (mix(comp.view(np.uint64)) % np.uint64(n_blocks)).astype(np.int64))
+
+
 def _routes(postings: pa.Table, n_blocks: int, block: int) -> pa.Table:
-    """Which components are to be searched for in which blocks.
+    """Which components are to be searched for in which blocks, and which to be found there.
 
-    Of two components that share a prefix token the one with fewer classes is the query.  A
-    block is a component of over ``block`` classes, or all smaller ones that hash alike.
+    Of two components that share a prefix token the one with fewer classes is the query and
+    the other stands in the index of its block.
     """
     token, comp, size = (postings[c].to_numpy() for c in ("token", "comp", "n_comp"))
     order = np.lexsort((comp, size, token))
@@ -284,45 +292,37 @@ def _routes(postings: pa.Table, n_blocks: int, block: int) -> pa.Table:
     if len(token):
         fresh = np.append(True, (token[1:] != token[:-1]) | (comp[1:] != comp[:-1]))
         token, comp, size = token[fresh], comp[fresh], size[fresh]
-    big = size > block
-    home = np.where(big, comp, (mix(comp.view(np.uint64)) % np.uint64(n_blocks)).astype(np.int64))
+    big, home = _home(comp, size, n_blocks, block)
     heads = np.flatnonzero(np.append(True, token[1:] != token[:-1])) if len(token) else np.empty(0, np.int64)
-    tails = np.append(heads[1:], len(token))
-    out = set()
-    for a, b in zip(heads.tolist(), tails.tolist(), strict=True):
+    out: set[tuple] = set()
+    for a, b in zip(heads.tolist(), [*heads[1:].tolist(), len(token)], strict=True):
         if b - a == 1:
             continue
-        last: dict[tuple[bool, int, int], int] = {}
+        last = {}
         for i in range(a, b):
             last[bool(big[i]), int(home[i]), int(size[i]) if big[i] else 0] = i
+            if i > a:
+                out.add((int(comp[i]), int(size[i]), bool(big[i]), int(home[i]), int(size[i]) if big[i] else 0, False))
         for where, at in last.items():
-            out.update((c, s, *where) for c, s in zip(comp[a:at].tolist(), size[a:at].tolist(), strict=True))
-    columns = list(zip(*out, strict=True)) or [[]] * 5
-    kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64())
-    names = ("comp", "n_comp", "big", "home", "n_home")
-    return pa.table({n: pa.array(c, k) for n, c, k in zip(names, columns, kinds, strict=True)})
+            out.update((c, n, *where, True) for c, n in zip(comp[a:at].tolist(), size[a:at].tolist(), strict=True))
+    columns = list(zip(*sorted(out), strict=True)) or [[]] * 6
+    kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.bool_())
+    return pa.table({n: pa.array(c, k) for n, c, k in zip(_ROUTE_NAMES, columns, kinds, strict=True)})
 
 
-def jaccard_components(
-    docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, block: int = BLOCK, rounds: int = ROUNDS
-) -> DataFrame:
-    """Connected components of the texts under word-shingle Jaccard similarity.
+_ROUTES = "comp long, n_comp long, big boolean, home long, n_home long, query boolean"
+_ROUTE_NAMES = [x.split()[0] for x in _ROUTES.split(", ")]
 
-    Takes ``doc_id`` and ``text``; other columns are ignored.  Words are runs of anything but
-    ASCII white space, with A-Z lower-cased; a set holds the distinct sequences of ``size``
-    words, or the whole text's if it has fewer; an empty or null text has an empty set and no
-    link.  Two texts link when 100 * common >= ``percent`` * (all of both).
 
-    Returns a row per input row: ``doc_id, n_shingles, component_id`` (the least doc_id that
-    links lead to, its own included).  A null doc_id takes part and ranks after all others;
-    a component of nulls alone has a null component_id.  Rows that repeat a doc_id are
-    texts of their own and get the least component of any of them.
-    """
+def _linked(docs: DataFrame, size: int, percent: int, block: int, rounds: int) -> DataFrame:
+    """(node, text_key, n_shingles, digest, component) of each row; ``digest`` is null where
+    no link is possible, and ``component`` the least node of the row's component."""
     batches = batch_count(text_bytes(docs))
     steps = _Frequencies(size, percent, max(32, batches // 2))
     texts = docs.select(
-        F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(batches)).cast("int").alias("batch"), "doc_id", "text"
-    ).groupBy("batch")
+        F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(batches)).cast("int").alias("batch"),
+        node_of(), F.xxhash64("text").alias("text_key"), "text",
+    ).groupBy("batch")
     levels = (
         texts.applyInArrow(lambda key, table: steps.report(key, table), _REPORT)
         .groupBy("bucket")
@@ -335,7 +335,7 @@ def jaccard_components(
         sets.where("digest IS NOT NULL")
         .groupBy("digest")
         .agg(
-            F.min("doc_id").alias("rep"),
+            F.min("node").alias("rep"),
             F.first("n_shingles").alias("n_shingles"),
             F.first("tokens", ignorenulls=True).alias("tokens"),
         )
@@ -349,42 +349,80 @@ def jaccard_components(
         found = _blocked_links(reps, f"key{r}", n_blocks, block, percent)
         links = found if links is None else links.union(found)
     first = components(links)
-    labelled = reps.join(first, reps["rep"] == first["node"], "left").select(
-        "rep", "n_shingles", "tokens", F.coalesce("component", "rep").alias("comp")
-    )
-    sizes = labelled.groupBy("comp").agg(F.count("*").alias("n_comp"))
-    labelled = checkpointed(labelled.join(sizes, "comp").select("rep", "n_shingles", "tokens", "comp", "n_comp"))
+    label = reps.select("digest", "rep").join(first, reps["rep"] == first["node"], "left")
+    label = label.select("digest", "rep", F.coalesce("component", "rep").alias("comp"))
+    label = checkpointed(label.join(label.groupBy("comp").agg(F.count("*").alias("n_comp")), "comp"))
+    labelled = checkpointed(reps.select("rep", "n_shingles", "tokens").join(label.drop("digest"), "rep"))
     last = components(_links_between(labelled, n_blocks, block, percent))
+    by_class = label.join(last, F.col("comp") == last["node"], "left").select(
+        "digest", F.coalesce("component", "comp").alias("component")
+    )
+    return sets.drop("tokens").join(by_class, "digest", "left").withColumn("component", F.coalesce("component", "node"))
+
+
+def node_of():
+    """A row's node: its doc_id, or one that its text determines if it has none."""
+    return F.coalesce("doc_id", F.lit(_NO_ID) + F.pmod(F.xxhash64("text"), F.lit(_NO_ID - 1))).alias("node")
+
+
+def jaccard_components(
+    docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, block: int = BLOCK, rounds: int = ROUNDS
+) -> DataFrame:
+    """Connected components of the texts under word-shingle Jaccard similarity.
 
-    by_class = (
-        reps.select("digest", "rep")
-        .join(labelled.select("rep", "comp"), "rep")
-        .join(last, F.col("comp") == last["node"], "left")
-        .select("digest", F.coalesce("component", "comp").alias("component_id"))
+    Takes ``doc_id`` and ``text``; other columns are ignored.  Words are runs of anything but
+    ASCII white space, with A-Z lower-cased; a set holds the distinct sequences of ``size``
+    words, or the whole text's if it has fewer; an empty or null text has an empty set and no
+    link.  Two texts link when 100 * common >= ``percent`` * (all of both).
+
+    Returns a row per input row: ``doc_id, n_shingles, component_id`` (the least doc_id that
+    links lead to, its own included).  Ids are below 2**62.  Rows without a doc_id take part
+    and rank after all others, and a component of them alone has a null component_id.  Rows
+    that repeat a doc_id are one node, which has the links of each of them.
+    """
+    known = lambda c: F.when(F.col(c) < _NO_ID, F.col(c))
+    return _linked(docs, size, percent, block, rounds).select(
+        known("node").alias("doc_id"), "n_shingles", known("component").alias("component_id")
     )
-    no_id = lambda c: F.nullif(c, F.lit(_NO_ID))
-    return sets.join(by_class, "digest", "left").select(
-        no_id(F.col("doc_id")).alias("doc_id"),
-        "n_shingles",
-        no_id(F.coalesce("component_id", "doc_id")).alias("component_id"),
+
+
+def drop_near_duplicates(
+    docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, block: int = BLOCK, rounds: int = ROUNDS
+) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, of which one of each component stays: that
+    with the least doc_id (of rows that repeat it, one of those whose text hashes lowest).
+    Rows with an empty set stay."""
+    linked = _linked(docs, size, percent, block, rounds).where("digest IS NOT NULL")
+    linked = checkpointed(linked.select("node", "text_key", "component"))
+    least = linked.where("node = component").groupBy("component").agg(
+        F.min("text_key").alias("least"), F.count("*").alias("rows")
     )
+    others = linked.join(least, "component").where("node <> component OR text_key <> least")
+    gone = others.select("node", "text_key").distinct().withColumn("gone", F.lit(True))
+    again = least.where("rows > 1").select(F.col("component").alias("node"), F.col("least").alias("text_key"), F.lit(False).alias("gone"))
+    marks = gone.union(again.join(gone.drop("gone"), ["node", "text_key"], "left_anti"))
+    names = docs.columns
+    own = docs.select(*names, node_of().alias("_node"), F.xxhash64("text").alias("_key"))
+    marked = own.join(marks, (own["_node"] == marks["node"]) & (own["_key"] == marks["text_key"]), "left")
+    once = marked.where("gone IS NULL").select(*names)
+    repeated = marked.where("NOT gone").dropDuplicates(["_node", "_key"]).select(*names)
+    return once.union(repeated) if not again.isEmpty() else once
 
 
 def _blocked_links(reps: DataFrame, key: str, n_blocks: int, block: int, percent: int) -> DataFrame:
     """Links within blocks of classes with alike min-hash.  A min-hash with more than a
     block's classes is dealt over several; the next round deals it differently."""
-    hot = reps.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > block)
-    part = F.pmod(F.xxhash64("rep", F.lit(key)), F.ceil(F.col("n") / block)).cast("int")
-    return (
-        reps.join(hot, key, "left")
-        .select(
+    hot = checkpointed(reps.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > block))
+    home = F.pmod(F.col(key), F.lit(n_blocks))
+    dealt = reps.select(F.lit(-1).alias("part"), home.alias("home"), "rep", "n_shingles", "tokens")
+    if not hot.isEmpty():
+        part = F.pmod(F.xxhash64("rep", F.lit(key)), F.ceil(F.col("n") / block)).cast("int")
+        dealt = reps.join(hot, key, "left").select(
             F.coalesce(part, F.lit(-1)).alias("part"),
-            F.when(F.col("n").isNull(), F.pmod(F.col(key), F.lit(n_blocks))).otherwise(F.col(key)).alias("home"),
+            F.when(F.col("n").isNull(), home).otherwise(F.col(key)).alias("home"),
             "rep", "n_shingles", "tokens",
-        )
-        .groupBy("part", "home")
-        .applyInArrow(lambda table: _search_block(table, percent), "a long, b long")
-    )
+        )
+    return dealt.groupBy("part", "home").applyInArrow(lambda table: _search_block(table, percent), "a long, b long")
 
 
 def _links_between(labelled: DataFrame, n_blocks: int, block: int, percent: int) -> DataFrame:
@@ -392,44 +430,21 @@ def _links_between(labelled: DataFrame, n_blocks: int, block: int, percent: int)
     postings = labelled.mapInArrow(lambda it: _prefixes(it, percent), "token long, comp long, n_comp long")
     routes = checkpointed(
         postings.groupBy(F.pmod("token", F.lit(4 * n_blocks + 7)).alias("part"))
-        .applyInArrow(
-            lambda table: _routes(table, n_blocks, block),
-            "comp long, n_comp long, big boolean, home long, n_home long",
-        )
+        .applyInArrow(lambda table: _routes(table, n_blocks, block), _ROUTES)
         .distinct()
     )
-    chunks = lambda n: F.ceil(F.col(n) / block).cast("int")
-    wanted = routes.groupBy("big", "home").agg(
-        F.max("n_home").alias("n_home"), F.sum("n_comp").alias("n_queries")
-    )
-    wanted = wanted.select(
-        "big", "home",
-        F.greatest(F.lit(1), chunks("n_home")).alias("chunks"), F.greatest(F.lit(1), chunks("n_queries")).alias("parts"),
-    )
+    chunks = lambda n: F.greatest(F.lit(1), F.ceil(F.col(n) / block).cast("int"))
+    asked = routes.where("query")
+    wanted = asked.groupBy("big", "home").agg(F.max("n_home").alias("n_home"), F.sum("n_comp").alias("n_queries"))
+    wanted = wanted.select("big", "home", chunks("n_home").alias("chunks"), chunks("n_queries").alias("parts"))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    own = ["rep", "n_shingles", "tokens", "comp"]
-    queries = (
-        routes.select("comp", "big", "home").join(wanted, ["big", "home"]).join(labelled, "comp")
-        .select("big", "home", every("chunks").alias("chunk"), F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int").alias("part"), F.lit(True).alias("query"), *own)
-    )
-    index = (
-        labelled.mapInArrow(lambda it: _homes(it, n_blocks, block), "rep long, n_shingles long, tokens binary, comp long, big boolean, home long")
-        .join(wanted, ["big", "home"])
-        .select("big", "home", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int").alias("chunk"), every("parts").alias("part"), F.lit(False).alias("query"), *own)
+    one_of = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
+    where, own = ["comp", "big", "home", "chunks", "parts"], ["rep", "n_shingles", "tokens"]
+    queries = labelled.select(*own, "comp").join(asked.join(wanted, ["big", "home"]).select(*where), "comp")
+    index = labelled.select(*own, "comp").join(routes.where("NOT query").join(wanted, ["big", "home"]).select(*where), "comp")
+    both = queries.select("big", "home", every("chunks").alias("chunk"), one_of("parts").alias("part"), F.lit(True).alias("query"), "comp", *own).union(
+        index.select("big", "home", one_of("chunks").alias("chunk"), every("parts").alias("part"), F.lit(False).alias("query"), "comp", *own)
     )
-    return (
-        queries.union(index)
-        .groupBy("big", "home", "chunk", "part")
-        .applyInArrow(lambda table: _search_between(table, percent), "a long, b long")
+    return both.groupBy("big", "home", "chunk", "part").applyInArrow(
+        lambda table: _search_between(table, percent), "a long, b long"
     )
-
-
-def _homes(batches, n_blocks: int, block: int):
-    for batch in batches:
-        comp, size = batch.column("comp").to_numpy(), batch.column("n_comp").to_numpy()
-        big = size > block
-        home = np.where(big, comp, (mix(comp.view(np.uint64)) % np.uint64(n_blocks)).astype(np.int64))
-        yield pa.RecordBatch.from_arrays(
-            [*(batch.column(c) for c in ("rep", "n_shingles", "tokens", "comp")), pa.array(big), pa.array(home)],
-            ["rep", "n_shingles", "tokens", "comp", "big", "home"],
-        )
