@@ -15,7 +15,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 #: Samples whose partial sums travel together.
 SEGMENT = 1 << 16
@@ -73,7 +72,7 @@ class MarkerMatrix:
     @classmethod
     def from_cells(cls, cells: DataFrame, pheno: DataFrame, alpha: float = 1.0) -> "MarkerMatrix":
         """Of a cell table whose samples are those of ``pheno``, in the order of their ids."""
-        ids = [(r[0], r[1]) for r in pheno.orderBy("sample_idx").select("sample_idx", F.col("y").isNotNull()).toLocalIterator()]
+        ids = [(r[0], r[1]) for r in pheno.orderBy("sample_idx").selectExpr("sample_idx", "y IS NOT NULL").toLocalIterator()]
         order = {s: i for i, (s, _) in enumerate(ids)}
         shared, n = cells.sparkSession.sparkContext.broadcast(order), len(order)
 
@@ -133,8 +132,8 @@ class MarkerMatrix:
             total = sum(np.frombuffer(v) for v in table["value"].to_pylist())
             return pa.table({"segment": [key[0].as_py()], "value": [total.tobytes()]})
 
-        schema = "segment int, value binary"
-        partial = self.rows.mapInArrow(run, "segment long, value binary").select(F.col("segment").cast("int").alias("segment"), "value")
+        schema = "segment long, value binary"
+        partial = self.rows.mapInArrow(run, schema)
         out = np.zeros((n, wide.shape[1]))
         for row in partial.groupBy("segment").applyInArrow(lambda key, t: add(key, t), schema).collect():
             part = np.frombuffer(row[1]).reshape(-1, wide.shape[1])
