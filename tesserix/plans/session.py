@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -14,3 +17,18 @@ def shared_folder(spark: SparkSession) -> str:
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-"))
     return sc._jsc.sc().getCheckpointDir().get()
+
+
+def ship(spark: SparkSession) -> None:
+    """Make this package known to Python workers that don't find it by themselves."""
+    root = Path(__file__).resolve().parents[2]
+    known = [*os.environ.get("PYTHONPATH", "").split(os.pathsep), os.getcwd()]
+    sc = spark.sparkContext
+    if any(p and Path(p).resolve() == root for p in known) or getattr(sc, "_tesserix_shipped", False):
+        return
+    archive = Path(tempfile.mkdtemp(prefix="tesserix-")) / "tesserix.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for p in sorted((root / "tesserix").rglob("*.py")):
+            z.write(p, p.relative_to(root))
+    sc.addPyFile(str(archive))
+    sc._tesserix_shipped = True
