@@ -40,7 +40,7 @@ _NO_ID = 1 << 62
 
 _REPORT = "bucket int, batch int, prints binary"
 _ANSWER = "batch int, bucket int, levels binary"
-_SETS = "node long, text_key long, n_shingles long, digest binary, tokens binary"
+_SETS = "node long, text_key long, n_shingles long, digest binary, tokens binary, keys array<long>"
 
 
 def shingles(texts, size: int):
@@ -62,8 +62,8 @@ def shingles(texts, size: int):
 class _Frequencies:
     """Document frequencies of shingles, by messages between batches and hash buckets."""
 
-    def __init__(self, size: int, percent: int, buckets: int):
-        self.size, self.percent, self.buckets = size, percent, buckets
+    def __init__(self, size: int, percent: int, buckets: int, rounds: int):
+        self.size, self.percent, self.buckets, self.rounds = size, percent, buckets, rounds
 
     def _runs(self, distinct: np.ndarray):
         of = (distinct >> np.uint64(32)) * np.uint64(self.buckets) >> np.uint64(32)
@@ -113,16 +113,19 @@ class _Frequencies:
         shared = np.bincount(owner[level > 0], minlength=n_texts)
         kept = np.flatnonzero((n > 0) & (100 * shared >= self.percent * n))
         edges = np.searchsorted(owner, np.arange(n_texts + 1))
-        digests, tokens, seen = [None] * n_texts, [None] * n_texts, set()
+        # of equal sets the row with the least node bears the tokens
+        nodes, bearer = texts["node"].to_pylist(), {}
+        digests, tokens, keys = [None] * n_texts, [None] * n_texts, [None] * n_texts
         for i in kept.tolist():
-            own = index[edges[i] : edges[i + 1]]
-            h = distinct[own]  # ascending
-            digests[i] = hashlib.blake2b(h.tobytes(), digest_size=16).digest()
-            if digests[i] not in seen:
-                seen.add(digests[i])
-                lv = level[edges[i] : edges[i + 1]]
-                h, lv = h[lv > 0], lv[lv > 0]
-                tokens[i] = h[np.argsort(lv, kind="stable")].tobytes()
+            digest = hashlib.blake2b(distinct[index[edges[i] : edges[i + 1]]].tobytes(), digest_size=16).digest()
+            digests[i] = digest
+            if digest not in bearer or nodes[i] < nodes[bearer[digest]]:
+                bearer[digest] = i
+        for i in bearer.values():
+            h, lv = distinct[index[edges[i] : edges[i + 1]]], level[edges[i] : edges[i + 1]]
+            h, lv = h[lv > 0], lv[lv > 0]
+            tokens[i] = h[np.argsort(lv, kind="stable")].tobytes()
+            keys[i] = [int(mix(h ^ np.uint64(0x5851F42D4C957F2D * (r + 1) % (1 << 64))).min() >> np.uint64(1)) for r in range(self.rounds)]
         return pa.table(
             {
                 "node": texts["node"],
@@ -130,6 +133,7 @@ class _Frequencies:
                 "n_shingles": pa.array(n.astype(np.int64)),
                 "digest": pa.array(digests, pa.binary()),
                 "tokens": pa.array(tokens, pa.binary()),
+                "keys": pa.array(keys, pa.list_(pa.int64())),
             }
         )
 
@@ -215,14 +219,19 @@ def _pairs(names: np.ndarray, links: list[tuple[int, int]]) -> pa.Table:
 
 
 def _search_block(block: pa.Table, percent: int) -> pa.Table:
-    """Links that make components of the classes of one block."""
-    block = block.sort_by([("n_shingles", "ascending"), ("rep", "ascending")])
+    """Links that make components of the classes of one block; a class is named by its least
+    node, whose row all blocks with that class hold."""
+    block = block.sort_by([("n_shingles", "ascending"), ("node", "ascending")])
+    seen: dict[bytes, int] = {}
+    for i, digest in enumerate(block["digest"].to_pylist()):
+        seen.setdefault(digest, i)
+    block = block.take(pa.array(list(seen.values()), pa.int64()))
     tokens, bounds = flat_binary(block["tokens"], np.uint64)
-    reps = block["rep"].to_numpy()
-    search = Search(tokens, bounds, block["n_shingles"].to_numpy(), np.arange(len(reps)), len(reps), percent)
-    for x in range(1, len(reps)):
+    nodes = block["node"].to_numpy()
+    search = Search(tokens, bounds, block["n_shingles"].to_numpy(), np.arange(len(nodes)), len(nodes), percent)
+    for x in range(1, len(nodes)):
         search.query(x, before=x)
-    return _pairs(reps, search.links)
+    return _pairs(nodes, search.links)
 
 
 def _search_between(block: pa.Table, percent: int) -> pa.Table:
@@ -237,21 +246,6 @@ def _search_between(block: pa.Table, percent: int) -> pa.Table:
     return _pairs(comps, search.links)
 
 
-def _with_keys(batches, rounds: int):
-    """Adds each class's min-hashes over its shared tokens."""
-    for batch in batches:
-        tokens, bounds = flat_binary(batch.column("tokens"), np.uint64)
-        columns = list(batch.columns)
-        for r in range(rounds):
-            if len(tokens):
-                hashed = mix(tokens ^ np.uint64(0x5851F42D4C957F2D * (r + 1) % (1 << 64)))
-                keys = np.minimum.reduceat(np.append(hashed, hashed[-1]), bounds[:-1])
-            else:
-                keys = np.zeros(batch.num_rows, np.uint64)
-            columns.append(pa.array((keys >> np.uint64(1)).astype(np.int64)))
-        yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, *(f"key{r}" for r in range(rounds))])
-
-
 def _prefixes(batches, percent: int):
     """Distinct (token, component) among the prefixes: the rarest tokens, of which two linked
     sets share one."""
@@ -318,7 +312,7 @@ def _linked(docs: DataFrame, size: int, percent: int, block: int, rounds: int) -
     """(node, text_key, n_shingles, digest, component) of each row; ``digest`` is null where
     no link is possible, and ``component`` the least node of the row's component."""
     batches = batch_count(text_bytes(docs))
-    steps = _Frequencies(size, percent, max(32, batches // 2))
+    steps = _Frequencies(size, percent, max(32, batches // 2), rounds)
     texts = docs.select(
         F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(batches)).cast("int").alias("batch"),
         node_of(), F.xxhash64("text").alias("text_key"), "text",
@@ -331,33 +325,23 @@ def _linked(docs: DataFrame, size: int, percent: int, block: int, rounds: int) -
     sets = checkpointed(
         texts.cogroup(levels.groupBy("batch")).applyInArrow(lambda key, a, b: steps.sets(key, a, b), _SETS)
     )
-    reps = (
-        sets.where("digest IS NOT NULL")
-        .groupBy("digest")
-        .agg(
-            F.min("node").alias("rep"),
-            F.first("n_shingles").alias("n_shingles"),
-            F.first("tokens", ignorenulls=True).alias("tokens"),
-        )
-    )
-    keyed = "digest binary, rep long, n_shingles long, tokens binary, " + ", ".join(f"key{r} long" for r in range(rounds))
-    reps = checkpointed(reps.mapInArrow(lambda it: _with_keys(it, rounds), keyed))
-    n_blocks = max(1, math.ceil(reps.count() / (block // 2)))
-
+    bearers = sets.where("tokens IS NOT NULL")
+    n_blocks = max(1, math.ceil(bearers.count() / (block // 2)))
     links = None
     for r in range(rounds):
-        found = _blocked_links(reps, f"key{r}", n_blocks, block, percent)
+        found = _blocked_links(bearers, F.col("keys")[r], n_blocks, block, percent)
         links = found if links is None else links.union(found)
     first = components(links)
-    label = reps.select("digest", "rep").join(first, reps["rep"] == first["node"], "left")
-    label = label.select("digest", "rep", F.coalesce("component", "rep").alias("comp"))
+    label = bearers.groupBy("digest").agg(F.min("node").alias("rep"))
+    label = label.join(first, label["rep"] == first["node"], "left").select("digest", "rep", F.coalesce("component", "rep").alias("comp"))
     label = checkpointed(label.join(label.groupBy("comp").agg(F.count("*").alias("n_comp")), "comp"))
-    labelled = checkpointed(reps.select("rep", "n_shingles", "tokens").join(label.drop("digest"), "rep"))
+    own = ["digest", F.col("node").alias("rep"), "n_shingles", "tokens"]
+    labelled = checkpointed(bearers.select(*own).join(label, ["digest", "rep"]).drop("digest"))
     last = components(_links_between(labelled, n_blocks, block, percent))
     by_class = label.join(last, F.col("comp") == last["node"], "left").select(
         "digest", F.coalesce("component", "comp").alias("component")
     )
-    return sets.drop("tokens").join(by_class, "digest", "left").withColumn("component", F.coalesce("component", "node"))
+    return sets.drop("tokens", "keys").join(by_class, "digest", "left").withColumn("component", F.coalesce("component", "node"))
 
 
 def node_of():
@@ -409,18 +393,19 @@ def drop_near_duplicates(
     return once.union(repeated) if not again.isEmpty() else once
 
 
-def _blocked_links(reps: DataFrame, key: str, n_blocks: int, block: int, percent: int) -> DataFrame:
+def _blocked_links(bearers: DataFrame, key, n_blocks: int, block: int, percent: int) -> DataFrame:
     """Links within blocks of classes with alike min-hash.  A min-hash with more than a
     block's classes is dealt over several; the next round deals it differently."""
-    hot = checkpointed(reps.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > block))
-    home = F.pmod(F.col(key), F.lit(n_blocks))
-    dealt = reps.select(F.lit(-1).alias("part"), home.alias("home"), "rep", "n_shingles", "tokens")
+    keyed = bearers.select(key.alias("key"), "node", "digest", "n_shingles", "tokens")
+    hot = checkpointed(keyed.groupBy("key").agg(F.count_distinct("digest").alias("n")).where(F.col("n") > block))
+    home = F.pmod(F.col("key"), F.lit(n_blocks))
+    dealt = keyed.select(F.lit(-1).alias("part"), home.alias("home"), "node", "digest", "n_shingles", "tokens")
     if not hot.isEmpty():
-        part = F.pmod(F.xxhash64("rep", F.lit(key)), F.ceil(F.col("n") / block)).cast("int")
-        dealt = reps.join(hot, key, "left").select(
+        part = F.pmod(F.xxhash64("digest", "key"), F.ceil(F.col("n") / block)).cast("int")
+        dealt = keyed.join(hot, "key", "left").select(
             F.coalesce(part, F.lit(-1)).alias("part"),
-            F.when(F.col("n").isNull(), home).otherwise(F.col(key)).alias("home"),
-            "rep", "n_shingles", "tokens",
+            F.when(F.col("n").isNull(), home).otherwise(F.col("key")).alias("home"),
+            "node", "digest", "n_shingles", "tokens",
         )
     return dealt.groupBy("part", "home").applyInArrow(lambda table: _search_block(table, percent), "a long, b long")
 
@@ -437,13 +422,15 @@ def _links_between(labelled: DataFrame, n_blocks: int, block: int, percent: int)
     asked = routes.where("query")
     wanted = asked.groupBy("big", "home").agg(F.max("n_home").alias("n_home"), F.sum("n_comp").alias("n_queries"))
     wanted = wanted.select("big", "home", chunks("n_home").alias("chunks"), chunks("n_queries").alias("parts"))
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    one_of = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
-    where, own = ["comp", "big", "home", "chunks", "parts"], ["rep", "n_shingles", "tokens"]
-    queries = labelled.select(*own, "comp").join(asked.join(wanted, ["big", "home"]).select(*where), "comp")
-    index = labelled.select(*own, "comp").join(routes.where("NOT query").join(wanted, ["big", "home"]).select(*where), "comp")
-    both = queries.select("big", "home", every("chunks").alias("chunk"), one_of("parts").alias("part"), F.lit(True).alias("query"), "comp", *own).union(
-        index.select("big", "home", one_of("chunks").alias("chunk"), every("parts").alias("part"), F.lit(False).alias("query"), "comp", *own)
+    # a query goes to all chunks of a block's index, a row of the index to all parts of its queries
+    all_of = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    one_of = lambda n: F.array(F.pmod(F.xxhash64("rep"), F.col(n)).cast("int"))
+    both = (
+        labelled.drop("n_comp")
+        .join(routes.select("comp", "big", "home", "query").join(wanted, ["big", "home"]), "comp")
+        .withColumn("chunk", F.explode(F.when(F.col("query"), all_of("chunks")).otherwise(one_of("chunks"))))
+        .withColumn("part", F.explode(F.when(F.col("query"), one_of("parts")).otherwise(all_of("parts"))))
+        .drop("chunks", "parts")
     )
     return both.groupBy("big", "home", "chunk", "part").applyInArrow(
         lambda table: _search_between(table, percent), "a long, b long"
