@@ -183,6 +183,8 @@ class WarcReader(DataSourceReader):
         return True
 
     def read(self, partition):
+        if partition is None:  # an archive without files
+            return
         files, folder = _files(self.path)
         names = [x.split()[0] for x in READ.split(", ")]
         kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary()]
