@@ -101,20 +101,15 @@ def find_licenses(docs: DataFrame, templates=TEMPLATES, gram: int = GRAM, covera
         .groupBy("doc_id", "row_key", "template", "label", "base", "grams", (F.col("place") - F.col("offset")).alias("diagonal"))
         .agg(F.bit_or(F.expr("shiftleft(1L, offset)")).alias("hits"), F.min("place").alias("first"))
     )
-    exact = votes.where("base AND bit_count(hits) = grams").select(
-        "doc_id", "row_key", "label", "base", F.col("diagonal").cast("long").alias("start"), F.lit(1.0).alias("covered")
-    )
     in_order = "PARTITION BY doc_id, row_key, template ORDER BY diagonal"
-    merged = (
-        votes.where("NOT base")
-        .withColumn("breaks", F.expr(f"coalesce(diagonal - lag(diagonal) OVER ({in_order}) > {drift}, true)"))
-        .withColumn("run", F.expr(f"sum(int(breaks)) OVER ({in_order})"))
-        .groupBy("doc_id", "row_key", "template", "label", "grams", "run")
+    runs = votes.withColumn("breaks", F.expr(f"base OR coalesce(diagonal - lag(diagonal) OVER ({in_order}) > {drift}, true)"))
+    return (
+        runs.withColumn("run", F.expr(f"sum(int(breaks)) OVER ({in_order})"))
+        .groupBy("doc_id", "row_key", "template", "label", "base", "grams", "run")
         .agg(F.bit_count(F.bit_or("hits")).alias("hits"), F.min("first").cast("long").alias("start"))
-        .select("doc_id", "row_key", "label", F.lit(False).alias("base"), "start", (F.col("hits") / F.col("grams")).alias("covered"))
-        .where(F.col("covered") >= coverage)
+        .select("doc_id", "row_key", "label", "base", "start", (F.col("hits") / F.col("grams")).alias("covered"))
+        .where(F.when(F.col("base"), F.col("covered") == 1).otherwise(F.col("covered") >= coverage))
     )
-    return exact.union(merged)
 
 
 def scan_licenses(docs: DataFrame, **options) -> DataFrame:
