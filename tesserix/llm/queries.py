@@ -97,6 +97,37 @@ def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(_table(spark, sf_dir, "documents"))
 
 
+def _op6_sql() -> str:
+    """The votes in SQL, over the words themselves instead of their hashes."""
+    from .licenses import BASE, COVERAGE, DRIFT, TEMPLATES
+
+    listed = [(label, phrase, True) for phrase, label in BASE.items()] + [(a, b, False) for a, b in TEMPLATES]
+    values = ", ".join(f"({n}, '{label}', {base}, string_split('{phrase}', ' '))" for n, (label, phrase, base) in enumerate(listed))
+    covered = "CAST(bit_count(bit_or(hits)) AS DOUBLE) / grams"
+    return rf"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents
+), t AS (SELECT *, least(3, len(ws)) AS size FROM (VALUES {values}) x(template, label, base, ws)
+), o AS (SELECT template, label, base, size, ws, len(ws) - size + 1 AS grams, unnest(range(0, len(ws) - size + 1)) AS off FROM t
+), k AS (SELECT template, label, base, grams, off, array_to_string(ws[off + 1:off + size], ' ') AS gram FROM o
+), g AS (SELECT doc_id, words, unnest(range(1, len(words) + 1)) AS i FROM w
+), h AS (SELECT doc_id, i - 1 AS place, array_to_string(words[i:i + 2], ' ') AS gram FROM g WHERE i + 2 <= len(words)
+  UNION ALL SELECT doc_id, i - 1, array_to_string(words[i:i + 1], ' ') FROM g WHERE i + 1 <= len(words)
+), v AS (SELECT doc_id, template, label, base, grams, place - off AS diag, bit_or(CAST(1 AS BIGINT) << off) AS hits, min(place) AS first
+  FROM h JOIN k USING (gram) GROUP BY doc_id, template, label, base, grams, place - off
+), r AS (SELECT *, CASE WHEN base OR coalesce(diag - lag(diag) OVER (PARTITION BY doc_id, template ORDER BY diag) > {DRIFT}, true) THEN 1 ELSE 0 END AS brk FROM v
+), q AS (SELECT *, sum(brk) OVER (PARTITION BY doc_id, template ORDER BY diag) AS run FROM r
+), f AS (SELECT doc_id, label, base, {covered} AS covered, min(first) AS start FROM q GROUP BY doc_id, template, label, base, grams, run
+  HAVING CASE WHEN base THEN bit_count(bit_or(hits)) = grams ELSE {covered} >= {COVERAGE} END)
+SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, count(start) FILTER (base) AS n_base,
+       min(start) FILTER (base) AS first_word, max(start) FILTER (base) AS last_word,
+       coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base), '') AS base_labels,
+       coalesce(string_agg(DISTINCT label, ',' ORDER BY label), '') AS labels, coalesce(max(covered), 0.0) AS score
+FROM w LEFT JOIN f USING (doc_id) GROUP BY w.doc_id, words
+"""
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .secrets import scan_secrets
 
@@ -104,6 +135,34 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
 
 
+def _op7_sql() -> str:
+    """All rules on all texts, without an index; places by counting off what lies between."""
+    from .secrets import BASE, ISSUED
+
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    parts = []
+    for number, rule in enumerate(BASE + ISSUED):
+        # a run of hexadecimal digits is long enough or holds nothing that is
+        p = quoted("[0-9a-f]{24,}" if rule.kind == "hex" else rule.pattern)
+        parts.append(
+            f"SELECT doc_id, {number} AS number, '{rule.kind}' AS kind, {rule.least} AS least, string_split_regex(text, {p}) AS gaps, "
+            f"regexp_extract_all(text, {p}, 0) AS hits, regexp_extract_all(text, {p}, {rule.group}) AS parts FROM d"
+        )
+    lengths = lambda x: f"coalesce(list_sum(list_transform({x}, lambda t: length(t))), 0)"
+    span = "kind || ':' || start || ':' || stop"
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), m AS ({" UNION ALL ".join(parts)})
+, k AS (SELECT *, unnest(range(1, len(hits) + 1)) AS i FROM m WHERE len(hits) > 0)
+, p AS (SELECT doc_id, number, kind, CAST({lengths("gaps[1:i]")} + {lengths("hits[1:i - 1]")} AS BIGINT) AS start, length(hits[i]) AS n
+  FROM k WHERE length(parts[i]) >= least)
+, s AS (SELECT *, start + n AS stop FROM p)
+SELECT d.doc_id, count(*) FILTER (number = 0) AS n_assign, count(*) FILTER (number = 1) AS n_access, count(*) FILTER (number = 2) AS n_hex,
+       sha256(coalesce(string_agg({span}, ',' ORDER BY start, number) FILTER (number < 3), '')) AS base_sha256,
+       coalesce(string_agg({span}, ',' ORDER BY start, number) FILTER (number IS NOT NULL), '') AS spans
+FROM d LEFT JOIN s USING (doc_id) GROUP BY d.doc_id
+"""
+
+
 def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .jaccard import jaccard_components
 
@@ -182,4 +241,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_repeats": _OP2_SQL, "op3_topk": _OP3_SQL, "op8_jaccard": _OP8_SQL, "op10_warc": _OP10_SQL}
+    return {
+        "op2_repeats": _OP2_SQL,
+        "op3_topk": _OP3_SQL,
+        "op6_licenses": _op6_sql(),
+        "op7_secrets": _op7_sql(),
+        "op8_jaccard": _OP8_SQL,
+        "op10_warc": _OP10_SQL,
+    }
