@@ -192,6 +192,11 @@ SQL = {
 , ap AS (SELECT s, 1.5 * sum(a * u) AS ap FROM a JOIN vv USING (m) GROUP BY s)
 , st0 AS (SELECT sum(b * p) / sum(p * (ap + 0.8 * p)) AS step FROM p0 JOIN ap USING (s))
 """ + f" SELECT m AS marker_idx, {_r('r / 10 + 1.5 * step * u')} AS x2 FROM vv JOIN r USING (m), st0",
+    "scan_bed": """SELECT CAST(m AS BIGINT) AS marker_idx, CAST(i - 1 AS BIGINT) AS sample_idx, CAST(d[i] AS INTEGER) AS dosage
+        FROM (VALUES (0, [2, NULL, 1, 0, 1, 0]), (1, [2, 2, 2, 2, 2, 2]), (2, [0, 1, 1, 2, 0, 1])) t(m, d), (SELECT unnest(range(1, 7)) AS i)""",
+    "scan_phen": """SELECT CAST(i AS BIGINT) AS sample_idx, 'f' || (i + 1) AS fid, 'i' || (i + 1) AS iid, CAST(y AS DOUBLE) AS y
+        FROM (VALUES (0, 1.0), (1, 2.5), (2, NULL), (3, 4.0)) t(i, y)""",
+    "scan_bim": """SELECT CAST(i AS BIGINT) AS marker_idx, CAST(c AS INTEGER) AS chrom FROM (VALUES (0, 1), (1, 22), (2, 23), (3, 0)) t(i, c)""",
     "scan_f64": "SELECT CAST(unnest([0, 1, 2]) AS BIGINT) AS idx, CAST(unnest([1.5, -2.0, 3.25]) AS DOUBLE) AS value",
 }
 
