@@ -42,7 +42,7 @@ def test_command_line(spark, tmp_path):
     (tmp_path / "g.bim").write_text("".join(f"{1 + j % 2} rs{j}\n" for j in range(m)))
     files = ["--bed-file", f"{tmp_path}/g.bed", "--phen-files", f"{tmp_path}/y.phen", "--out-dir", f"{tmp_path}/", "--out-name", "run"]
     test = ["--bed-file-test", f"{tmp_path}/g.bed", "--phen-files-test", f"{tmp_path}/y.phen"]
-    prior = ["--probs", "0.8,0.2", "--vars", "0,0.1", "--iterations", "3", "--h2", "0.5"]
+    prior = ["--probs", "0.8,0.2", "--vars", "0,0.1", "--iterations", "3", "--h2", "0.5", "--rho", "0.9"]
     cli.main(["--run-mode", "both", "--N", str(n), "--Mt", str(m), "--bim-file", f"{tmp_path}/g.bim", "--store-pvals", "1", *files, *test, *prior], spark)
     assert spark.read.parquet(f"{tmp_path}/run_best").first()["r2"] > 0.7
     p = spark.read.parquet(f"{tmp_path}/run_pvals").orderBy("p").limit(3).collect()
