@@ -1,22 +1,22 @@
 """Byte-level BPE encoding and decoding by a pair occurrence index.
 
-The distinct pieces of a partition's texts (what the pre-tokeniser's pattern cuts) lie end to
-end in one list of symbols.  An index maps each pair of neighbours that a merge rule covers to
-all its positions in the partition.  Ranks are taken in ascending order from a heap of active
-ones; each merges all its positions at once and updates the lists of the pairs on either side.
-A merge only ever makes pairs of higher rank, so one ascending sweep yields for every piece
-what merging its own lowest rank first would.
-
-Pieces that were encoded are kept from batch to batch in a bounded table, as most recur.
+The distinct new pieces of a partition's texts (what the pre-tokeniser's pattern cuts) lie end to
+end in one array of symbols, and the index holds the merge rank of the pair at each position.
+Pieces don't touch, so ascending order only matters within a piece: a sweep applies to every
+piece its lowest active rank at all positions of that rank at once, and updates the index where
+the merges made new pairs.  A merge only ever makes pairs of higher rank, so a piece's ranks
+come up in ascending order, and the sweeps end when no piece has an active rank.
+
+Runs that were encoded are kept from batch to batch in a bounded table, as most recur.
 """
 
 from __future__ import annotations
 
 import hashlib
-import heapq
 import json
 import re
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -31,6 +31,9 @@ _CHUNKS = re.compile(f" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
 #: Runs whose encoding is kept; the table is emptied when it is full.
 KEPT_RUNS = 300_000
 KEPT_CHARS = 64
+#: Bytes of text that are encoded together.
+TOGETHER = 1 << 21
+_NEVER = np.int32(1 << 30)
 
 _RESULT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, ids array<int>, decoded string"
 
@@ -54,108 +57,130 @@ class Tokenizer:
         symbols = _byte_symbols()
         vocab = file["model"]["vocab"]
         self.bytes_of = {i: bytes(symbols[c] for c in token) for token, i in vocab.items() if all(c in symbols for c in token)}
-        self.byte_id = [vocab[c] for c, _ in sorted(symbols.items(), key=lambda x: x[1])]
-        self.rules: dict[tuple[int, int], tuple[int, int]] = {}
+        self.byte_id = np.array([vocab[c] for c, _ in sorted(symbols.items(), key=lambda x: x[1])], np.int32)
+        rules: dict[tuple[int, int], tuple[int, int]] = {}
         for rank, pair in enumerate(file["model"]["merges"]):
             left, right = pair.split(" ") if isinstance(pair, str) else pair
-            self.rules.setdefault((vocab[left], vocab[right]), (rank, vocab[left + right]))
-        self.by_rank = {rank: (pair, merged) for pair, (rank, merged) in self.rules.items()}
+            rules.setdefault((vocab[left], vocab[right]), (rank, vocab[left + right]))
+        self._index_rules(rules, len(file["model"]["merges"]))
         self.added = {t["content"]: t["id"] for t in file.get("added_tokens", [])}
         self.bytes_of |= {i: t.encode() for t, i in self.added.items()}
         self.split_added = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.pieces = regex.compile(PATTERN).findall
-        self.known: dict[str, tuple[int, ...]] = {}
-
-    def encode_pieces(self, pieces: list[bytes]) -> list[list[int]]:
-        """Ids of each of the pieces, all merged together over one pair occurrence index."""
-        symbol: list[int] = []
-        ends: list[int] = []
-        for piece in pieces:
-            symbol.extend([self.byte_id[b] for b in piece])
-            ends.append(len(symbol))
-        n = len(symbol)
-        after = list(range(1, n + 1))
-        before = list(range(-1, n - 1))
-        for end in ends:
-            if end:
-                after[end - 1] = -1
-            if end < n:
-                before[end] = -1
-        rules = self.rules
-        index: dict[int, list[int]] = {}  # rank: positions of its pair's left symbol
-        for i in range(n):
-            j = after[i]
-            if j >= 0:
-                rule = rules.get((symbol[i], symbol[j]))
-                if rule is not None:
-                    index.setdefault(rule[0], []).append(i)
-        active = list(index)
-        heapq.heapify(active)
-        while active:
-            rank = heapq.heappop(active)
-            (left, right), merged = self.by_rank[rank]
-            positions = index.pop(rank)
-            positions.sort()  # neighbours as in "aaa" merge from the left
-            for i in positions:
-                j = after[i]
-                if symbol[i] != left or j < 0 or symbol[j] != right:
-                    continue  # an earlier merge took one of the two
-                symbol[i], symbol[j] = merged, -1
-                k = after[i] = after[j]
-                if k >= 0:
-                    before[k] = i
-                    rule = rules.get((merged, symbol[k]))
-                    if rule is not None:
-                        at = index.get(rule[0])
-                        if at is None:
-                            index[rule[0]] = [i]
-                            heapq.heappush(active, rule[0])
-                        else:
-                            at.append(i)
-                h = before[i]
-                if h >= 0:
-                    rule = rules.get((symbol[h], merged))
-                    if rule is not None:
-                        at = index.get(rule[0])
-                        if at is None:
-                            index[rule[0]] = [h]
-                            heapq.heappush(active, rule[0])
-                        else:
-                            at.append(h)
-        out, start = [], 0
-        for end in ends:
-            out.append([s for s in symbol[start:end] if s >= 0])
-            start = end
+        self._forget()
+
+    def _index_rules(self, rules: dict, n_ranks: int) -> None:
+        """A direct-mapped table from pairs to ranks, and a sorted one for pairs that collide."""
+        keys = np.array([a << 32 | b for a, b in rules], np.uint64)
+        ranks = np.array([r for r, _ in rules.values()], np.int32)
+        self.merged = np.zeros(n_ranks, np.int32)
+        self.merged[ranks] = [m for _, m in rules.values()]
+        order = np.argsort(keys)
+        self.keys, self.ranks = keys[order], ranks[order]
+        self.slot_key, self.slot_rank = np.full(1 << 20, np.uint64(1 << 63)), np.full(1 << 20, _NEVER)
+        slot = self._slot(keys)
+        self.slot_key[slot], self.slot_rank[slot] = keys, ranks
+        self.crowded = np.bincount(slot, minlength=1 << 20) > 1
+
+    @staticmethod
+    def _slot(keys: np.ndarray) -> np.ndarray:
+        return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
+
+    def _ranks_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank of each pair, _NEVER where no rule merges it."""
+        keys = left.astype(np.uint64) << np.uint64(32) | right.astype(np.uint64)
+        slot = self._slot(keys)
+        out = np.where(self.slot_key[slot] == keys, self.slot_rank[slot], _NEVER)
+        again = np.flatnonzero(self.crowded[slot])
+        if len(again):
+            at = np.minimum(np.searchsorted(self.keys, keys[again]), len(self.keys) - 1)
+            out[again] = np.where(self.keys[at] == keys[again], self.ranks[at], _NEVER)
         return out
 
-    def _encode_runs(self, runs: list[str]) -> dict[str, tuple[int, ...]]:
-        """Ids of runs, by way of the distinct pieces in them."""
-        cut = {run: self.pieces(run) for run in runs}
-        distinct = list(dict.fromkeys(p for pieces in cut.values() for p in pieces))
-        ids = dict(zip(distinct, self.encode_pieces([p.encode() for p in distinct]), strict=True))
-        return {run: tuple(i for p in pieces for i in ids[p]) for run, pieces in cut.items()}
+    def _forget(self) -> None:
+        """Empty the table of runs: run i has the ids pool[bounds[i]:bounds[i + 1]]."""
+        self.known: dict[str, int] = {}
+        self.pool, self.bounds = np.empty(0, np.int32), np.zeros(1, np.int64)
+
+    def encode_pieces(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the pieces end to end and the bounds of each."""
+        sizes = np.array([len(p) for p in pieces], np.int64)
+        symbol = self.byte_id[np.frombuffer(b"".join(pieces), np.uint8)]
+        piece = np.repeat(np.arange(len(pieces)), sizes)
+        rank = np.full(len(symbol), _NEVER)
+        if len(symbol) > 1:
+            inside = np.flatnonzero(piece[1:] == piece[:-1])
+            rank[inside] = self._ranks_of(symbol[inside], symbol[inside + 1])
+        done_symbol, done_piece = [], []
+        while len(symbol):
+            heads = np.flatnonzero(np.append(True, piece[1:] != piece[:-1]))
+            lowest = np.repeat(np.minimum.reduceat(rank, heads), np.diff(np.append(heads, len(symbol))))
+            over = lowest == _NEVER
+            if over.any():
+                done_symbol.append(symbol[over])
+                done_piece.append(piece[over])
+                going = ~over
+                symbol, piece, rank, lowest = symbol[going], piece[going], rank[going], lowest[going]
+                if not len(symbol):
+                    break
+            at = np.flatnonzero(rank == lowest)
+            # of positions side by side, as in "aaa", every other one from the left merges
+            chain = np.flatnonzero(np.append(True, np.diff(at) > 1))
+            at = at[(np.arange(len(at)) - np.repeat(chain, np.diff(np.append(chain, len(at))))) % 2 == 0]
+            symbol[at] = self.merged[rank[at]]
+            stay = np.ones(len(symbol), bool)
+            stay[at + 1] = False
+            now = at - np.arange(len(at))  # positions once the right halves are gone
+            symbol, piece, rank = symbol[stay], piece[stay], rank[stay]
+            mark = np.zeros(len(symbol), bool)
+            mark[now] = mark[now - (now > 0)] = True
+            changed = np.flatnonzero(mark)
+            rank[changed] = _NEVER
+            changed = changed[: len(changed) - (changed[-1] == len(symbol) - 1)]
+            changed = changed[piece[changed] == piece[changed + 1]]
+            rank[changed] = self._ranks_of(symbol[changed], symbol[changed + 1])
+        symbol = np.concatenate(done_symbol) if done_symbol else np.empty(0, np.int32)
+        piece = np.concatenate(done_piece) if done_piece else np.empty(0, np.int64)
+        symbol = symbol[np.argsort(piece, kind="stable")]
+        return symbol, np.append(0, np.cumsum(np.bincount(piece, minlength=len(pieces))))
+
+    def _learn(self, runs: list[str]) -> None:
+        """Add runs to the table, by way of the distinct pieces in them."""
+        place: dict[str, int] = {}
+        cut, sizes = [], []
+        for run in runs:
+            # letters with or without a space before them are one piece
+            pieces = [run] if run.isalpha() or (run[0] == " " and run[1:].isalpha()) else self.pieces(run)
+            cut += [place.setdefault(p, len(place)) for p in pieces]
+            sizes.append(len(pieces))
+        ids, bounds = self.encode_pieces([p.encode() for p in place])
+        ids, counts = _gathered(ids, bounds, np.array(cut, np.int64))
+        totals = np.add.reduceat(np.append(counts, 0), np.append(0, np.cumsum(sizes))[:-1]) if runs else counts
+        self.bounds = np.append(self.bounds, self.bounds[-1] + np.cumsum(totals))
+        self.pool = np.append(self.pool, ids)
+        first = len(self.known)
+        self.known.update((run, first + k) for k, run in enumerate(runs))
 
     def encode_batch(self, texts: list[str]) -> list[list[int]]:
         """Ids of each text; added tokens in it are found first, as in the format's own rules."""
         parts = [self.split_added.split(t) if self.split_added and any(a in t for a in self.added) else [t] for t in texts]
         runs = [[p if p in self.added and k % 2 else _CHUNKS.findall(p) for k, p in enumerate(own)] for own in parts]
-        known = self.known
-        new = {r for own in runs for p in own if not isinstance(p, str) for r in p if r not in known}
-        if len(known) + len(new) > KEPT_RUNS:
-            known.clear()
+        new = {r for own in runs for p in own if not isinstance(p, str) for r in p if r not in self.known}
+        if len(self.known) + len(new) > KEPT_RUNS:
+            self._forget()
             new = {r for own in runs for p in own if not isinstance(p, str) for r in p}
-        got = self._encode_runs(sorted(new))
-        known.update((r, ids) for r, ids in got.items() if len(r) <= KEPT_CHARS)
-        out = []
+        self._learn(list(new))
+        known, out = self.known, []
         for own in runs:
             ids: list[int] = []
             for p in own:
                 if isinstance(p, str):
                     ids.append(self.added[p])
-                else:
-                    for r in p:
-                        ids += known[r] if r in known else got[r]
+                elif p:
+                    ids += _gathered(self.pool, self.bounds, np.array([known[r] for r in p], np.int64))[0].tolist()
             out.append(ids)
+        if len(known) > KEPT_RUNS or any(len(r) > KEPT_CHARS for r in new):
+            self._forget()
         return out
 
     def decode(self, ids) -> str:
@@ -163,6 +188,14 @@ class Tokenizer:
         return b"".join([table[i] for i in ids]).decode("utf-8", "replace")
 
 
+def _gathered(values: np.ndarray, bounds: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Stretches of ``values`` end to end, and the length of each."""
+    first, counts = bounds[which], bounds[which + 1] - bounds[which]
+    ends = np.cumsum(counts)
+    at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - ends + counts, counts)
+    return values[at], counts
+
+
 def tokenize(docs: DataFrame, path: str, with_tokens: bool = True) -> DataFrame:
     """Encode every text and decode the ids again.
 
@@ -177,7 +210,7 @@ def tokenize(docs: DataFrame, path: str, with_tokens: bool = True) -> DataFrame:
         tokenizer = Tokenizer(path)
         number = [str(i) for i in range(1 + max(tokenizer.bytes_of))]
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, limit=TOGETHER):
                 texts = [t or "" for t in part.column("text").to_pylist()]
                 n, shas, back, all_ids, all_decoded = [], [], [], [], []
                 for ids in tokenizer.encode_batch(texts):
