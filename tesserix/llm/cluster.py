@@ -19,18 +19,24 @@ from pyspark.sql import functions as F
 #: which keeps both the batches and the messages between any two of them of a useful size.
 BATCH_BYTES = (1 << 19, 1 << 25)
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` written to the cluster's checkpoint folder and read from there.
 
     The folder is ``spark.checkpoint.dir`` of the session; a temporary one is set only where
-    the session names none, as in tests on one machine.
+    the session names none, as in tests on one machine.  What the rows were shuffled through is
+    deleted once they are written, since nothing reads it again.
     """
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        configured = sc.getConf().get("spark.checkpoint.dir")
-        sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="checkpoints-"))
-    return df.checkpoint()
+    spark = df.sparkSession
+    shared_folder(spark)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        return df.checkpoint()
+    finally:
+        spark.conf.set(_CLEANUP, before)
 
 
 def shared_folder(spark: SparkSession) -> str:
