@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .cluster import batch_count, binary_column, checkpointed, flat_binary, text_bytes
 from .components import components
-from .words import LOWER, Words, mix
+from .words import LOWER, Words, distinct, mix
 
 SHINGLE = 5
 PERCENT = 75
@@ -54,9 +54,9 @@ def shingles(texts, size: int):
     if len(short):
         whole = words.window_hashes(words.bounds[short], counts[short])
         owner, hashes = np.append(owner, short), np.append(hashes, whole)
-    distinct, index = np.unique(hashes, return_inverse=True)
-    code = np.unique(owner * max(1, len(distinct)) + index)
-    return distinct, code // max(1, len(distinct)), code % max(1, len(distinct))
+    names, index = np.unique(hashes, return_inverse=True)
+    code = distinct(owner * max(1, len(names)) + index)
+    return names, code // max(1, len(names)), code % max(1, len(names))
 
 
 class _Frequencies:
@@ -65,17 +65,17 @@ class _Frequencies:
     def __init__(self, size: int, percent: int, buckets: int, rounds: int):
         self.size, self.percent, self.buckets, self.rounds = size, percent, buckets, rounds
 
-    def _runs(self, distinct: np.ndarray):
-        of = (distinct >> np.uint64(32)) * np.uint64(self.buckets) >> np.uint64(32)
+    def _runs(self, found: np.ndarray):
+        of = (found >> np.uint64(32)) * np.uint64(self.buckets) >> np.uint64(32)
         names, first = np.unique(of, return_index=True)
-        return names, np.append(first, len(distinct))
+        return names, np.append(first, len(found))
 
     def report(self, key, texts: pa.Table) -> pa.Table:
-        distinct, _, index = shingles(texts["text"], self.size)
-        names, bounds = self._runs(distinct)
+        found, _, index = shingles(texts["text"], self.size)
+        names, bounds = self._runs(found)
         # 30 bits of each hash besides its bucket, and one text, two or more here
-        counts = np.minimum(np.bincount(index, minlength=len(distinct)), 3).astype(np.uint32)
-        prints = distinct.astype(np.uint32) << np.uint32(2) | counts
+        counts = np.minimum(np.bincount(index, minlength=len(found)), 3).astype(np.uint32)
+        prints = found.astype(np.uint32) << np.uint32(2) | counts
         return pa.table(
             {
                 "bucket": pa.array(names.astype(np.int32)),
@@ -101,9 +101,9 @@ class _Frequencies:
         )
 
     def sets(self, key, texts: pa.Table, answers: pa.Table) -> pa.Table:
-        distinct, owner, index = shingles(texts["text"], self.size)
-        names, bounds = self._runs(distinct)
-        levels = np.zeros(len(distinct), np.uint8)
+        found, owner, index = shingles(texts["text"], self.size)
+        names, bounds = self._runs(found)
+        levels = np.zeros(len(found), np.uint8)
         for bucket, got in zip(answers["bucket"].to_pylist(), answers["levels"].to_pylist(), strict=True):
             k = int(np.searchsorted(names, bucket))
             levels[bounds[k] : bounds[k + 1]] = np.frombuffer(got, np.uint8)
@@ -117,12 +117,12 @@ class _Frequencies:
         nodes, bearer = texts["node"].to_pylist(), {}
         digests, tokens, keys = [None] * n_texts, [None] * n_texts, [None] * n_texts
         for i in kept.tolist():
-            digest = hashlib.blake2b(distinct[index[edges[i] : edges[i + 1]]].tobytes(), digest_size=16).digest()
+            digest = hashlib.blake2b(found[index[edges[i] : edges[i + 1]]].tobytes(), digest_size=16).digest()
             digests[i] = digest
             if digest not in bearer or nodes[i] < nodes[bearer[digest]]:
                 bearer[digest] = i
         for i in bearer.values():
-            h, lv = distinct[index[edges[i] : edges[i + 1]]], level[edges[i] : edges[i + 1]]
+            h, lv = found[index[edges[i] : edges[i + 1]]], level[edges[i] : edges[i + 1]]
             h, lv = h[lv > 0], lv[lv > 0]
             tokens[i] = h[np.argsort(lv, kind="stable")].tobytes()
             keys[i] = [int(mix(h ^ np.uint64(0x5851F42D4C957F2D * (r + 1) % (1 << 64))).min() >> np.uint64(1)) for r in range(self.rounds)]

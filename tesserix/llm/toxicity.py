@@ -22,10 +22,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .cluster import binary_column
-from .words import NOT_ALNUM, SAME, Words, mix, slices
+from .words import NOT_ALNUM, SAME, Words, distinct, mix, slices
 
 MAX_LABELLED = 12_000
-MAX_BYTES = 24_000_000
+MAX_BYTES = 16_000_000
 #: Bytes of a word's beginning, which stand for its stem.
 STEM_BYTES = 6
 #: Words and beginnings that the model may weigh: those whose sentences differ most between the labels.
@@ -66,7 +66,7 @@ class Sentences:
         """(sentence, code) of the distinct codes, those over 0, of each sentence."""
         on = codes > 0
         width = np.int64(codes.max() + 1) if len(codes) else 1
-        pairs = np.unique(self.sentence[on] * width + codes[on])
+        pairs = distinct(self.sentence[on] * width + codes[on])
         return pairs // width, pairs % width
 
 
@@ -127,7 +127,7 @@ def fit(bags: list[tuple[int, np.ndarray, np.ndarray]]) -> ToxicityModel:
     sentence = np.concatenate([b[2] + f for b, f in zip(kept, first[:-1], strict=True)])
     bag_of = np.repeat(np.arange(len(kept)), n_sentences)
 
-    pairs = np.unique(sentence.astype(np.uint64) << np.uint64(32) | hashes)  # distinct words of each sentence
+    pairs = distinct(sentence.astype(np.uint64) << np.uint64(32) | hashes)  # distinct words of each sentence
     sentence, hashes = (pairs >> np.uint64(32)).astype(np.int64), pairs.astype(np.uint32)
     del pairs
     vocabulary = _screened(sentence, hashes, labels[bag_of] > 0)

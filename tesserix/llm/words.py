@@ -41,6 +41,12 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Distinct values in order, by one sort (np.unique may build a hash table of them first)."""
+    x = np.sort(x)
+    return x[np.append(True, x[1:] != x[:-1])] if len(x) else x
+
+
 def _powers(base: int, n: int) -> np.ndarray:
     """base**0 to base**(n - 1) modulo 2**64."""
     have = _POWERS.get(base)
