@@ -378,11 +378,13 @@ def drop_near_duplicates(
     Rows with an empty set stay."""
     linked = _linked(docs, size, percent, block, rounds).where("digest IS NOT NULL")
     linked = checkpointed(linked.select("node", "text_key", "component"))
-    least = linked.where("node = component").groupBy("component").agg(
-        F.min("text_key").alias("least"), F.count("*").alias("rows")
+    # only a component's own node needs its texts compared, so large components meet nowhere
+    heads = linked.where("node = component")
+    least = heads.groupBy("component").agg(F.min("text_key").alias("least"), F.count("*").alias("rows"))
+    others = linked.where("node <> component").select("node", "text_key").union(
+        heads.join(least, "component").where("text_key <> least").select("node", "text_key")
     )
-    others = linked.join(least, "component").where("node <> component OR text_key <> least")
-    gone = others.select("node", "text_key").distinct().withColumn("gone", F.lit(True))
+    gone = others.distinct().withColumn("gone", F.lit(True))
     again = least.where("rows > 1").select(F.col("component").alias("node"), F.col("least").alias("text_key"), F.lit(False).alias("gone"))
     marks = gone.union(again.join(gone.drop("gone"), ["node", "text_key"], "left_anti"))
     names = docs.columns
