@@ -148,7 +148,8 @@ def _scan(batches, names: list[str]):
 
     for batch in batches:
         for part in slices(batch):
-            types = [c.type for c in part.columns]
+            kept = [part.column(n) for n in names]
+            types = [c.type for c in kept]
             texts = [t or "" for t in part.column("text").to_pylist()]
             words = Words(part.column("text"), separators=NOT_ALNUM, fold=LOWER)
             values, index = np.unique(words.hash, return_inverse=True)
@@ -165,7 +166,7 @@ def _scan(batches, names: list[str]):
                 columns[3].append(_near(words, row, text, spans) if spans else [])
             empty = pa.nulls(part.num_rows, pa.binary())
             arrays = [pa.array(c, t) for c, t in zip(columns, schema, strict=False)]
-            yield pa.RecordBatch.from_arrays([*part.columns, *arrays, empty, empty], [*names, *extra])
+            yield pa.RecordBatch.from_arrays([*kept, *arrays, empty, empty], [*names, *extra])
             if waiting > WORDS_AT_A_TIME:
                 yield told()
                 seen, waiting = [], 0
@@ -180,17 +181,20 @@ def _unpacked(batches):
         yield pa.RecordBatch.from_arrays([pa.array(words), pa.array(counts)], ["term", "n"])
 
 
-def find_personal_data(docs: DataFrame, disclosure: float = DISCLOSURE, least_contexts: int = LEAST_CONTEXTS) -> DataFrame:
+def find_personal_data(
+    docs: DataFrame, disclosure: float = DISCLOSURE, least_contexts: int = LEAST_CONTEXTS, keep: list[str] | None = None
+) -> DataFrame:
     """Personal data and telling terms in every text.
 
-    Takes ``text`` and keeps all columns.  Base kinds are matched leftmost without overlaps in
+    Takes ``text`` and keeps the columns ``keep`` (all, if not given; they are checkpointed with
+    what is found).  Base kinds are matched leftmost without overlaps in
     their kind; matches that fail their check are dropped and not retried.  Adds ``base`` and
     ``found`` (arrays of start, number, kind, end; code points, end exclusive; ``found`` has
     the terms as well) and ``base_sha256``.  A null text has nothing; repeated rows are texts
     of their own, whose contexts count once.
     """
-    names = [f.name for f in docs.schema.fields]
-    given = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    names = docs.columns if keep is None else keep
+    given = ", ".join(f"`{n}` {docs.schema[n].dataType.simpleString()}" for n in names)
     scanned = docs.mapInArrow(lambda it: _scan(it, names), f"{given}, {_SCAN}")
     scanned = checkpointed(scanned.withColumn("row", F.monotonically_increasing_id()))
     texts = scanned.where("base IS NOT NULL")
@@ -233,7 +237,7 @@ def scan_personal_data(docs: DataFrame, **options) -> DataFrame:
     """``doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans`` and ``found`` of every
     text (see :func:`find_personal_data`); ``spans`` are kind:start:end by start, then kind,
     comma-joined, and the hash is that of the base kinds' alone."""
-    found = find_personal_data(docs.select("doc_id", "text"), **options)
+    found = find_personal_data(docs.select("doc_id", "text"), keep=["doc_id"], **options)
     counts = [F.expr(f"CAST(size(filter(base, s -> s.number = {k})) AS BIGINT)").alias(f"n_{kind}") for k, kind in enumerate(KINDS)]
     spans = F.array_join(F.transform("found", lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     return found.select("doc_id", *counts, "base_sha256", spans.alias("spans"), "found")
