@@ -3,9 +3,12 @@
 CGK embedding: a walk over a word sequence that at every step either stays or moves on by one
 word, as a random function of the step and the word says.  Two sequences a few edits apart fall
 back into step after each edit, so their walks show the same word at most steps: a small edit
-distance becomes a small Hamming distance.  Every rolling window of an item's size is embedded
+distance becomes a small Hamming distance.  Walks drift apart with the number of edits, so long
+items are walked in parts of 15 to 29 words: of a passage within the allowed edits one part at
+least has no more than its own share of them.  Every rolling window of a part's size is embedded
 and hashed by the words at a few sampled steps; as many repetitions are drawn as the target
-recall needs.  Windows that meet an item in any repetition are verified by exact edit distance.
+recall needs at the most edits, measured on random sequences of the same length.  Where a window
+meets a part in any repetition, the whole item is verified by exact edit distance.
 
 All windows of a batch walk together in NumPy arrays.  An edit spoils two pairs of neighbouring
 words at most, so windows with too few of the benchmark's pairs to come within the allowed
@@ -15,7 +18,7 @@ neither can lose a match.  One pass over the texts, no shuffle.
 
 from __future__ import annotations
 
-import math
+import functools
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +33,8 @@ EDITS = 0.2
 RECALL = 0.99
 #: Words sampled in a repetition.
 SAMPLED = 4
+#: Words that the parts of an item have at least, if it has as many; less than twice as many at most.
+PART_WORDS = 15
 #: Items with fewer words say too little to show contamination.
 LEAST_WORDS = 8
 #: Items that are looked for in one pass; more items take more passes.
@@ -47,14 +52,47 @@ def _pair_hash(hashes: np.ndarray) -> np.ndarray:
     return mix(hashes[:-1] * np.uint64(0x9E3779B97F4A7C15) + hashes[1:])
 
 
-def repetitions(edits: float, recall: float, sampled: int) -> int:
-    """Repetitions in which a sequence with a share of ``edits`` is met with chance ``recall``.
+@functools.cache
+def repetitions(n: int, edits: int, recall: float, sampled: int, steps: int, trials: int = 400, rounds: int = 3, most: int = 2000) -> int:
+    """Repetitions that meet a share ``recall`` of sequences of ``n`` words after ``edits`` edits.
 
-    A walk takes two steps a word; an edit makes two walks differ for about four of them
-    until they fall back into step, so a sampled step shows the same word with 1 - 2 * edits.
+    Measured on random sequences whose words are deleted, inserted or replaced, at every start
+    within the edits, with ``sampled`` of the first ``steps`` steps; of the three kinds of edits
+    and of all ``rounds`` the one that needs most counts.
     """
-    same = max(0.1, 1 - 2 * edits)
-    return max(4, math.ceil(math.log(1 - recall) / math.log(1 - same**sampled)))
+    rng = np.random.default_rng(n)
+    starts, size, needed = np.arange(2 * edits + 1), 2 * n + steps + 4 * edits, 4
+    for kind in ("delete", "insert", "replace") * rounds:
+        labels = rng.integers(0, 4096, (trials, 2 * size))
+        items = np.where(np.arange(size) < n, labels[:, :size], 4096)
+        texts = labels[:, size:].copy()
+        for t in range(trials):
+            at = np.sort(rng.choice(n, edits, replace=False))
+            own = labels[t, :n].copy()
+            if kind == "delete":
+                own = np.delete(own, at)
+            elif kind == "insert":
+                own = np.insert(own, at, rng.integers(0, 4096, edits))
+            else:
+                own[at] = rng.integers(0, 4096, edits)
+            texts[t, edits : edits + len(own)] = own
+        left, drawn = np.arange(trials), 0
+        while len(left) > (1 - recall) * trials:
+            if drawn == most:
+                raise ValueError(f"{edits} edits in {n} words: recall {recall} is out of reach")
+            drawn += 1
+            places = np.sort(rng.choice(steps, min(sampled, steps), replace=False)).tolist()
+            bits = rng.integers(0, 2, (places[-1] + 1, 4097))
+            a, b = np.zeros(len(left), np.int64), np.tile(starts, (len(left), 1))
+            same = np.ones(b.shape, bool)
+            for j in range(places[-1] + 1):
+                x, y = items[left, a], texts[left[:, None], b]
+                if j in places:
+                    same &= x[:, None] == y
+                a, b = a + bits[j, x], b + bits[j, y]
+            left = left[~same.any(axis=1)]
+        needed = max(needed, drawn)
+    return needed
 
 
 class Benchmark:
@@ -75,15 +113,35 @@ class Benchmark:
         self.pairs = np.zeros(1 << max(16, (16 * sum(map(len, pairs))).bit_length()), bool)
         for own in pairs:
             self.pairs[(own & np.uint64(len(self.pairs) - 1)).astype(np.int64)] = True
-        lengths = np.array([len(w) for _, w in self.items], np.int64)
-        self.longest = int(lengths.max()) if len(lengths) else 0
-        self.reps = repetitions(edits, recall, sampled)
-        self.bits = rng.integers(0, 2, (self.reps, int(1.6 * self.longest) + sampled + 1, len(self.vocabulary) + 1), dtype=np.uint8)
+        self.longest = max((len(w) for _, w in self.items), default=0)
+        # (item, first word, words) of each part
+        self.parts = [(m, int(a), int(b - a)) for m, (_, w) in enumerate(self.items) for a, b in self._cuts(len(w))]
+        lengths = np.array([n for _, _, n in self.parts], np.int64)
+        ranges = list(self._ranges(lengths))
+        reps = [self._repetitions(low, lengths, high, recall, sampled) for low, high in ranges]
+        longest = int(lengths.max()) if len(lengths) else 0
+        self.bits = rng.integers(0, 2, (max(reps, default=0), self._steps(longest) + sampled + 1, len(self.vocabulary) + 1), dtype=np.uint8)
         self.classes = []
         coded = [self.codes(w) for _, w in self.items]
-        for low, high in self._ranges(lengths):
+        coded = [coded[m][a : a + n] for m, a, n in self.parts]
+        for (low, high), drawn in zip(ranges, reps, strict=True):
             members = np.flatnonzero((lengths >= low) & (lengths <= high))
-            self.classes.append((low, high, [self._table(r, low, members, coded, sampled, rng) for r in range(self.reps)]))
+            self.classes.append((low, high, [self._table(r, low, members, coded, sampled, rng) for r in range(drawn)]))
+
+    @staticmethod
+    def _cuts(n: int):
+        """Bounds of an item's parts, of about equal length."""
+        at = np.linspace(0, n, max(1, n // PART_WORDS) + 1).astype(int)
+        return zip(at[:-1], at[1:], strict=True)
+
+    @staticmethod
+    def _steps(n: int) -> int:
+        """Steps that are sampled from in walks over n words."""
+        return int(1.6 * n)
+
+    def _repetitions(self, low: int, lengths: np.ndarray, high: int, recall: float, sampled: int) -> int:
+        present = np.unique(lengths[(lengths >= low) & (lengths <= high)]).tolist()
+        return max(repetitions(n, self.allowed(n), recall, min(sampled, low), self._steps(low)) for n in present)
 
     def _tabled(self) -> None:
         """A direct-mapped table of the vocabulary; words that collide there are searched for."""
@@ -118,9 +176,9 @@ class Benchmark:
             yield low, high
 
     def _table(self, rep: int, low: int, members: np.ndarray, coded: list[np.ndarray], sampled: int, rng):
-        """Sampled steps, words that items show at each, and the items by hash."""
-        steps = np.sort(rng.choice(int(1.6 * low), min(sampled, low), replace=False))
-        keys, items, shown = [], [], np.zeros((len(steps), len(self.vocabulary) + 1), bool)
+        """Sampled steps, words that parts show at each, and the parts by hash."""
+        steps = np.sort(rng.choice(self._steps(low), min(sampled, low), replace=False))
+        keys, parts, shown = [], [], np.zeros((len(steps), len(self.vocabulary) + 1), bool)
         for m in members.tolist():
             at, k, key, codes = 0, 0, 0, coded[m]
             for j in range(steps[-1] + 1):
@@ -131,22 +189,22 @@ class Benchmark:
                     k += 1
                 at += int(self.bits[rep, j, code])
             keys.append(key)
-            items.append(m)
+            parts.append(m)
         order = np.argsort(np.array(keys, np.uint64), kind="stable")
-        return steps, shown, np.array(keys, np.uint64)[order], np.array(items)[order]
+        return steps, shown, np.array(keys, np.uint64)[order], np.array(parts)[order]
 
     def allowed(self, n: int) -> int:
         return int(self.edits * n)
 
     def candidates(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(start, item) of the windows that share a hash with an item."""
+        """(start, part) of the windows that share a hash with a part of an item."""
         n = len(hashes)
         known = np.zeros(n + 1, np.int64)
         np.cumsum(self.pairs[(_pair_hash(hashes) & np.uint64(len(self.pairs) - 1)).astype(np.int64)], out=known[1:n])
         known[n] = known[n - 1]
         codes = self.codes(hashes)
         padded = np.append(codes, np.zeros(2 * self.longest + 2, np.int32))
-        starts, items = [], []
+        starts, parts = [], []
         for low, high, tables in self.classes:
             reach = np.minimum(np.arange(high, n + high) + self.allowed(high) - 1, n)
             begin = np.flatnonzero(known[reach] - known[:-1] >= low - 1 - 2 * self.allowed(low))
@@ -168,17 +226,19 @@ class Benchmark:
                     first, last = np.searchsorted(keys, key, "left"), np.searchsorted(keys, key, "right")
                     for s, a, b in zip(origin.tolist(), first.tolist(), last.tolist(), strict=True):
                         starts += [s] * (b - a)
-                        items += members[a:b].tolist()
-        return np.array(starts, np.int64), np.array(items, np.int64)
+                        parts += members[a:b].tolist()
+        return np.array(starts, np.int64), np.array(parts, np.int64)
 
     def matches(self, words: Words):
         """(text, item, edits, first word in its text, words) of the verified passages."""
         if not self.items or not len(words):
             return
-        starts, items = self.candidates(words.hash)
+        starts, parts = self.candidates(words.hash)
         if not len(starts):
             return
         owner = np.searchsorted(words.bounds, starts, "right") - 1
+        items, ahead = np.array(self.parts, np.int64)[parts, :2].T
+        starts = starts - ahead  # where the item starts, give or take the edits
         order = np.lexsort((starts, items, owner))
         region = None
         for text, item, start in zip(owner[order].tolist(), items[order].tolist(), starts[order].tolist(), strict=True):
@@ -194,8 +254,8 @@ class Benchmark:
     def _verified(self, words: Words, text: int, item: int, first: int, last: int):
         pattern = self.items[item][1]
         n, d = len(pattern), self.allowed(len(pattern))
-        a = max(int(words.bounds[text]), first - d)
-        b = min(int(words.bounds[text + 1]), last + n + d)
+        a = max(int(words.bounds[text]), first - 2 * d)
+        b = min(int(words.bounds[text + 1]), last + n + 2 * d)
         found = best_substring(pattern, words.hash[a:b])
         if found[0] <= d:
             yield text, item, found[0], a + found[1] - int(words.bounds[text]), found[2] - found[1]

@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -158,6 +159,25 @@ def test_decontamination_recall_and_precision(spark):
     assert decontaminate.drop_leaks(docs_of(spark, []), bench).count() == 0
 
 
+@pytest.mark.parametrize("length", [15, 30, 60, 100])
+def test_decontamination_recall_at_the_most_edits(length):
+    rng = random.Random(length)
+    word = lambda: "".join(rng.choice("aeiounrst") for _ in range(rng.randint(3, 5)))
+    items = [[word() for _ in range(length)] for _ in range(100)]
+    bench = decontaminate.Benchmark(list(range(100)), [" ".join(w) for w in items])
+    shares = []
+    for edit in (lambda w, at: w.pop(at), lambda w, at: w.insert(at, word()), lambda w, at: w.__setitem__(at, word())):
+        texts = []
+        for item in items:
+            w = list(item)
+            for at in sorted(rng.sample(range(length), int(0.2 * length)), reverse=True):
+                edit(w, at)
+            texts.append(" ".join([word() for _ in range(30)] + w + [word() for _ in range(30)]))
+        found = {m[:2] for m in bench.matches(decontaminate._words(pa.array(texts)))}
+        shares.append(len(found & {(k, k) for k in range(100)}) / 100)
+    assert min(shares) >= 0.97 and sum(shares) >= 3 * 0.985
+
+
 def test_bpe_is_the_library_s(spark):
     from tokenizers import Tokenizer
 
