@@ -12,7 +12,7 @@ meets a part in any repetition, the whole item is verified by exact edit distanc
 
 All windows of a batch walk together in NumPy arrays.  An edit spoils two pairs of neighbouring
 words at most, so windows with too few of the benchmark's pairs to come within the allowed
-edits are left out before walking, and a window stops as soon as no item has its sampled word;
+edits of any length in their class are left out before walking, and a window stops as soon as no item has its sampled word;
 neither can lose a match.  One pass over the texts, no shuffle.
 """
 
@@ -126,7 +126,8 @@ class Benchmark:
         coded = [coded[m][a : a + n] for m, a, n in self.parts]
         for (low, high), drawn in zip(ranges, reps, strict=True):
             members = np.flatnonzero((lengths >= low) & (lengths <= high))
-            self.classes.append((low, high, [self._table(r, low, members, coded, sampled, rng) for r in range(drawn)]))
+            least = min(max(0, n - 1 - 2 * self.allowed(n)) for n in lengths[members].tolist())
+            self.classes.append((low, high, least, [self._table(r, low, members, coded, sampled, rng) for r in range(drawn)]))
 
     @staticmethod
     def _cuts(n: int):
@@ -205,9 +206,9 @@ class Benchmark:
         codes = self.codes(hashes)
         padded = np.append(codes, np.zeros(2 * self.longest + 2, np.int32))
         starts, parts = [], []
-        for low, high, tables in self.classes:
+        for _, high, least, tables in self.classes:
             reach = np.minimum(np.arange(high, n + high) + self.allowed(high) - 1, n)
-            begin = np.flatnonzero(known[reach] - known[:-1] >= low - 1 - 2 * self.allowed(low))
+            begin = np.flatnonzero(known[reach] - known[:-1] >= least)
             if not len(begin):
                 continue
             for rep, (steps, shown, keys, members) in enumerate(tables):

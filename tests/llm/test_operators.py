@@ -178,6 +178,22 @@ def test_decontamination_recall_at_the_most_edits(length):
     assert min(shares) >= 0.97 and sum(shares) >= 3 * 0.985
 
 
+@pytest.mark.parametrize("low", [19, 24])
+def test_decontamination_of_lengths_that_may_keep_fewer_pairs(low):
+    rng = random.Random(low)
+    word = lambda: "".join(rng.choice("aeiounrst") for _ in range(rng.randint(5, 7)))
+    items = [[word() for _ in range(low + (k > 0))] for k in range(80)]
+    bench = decontaminate.Benchmark(list(range(80)), [" ".join(w) for w in items])
+    texts = []
+    for item in items[1:]:
+        w = list(item)
+        for at in range(3, 4 * bench.allowed(len(w)) + 3, 4):
+            w[at] = word()
+        texts.append(" ".join([word() for _ in range(30)] + w + [word() for _ in range(30)]))
+    found = {m[:2] for m in bench.matches(decontaminate._words(pa.array(texts)))}
+    assert len(found & {(k, k + 1) for k in range(79)}) >= 0.97 * 79
+
+
 def test_bpe_is_the_library_s(spark):
     from tokenizers import Tokenizer
 
