@@ -1,18 +1,18 @@
 """Personal data: base patterns and information-theoretic sanitisation of what surrounds them.
 
 E-mail addresses, IP addresses, card and telephone numbers are found by their forms.  Each
-distinct one is a protected entity.  How much a term near it tells of it follows from corpus
-counts: with df(e) and df(t) the texts that hold the entity and the term, co(e, t) the different
-contexts of the entity that hold the term and N all texts, the term discloses the share
+distinct one is a protected entity.  How much a term tells of it follows from corpus counts: with
+df(e), df(t) and co(e, t) the texts that hold the entity, the term and both, and N all texts, the
+term discloses the share
 
     log2(N * co / (df(e) * df(t))) / log2(N / df(e))
 
-of the entity's information.  Terms over a threshold are removed where they stand near their
-entity, and entities are generalised to their kind.
+of the entity's information.  Terms over a threshold are removed where they stand near an
+entity in a text that holds theirs, and entities are generalised to their kind.
 
-Counts are over all texts.  One pass finds entities with their surroundings and counts each
-task's words; what follows joins those small tables.  Contexts are counted once however often
-they are copied, so copies alone make no term telling.
+All counts are of texts, copies included.  One pass finds entities and counts each task's words;
+what follows joins the words of texts whose entities other texts hold as well.  An entity and a
+term must be together in two different texts at least, so copies alone make no term telling.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .cluster import binary_column, checkpointed, flat_binary
-from .words import LOWER, NOT_ALNUM, Words, slices
+from .words import LOWER, NOT_ALNUM, Words, distinct, slices
 
 #: Kinds in the order they are listed; terms follow them.
 KINDS = ("email", "ip", "card", "phone")
@@ -35,7 +35,7 @@ TERM = "term"
 CONTEXT = 6
 #: Share of an entity's information from which on a term is removed.
 DISCLOSURE = 0.8
-#: Different contexts of the entity that hold the term at least.
+#: Different texts that hold both the entity and the term at least.
 LEAST_CONTEXTS = 2
 #: Distinct words that a task counts before it passes the counts on.
 WORDS_AT_A_TIME = 1 << 21
@@ -94,48 +94,34 @@ def _hash(*parts: str) -> int:
 
 
 _SPAN = "struct<start:bigint,number:int,kind:string,end:bigint>"
-_NEAR = "struct<entity:bigint,context:bigint,term:bigint,start:bigint,end:bigint>"
-_SCAN = f"base array<{_SPAN}>, base_sha256 string, entities array<bigint>, near array<{_NEAR}>, words binary, counts binary"
+_SCAN = f"base array<{_SPAN}>, base_sha256 string, entities array<bigint>, key bigint, terms array<bigint>, held string, words binary, counts binary"
 
 
 def joined(spans) -> str:
     return ",".join(f"{kind}:{start}:{end}" for start, _, kind, end in spans)
 
 
-def _near(words: Words, row: int, text: str, spans) -> list[dict]:
-    """Terms around each entity of a text, with the entity's and its context's hash."""
+def _free(words: Words, row: int, text: str, spans) -> np.ndarray:
+    """The words of a text (as indices of ``words``) near the spans that are in none of them."""
     lo, hi = int(words.bounds[row]), int(words.bounds[row + 1])
     base = int(words.text_bounds[row])
-    raw = words.raw[base : int(words.text_bounds[row + 1])]
-    plain = text.isascii()
-    to_byte = (lambda k: k) if plain else (lambda k: len(text[:k].encode()))
-    first = None if plain else np.cumsum((raw & 0xC0) != 0x80)
-    to_point = (lambda b: b) if plain else (lambda b: int(first[b - 1]) if b else 0)
+    to_byte = (lambda k: k) if text.isascii() else (lambda k: len(text[:k].encode()))
     starts, ends = words.start[lo:hi] - base, words.end[lo:hi] - base
-    bytes_of = [(to_byte(a), to_byte(b)) for a, _, b in spans]
-    taken = np.zeros(hi - lo, bool)
-    for a, b in bytes_of:
-        taken[np.searchsorted(ends, a, "right") : np.searchsorted(starts, b, "left")] = True
-    out = []
-    for (start, kind, end), (a, b) in zip(spans, bytes_of, strict=True):
-        left, right = int(np.searchsorted(ends, a, "right")), int(np.searchsorted(starts, b, "left"))
-        around = [*range(max(0, left - CONTEXT), left), *range(right, min(hi - lo, right + CONTEXT))]
-        around = [k for k in around if not taken[k]]
-        hashes = words.hash[lo:hi][around].view(np.int64).tolist()
-        entity, context = _hash(KINDS[kind], text[start:end]), _hash(*map(str, hashes))
-        out += [
-            {"entity": entity, "context": context, "term": h, "start": to_point(int(starts[k])), "end": to_point(int(ends[k]))}
-            for k, h in zip(around, hashes, strict=True)
-        ]
-    return out
+    free, near = np.ones(hi - lo, bool), np.zeros(hi - lo, bool)
+    for a, b in spans:
+        left, right = np.searchsorted(ends, to_byte(a), "right"), np.searchsorted(starts, to_byte(b), "left")
+        free[left:right] = False
+        near[max(0, left - CONTEXT) : left] = near[right : right + CONTEXT] = True
+    return lo + np.flatnonzero(free & near)
 
 
 def _scan(batches, names: list[str]):
-    """Each row with its base spans, entities and their surroundings; then the task's words
-    with the number of texts that hold each, in rows of their own."""
+    """Each row with its base spans and entities and, if it has any, its hash, its different
+    terms and its text (unless kept anyway); then the task's words with the number of texts that
+    hold each, in rows of their own."""
     schema = [pa.list_(pa.struct([("start", pa.int64()), ("number", pa.int32()), ("kind", pa.string()), ("end", pa.int64())])), pa.string(), pa.list_(pa.int64())]
-    schema += [pa.list_(pa.struct([(n, pa.int64()) for n in ("entity", "context", "term", "start", "end")])), pa.binary(), pa.binary()]
-    extra = ["base", "base_sha256", "entities", "near", "words", "counts"]
+    schema += [pa.int64(), pa.list_(pa.int64()), pa.string()]
+    extra = ["base", "base_sha256", "entities", "key", "terms", "held", "words", "counts"]
     types, seen, waiting = None, [], 0
 
     def told():
@@ -143,7 +129,7 @@ def _scan(batches, names: list[str]):
         values, index = np.unique(keys, return_inverse=True)
         counts = np.bincount(index, weights=np.concatenate([c for _, c in seen])).astype(np.int64)
         whole = np.array([0, len(values)])
-        nothing = [pa.nulls(1, t) for t in [*types, *schema[:4]]]
+        nothing = [pa.nulls(1, t) for t in [*types, *schema]]
         return pa.RecordBatch.from_arrays([*nothing, binary_column(values, whole), binary_column(counts, whole)], [*names, *extra])
 
     for batch in batches:
@@ -156,16 +142,18 @@ def _scan(batches, names: list[str]):
             pairs = np.unique(words.owner() * max(1, len(values)) + index) % max(1, len(values))
             seen.append((values, np.bincount(pairs, minlength=len(values))))
             waiting += len(values)
-            columns: list[list] = [[], [], [], []]
+            columns: list[list] = [[] for _ in schema]
             for row, text in enumerate(texts):
                 spans = base_spans(text)
                 listed = [{"start": a, "number": k, "kind": KINDS[k], "end": b} for a, k, b in spans]
                 columns[0].append(listed)
                 columns[1].append(hashlib.sha256(joined((a, k, KINDS[k], b) for a, k, b in spans).encode()).hexdigest())
                 columns[2].append(sorted({_hash(KINDS[k], text[a:b]) for a, k, b in spans}))
-                columns[3].append(_near(words, row, text, spans) if spans else [])
+                columns[3].append(_hash(text) if spans else None)
+                columns[4].append(distinct(words.hash[_free(words, row, text, [(a, b) for a, _, b in spans])]).view(np.int64) if spans else None)
+                columns[5].append(text if spans and "text" not in names else None)
             empty = pa.nulls(part.num_rows, pa.binary())
-            arrays = [pa.array(c, t) for c, t in zip(columns, schema, strict=False)]
+            arrays = [pa.array(c, t) for c, t in zip(columns, schema, strict=True)]
             yield pa.RecordBatch.from_arrays([*kept, *arrays, empty, empty], [*names, *extra])
             if waiting > WORDS_AT_A_TIME:
                 yield told()
@@ -181,6 +169,24 @@ def _unpacked(batches):
         yield pa.RecordBatch.from_arrays([pa.array(words), pa.array(counts)], ["term", "n"])
 
 
+def _marked(batches, names: list[str], text: str):
+    """Rows with the spans of their ``terms``, which tell of their entities."""
+    kind = pa.list_(pa.struct([("start", pa.int64()), ("number", pa.int32()), ("kind", pa.string()), ("end", pa.int64())]))
+    for batch in batches:
+        for part in slices(batch, text):
+            words = Words(part.column(text), separators=NOT_ALNUM, fold=LOWER)
+            found = []
+            for row, (own, spans, terms) in enumerate(zip(*(part.column(n).to_pylist() for n in (text, "base", "terms")), strict=True)):
+                free = _free(words, row, own, [(x["start"], x["end"]) for x in spans])
+                free = free[np.isin(words.hash[free].view(np.int64), np.array(terms or [], np.int64))]
+                base = int(words.text_bounds[row])
+                raw = words.raw[base : int(words.text_bounds[row + 1])]
+                upto = np.append(0, np.cumsum((raw & 0xC0) != 0x80))
+                bounds = zip(upto[words.start[free] - base].tolist(), upto[words.end[free] - base].tolist(), strict=True)
+                found.append([{"start": a, "number": len(KINDS), "kind": TERM, "end": b} for a, b in bounds])
+            yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), pa.array(found, kind)], [*names, "found"])
+
+
 def find_personal_data(
     docs: DataFrame, disclosure: float = DISCLOSURE, least_contexts: int = LEAST_CONTEXTS, keep: list[str] | None = None
 ) -> DataFrame:
@@ -191,7 +197,8 @@ def find_personal_data(
     their kind; matches that fail their check are dropped and not retried.  Adds ``base`` and
     ``found`` (arrays of start, number, kind, end; code points, end exclusive; ``found`` has
     the terms as well) and ``base_sha256``.  A null text has nothing; repeated rows are texts
-    of their own, whose contexts count once.
+    of their own, but not different ones: ``least_contexts`` is the number of different texts
+    in which an entity and a term must be together, so what one text alone holds isn't assessed.
     """
     names = docs.columns if keep is None else keep
     given = ", ".join(f"`{n}` {docs.schema[n].dataType.simpleString()}" for n in names)
@@ -200,37 +207,39 @@ def find_personal_data(
     texts = scanned.where("base IS NOT NULL")
     n_texts = texts.count()
 
-    near = texts.where("size(near) > 0").select("row", F.inline("near"))
-    entities = (
-        texts.where("size(entities) > 0")
-        .select(F.explode("entities").alias("entity"))
-        .groupBy("entity")
-        .agg(F.count("*").alias("df_entity"))
-        .where(F.col("df_entity") >= least_contexts)
-    )
-    together = (
-        near.select("entity", "term", "context").distinct().groupBy("entity", "term")
-        .agg(F.count("*").alias("co")).where(F.col("co") >= least_contexts)
-        .join(entities, "entity")
-    )
-    together = checkpointed(together)
-    in_texts = (
-        scanned.where("base IS NULL").select("words", "counts").mapInArrow(_unpacked, "term long, n long")
-        .join(together.select("term").distinct(), "term", "left_semi")
-        .groupBy("term").agg(F.sum("n").alias("df_term"))
-    )
+    holding = texts.where("size(entities) > 0")
+    # copies as one row, with their number
+    once = holding.groupBy("key").agg(F.count("*").alias("copies"), F.first("entities").alias("entities"), F.first("terms").alias("terms"))
+    held = once.select("key", "copies", F.explode("entities").alias("entity"))
+    entities = held.groupBy("entity").agg(F.sum("copies").alias("df_entity"), F.count("*").alias("n")).where((F.col("n") >= least_contexts) & (F.col("df_entity") < n_texts)).drop("n")
+    held = checkpointed(held.join(entities, "entity"))
+
+    # co is df_entity at most, so a term in more texts than this discloses too little
     n = F.lit(float(max(1, n_texts)))
+    bound = lambda df: F.pow(n, F.lit(1 - disclosure)) * F.pow(df, F.lit(disclosure)) * (1 + 1e-9)
+    in_texts = scanned.where("base IS NULL").select("words", "counts").mapInArrow(_unpacked, "term long, n long").groupBy("term").agg(F.sum("n").alias("df_term"))
+    rare = (
+        once.join(held.groupBy("key").agg(F.max("df_entity").alias("most")), "key")
+        .select("key", "most", F.explode("terms").alias("term"))
+        .join(in_texts, "term")
+        .where(F.col("df_term") <= bound(F.col("most")))
+        .drop("most")
+    )
+    pairs = checkpointed(rare.join(held, "key").where(F.col("df_term") <= bound(F.col("df_entity"))))
     share = F.log2(n * F.col("co") / (F.col("df_entity") * F.col("df_term"))) / F.log2(n / F.col("df_entity"))
-    telling = together.join(in_texts, "term").where(share >= disclosure).select("entity", "term")
-    terms = (
-        near.join(telling, ["entity", "term"])
-        .select("row", F.struct("start", F.lit(len(KINDS)).alias("number"), F.lit(TERM).alias("kind"), "end").alias("span"))
-        .groupBy("row")
-        .agg(F.collect_set("span").alias("terms"))
+    telling = (
+        pairs.groupBy("entity", "term", "df_entity", "df_term")
+        .agg(F.sum("copies").alias("co"), F.count("*").alias("different"))
+        .where((F.col("different") >= least_contexts) & (share >= disclosure))
+        .select("entity", "term")
     )
-    none = F.array().cast(f"array<{_SPAN}>")
-    found = F.array_sort(F.concat("base", F.coalesce(F.col("terms").cast(f"array<{_SPAN}>"), none)))
-    return texts.join(terms, "row", "left").select(*names, "base", "base_sha256", found.alias("found"))
+    terms = pairs.join(telling, ["entity", "term"]).groupBy("key").agg(F.collect_set("term").alias("terms"))
+    terms = holding.select("row", "key").join(terms, "key").drop("key")
+    text, kept = "text" if "text" in names else "held", [*names, "base", "base_sha256"]
+    types = f"{given}, base array<{_SPAN}>, base_sha256 string, found array<{_SPAN}>"
+    marked = holding.drop("terms").join(terms, "row", "left").mapInArrow(lambda it: _marked(it, kept, text), types)
+    others = texts.where("size(entities) = 0").select(*kept, F.array().cast(f"array<{_SPAN}>").alias("found"))
+    return marked.unionAll(others).select(*kept, F.array_sort(F.concat("base", "found")).alias("found"))
 
 
 def scan_personal_data(docs: DataFrame, **options) -> DataFrame:

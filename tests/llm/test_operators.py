@@ -370,6 +370,25 @@ def test_pii_terms(spark):
     assert len(odd) == len(ODD) and all(r["spans"] == "" for r in odd)
 
 
+def letters(rng, n):
+    return ["".join(rng.choice("abcdefghij") for _ in range(9)) for _ in range(n)]
+
+
+def terms_of(spark, texts):
+    rows = pii.scan_personal_data(docs_of(spark, texts)).collect()
+    return {r["doc_id"]: [dict(texts)[r["doc_id"]][s["start"] : s["end"]] for s in r["found"] if s["kind"] == "term"] for r in rows}
+
+
+def test_pii_terms_of_copies_and_shared_passages(spark):
+    rng = random.Random(9)
+    text = lambda *inner: " ".join([*letters(rng, 9), *inner, *letters(rng, 9), "contact at"])
+    copied = [text("Zork", "zq@mail.org") for _ in range(10)]
+    texts = [*(20 * copied), *(20 * [text("only@mail.org")])]
+    texts += [text() + " contact Bo Quill at bq@mail.org" for _ in range(30)] + [text() for _ in range(500)]
+    got = terms_of(spark, list(enumerate(texts)))
+    assert [got[i] for i in range(len(texts))] == 200 * [["Zork"]] + 20 * [[]] + 30 * [["Bo", "Quill"]] + 500 * [[]]
+
+
 @pytest.mark.parametrize("blocks", [(2048, 16384), (3, 7)])
 def test_topk(spark, blocks):
     rng = np.random.default_rng(3)
