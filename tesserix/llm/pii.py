@@ -7,8 +7,8 @@ term discloses the share
 
     log2(N * co / (df(e) * df(t))) / log2(N / df(e))
 
-of the entity's information.  Terms over a threshold are removed where they stand near an
-entity in a text that holds theirs, and entities are generalised to their kind.
+of the entity's information.  Terms over a threshold are removed wherever they stand in a text
+that holds their entity, and entities are generalised to their kind.
 
 All counts are of texts, copies included.  One pass finds entities and counts each task's words;
 what follows joins the words of texts whose entities other texts hold as well.  An entity and a
@@ -31,7 +31,7 @@ from .words import LOWER, NOT_ALNUM, Words, distinct, slices
 #: Kinds in the order they are listed; terms follow them.
 KINDS = ("email", "ip", "card", "phone")
 TERM = "term"
-#: Words on either side of an entity that are its context.
+#: Words on either side of an entity in the tests' plain count; the operator looks at whole texts.
 CONTEXT = 6
 #: Share of an entity's information from which on a term is removed.
 DISCLOSURE = 0.8
@@ -102,17 +102,15 @@ def joined(spans) -> str:
 
 
 def _free(words: Words, row: int, text: str, spans) -> np.ndarray:
-    """The words of a text (as indices of ``words``) near the spans that are in none of them."""
+    """The words of a text (as indices of ``words``) that are in none of the spans."""
     lo, hi = int(words.bounds[row]), int(words.bounds[row + 1])
     base = int(words.text_bounds[row])
     to_byte = (lambda k: k) if text.isascii() else (lambda k: len(text[:k].encode()))
     starts, ends = words.start[lo:hi] - base, words.end[lo:hi] - base
-    free, near = np.ones(hi - lo, bool), np.zeros(hi - lo, bool)
+    free = np.ones(hi - lo, bool)
     for a, b in spans:
-        left, right = np.searchsorted(ends, to_byte(a), "right"), np.searchsorted(starts, to_byte(b), "left")
-        free[left:right] = False
-        near[max(0, left - CONTEXT) : left] = near[right : right + CONTEXT] = True
-    return lo + np.flatnonzero(free & near)
+        free[np.searchsorted(ends, to_byte(a), "right") : np.searchsorted(starts, to_byte(b), "left")] = False
+    return lo + np.flatnonzero(free)
 
 
 def _scan(batches, names: list[str]):

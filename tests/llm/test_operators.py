@@ -389,6 +389,16 @@ def test_pii_terms_of_copies_and_shared_passages(spark):
     assert [got[i] for i in range(len(texts))] == 200 * [["Zork"]] + 20 * [[]] + 30 * [["Bo", "Quill"]] + 500 * [[]]
 
 
+def test_pii_terms_anywhere_in_the_text(spark):
+    rng = random.Random(10)
+    texts = [" ".join(["Mira", *letters(rng, 12), "é", "mm@mail.org", *letters(rng, 12), "mira", *letters(rng, 3), "Mira"]) for _ in range(12)]
+    texts += [" ".join([*letters(rng, 20), "é"]) for _ in range(150)]
+    got = terms_of(spark, list(enumerate(texts)))
+    assert [got[i] for i in range(len(texts))] == 12 * [["Mira", "mira", "Mira"]] + 150 * [[]]
+    clean = pii.sanitise(docs_of(spark, list(enumerate(texts)))).select("text").collect()
+    assert not any(re.search("mira|@", r["text"].lower()) for r in clean)
+
+
 @pytest.mark.parametrize("blocks", [(2048, 16384), (3, 7)])
 def test_topk(spark, blocks):
     rng = np.random.default_rng(3)
