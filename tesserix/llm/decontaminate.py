@@ -35,7 +35,7 @@ RECALL = 0.99
 SAMPLED = 4
 #: Words that the parts of an item have at least, if it has as many; less than twice as many at most.
 PART_WORDS = 15
-#: Items with fewer words say too little to show contamination.
+#: Items with fewer words say too little once edited; they are looked for word for word.
 LEAST_WORDS = 8
 #: Items that are looked for in one pass; more items take more passes.
 ITEMS_A_PASS = 20_000
@@ -52,6 +52,14 @@ def _pair_hash(hashes: np.ndarray) -> np.ndarray:
     return mix(hashes[:-1] * np.uint64(0x9E3779B97F4A7C15) + hashes[1:])
 
 
+def _window_hash(windows: np.ndarray) -> np.ndarray:
+    """A hash of the words in each row."""
+    out = np.zeros(len(windows), np.uint64)
+    for column in windows.T:
+        out = mix(out * np.uint64(0x9E3779B97F4A7C15) + column)
+    return out
+
+
 @functools.cache
 def repetitions(n: int, edits: int, recall: float, sampled: int, steps: int, trials: int = 400, rounds: int = 3, most: int = 2000) -> int:
     """Repetitions that meet a share ``recall`` of sequences of ``n`` words after ``edits`` edits.
@@ -103,10 +111,15 @@ class Benchmark:
         rng = np.random.default_rng(seed)
         self.edits = edits
         self.items: list[tuple[int, np.ndarray]] = []
+        short: list[tuple[int, np.ndarray]] = []
+        at: dict[int, list[int]] = {}
         for i, item in enumerate(ids):
             own = words.hash[words.bounds[i] : words.bounds[i + 1]]
             if item is not None and len(own) >= least_words:
                 self.items.append((item, own))
+            elif item is not None and len(own):
+                at.setdefault(len(own), []).append(len(short))
+                short.append((item, own))
         self.vocabulary = np.unique(np.concatenate([w for _, w in self.items])) if self.items else np.empty(0, np.uint64)
         self._tabled()
         pairs = [_pair_hash(w) for _, w in self.items]
@@ -128,6 +141,13 @@ class Benchmark:
             members = np.flatnonzero((lengths >= low) & (lengths <= high))
             least = min(max(0, n - 1 - 2 * self.allowed(n)) for n in lengths[members].tolist())
             self.classes.append((low, high, least, [self._table(r, low, members, coded, sampled, rng) for r in range(drawn)]))
+        # short items by length, in the order of their window hashes
+        self.short = []
+        for n, members in at.items():
+            keys = np.array([_window_hash(short[m][1][None, :])[0] for m in members], np.uint64)
+            order = np.argsort(keys, kind="stable")
+            self.short.append((n, keys[order], np.array(members)[order] + len(self.items)))
+        self.items += short
 
     @staticmethod
     def _cuts(n: int):
@@ -234,6 +254,7 @@ class Benchmark:
         """(text, item, edits, first word in its text, words) of the verified passages."""
         if not self.items or not len(words):
             return
+        yield from self._copies(words)
         starts, parts = self.candidates(words.hash)
         if not len(starts):
             return
@@ -252,6 +273,23 @@ class Benchmark:
             region = (text, item, start, start)
         yield from self._verified(words, *region)
 
+    def _copies(self, words: Words):
+        """The short items' passages, word for word; of overlapping ones the first."""
+        owners = words.owner() if self.short else None
+        for n, keys, members in self.short:
+            starts = np.arange(max(0, len(words) - n + 1))
+            starts = starts[owners[starts] == owners[starts + n - 1]]
+            found = _window_hash(np.lib.stride_tricks.sliding_window_view(words.hash, n)[starts]) if len(starts) else keys[:0]
+            first, last = np.searchsorted(keys, found, "left"), np.searchsorted(keys, found, "right")
+            before: dict[tuple[int, int], int] = {}
+            for k in np.flatnonzero(last > first).tolist():
+                start, text = int(starts[k]), int(owners[starts[k]])
+                for m in members[first[k] : last[k]].tolist():
+                    apart = start - before.get((text, m), start - n - 1) > n
+                    before[text, m] = start
+                    if apart and (words.hash[start : start + n] == self.items[m][1]).all():
+                        yield text, m, 0, start - int(words.bounds[text]), n
+
     def _verified(self, words: Words, text: int, item: int, first: int, last: int):
         pattern = self.items[item][1]
         n, d = len(pattern), self.allowed(len(pattern))
@@ -301,8 +339,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
 
     Words are runs of letters, digits and non-ASCII characters, compared in lower case.  A
     passage matches an item of n words if at most ``edits`` * n words are inserted, deleted
-    or replaced.  Items with fewer than ``least_words`` words, or a null text or id, match
-    nothing; null and empty texts have no passages; repeated rows are found each.
+    or replaced.  Items with fewer than ``least_words`` words match only word for word, items
+    without words, or with a null text or id, nothing; null and empty texts have no passages; repeated rows are found each.
 
     Returns ``doc_id, item_id, n_edits, n_item_words, first_word, n_words``: the nearest
     passage to the item in each run of overlapping candidates.

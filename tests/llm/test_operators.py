@@ -194,6 +194,15 @@ def test_decontamination_of_lengths_that_may_keep_fewer_pairs(low):
     assert len(found & {(k, k + 1) for k in range(79)}) >= 0.97 * 79
 
 
+def test_decontamination_finds_short_items_word_for_word(spark):
+    items = [(1, "Who wrote Hamlet?"), (2, "who wrote it"), (3, "Zyx"), (4, "who wrote hamlet"), (5, "a a"), (6, ""), (7, "what is the largest moon of Saturn")]
+    texts = [(1, "so who WROTE, hamlet then"), (2, "who wrote"), (3, "hamlet zyx"), (4, "a a a a a b a a"), (5, "what is the largest moon of Saturn"), (6, "what is the largest moon of")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = [tuple(r) for r in decontaminate.find_leaks(docs_of(spark, [*texts, (7, None)]).coalesce(1), bench).collect()]
+    assert sorted(rows) == [(1, 1, 0, 3, 1, 3), (1, 4, 0, 3, 1, 3), (3, 3, 0, 1, 1, 1), (4, 5, 0, 2, 0, 2), (4, 5, 0, 2, 6, 2), (5, 7, 0, 7, 0, 7)]
+    assert {r[0] for r in decontaminate.drop_leaks(docs_of(spark, texts), bench).collect()} == {2, 6}
+
+
 def test_bpe_is_the_library_s(spark):
     from tokenizers import Tokenizer
 
