@@ -179,23 +179,27 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED,
     """A model fitted to the labelled texts that aren't held out.
 
     ``labels`` has ``doc_id`` and ``toxic``; a text with several labels is toxic if one says
-    so.  The sample is the labelled texts whose ids hash lowest, up to either bound.
+    so.  The sample is the labelled texts whose ids hash lowest, up to either bound; a text that
+    would pass ``max_bytes`` is skipped.
     """
     spark = docs.sparkSession
     marked = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    # rows that share an id are drawn together
     drawn = (
-        docs.select("doc_id", F.octet_length("text").alias("size"))
+        docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).alias("size"))
         .join(marked, "doc_id")
-        .orderBy(F.xxhash64(F.lit("sample"), "doc_id"), "doc_id", "size")
+        .groupBy("doc_id", "toxic")
+        .agg(F.sum("size").alias("size"))
+        .where(F.col("size") <= max_bytes)
+        .orderBy(F.xxhash64(F.lit("sample"), "doc_id"), "doc_id")
         .limit(max_labelled)
         .collect()
     )
     chosen, total = {}, 0
     for row in drawn:
-        total += row["size"] or 0
-        if total > max_bytes and chosen:
-            break
-        chosen[row["doc_id"]] = int(row["toxic"] > 0)
+        if total + row["size"] <= max_bytes:
+            total += row["size"]
+            chosen[row["doc_id"]] = int(row["toxic"] > 0)
     if not chosen:
         return fit([])
     sample = spark.createDataFrame(list(chosen.items()), "doc_id long, toxic int")

@@ -250,6 +250,17 @@ def test_toxicity_learns_from_texts_and_finds_sentences(spark):
     assert all(r["predicted"] == 0 for r in none) and toxicity.classify(docs_of(spark, []), labels).count() == 0
 
 
+def test_toxicity_sample_skips_long_texts(spark):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("aeioulmnr") for _ in range(4))
+    texts = [(i, ". ".join(" ".join([*(word() for _ in range(6)), *["vilewort"] * (i % 4 == 0)]) for _ in range(3))) for i in range(400)]
+    texts += [(i, f"{word()} " * 20_000) for i in range(400, 460)]
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i, _ in texts], "doc_id long, toxic int")
+    model = toxicity.train(docs_of(spark, texts), labels, max_bytes=90_000)
+    scores = {r["doc_id"]: r["score"] for r in toxicity.score_texts(docs_of(spark, texts[:400]).select("doc_id", "text"), model).collect()}
+    assert all((scores[i] >= 0.7) == (i % 4 == 0) for i in range(400))
+
+
 def test_licenses(spark):
     texts = [
         *ODD,
