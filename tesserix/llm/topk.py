@@ -40,27 +40,34 @@ def quantised(batch: pa.RecordBatch, scale: float, dim: int) -> tuple[np.ndarray
     return ids.take(pa.array(kept)).to_numpy(zero_copy_only=False).astype(np.int64), np.floor(scale * values[finite])
 
 
-def _packed(batches, scale: float, dim: int, n_queries: int, n_candidates: int, every: int):
-    """The vectors by pair of blocks: candidates for every block of queries and the reverse."""
+def _packed(batches, scale: float, n_queries: int, n_candidates: int, every: int):
+    """The vectors by length and pair of blocks: candidates for every block of queries and the
+    reverse."""
     for batch in batches:
-        ids, values = quantised(batch, scale, dim)
-        mixed = _spread(ids)
-        rows: dict[str, list] = {n: [] for n in ("qb", "cb", "query", "ids", "values")}
-
-        def add(mine, qb, cb, query, ids=ids, values=values, rows=rows):
-            if len(mine):
-                for q in qb:
-                    for c in cb:
-                        for name, x in zip(rows, (q, c, query, ids[mine].tobytes(), values[mine].tobytes()), strict=True):
-                            rows[name].append(x)
-
-        for c in range(n_candidates):
-            add(np.flatnonzero(mixed % n_candidates == c), range(n_queries), [c], False)
-        asked = ids % every == 0
-        for q in range(n_queries):
-            add(np.flatnonzero(asked & (mixed % n_queries == q)), [q], range(n_candidates), True)
-        kinds = (pa.int32(), pa.int32(), pa.bool_(), pa.binary(), pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(rows.values(), kinds, strict=True)], list(rows))
+        sizes = np.unique(pc.list_value_length(batch.column("embedding")).fill_null(0).to_numpy(zero_copy_only=False))
+        for dim in sizes[sizes > 0].tolist():
+            yield _packed_of(batch, scale, dim, n_queries, n_candidates, every)
+
+
+def _packed_of(batch: pa.RecordBatch, scale: float, dim: int, n_queries: int, n_candidates: int, every: int) -> pa.RecordBatch:
+    ids, values = quantised(batch, scale, dim)
+    mixed = _spread(ids)
+    rows: dict[str, list] = {n: [] for n in ("dim", "qb", "cb", "query", "ids", "values")}
+
+    def add(mine, qb, cb, query):
+        if len(mine):
+            for q in qb:
+                for c in cb:
+                    for name, x in zip(rows, (dim, q, c, query, ids[mine].tobytes(), values[mine].tobytes()), strict=True):
+                        rows[name].append(x)
+
+    for c in range(n_candidates):
+        add(np.flatnonzero(mixed % n_candidates == c), range(n_queries), [c], False)
+    asked = ids % every == 0
+    for q in range(n_queries):
+        add(np.flatnonzero(asked & (mixed % n_queries == q)), [q], range(n_candidates), True)
+    kinds = (pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(rows.values(), kinds, strict=True)], list(rows))
 
 
 def _spread(ids: np.ndarray) -> np.ndarray:
@@ -151,20 +158,19 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: float = 64.0,
 
     Takes ``vec_id`` and ``embedding``; other columns are ignored.  Components become whole
     numbers, floor(``scale`` * x).  Vectors that are null, hold a null or non-finite component,
-    have no id or not as many components as the longest take no part; of rows that repeat an
-    id the least vector counts; a row isn't its own candidate.
+    or have no id or no components take no part; vectors are candidates for those of the same
+    length; of rows that repeat an id the least vector of a length counts; a row isn't its own
+    candidate.
 
     Returns ``query_id, rank`` (from 1), ``vec_id, score``; equal scores go to smaller ids.
     """
-    spread = vectors.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("dim")).first()
-    n, dim = spread["n"], spread["dim"] or 0
-    schema = "qb int, cb int, query boolean, ids binary, values binary"
+    n = vectors.count()
+    schema = "dim int, qb int, cb int, query boolean, ids binary, values binary"
     found = "query_id long, vec_id long, score long"
-    if dim < 1:
-        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     blocks = max(1, math.ceil(n / every / query_block)), max(1, math.ceil(n / candidate_block))
 
     def both(table: pa.Table) -> pa.Table:
+        dim = table["dim"][0].as_py()
         asked = table["query"].to_numpy(zero_copy_only=False)
         query_ids, queries = _vectors(table.filter(pa.array(asked)), dim)
         ids, candidates = _vectors(table.filter(pa.array(~asked)), dim)
@@ -173,8 +179,8 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: float = 64.0,
 
     best = (
         vectors.select("vec_id", "embedding")
-        .mapInArrow(lambda it: _packed(it, scale, dim, *blocks, every), schema)
-        .groupBy("qb", "cb")
+        .mapInArrow(lambda it: _packed(it, scale, *blocks, every), schema)
+        .groupBy("dim", "qb", "cb")
         .applyInArrow(lambda table: both(table), found)
     )
     ranked = best.withColumn("rank", F.expr("row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)"))

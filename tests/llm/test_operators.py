@@ -437,6 +437,16 @@ def test_topk(spark, blocks):
     assert [r["rank"] for r in few] == [1, 2, 3]
 
 
+def test_topk_of_several_lengths(spark):
+    rng = np.random.default_rng(4)
+    vectors = [(i, [float(x) for x in rng.normal(0, 0.3, 8 if i % 3 else 5)]) for i in range(60)]
+    odd = [(100, [float("nan")] * 9), (None, [0.5] * 12), (101, [0.5, None] * 7)]
+    table = spark.createDataFrame([*vectors, *odd], "vec_id long, embedding array<float>")
+    e = {i: np.floor(64 * np.array(v, np.float32).astype(float)).astype(int) for i, v in vectors}
+    want = {(q, r, i, s) for q in e if q % 10 == 0 for r, (i, s) in enumerate(sorted(((i, int(e[q] @ e[i])) for i in e if i != q and len(e[i]) == len(e[q])), key=lambda x: (-x[1], x[0]))[:4], 1)}
+    assert {tuple(r) for r in topk.top_k(table, k=4, every=10).collect()} == want and len(want) == 24
+
+
 def test_topk_of_large_components(spark):
     ids = np.arange(60)
     big = np.random.default_rng(1).integers(-(1 << 27), 1 << 27, (60, 33)).astype(float)
