@@ -1,20 +1,23 @@
 """Byte-level BPE encoding and decoding by a pair occurrence index.
 
 The distinct new pieces of a partition's texts (what the pre-tokeniser's pattern cuts) lie end to
-end in one array of symbols, and the index holds the merge rank of the pair at each position.
-Pieces don't touch, so ascending order only matters within a piece: a sweep applies to every
-piece its lowest active rank at all positions of that rank at once, and updates the index where
-the merges made new pairs.  A merge only ever makes pairs of higher rank, so a piece's ranks
-come up in ascending order, and the sweeps end when no piece has an active rank.
+end in one array of symbols, each linked to its neighbours.  The index maps every pair that a rule
+merges, by the rule's rank, to all positions where it stands.  Active ranks come from a heap in
+ascending order over all pieces at once: the positions of the lowest rank merge together, and only
+the lists of the pairs that their neighbours now form are updated.  Entries that a merge made stale
+are passed over when their rank comes up, as a position knows the rank of its pair.
 
-Runs that were encoded are kept from batch to batch in a bounded table, as most recur.
+A merge only ever makes pairs of higher rank, which is checked of the rules, so each rank comes up
+once.  Runs that were encoded are kept from batch to batch in a bounded table, as most recur.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import re
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -31,9 +34,11 @@ _CHUNKS = re.compile(f" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
 #: Runs whose encoding is kept; the table is emptied when it is full.
 KEPT_RUNS = 300_000
 KEPT_CHARS = 64
-#: Bytes of text that are encoded together.
-TOGETHER = 1 << 21
+#: Bytes of text whose new pieces are indexed together.
+TOGETHER = 1 << 22
 _NEVER = np.int32(1 << 30)
+#: The symbol beyond either end of a piece, which no rule knows.
+_END = np.int32((1 << 31) - 1)
 
 _RESULT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, ids array<int>, decoded string"
 
@@ -75,6 +80,14 @@ class Tokenizer:
         ranks = np.array([r for r, _ in rules.values()], np.int32)
         self.merged = np.zeros(n_ranks, np.int32)
         self.merged[ranks] = [m for _, m in rules.values()]
+        self.twin = np.zeros(n_ranks, bool)
+        self.twin[ranks] = [a == b for a, b in rules]
+        used = np.full(1 + int(max(map(max, rules), default=0)) + int(self.merged.max(initial=0)), _NEVER)
+        for pair, (rank, _) in rules.items():
+            for half in pair:
+                used[half] = min(used[half], rank)
+        if (used[self.merged[ranks]] < ranks).any():
+            raise ValueError("a rule of the tokenizer uses a symbol that a later rule makes")
         order = np.argsort(keys)
         self.keys, self.ranks = keys[order], ranks[order]
         self.slot_key, self.slot_rank = np.full(1 << 20, np.uint64(1 << 63)), np.full(1 << 20, _NEVER)
@@ -99,87 +112,95 @@ class Tokenizer:
 
     def _forget(self) -> None:
         """Empty the table of runs: run i has the ids pool[bounds[i]:bounds[i + 1]]."""
-        self.known: dict[str, int] = {}
+        self.known = _Numbers()
         self.pool, self.bounds = np.empty(0, np.int32), np.zeros(1, np.int64)
 
     def encode_pieces(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the pieces end to end and the bounds of each."""
         sizes = np.array([len(p) for p in pieces], np.int64)
-        symbol = self.byte_id[np.frombuffer(b"".join(pieces), np.uint8)]
-        piece = np.repeat(np.arange(len(pieces)), sizes)
-        rank = np.full(len(symbol), _NEVER)
-        if len(symbol) > 1:
-            inside = np.flatnonzero(piece[1:] == piece[:-1])
-            rank[inside] = self._ranks_of(symbol[inside], symbol[inside + 1])
-        done_symbol, done_piece = [], []
-        while len(symbol):
-            heads = np.flatnonzero(np.append(True, piece[1:] != piece[:-1]))
-            lowest = np.repeat(np.minimum.reduceat(rank, heads), np.diff(np.append(heads, len(symbol))))
-            over = lowest == _NEVER
-            if over.any():
-                done_symbol.append(symbol[over])
-                done_piece.append(piece[over])
-                going = ~over
-                symbol, piece, rank, lowest = symbol[going], piece[going], rank[going], lowest[going]
-                if not len(symbol):
-                    break
-            at = np.flatnonzero(rank == lowest)
-            # of positions side by side, as in "aaa", every other one from the left merges
-            chain = np.flatnonzero(np.append(True, np.diff(at) > 1))
-            at = at[(np.arange(len(at)) - np.repeat(chain, np.diff(np.append(chain, len(at))))) % 2 == 0]
-            symbol[at] = self.merged[rank[at]]
-            stay = np.ones(len(symbol), bool)
-            stay[at + 1] = False
-            now = at - np.arange(len(at))  # positions once the right halves are gone
-            symbol, piece, rank = symbol[stay], piece[stay], rank[stay]
-            mark = np.zeros(len(symbol), bool)
-            mark[now] = mark[now - (now > 0)] = True
-            changed = np.flatnonzero(mark)
-            rank[changed] = _NEVER
-            changed = changed[: len(changed) - (changed[-1] == len(symbol) - 1)]
-            changed = changed[piece[changed] == piece[changed + 1]]
-            rank[changed] = self._ranks_of(symbol[changed], symbol[changed + 1])
-        symbol = np.concatenate(done_symbol) if done_symbol else np.empty(0, np.int32)
-        piece = np.concatenate(done_piece) if done_piece else np.empty(0, np.int64)
-        symbol = symbol[np.argsort(piece, kind="stable")]
-        return symbol, np.append(0, np.cumsum(np.bincount(piece, minlength=len(pieces))))
-
-    def _learn(self, runs: list[str]) -> None:
-        """Add runs to the table, by way of the distinct pieces in them."""
-        place: dict[str, int] = {}
+        ends = np.cumsum(sizes)
+        n = int(ends[-1]) if len(ends) else 0
+        # position n stands for what lies beyond a piece's ends
+        symbol = np.append(self.byte_id[np.frombuffer(b"".join(pieces), np.uint8)], _END)
+        after, before = np.arange(1, n + 2, dtype=np.int32), np.arange(-1, n, dtype=np.int32)
+        some = sizes > 0
+        after[ends[some] - 1] = before[(ends - sizes)[some]] = after[n] = before[n] = n
+        rank = np.append(self._ranks_of(symbol[:n], symbol[after[:n]]), _NEVER)
+        live = np.ones(n + 1, bool)
+
+        index: dict[int, list[np.ndarray]] = {}
+        active: list[int] = []
+        self._list(index, active, rank, np.flatnonzero(rank != _NEVER))
+        while active:
+            r = heapq.heappop(active)
+            lists = index.pop(r)
+            at = lists[0] if len(lists) == 1 else np.unique(np.concatenate(lists))
+            at = at[rank[at] == r]
+            if not len(at):
+                continue
+            right = after[at]
+            if self.twin[r]:
+                # of positions side by side, as in "aaa", every other one from the left merges
+                heads = np.flatnonzero(np.append(True, right[:-1] != at[1:]))
+                place = np.arange(len(at)) - np.repeat(heads, np.diff(np.append(heads, len(at))))
+                at, right = at[place % 2 == 0], right[place % 2 == 0]
+            symbol[at] = self.merged[r]
+            live[right], rank[right] = False, _NEVER
+            beyond = after[right]
+            after[at], before[beyond] = beyond, at
+            changed = np.concatenate([before[at], at])
+            rank[changed] = self._ranks_of(symbol[changed], symbol[after[changed]])
+            self._list(index, active, rank, changed[rank[changed] != _NEVER])
+        live[n] = False
+        kept = np.append(0, np.cumsum(live[:n]))
+        return symbol[live], np.append(0, kept[ends])
+
+    @staticmethod
+    def _list(index: dict[int, list[np.ndarray]], active: list[int], rank: np.ndarray, at: np.ndarray) -> None:
+        """Enter positions in the lists of their pairs; a pair that had none becomes active."""
+        if not len(at):
+            return
+        at = at[np.argsort(rank[at], kind="stable")]
+        ranks = rank[at]
+        heads = np.flatnonzero(np.append(True, ranks[1:] != ranks[:-1]))
+        for r, a, b in zip(ranks[heads].tolist(), heads.tolist(), [*heads[1:].tolist(), len(at)], strict=True):
+            if r in index:
+                index[r].append(at[a:b])
+            else:
+                index[r] = [at[a:b]]
+                heapq.heappush(active, r)
+
+    def _learn(self) -> None:
+        """Encode the runs that are numbered but not in the table yet, by way of their distinct pieces."""
+        place = _Numbers()
         cut, sizes = [], []
-        for run in runs:
+        for run in islice(self.known, len(self.bounds) - 1, None):
             # letters with or without a space before them are one piece
             pieces = [run] if run.isalpha() or (run[0] == " " and run[1:].isalpha()) else self.pieces(run)
-            cut += [place.setdefault(p, len(place)) for p in pieces]
+            cut += [place[p] for p in pieces]
             sizes.append(len(pieces))
+        if not sizes:
+            return
         ids, bounds = self.encode_pieces([p.encode() for p in place])
         ids, counts = _gathered(ids, bounds, np.array(cut, np.int64))
-        totals = np.add.reduceat(np.append(counts, 0), np.append(0, np.cumsum(sizes))[:-1]) if runs else counts
+        totals = np.add.reduceat(counts, np.append(0, np.cumsum(sizes))[:-1])
         self.bounds = np.append(self.bounds, self.bounds[-1] + np.cumsum(totals))
         self.pool = np.append(self.pool, ids)
-        first = len(self.known)
-        self.known.update((run, first + k) for k, run in enumerate(runs))
 
-    def encode_batch(self, texts: list[str]) -> list[list[int]]:
+    def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text; added tokens in it are found first, as in the format's own rules."""
-        parts = [self.split_added.split(t) if self.split_added and any(a in t for a in self.added) else [t] for t in texts]
-        runs = [[p if p in self.added and k % 2 else _CHUNKS.findall(p) for k, p in enumerate(own)] for own in parts]
-        new = {r for own in runs for p in own if not isinstance(p, str) for r in p if r not in self.known}
-        if len(self.known) + len(new) > KEPT_RUNS:
+        if len(self.known) > KEPT_RUNS:
             self._forget()
-            new = {r for own in runs for p in own if not isinstance(p, str) for r in p}
-        self._learn(list(new))
-        known, out = self.known, []
-        for own in runs:
-            ids: list[int] = []
-            for p in own:
-                if isinstance(p, str):
-                    ids.append(self.added[p])
-                elif p:
-                    ids += _gathered(self.pool, self.bounds, np.array([known[r] for r in p], np.int64))[0].tolist()
-            out.append(ids)
-        if len(known) > KEPT_RUNS or any(len(r) > KEPT_CHARS for r in new):
+        known, had, out = self.known, len(self.known), []
+        for t in texts:
+            parts = self.split_added.split(t) if self.split_added and any(a in t for a in self.added) else [t]
+            # an added token or the numbers of the runs
+            out.append([p if k % 2 else np.array([known[r] for r in _CHUNKS.findall(p)], np.int32) for k, p in enumerate(parts)])
+        self._learn()
+        for k, parts in enumerate(out):
+            ids = [np.array([self.added[p]], np.int32) if isinstance(p, str) else _gathered(self.pool, self.bounds, p)[0] for p in parts]
+            out[k] = ids[0] if len(ids) == 1 else np.concatenate(ids)
+        if any(len(r) > KEPT_CHARS for r in islice(known, had, None)):
             self._forget()
         return out
 
@@ -188,6 +209,14 @@ class Tokenizer:
         return b"".join([table[i] for i in ids]).decode("utf-8", "replace")
 
 
+class _Numbers(dict):
+    """Numbers keys from 0 in the order in which they are asked for."""
+
+    def __missing__(self, key) -> int:
+        self[key] = number = len(self)
+        return number
+
+
 def _gathered(values: np.ndarray, bounds: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Stretches of ``values`` end to end, and the length of each."""
     first, counts = bounds[which], bounds[which + 1] - bounds[which]
@@ -199,11 +228,13 @@ def _gathered(values: np.ndarray, bounds: np.ndarray, which: np.ndarray) -> tupl
 def tokenize(docs: DataFrame, path: str, with_tokens: bool = True) -> DataFrame:
     """Encode every text and decode the ids again.
 
-    ``path``: a tokenizers file with a byte-level BPE model, readable on every machine.  A
-    null text counts as empty.  Added tokens that stand in a text become their ids; nothing
-    is added, cut off or padded.  Returns a row per input row: ``doc_id, n_tokens,
-    ids_sha256`` (of the decimal ids joined by commas), ``decoded_sha256``, ``ids`` and
-    ``decoded`` (both null unless ``with_tokens``).
+    Takes ``doc_id`` and ``text``; other columns are ignored.  ``path``: a tokenizers file with a
+    byte-level BPE model, readable on every machine.  A null text counts as empty and an empty
+    one has no tokens; a null doc_id stays null; repeated rows get the same values each; an empty
+    table gives an empty one.  Texts are encoded whole, however long.  Added tokens that stand in
+    a text become their ids; nothing is added, cut off or padded.  Returns a row per input row:
+    ``doc_id, n_tokens, ids_sha256`` (of the decimal ids joined by commas), ``decoded_sha256``,
+    ``ids`` and ``decoded`` (both null unless ``with_tokens``).
     """
 
     def run(batches):
@@ -213,7 +244,7 @@ def tokenize(docs: DataFrame, path: str, with_tokens: bool = True) -> DataFrame:
             for part in slices(batch, limit=TOGETHER):
                 texts = [t or "" for t in part.column("text").to_pylist()]
                 n, shas, back, all_ids, all_decoded = [], [], [], [], []
-                for ids in tokenizer.encode_batch(texts):
+                for ids in map(np.ndarray.tolist, tokenizer.encode_batch(texts)):
                     decoded = tokenizer.decode(ids)
                     n.append(len(ids))
                     shas.append(hashlib.sha256(",".join([number[i] for i in ids]).encode()).hexdigest())
