@@ -13,6 +13,9 @@ driver.  Scoring is one pass over the texts.
 
 from __future__ import annotations
 
+import hashlib
+import zlib
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,11 +24,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .cluster import binary_column
-from .words import NOT_ALNUM, SAME, Words, distinct, mix, slices
+from .cluster import binary_column, flat_binary
+from .words import BLOCK, NOT_ALNUM, SAME, Words, distinct, mix, slices
 
 MAX_LABELLED = 12_000
-MAX_BYTES = 16_000_000
+MAX_BYTES = 24_000_000
 #: Bytes of a word's beginning, which stand for its stem.
 STEM_BYTES = 6
 #: Words and beginnings that the model may weigh: those whose sentences differ most between the labels.
@@ -105,43 +108,53 @@ class ToxicityModel:
         return -np.expm1(-clean), 1 / (1 + np.exp(-z)), sentences
 
 
-def fit(bags: list[tuple[int, np.ndarray, np.ndarray]]) -> ToxicityModel:
+def fit(bags: Iterable[tuple[int, np.ndarray, np.ndarray]]) -> ToxicityModel:
     """Maximum likelihood with a ridge, by Adam over the whole sample.
 
-    ``bags``: of each text its label, its features and each one's sentence (from 0).  Texts
-    whose features are those of an earlier one count once.
+    ``bags``: of each text its label, its features and how many of them each sentence has.
+    Texts whose features are those of an earlier one count once.
     """
     seen, kept = set(), []
-    for label, hashes, sentence in bags:
-        mark = (label, hashes.tobytes())
+    for label, hashes, lengths in bags:
+        mark = hashlib.blake2b(hashes.tobytes(), digest_size=16, key=bytes([label > 0])).digest()
         if len(hashes) and mark not in seen:
             seen.add(mark)
-            kept.append((label, hashes, sentence))
+            kept.append((label, hashes, lengths))
+    del seen
     labels = np.array([b[0] for b in kept], float)
     if not len(kept) or labels.min() == labels.max():
         constant = 0.0 if not len(kept) else labels[0]
         return ToxicityModel(np.empty(0, np.uint32), np.empty(0), 30.0 if constant else -30.0)
-    hashes = np.concatenate([b[1] for b in kept])
-    n_sentences = np.array([b[2][-1] + 1 for b in kept])
+    n_sentences = np.array([len(b[2]) for b in kept])
     first = np.append(0, np.cumsum(n_sentences))
-    sentence = np.concatenate([b[2] + f for b, f in zip(kept, first[:-1], strict=True)])
     bag_of = np.repeat(np.arange(len(kept)), n_sentences)
 
-    pairs = distinct(sentence.astype(np.uint64) << np.uint64(32) | hashes)  # distinct words of each sentence
-    sentence, hashes = (pairs >> np.uint64(32)).astype(np.int64), pairs.astype(np.uint32)
+    # distinct words of each sentence; one array holds all of them, sorted in place
+    pairs, at = np.empty(sum(len(b[1]) for b in kept), np.uint64), 0
+    for k in range(len(kept)):
+        _, hashes, lengths = kept[k]
+        sentence = np.repeat(np.arange(first[k], first[k + 1], dtype=np.uint64), lengths)
+        pairs[at : at + len(hashes)] = sentence << np.uint64(32) | hashes
+        at += len(hashes)
+    n_bags = len(kept)
+    del kept, bags
+    pairs.sort()
+    pairs = pairs[np.append(True, pairs[1:] != pairs[:-1])]
+    sentence, hashes = (pairs >> np.uint64(32)).astype(np.uint32), pairs.astype(np.uint32)
     del pairs
     vocabulary = _screened(sentence, hashes, labels[bag_of] > 0)
     code = np.minimum(np.searchsorted(vocabulary, hashes), max(0, len(vocabulary) - 1))
     on = vocabulary[code] == hashes if len(vocabulary) else np.zeros(len(hashes), bool)
     sentence, code = sentence[on], code[on]
+    del hashes, on
 
     w, bias = np.zeros(len(vocabulary)), float(np.log(labels.mean() / n_sentences.mean()))
     moments = np.zeros((2, len(w) + 1))
     for step in range(1, STEPS + 1):
         z = bias + np.bincount(sentence, w[code], minlength=first[-1])
-        clean = np.bincount(bag_of, np.logaddexp(0, z), minlength=len(kept))
+        clean = np.bincount(bag_of, np.logaddexp(0, z), minlength=n_bags)
         toward = np.where(labels > 0, -1 / np.maximum(np.expm1(clean), 1e-9), 1.0)
-        slope = toward[bag_of] / (1 + np.exp(-z)) / len(kept)
+        slope = toward[bag_of] / (1 + np.exp(-z)) / n_bags
         gradient = np.append(np.bincount(code, slope[sentence], minlength=len(w)) + RIDGE / 100 * w, slope.sum())
         moments[0] = 0.9 * moments[0] + 0.1 * gradient
         moments[1] = 0.99 * moments[1] + 0.01 * gradient**2
@@ -156,7 +169,11 @@ def _screened(sentence: np.ndarray, hashes: np.ndarray, positive: np.ndarray) ->
     Each different sentence counts once, so copied passages have no more say than others.
     """
     heads = np.flatnonzero(np.append(True, sentence[1:] != sentence[:-1]))
-    _, once = np.unique(np.add.reduceat(mix(hashes.astype(np.uint64)), heads), return_index=True)
+    marks = hashes.astype(np.uint64)
+    for k in range(0, len(marks), BLOCK):
+        marks[k : k + BLOCK] = mix(marks[k : k + BLOCK])
+    _, once = np.unique(np.add.reduceat(marks, heads), return_index=True)
+    del marks
     fresh = np.zeros(len(positive), bool)
     fresh[sentence[heads[once]]] = True
     counts = [np.unique(hashes[(fresh & kind)[sentence]], return_counts=True) for kind in (positive, ~positive)]
@@ -231,12 +248,12 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED,
 def _fitted(batches):
     rows = []
     for batch in batches:
-        rows += zip(*(batch.column(c).to_pylist() for c in ("doc_id", "features", "toxic", "lengths")), strict=True)
-    rows.sort(key=lambda r: r[:2])
-    lengths = [np.frombuffer(r[3], np.int32) for r in rows]
-    model = fit(
-        [(r[2], np.frombuffer(r[1], np.uint32), np.repeat(np.arange(len(n), dtype=np.int32), n)) for r, n in zip(rows, lengths, strict=True)]
-    )
+        ids, labels = (batch.column(c).to_pylist() for c in ("doc_id", "toxic"))
+        features, at = flat_binary(batch.column("features"), np.uint32)
+        lengths, of = flat_binary(batch.column("lengths"), np.int32)
+        rows += [(ids[k], features[at[k] : at[k + 1]], labels[k], lengths[of[k] : of[k + 1]]) for k in range(batch.num_rows)]
+    rows.sort(key=lambda r: (r[0], zlib.crc32(r[1])))
+    model = fit((r[2], r[1], r[3]) for r in rows)
     yield pa.RecordBatch.from_pydict(
         {"vocabulary": [model.vocabulary.tobytes()], "weights": [model.weights.tobytes()], "bias": [float(model.bias)]}
     )

@@ -17,8 +17,9 @@ _BYTE_BASE = 0x9E3779B97F4A7C15
 _WORD_BASE = 0xD1342543DE82EF95
 _POWERS: dict[int, np.ndarray] = {}
 
-#: Bytes hashed at a time; longer texts are only ever cut between words.
-BLOCK = 1 << 22
+#: Bytes hashed at a time; longer texts are only ever cut between words.  The arrays of a pass
+#: take some forty times as much, and the tables of powers stay in memory.
+BLOCK = 1 << 20
 
 #: Separators of `[^\x20\x09-\x0D]+`.
 SPACES = np.zeros(256, bool)

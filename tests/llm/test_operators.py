@@ -220,6 +220,26 @@ def test_bpe_is_the_library_s(spark):
         assert got[i]["decoded"] == library.decode(ids, skip_special_tokens=False) == (t or "")
 
 
+def test_bpe_on_odd_rows(spark):
+    path = queries.tokenizer_path()
+    rows = bpe.tokenize(docs_of(spark, ODD), path).collect()
+    by_id = Counter((r["doc_id"], r["n_tokens"], r["ids_sha256"]) for r in rows)
+    assert len(rows) == len(ODD) and by_id[(4, *next((r["n_tokens"], r["ids_sha256"]) for r in rows if r["doc_id"] == 4))] == 2
+    assert {r["doc_id"]: r["n_tokens"] for r in rows if r["doc_id"] in (1, 2)} == {1: 0, 2: 0}
+    assert bpe.tokenize(docs_of(spark, []), path).count() == 0
+
+
+def test_bpe_applies_ranks_in_order_to_runs_of_one_symbol():
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path()
+    library, own = Tokenizer.from_file(path), bpe.Tokenizer(path)
+    rng = random.Random(3)
+    texts = ["a" * k for k in range(40)] + ["".join(rng.choice("ahe ") * rng.randint(1, 9) for _ in range(60)) for _ in range(200)]
+    texts.append("".join(rng.choice("abcdefgh") for _ in range(30_000)))  # one long piece
+    assert [ids.tolist() for ids in own.encode_batch(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_toxicity_learns_from_texts_and_finds_sentences(spark):
     rng = random.Random(2)
     word = lambda: "".join(rng.choice("aeioulmnr") for _ in range(4))
