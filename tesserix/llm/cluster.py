@@ -48,6 +48,11 @@ def shared_folder(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+def quoted(name: str) -> str:
+    """A column's name as SQL takes it, whatever is in it."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def text_bytes(docs: DataFrame, column: str = "text") -> int:
     """Bytes of all the texts: one narrow aggregation."""
     return docs.agg(F.sum(F.octet_length(column)).alias("b")).first()["b"] or 0

@@ -13,12 +13,16 @@ from pyspark.sql import functions as F
 from tesserix.llm import bpe, cluster, decontaminate, jaccard, licenses, pii, queries, repeats, secrets, topk, toxicity, warc
 from tests.conftest import SF
 
-SCHEMA = "doc_id long, text string, label string, score double, batch int, tokens string"
+#: Names that operators use inside, and one that needs quotes.
+CLASHING = """batch node text_key tokens keys component gone least rows row key base found words near counts entities terms held entity
+copies score offending label n_sentences n_shingles missing cool home comp rules row_key spans toxic n_words low grams query part `a.b c`""".split()
+CLASHING = [*CLASHING[:-2], "a.b `c"]
+SCHEMA = "doc_id long, text string, " + ", ".join(f"{cluster.quoted(c)} string" for c in CLASHING)
 
 
 def docs_of(spark, texts):
     """Rows with extra columns whose names some operator uses inside."""
-    return spark.createDataFrame([(i, t, "x", 0.5, 1, "y") for i, t in texts], SCHEMA)
+    return spark.createDataFrame([(i, t, *CLASHING) for i, t in texts], SCHEMA)
 
 
 ODD = [(1, None), (2, ""), (None, "alpha beta gamma delta epsilon zeta"), (3, "   \n\t "), (4, "one"), (4, "one"), (5, "w " * 50_000), (6, "é😀 ü")]
@@ -66,15 +70,47 @@ def near_copies(seed, n_groups=6, n_plain=30, group=12):
     return list(enumerate(texts))
 
 
-@pytest.mark.parametrize(("seed", "block"), [(1, 4096), (2, 8), (3, 3)])
-def test_jaccard_components(spark, seed, block):
+@pytest.mark.parametrize(("seed", "block", "common"), [(1, 4096, 2048), (2, 8, 2), (3, 3, 4)])
+def test_jaccard_components(spark, seed, block, common):
     texts = near_copies(seed)
-    got = {r[0]: (r[1], r[2]) for r in jaccard.jaccard_components(docs_of(spark, texts), block=block).collect()}
+    got = {r[0]: (r[1], r[2]) for r in jaccard.jaccard_components(docs_of(spark, texts), block=block, common=common).collect()}
     assert got == components(texts)
-    left = {r[0] for r in jaccard.drop_near_duplicates(docs_of(spark, texts), block=block).collect()}
+    left = {r[0] for r in jaccard.drop_near_duplicates(docs_of(spark, texts), block=block, common=common).collect()}
     assert left == {c for _, c in got.values()}
 
 
+def test_jaccard_takes_any_id(spark):
+    same = "a b c d e f g h i j"
+    high = 2**62
+    texts = [(high + 5, same), (-(2**63), "x y"), (2**63 - 1, same), (None, same), (-7, "p q r s t u v"), (None, "p q r s t u v"), (None, "only one"), (None, "only one")]
+    rows = Counter(tuple(r) for r in jaccard.jaccard_components(docs_of(spark, texts)).collect())
+    assert rows == Counter(
+        [(high + 5, 6, high + 5), (-(2**63), 1, -(2**63)), (2**63 - 1, 6, high + 5), (None, 6, high + 5), (-7, 3, -7), (None, 3, -7)] + [(None, 1, None)] * 2
+    )
+
+
+def test_jaccard_merges_are_plain_counts():
+    rng = np.random.default_rng(4)
+    for _ in range(60):
+        n = int(rng.integers(2, 30))
+        held = [np.unique(rng.integers(0, 40, rng.integers(1, 25))) for _ in range(n)]
+        bounds = np.append(0, np.cumsum([len(x) for x in held]))
+        search = jaccard.Search(np.concatenate(held).astype(np.uint64), bounds, np.diff(bounds), np.arange(n), n, 75)
+        at, least = rng.choice(len(search.names), min(len(search.names), 9), replace=False), int(rng.integers(1, 5))
+        want = Counter(i for t in at for i in range(n) if search.names[t] in held[i])
+        for merge in (search._merge_skip, search._merge_runs):
+            found, times = merge(at, least)
+            assert dict(zip(found.tolist(), times.tolist())) == {i: c for i, c in want.items() if c >= least}
+
+
+def test_jaccard_of_a_common_line_stays_linear(spark):
+    """Texts of a line that all have and a number of their own, none linked, and pairs of them that are."""
+    docs = spark.range(12_000).selectExpr("id doc_id", "concat('a line that all of them have in common ', id) text")
+    docs = docs.union(docs.selectExpr("doc_id + 1000000", "text || ' x'"))
+    rows = jaccard.jaccard_components(docs).select("n_shingles", (F.col("doc_id") == F.col("component_id")).alias("own")).groupBy("n_shingles", "own").count().collect()
+    assert {tuple(r) for r in rows} == {(6, True, 12_000), (7, False, 12_000)}
+
+
 def test_jaccard_on_odd_rows(spark):
     docs = docs_of(spark, [*ODD, (7, "a b c d e f"), (None, "a b c d e f"), (None, "A b c d e f")])
     rows = jaccard.jaccard_components(docs).collect()
