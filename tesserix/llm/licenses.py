@@ -1,20 +1,26 @@
 """License scans by diagonal voting, in DataFrame operations only.
 
 Every rolling k-gram of a text's words is hashed and joined with the k-grams of the templates.
-A hit at word p of the text and word t of the template votes for the diagonal p - t, on which
-an unchanged copy puts all its votes.  Votes are summed by text, template and diagonal as a bit
-set of the template's k-grams; neighbouring diagonals, which an inserted or dropped word makes
-of one, are merged; what covers enough of its template is a find.
-
-The templates are a fixed list, so their k-grams are broadcast and texts are never shuffled:
-only texts' few hits and counts are.
+A hit at word p of the text and word t of the template is compared word for word, since hashes
+may collide, and votes for the diagonal p - t, on which an unchanged copy puts all its votes.
+Votes are summed by text, template and diagonal as bit sets of the template's k-grams;
+neighbouring diagonals, which an inserted or dropped word makes of one, are merged into a span.
+A span is verified by the share of the template's k-grams that stand in it word for word, each
+counted once, and by its length: it may not be longer than what its template would fill.
+
+Templates are phrases or whole licenses of any length.  They are a fixed list, so their k-grams
+are broadcast and texts are never shuffled: only texts' few hits and counts are.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .license_texts import WHOLE
+
 #: Phrases whose every place is reported, with their labels (fixed values).
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
@@ -35,6 +41,7 @@ TEMPLATES = [
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software"),
     ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0"),
     ("unlicense", "this is free and unencumbered software released into the public domain"),
+    *WHOLE,
 ]
 
 GRAM = 3
@@ -42,6 +49,10 @@ GRAM = 3
 COVERAGE = 0.6
 #: Diagonals that are at most so far apart are one find.
 DRIFT = 2
+#: Words of a span for each word of its template at most.
+STRETCH = 2
+#: k-grams of a template that one bit set holds; longer templates have several.
+_BITS = 63
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -52,63 +63,81 @@ def _words(text: str) -> Column:
     return F.array_remove(F.split(lower, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), "")
 
 
+def template_words(text: str) -> list[str]:
+    """A template's words, as those of texts."""
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.translate(str.maketrans(_UPPER, _LOWER)))
+
+
 def _template_grams(spark: SparkSession, templates, gram: int) -> DataFrame:
-    """(gram hash, template, label, is it a base phrase, bit of the k-gram, offset, k-grams)."""
+    """(gram hash, template, label, is it a base phrase, offset, k-grams and words of the template,
+    words of the k-gram)."""
     rows = []
     listed = [(label, phrase, True) for phrase, label in BASE.items()] + [(a, b, False) for a, b in templates]
     for number, (label, phrase, base) in enumerate(listed):
-        words = phrase.split()
+        words = template_words(phrase)
+        if len(words) < 2:
+            raise ValueError(f"a template needs two words or more: {phrase!r}")
         size = min(gram, len(words))
         total = len(words) - size + 1
-        if total > 63:
-            raise ValueError(f"a template has {total} k-grams; 63 fit a bit set")
-        rows += [(number, label, base, t, total, words[t : t + size]) for t in range(total)]
-    table = spark.createDataFrame(rows, "template int, label string, base boolean, offset int, grams int, words array<string>")
-    # as the k-grams of a text are hashed: two words or three
-    hashed = F.when(F.size("words") == 2, F.xxhash64(F.col("words")[0], F.col("words")[1]))
-    if gram != 3:
-        raise ValueError("k-grams have three words")
-    three = F.xxhash64(F.col("words")[0], F.col("words")[1], F.col("words")[2])
-    return table.select(hashed.otherwise(three).alias("gram"), "template", "label", "base", "offset", "grams", F.size("words").alias("size"))
+        rows += [(number, label, base, t, total, len(words), words[t : t + size]) for t in range(total)]
+    schema = "template int, label string, base boolean, offset int, grams int, length int, wanted array<string>"
+    table = spark.createDataFrame(rows, schema)
+    hashed = F.lit(None).cast("long")
+    for size in range(2, gram + 1):
+        hashed = F.when(F.size("wanted") == size, F.xxhash64(*(F.col("wanted")[j] for j in range(size)))).otherwise(hashed)
+    return table.withColumn("gram", hashed)
 
 
 def find_licenses(docs: DataFrame, templates=TEMPLATES, gram: int = GRAM, coverage: float = COVERAGE, drift: int = DRIFT) -> DataFrame:
     """Every find of a base phrase or template.
 
-    Takes ``doc_id`` and ``text``.  Returns ``doc_id, row_key`` (a hash of id and text, which
-    tells rows of one id apart), ``label, base, start`` (first word, from 0) and ``covered``
-    (1 for base phrases).  Rows repeated whole are one; null and empty texts have no finds.
+    Takes ``doc_id`` and ``text``.  ``templates``: (label, text) pairs, of two words or more each.
+    Returns ``doc_id, row_key`` (a hash of id and text, which tells rows of one id apart),
+    ``label, base, start, end`` (words, from 0, end exclusive) and ``covered`` (1 for base
+    phrases).  Rows repeated whole are one; null and empty texts have no finds.
     """
+    if gram < 2:
+        raise ValueError("k-grams have two words or more")
     grams = _template_grams(docs.sparkSession, templates, gram)
-    pairs = sorted({r["gram"] for r in grams.where("size = 2").select("gram").collect()})
+    # phrases with fewer words than a k-gram are looked up by hashes of their own
+    short = {n: sorted({r["gram"] for r in grams.where(F.size("wanted") == n).select("gram").collect()}) for n in range(2, gram)}
     words = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row_key"), _words("text").alias("words")).where(F.size("words") > 1)
-    rolling = F.transform(
-        F.sequence(F.lit(0), F.size("words") - 2),
-        lambda i: F.struct(
-            F.xxhash64(F.get("words", i), F.get("words", i + 1)).alias("two"),
-            F.xxhash64(F.get("words", i), F.get("words", i + 1), F.get("words", i + 2)).alias("three"),
-        ),
-    )
+
+    def at(i):
+        own = [F.get("words", i + j) for j in range(gram)]
+        return F.struct(*(F.xxhash64(*own[:n]).alias(f"h{n}") for n in range(2, gram + 1)), *(w.alias(f"w{j}") for j, w in enumerate(own)))
+
+    rolling = F.transform(F.sequence(F.lit(0), F.size("words") - 2), at)
     places = words.select("doc_id", "row_key", F.posexplode(rolling).alias("place", "at"))
-    two = F.col("at.two")
-    hashed = places.select(
-        "doc_id", "row_key", "place",
-        F.explode(F.when(two.isin(pairs), F.array("at.three", "at.two")).otherwise(F.array("at.three"))).alias("gram"),
-    )
+    hashes = F.array(F.col(f"at.h{gram}"))
+    for n, known in short.items():
+        hashes = F.when(F.col(f"at.h{n}").isin(known), F.concat(hashes, F.array(f"at.h{n}"))).otherwise(hashes) if known else hashes
+    hashed = places.select("doc_id", "row_key", "place", F.explode(hashes).alias("gram"), *(F.col(f"at.w{j}").alias(f"w{j}") for j in range(gram)))
+    same = F.col("w0") == F.col("wanted")[0]
+    for j in range(1, gram):
+        same &= (F.size("wanted") <= j) | (F.col(f"w{j}") == F.get("wanted", F.lit(j)))
+    diagonal = ["doc_id", "row_key", "template", "label", "base", "grams", "length"]
     votes = (
-        # the templates are a fixed list of a few hundred k-grams
+        # the templates are a fixed list of a few hundred or thousand k-grams
         hashed.join(F.broadcast(grams), "gram")
-        .groupBy("doc_id", "row_key", "template", "label", "base", "grams", (F.col("place") - F.col("offset")).alias("diagonal"))
-        .agg(F.bit_or(F.expr("shiftleft(1L, offset)")).alias("hits"), F.min("place").alias("first"))
-    )
-    in_order = "PARTITION BY doc_id, row_key, template ORDER BY diagonal"
+        .where(same)
+        .groupBy(*diagonal, (F.col("place") - F.col("offset")).alias("diagonal"), F.expr(f"offset DIV {_BITS}").alias("word"))
+        .agg(
+            F.bit_or(F.expr(f"shiftleft(1L, offset % {_BITS})")).alias("hits"),
+            F.min("place").alias("first"), F.max(F.col("place") + F.size("wanted")).alias("last"),
+        )
+    )
+    in_order = "PARTITION BY doc_id, row_key, template ORDER BY diagonal, word"
     runs = votes.withColumn("breaks", F.expr(f"base OR coalesce(diagonal - lag(diagonal) OVER ({in_order}) > {drift}, true)"))
     return (
         runs.withColumn("run", F.expr(f"sum(int(breaks)) OVER ({in_order})"))
-        .groupBy("doc_id", "row_key", "template", "label", "base", "grams", "run")
-        .agg(F.bit_count(F.bit_or("hits")).alias("hits"), F.min("first").cast("long").alias("start"))
-        .select("doc_id", "row_key", "label", "base", "start", (F.col("hits") / F.col("grams")).alias("covered"))
-        .where(F.when(F.col("base"), F.col("covered") == 1).otherwise(F.col("covered") >= coverage))
+        .groupBy(*diagonal, "run", "word")
+        .agg(F.bit_or("hits").alias("hits"), F.min("first").alias("first"), F.max("last").alias("last"))
+        .groupBy(*diagonal, "run")
+        .agg(F.sum(F.bit_count("hits")).alias("hits"), F.min("first").cast("long").alias("start"), F.max("last").cast("long").alias("end"))
+        .withColumn("covered", F.col("hits") / F.col("grams"))
+        .where(F.when(F.col("base"), F.col("covered") == 1).otherwise((F.col("covered") >= coverage) & (F.col("end") - F.col("start") <= STRETCH * F.col("length"))))
+        .select("doc_id", "row_key", "label", "base", "start", "end", "covered")
     )
 
 
@@ -119,8 +148,9 @@ def scan_licenses(docs: DataFrame, **options) -> DataFrame:
     ``doc_id, n_words, n_base`` (places of base phrases), ``first_word, last_word`` (their
     least and greatest start, null without any), ``base_labels, labels`` (distinct, sorted
     and comma-joined; empty if none) and ``score`` (the largest share of a template that a
-    find covers, 1 for a base phrase, 0 without finds).  A null text has no words; a null
-    doc_id stays null; rows repeated whole get the same values each.
+    find covers, 1 for a base phrase, 0 without finds).  Texts are read whole.  A null text has
+    no words; a null doc_id stays null; rows repeated whole get the same values each; an empty
+    table gives an empty one.
     """
     base_start = F.when(F.col("base"), F.col("start"))
     finds = (

@@ -99,27 +99,28 @@ def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _op6_sql() -> str:
     """The votes in SQL, over the words themselves instead of their hashes."""
-    from .licenses import BASE, COVERAGE, DRIFT, TEMPLATES
+    from .licenses import BASE, COVERAGE, DRIFT, STRETCH, TEMPLATES, template_words
 
     listed = [(label, phrase, True) for phrase, label in BASE.items()] + [(a, b, False) for a, b in TEMPLATES]
-    values = ", ".join(f"({n}, '{label}', {base}, string_split('{phrase}', ' '))" for n, (label, phrase, base) in enumerate(listed))
-    covered = "CAST(bit_count(bit_or(hits)) AS DOUBLE) / grams"
+    values = ", ".join(f"({n}, '{label}', {base}, string_split('{' '.join(template_words(text))}', ' '))" for n, (label, text, base) in enumerate(listed))
+    covered = "CAST(count(DISTINCT off) AS DOUBLE) / grams"
     return rf"""
 WITH w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
     '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents
 ), t AS (SELECT *, least(3, len(ws)) AS size FROM (VALUES {values}) x(template, label, base, ws)
-), o AS (SELECT template, label, base, size, ws, len(ws) - size + 1 AS grams, unnest(range(0, len(ws) - size + 1)) AS off FROM t
-), k AS (SELECT template, label, base, grams, off, array_to_string(ws[off + 1:off + size], ' ') AS gram FROM o
+), o AS (SELECT template, label, base, size, ws, len(ws) AS length, len(ws) - size + 1 AS grams, unnest(range(0, len(ws) - size + 1)) AS off FROM t
+), k AS (SELECT template, label, base, size, length, grams, off, array_to_string(ws[off + 1:off + size], ' ') AS gram FROM o
 ), g AS (SELECT doc_id, words, unnest(range(1, len(words) + 1)) AS i FROM w
 ), h AS (SELECT doc_id, i - 1 AS place, array_to_string(words[i:i + 2], ' ') AS gram FROM g WHERE i + 2 <= len(words)
   UNION ALL SELECT doc_id, i - 1, array_to_string(words[i:i + 1], ' ') FROM g WHERE i + 1 <= len(words)
-), v AS (SELECT doc_id, template, label, base, grams, place - off AS diag, bit_or(CAST(1 AS BIGINT) << off) AS hits, min(place) AS first
-  FROM h JOIN k USING (gram) GROUP BY doc_id, template, label, base, grams, place - off
-), r AS (SELECT *, CASE WHEN base OR coalesce(diag - lag(diag) OVER (PARTITION BY doc_id, template ORDER BY diag) > {DRIFT}, true) THEN 1 ELSE 0 END AS brk FROM v
-), q AS (SELECT *, sum(brk) OVER (PARTITION BY doc_id, template ORDER BY diag) AS run FROM r
-), f AS (SELECT doc_id, label, base, {covered} AS covered, min(first) AS start FROM q GROUP BY doc_id, template, label, base, grams, run
-  HAVING CASE WHEN base THEN bit_count(bit_or(hits)) = grams ELSE {covered} >= {COVERAGE} END)
+), v AS (SELECT doc_id, template, label, base, size, length, grams, off, place, place - off AS diag FROM h JOIN k USING (gram)
+), d AS (SELECT DISTINCT doc_id, template, base, diag FROM v
+), r AS (SELECT *, CASE WHEN base OR coalesce(diag - lag(diag) OVER (PARTITION BY doc_id, template ORDER BY diag) > {DRIFT}, true) THEN 1 ELSE 0 END AS brk FROM d
+), q AS (SELECT doc_id, template, diag, sum(brk) OVER (PARTITION BY doc_id, template ORDER BY diag) AS run FROM r
+), f AS (SELECT doc_id, label, base, {covered} AS covered, min(place) AS start FROM v JOIN q USING (doc_id, template, diag)
+  GROUP BY doc_id, template, label, base, length, grams, run
+  HAVING CASE WHEN base THEN count(DISTINCT off) = grams ELSE {covered} >= {COVERAGE} AND max(place + size) - min(place) <= {STRETCH} * length END)
 SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, count(start) FILTER (base) AS n_base,
        min(start) FILTER (base) AS first_word, max(start) FILTER (base) AS last_word,
        coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base), '') AS base_labels,
