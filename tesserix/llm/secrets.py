@@ -1,9 +1,13 @@
 """Secret scans over a trigram inverted index, in DataFrame operations only.
 
 From each rule's regular expression a Boolean query of trigrams is derived that every match
-satisfies.  The index lists for each trigram that some query names the texts with it; lists are
-intersected as the queries say, and only texts that remain are searched with the rule itself.
-Rules without a mandatory trigram search every text.
+satisfies.  One pass over a text finds its distinct trigrams among those that some query names,
+and the index lists for each of them the texts with it.  Lists are looked up and intersected as
+the queries say, and only texts that remain are searched with the rule itself.  Rules without a
+mandatory trigram search every text.
+
+The index and its answers hold hashes of texts.  Answers go back to the texts as a broadcast if
+they are few, so that texts are never shuffled; past ``BROADCAST_ROWS`` a join on the hash does.
 """
 
 from __future__ import annotations
@@ -14,6 +18,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .cluster import checkpointed
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -42,6 +48,10 @@ ISSUED = [
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
 ]
 
+#: Texts that rules are to search up to which their list is broadcast: some 50 MB.
+BROADCAST_ROWS = 1_000_000
+#: Matches of a text whose places are added up together.
+CHUNK = 256
 #: Alternatives of a literal that are followed before the query gives up telling them apart.
 _MOST = 64
 
@@ -131,31 +141,39 @@ def _query_rows(rules: list[Rule]) -> list[tuple]:
     return rows
 
 
+def _any_of(trigrams: list[str]) -> str:
+    """A pattern whose first group is the listed trigram, if any, at each place of a text."""
+    plain = lambda c: c if c.isalnum() else f"\\x{{{ord(c):x}}}"
+    ahead: dict[str, dict[str, str]] = {}
+    for t in trigrams:
+        by_second = ahead.setdefault(t[0], {})
+        by_second[t[1]] = by_second.get(t[1], "") + plain(t[2])
+    branches = [plain(a) + "(?:" + "|".join(f"{plain(b)}[{c}]" for b, c in by_second.items()) + ")" for a, by_second in ahead.items()]
+    return f"(?=({'|'.join(branches)}))"
+
+
 def _candidates(docs: DataFrame, rules: list[Rule]) -> DataFrame | None:
-    """(doc_id, row_key, numbers of the rules whose queries the text satisfies)."""
+    """(row_key, numbers of the rules whose queries the text satisfies)."""
     rows = _query_rows(rules)
     if not rows:
         return None
     query = docs.sparkSession.createDataFrame(
         rows, "trigram string, rule int, n_clauses int, clause int, alternative int, n_trigrams int, bit int"
     )
-    wanted = F.array(*(F.lit(g) for g in sorted({r[0] for r in rows})))
-    lower = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row_key"), F.lower("text").alias("low"))
-    index = lower.select(
-        F.explode(F.filter(wanted, lambda g: F.contains(F.col("low"), g))).alias("trigram"), "doc_id", "row_key"
-    ).repartition("doc_id", "row_key")
+    named = F.lit(_any_of(sorted({r[0] for r in rows})))
+    own = F.array_distinct(F.regexp_extract_all(F.lower("text"), named, F.lit(1)))
+    index = docs.select(F.xxhash64("doc_id", "text").alias("row_key"), F.explode(own).alias("trigram")).repartition("row_key")
     one = lambda c: F.expr(f"shiftleft(1L, {c})")
-    row = ["doc_id", "row_key"]
     return (
         # the queries are derived from a fixed list of rules
         index.join(F.broadcast(query), "trigram")
-        .groupBy(*row, "rule", "n_clauses", "clause", "alternative", "n_trigrams")
+        .groupBy("row_key", "rule", "n_clauses", "clause", "alternative", "n_trigrams")
         .agg(F.bit_or(one("bit")).alias("got"))
         .where("bit_count(got) = n_trigrams")
-        .groupBy(*row, "rule", "n_clauses")
+        .groupBy("row_key", "rule", "n_clauses")
         .agg(F.bit_or(one("clause")).alias("got"))
         .where("bit_count(got) = n_clauses")
-        .groupBy(*row)
+        .groupBy("row_key")
         .agg(F.collect_set("rule").alias("rules"))
     )
 
@@ -166,35 +184,47 @@ def _quoted(pattern: str) -> str:
 
 def spans_of(text: str, rule: Rule, number: int) -> Column:
     """Matches of the rule in a text as (start, number, kind, end), in code points: what lies
-    between the matches and the matches themselves are counted off in turn."""
+    between the matches and the matches themselves are counted off in turn, a chunk at a time."""
     pattern = _quoted(rule.pattern)
     found = f"regexp_extract_all({text}, {pattern}, 0)"
     groups = found if rule.group == 0 else f"regexp_extract_all({text}, {pattern}, {rule.group})"
-    empty = "cast(array() AS array<struct<start:bigint,number:int,kind:string,end:bigint>>)"
-    return F.expr(f"""
-      CASE WHEN {text} RLIKE {_quoted(_sieve(rule))} THEN aggregate(
-        arrays_zip(split({text}, {pattern}, -1), {found}, {groups}),
-        struct(0L AS at, {empty} AS spans),
+    span = "struct<start:bigint,number:int,kind:string,end:bigint>"
+    empty = f"cast(array() AS array<{span}>)"
+    chunk = f"""aggregate(c, struct(0L AS at, {empty} AS spans),
         (a, x) -> struct(
           a.at + length(x.`0`) + coalesce(length(x.`1`), 0) AS at,
           CASE WHEN length(x.`2`) >= {rule.least} THEN concat(a.spans, array(struct(
             a.at + length(x.`0`) AS start, {number} AS number, '{rule.kind}' AS kind, a.at + length(x.`0`) + length(x.`1`) AS end)))
-          ELSE a.spans END AS spans),
-        a -> a.spans) ELSE {empty} END""")
+          ELSE a.spans END AS spans))"""
+    parts = f"arrays_zip(split({text}, {pattern}, -1), {found}, {groups})"
+    chunks = f"transform(array({parts}), z -> transform(sequence(0, (size(z) - 1) DIV {CHUNK}), k -> slice(z, k * {CHUNK} + 1, {CHUNK})))[0]"
+    return F.expr(f"""
+      CASE WHEN {text} RLIKE {_quoted(_sieve(rule))} THEN aggregate(
+        transform({chunks}, c -> {chunk}),
+        struct(0L AS at, cast(array() AS array<array<{span}>>) AS parts),
+        (a, p) -> struct(a.at + p.at AS at, concat(a.parts, array(transform(p.spans, s ->
+          struct(s.start + a.at AS start, s.number AS number, s.kind AS kind, s.end + a.at AS end)))) AS parts),
+        a -> flatten(a.parts)) ELSE {empty} END""")
 
 
 def _sieve(rule: Rule) -> str:
-    """What any text with a match that isn't dropped has: the pattern itself, or its last
-    repetition at least as long as is asked for."""
-    if rule.least and rule.pattern.endswith(("]+", "]+)")):
-        close = ")" if rule.pattern.endswith(")") else ""
-        head = rule.pattern[: -1 - len(close)]
-        fixed = 4 if rule.kind == "access" else 0
-        return f"{head}{{{rule.least - fixed},}}{close}"
-    return rule.pattern
-
-
-def scan_secrets(docs: DataFrame, issued: list[Rule] = ISSUED) -> DataFrame:
+    """What any text with a match that isn't dropped has: the pattern itself, or, where its
+    measured group ends in a repetition and the pattern with it, at least as much of that as the
+    characters before it leave."""
+    parsed = list(re._parser.parse(rule.pattern))
+    inside = parsed
+    if rule.group and parsed and str(parsed[-1][0]) == "SUBPATTERN" and parsed[-1][1][0] == rule.group:
+        inside = list(parsed[-1][1][3])
+    elif rule.group:
+        return rule.pattern
+    tail = re.search(r"\](\+)(\)?)$", rule.pattern)
+    if not tail or not inside or str(inside[-1][0]) != "MAX_REPEAT" or bool(tail[2]) != bool(rule.group):
+        return rule.pattern
+    before = re._parser.SubPattern(re._parser.State(), inside[:-1]).getwidth()[1]
+    return f"{rule.pattern[: tail.start(1)]}{{{max(1, rule.least - before)},}}{tail[2] or ''}"
+
+
+def scan_secrets(docs: DataFrame, issued: list[Rule] = ISSUED, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Secrets in every text.
 
     Takes ``doc_id`` and ``text``; other columns are ignored.  Matches of a kind are leftmost
@@ -202,19 +232,19 @@ def scan_secrets(docs: DataFrame, issued: list[Rule] = ISSUED) -> DataFrame:
     row per input row: ``doc_id, n_assign, n_access, n_hex`` (base kinds), ``base_sha256``
     and ``spans`` (kind:start:end in code points, by start, then in the order of the rules,
     comma-joined; the hash is over the base kinds' alone) and ``found`` (the same as an array
-    of structs).  A null text has no secrets; a null doc_id stays null; rows repeated whole
-    get the same values each.
+    of structs).  Texts are read whole.  A null text has no secrets; a null doc_id stays null;
+    rows repeated whole get the same values each; an empty table gives an empty one.
     """
     rules = BASE + issued
     named = [number for number, rule in enumerate(rules) if trigram_query(rule.pattern)]
     texts = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row_key"), F.coalesce("text", F.lit("")).alias("text"))
-    candidates = _candidates(docs, rules)
+    candidates, none = _candidates(docs, rules), F.array().cast("array<int>")
     if candidates is None:
-        texts = texts.withColumn("rules", F.array().cast("array<int>"))
+        texts = texts.withColumn("rules", none)
     else:
-        c = candidates.withColumnsRenamed({"doc_id": "c_id", "row_key": "c_key"})
-        same = F.col("row_key").eqNullSafe(F.col("c_key")) & F.col("doc_id").eqNullSafe(F.col("c_id"))
-        texts = texts.join(c, same, "left").withColumn("rules", F.coalesce("rules", F.array().cast("array<int>")))
+        candidates = checkpointed(candidates)
+        few = candidates.count() <= broadcast_rows
+        texts = texts.join(F.broadcast(candidates) if few else candidates, "row_key", "left").withColumn("rules", F.coalesce("rules", none))
     nothing = "cast(array() AS array<struct<start:bigint,number:int,kind:string,end:bigint>>)"
     columns = [
         F.when(F.array_contains("rules", n), spans_of("text", r, n)).otherwise(F.expr(nothing)) if n in named else spans_of("text", r, n)

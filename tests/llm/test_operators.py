@@ -335,6 +335,36 @@ def test_licenses(spark):
     assert licenses.scan_licenses(docs_of(spark, [])).count() == 0
 
 
+def test_licenses_take_whole_texts_of_any_length(spark):
+    from tesserix.llm.license_texts import MIT
+
+    rng = random.Random(5)
+    words = licenses.template_words(MIT)
+    long = [f"w{rng.randrange(400)}" for _ in range(1500)]
+    edited = [w for k, w in enumerate(words) if k % 29]
+    texts = [
+        (1, "x y " + MIT), (2, " ".join(edited)), (3, " ".join(words[:40])), (4, " ".join(["a", "b", *long, "c"])),
+        (5, " ".join(long[:1000])), (6, " ".join(long[:800])), (7, " ".join(long[::-1])), (None, " ".join(long)),
+    ]
+    templates = [("mit", MIT), ("long", " ".join(long)), ("two", "p q")]
+    found = licenses.find_licenses(docs_of(spark, texts), templates).where("NOT base").collect()
+    got = {r["doc_id"]: (r["label"], r["start"], r["end"], round(r["covered"], 3)) for r in found}
+    kept = sum(words[k : k + 3] == edited[j : j + 3] for k in range(len(words) - 2) for j in range(max(0, k - 8), min(len(edited) - 2, k + 1)))
+    assert got.pop(2)[0::3] == ("mit", pytest.approx(kept / (len(words) - 2), abs=0.02))
+    assert got == {
+        1: ("mit", 2, 2 + len(words), 1.0), 4: ("long", 2, 1502, 1.0), 5: ("long", 0, 1000, round(998 / 1498, 3)), None: ("long", 0, 1500, 1.0),
+    }
+    with pytest.raises(ValueError, match="two words"):
+        licenses.find_licenses(docs_of(spark, texts), [("one", "word")])
+
+
+@pytest.mark.parametrize("gram", [2, 4])
+def test_licenses_by_other_grams(spark, gram):
+    texts = [(1, "xx cc by yy"), (2, "all rights reserved"), (3, "general public license cc"), (4, "this is free and unencumbered software released into the public domain by")]
+    rows = {r["doc_id"]: r for r in licenses.scan_licenses(docs_of(spark, texts), gram=gram).collect()}
+    assert [(rows[i]["n_base"], rows[i]["labels"]) for i in (1, 2, 3, 4)] == [(1, "cc-by"), (1, "reserved"), (1, "gpl"), (0, "unlicense")]
+
+
 ASSIGN = re.compile(r"""((?:%s))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""" % "|".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in w) for w in ("password", "passwd", "secret", "token", "api_?key")))
 
 
@@ -359,6 +389,24 @@ def test_secrets(spark):
     assert secrets.scan_secrets(docs_of(spark, [])).count() == 0
 
 
+def test_secrets_by_either_join_and_in_long_texts(spark):
+    key = "0123456789abcdef" * 2
+    texts = [(1, f"token={key} " * 3000), (1, "token = abcdefg"), (2, f"{key} " * 3000 + "AKIA" + "Q" * 16), (None, "passwd: 'zzzzzz'"), (None, "passwd: 'zzzzzz'"), (3, None), (4, "token=")]
+    want = Counter((i, *[sum(s[1] == k for s in secret_spans(t or "")) for k in range(3)]) for i, t in texts)
+    for rows in (10, 0):
+        found = secrets.scan_secrets(docs_of(spark, texts), broadcast_rows=rows).collect()
+        assert Counter((r["doc_id"], r["n_assign"], r["n_access"], r["n_hex"]) for r in found) == want
+        long = next(r for r in found if r["doc_id"] == 2)
+        assert [(s["start"], s["end"]) for s in long["found"]] == [(a, b) for a, _, _, b in secret_spans(texts[2][1])]
+
+
+def test_secrets_of_other_rules(spark):
+    rules = [secrets.Rule("ticket", "ABC[0-9]+", 0, 10), secrets.Rule("pin", "(?:x|yy)#([0-9]+)", 1, 4), secrets.Rule("any", "[0-9]*%[0-9]+", 0, 3)]
+    texts = [(1, "ABC1234567 ABC123456"), (2, "x#1234 yy#123 yy#12345"), (3, "12%3 %1 %12"), (4, "abc1234567")]
+    rows = {r["doc_id"]: r["spans"] for r in secrets.scan_secrets(docs_of(spark, texts), rules).collect()}
+    assert rows == {1: "ticket:0:10", 2: "pin:0:6,pin:14:22", 3: "any:0:4,any:8:11", 4: ""}
+
+
 def test_trigram_queries_hold_for_every_match():
     samples = {"assign": "x Api_Key='abc123'", "access": "AKIA" + "B" * 16, "private_key": "-----BEGIN EC PRIVATE KEY-----", "github": "gho_" + "x" * 36,
                "slack": "xoxb-1234567890", "google": "AIza" + "Z" * 35, "stripe": "sk_live_" + "q" * 16, "jwt": "eyJabcdefgh.eyJabcdefgh.abcdefgh"}
