@@ -8,12 +8,16 @@ than its batch at a time.
 from __future__ import annotations
 
 import math
-import tempfile
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
+
+from ..plans.session import shared_folder
+from .words import slices
 
 #: Bytes of text in a batch: it follows the square root of the corpus between these bounds,
 #: which keeps both the batches and the messages between any two of them of a useful size.
@@ -25,8 +29,7 @@ _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` written to the cluster's checkpoint folder and read from there.
 
-    The folder is ``spark.checkpoint.dir`` of the session; a temporary one is set only where
-    the session names none, as in tests on one machine.  What the rows were shuffled through is
+    See :func:`tesserix.plans.session.shared_folder`.  What the rows were shuffled through is
     deleted once they are written, since nothing reads it again.
     """
     spark = df.sparkSession
@@ -39,20 +42,46 @@ def checkpointed(df: DataFrame) -> DataFrame:
         spark.conf.set(_CLEANUP, before)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share (see :func:`checkpointed`)."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        configured = sc.getConf().get("spark.checkpoint.dir")
-        sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="checkpoints-"))
-    return sc._jsc.sc().getCheckpointDir().get()
-
-
 def quoted(name: str) -> str:
     """A column's name as SQL takes it, whatever is in it."""
     return "`" + name.replace("`", "``") + "`"
 
 
+def whole_rows(docs: DataFrame, names: list[str] | None = None) -> DataFrame:
+    """The columns of ``docs`` (or those named) as one column ``row``, so that no name of theirs
+    can clash with another or be misread."""
+    names = docs.columns if names is None else names
+    return docs.select(F.struct(*(F.col(quoted(c)) for c in names)).alias("row"))
+
+
+def row_slices(batch: pa.RecordBatch, text_at: int):
+    """Rows in runs of a bounded number of bytes of text, and their texts, field ``text_at``."""
+    rows = batch.column(0)
+    for part in slices(pa.RecordBatch.from_arrays([rows, pc.struct_field(rows, [text_at])], ["row", "text"])):
+        yield part.column(0), part.column(1)
+
+
+def filter_rows(docs: DataFrame, kept) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, for whose texts ``kept`` (a function of an
+    array of texts) says so."""
+    text_at = docs.columns.index("text")
+
+    def run(batches):
+        for batch in batches:
+            for rows, texts in row_slices(batch, text_at):
+                yield pa.RecordBatch.from_arrays([rows.filter(pa.array(kept(texts)))], ["row"])
+
+    return whole_rows(docs).mapInArrow(run, StructType([StructField("row", docs.schema)])).select("row.*")
+
+
+def salted_join(many: DataFrame, few: DataFrame, keys: list[str], spread, how: str = "inner", salts: int = 8) -> DataFrame:
+    """``many`` joined with ``few``, where one key may have a large share of ``many``: its rows are
+    dealt over ``salts`` tasks by ``spread`` (a column or its name), and ``few`` goes to each."""
+    dealt = many.withColumn("salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
+    copied = few.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return dealt.join(copied, [*keys, "salt"], how).drop("salt")
+
+
 def text_bytes(docs: DataFrame, column: str = "text") -> int:
     """Bytes of all the texts: one narrow aggregation."""
     return docs.agg(F.sum(F.octet_length(column)).alias("b")).first()["b"] or 0

@@ -9,18 +9,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .cluster import checkpointed
-
-
-#: Parts that a hub's links are dealt over.
-SALTS = 8
+from .cluster import checkpointed, salted_join
 
 
 def _on_least(pairs: DataFrame, upward: bool) -> DataFrame:
     """Links (a, b), a > b, between each neighbour of a node and the least of them all."""
     least = pairs.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-    salted = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    joined = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int")).join(salted, ["a", "salt"])
+    joined = salted_join(pairs, least, ["a"], "b")
     if upward:
         return joined.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return joined.where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .cluster import batch_count, binary_column, checkpointed, flat_binary, quoted, text_bytes
+from .cluster import batch_count, binary_column, checkpointed, flat_binary, salted_join, text_bytes, whole_rows
 from .components import components
 from .words import LOWER, Words, distinct, mix
 
@@ -43,8 +43,6 @@ ROUNDS = 2
 COMMON = 2048
 #: Entries of short lists up to which a heap merges them; more are merged run by run in one sort.
 HEAPED = 4096
-#: Parts that rows of one key are dealt over in joins.
-SALTS = 8
 #: Rows without a doc_id have nodes from here on.
 _NO_ID = 1 << 62
 
@@ -400,11 +398,9 @@ def _common_routes(postings: DataFrame, block: int) -> DataFrame:
     # partial sums first: a token's components meet only as their number of blocks
     last = one.groupBy("token", "big", "home", "n_home").agg(F.max("place").alias("last"), F.max(indexed).alias("last_indexed"))
     first = one.groupBy("token").agg(F.min("place").alias("first"), F.min(indexed).alias("first_indexed"))
-    dealt = one.withColumn("salt", F.pmod(F.xxhash64("comp"), F.lit(SALTS)).cast("int"))
-    salted = lambda df: df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     either = lambda a, b: F.when(F.col("indexed"), F.col(a)).otherwise(F.col(b))
-    asked = dealt.drop("big", "home", "n_home").join(salted(last), ["token", "salt"]).where(F.col("place") < either("last", "last_indexed"))
-    found = dealt.join(salted(first), ["token", "salt"]).where(F.col("place") > either("first", "first_indexed"))
+    asked = salted_join(one.drop("big", "home", "n_home"), last, ["token"], "comp").where(F.col("place") < either("last", "last_indexed"))
+    found = salted_join(one, first, ["token"], "comp").where(F.col("place") > either("first", "first_indexed"))
     names = _ROUTE_NAMES[:-1]
     return asked.select(*names, F.lit(True).alias("query")).union(found.select(*names, F.lit(False).alias("query")))
 
@@ -448,11 +444,11 @@ def _linked(docs: DataFrame, seed: int | None, size: int, percent: int, block: i
     return linked.withColumn("component", F.coalesce("component", "node"))
 
 
-def node_of(seed: int | None):
+def node_of(seed: int | None, doc_id="doc_id", text="text"):
     """A row's node: its doc_id, or one that its text determines if it has none."""
     if seed is None:
-        return F.col("doc_id")
-    return F.coalesce("doc_id", F.lit(_NO_ID) + F.pmod(F.xxhash64("text", F.lit(seed)), F.lit(_NO_ID)))
+        return F.coalesce(doc_id)
+    return F.coalesce(doc_id, F.lit(_NO_ID) + F.pmod(F.xxhash64(text, F.lit(seed)), F.lit(_NO_ID)))
 
 
 def _node_seed(docs: DataFrame) -> int | None:
@@ -493,10 +489,8 @@ def jaccard_components(
     linked = checkpointed(linked.select("node", "missing", "n_shingles", "component"))
     named = linked.where("missing AND node = component").select("component").distinct()
     least = linked.groupBy("component").agg(F.min(F.when(~F.col("missing"), F.col("node"))).alias("least"))
-    least = least.join(named, "component").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    renamed = linked.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(
-        least.withColumn("renamed", F.lit(True)), ["component", "salt"], "left"
-    )
+    least = least.join(named, "component").withColumn("renamed", F.lit(True))
+    renamed = salted_join(linked, least, ["component"], "node", "left")
     return renamed.select(doc_id, "n_shingles", F.when(F.col("renamed"), F.col("least")).otherwise(F.col("component")).alias("component_id"))
 
 
@@ -519,8 +513,8 @@ def drop_near_duplicates(
     gone = others.distinct().withColumn("gone", F.lit(True))
     again = least.where("rows > 1").select(F.col("component").alias("node"), F.col("least").alias("text_key"), F.lit(False).alias("gone"))
     marks = gone.union(again.join(gone.drop("gone"), ["node", "text_key"], "left_anti"))
-    # the input's columns travel as one, so that no name of theirs can clash
-    own = docs.select(F.struct(*(F.col(quoted(c)) for c in docs.columns)).alias("row"), node_of(seed).alias("node"), F.xxhash64("text").alias("text_key"))
+    doc_id, text = F.col("row.doc_id"), F.col("row.text")
+    own = whole_rows(docs).select("row", node_of(seed, doc_id, text).alias("node"), F.xxhash64(text).alias("text_key"))
     marked = own.join(marks, ["node", "text_key"], "left")
     once = marked.where("gone IS NULL").select("row.*")
     repeated = marked.where("NOT gone").dropDuplicates(["node", "text_key"]).select("row.*")
