@@ -10,10 +10,12 @@ and hashed by the words at a few sampled steps; as many repetitions are drawn as
 recall needs at the most edits, measured on random sequences of the same length.  Where a window
 meets a part in any repetition, the whole item is verified by exact edit distance.
 
-All windows of a batch walk together in NumPy arrays.  An edit spoils two pairs of neighbouring
-words at most, so windows with too few of the benchmark's pairs to come within the allowed
-edits of any length in their class are left out before walking, and a window stops as soon as no item has its sampled word;
-neither can lose a match.  One pass over the texts, no shuffle.
+All windows of a batch walk together in NumPy arrays.  Whether a word moves a step on is a bit of
+its hash times the step's own factor, so no table grows with the vocabulary.  An edit spoils two
+pairs of neighbouring words at most, so windows with too few of the benchmark's pairs to come
+within the allowed edits of any length in their class are left out before walking, and a window
+stops as soon as no item has its sampled word; neither can lose a match that the sampled steps
+would make.  One pass over the texts, no shuffle.
 """
 
 from __future__ import annotations
@@ -25,6 +27,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
+from .cluster import filter_rows
 from .words import NOT_ALNUM, SAME, Words, mix, slices
 
 #: Edits allowed, as a share of an item's words.
@@ -37,8 +40,13 @@ SAMPLED = 4
 PART_WORDS = 15
 #: Items with fewer words say too little once edited; they are looked for word for word.
 LEAST_WORDS = 8
-#: Items that are looked for in one pass; more items take more passes.
-ITEMS_A_PASS = 20_000
+#: Bytes of items that are looked for in one pass over the texts; more items take more passes.
+#: A pass's tables take some forty times as much; a longer item is a pass by itself.
+PASS_BYTES = 4 << 20
+
+#: Sampled steps whose words are looked up before the walk goes on.
+FILTERED = 2
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 _FOUND = "doc_id long, item_id long, n_edits int, n_item_words int, first_word long, n_words int"
 
@@ -47,16 +55,21 @@ def _words(texts) -> Words:
     return Words(pc.utf8_lower(texts), separators=NOT_ALNUM, fold=SAME)
 
 
+def _short(hashes: np.ndarray) -> np.ndarray:
+    """What walks tell words by; 0 stands for none."""
+    return (hashes >> np.uint64(32)).astype(np.uint32)
+
+
 def _pair_hash(hashes: np.ndarray) -> np.ndarray:
     """A hash of each word and the next."""
-    return mix(hashes[:-1] * np.uint64(0x9E3779B97F4A7C15) + hashes[1:])
+    return mix(hashes[:-1] * _SPREAD + hashes[1:])
 
 
 def _window_hash(windows: np.ndarray) -> np.ndarray:
     """A hash of the words in each row."""
     out = np.zeros(len(windows), np.uint64)
     for column in windows.T:
-        out = mix(out * np.uint64(0x9E3779B97F4A7C15) + column)
+        out = mix(out * _SPREAD + column)
     return out
 
 
@@ -120,27 +133,27 @@ class Benchmark:
             elif item is not None and len(own):
                 at.setdefault(len(own), []).append(len(short))
                 short.append((item, own))
-        self.vocabulary = np.unique(np.concatenate([w for _, w in self.items])) if self.items else np.empty(0, np.uint64)
-        self._tabled()
         pairs = [_pair_hash(w) for _, w in self.items]
         self.pairs = np.zeros(1 << max(16, (16 * sum(map(len, pairs))).bit_length()), bool)
         for own in pairs:
             self.pairs[(own & np.uint64(len(self.pairs) - 1)).astype(np.int64)] = True
-        self.longest = max((len(w) for _, w in self.items), default=0)
         # (item, first word, words) of each part
         self.parts = [(m, int(a), int(b - a)) for m, (_, w) in enumerate(self.items) for a, b in self._cuts(len(w))]
         lengths = np.array([n for _, _, n in self.parts], np.int64)
         ranges = list(self._ranges(lengths))
         reps = [self._repetitions(low, lengths, high, recall, sampled) for low, high in ranges]
-        longest = int(lengths.max()) if len(lengths) else 0
-        self.bits = rng.integers(0, 2, (max(reps, default=0), self._steps(longest) + sampled + 1, len(self.vocabulary) + 1), dtype=np.uint8)
+        self.steps = self._steps(int(lengths.max())) + sampled + 1 if len(lengths) else 0
+        # odd factors of each repetition's steps
+        self.factors = rng.integers(0, 1 << 31, (max(reps, default=0), self.steps), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
         self.classes = []
-        coded = [self.codes(w) for _, w in self.items]
-        coded = [coded[m][a : a + n] for m, a, n in self.parts]
         for (low, high), drawn in zip(ranges, reps, strict=True):
             members = np.flatnonzero((lengths >= low) & (lengths <= high))
+            shown = np.zeros((len(members), self.steps + high), np.uint32)
+            for k, m in enumerate(members.tolist()):
+                item, a, n = self.parts[m]
+                shown[k, :n] = _short(self.items[item][1][a : a + n])
             least = min(max(0, n - 1 - 2 * self.allowed(n)) for n in lengths[members].tolist())
-            self.classes.append((low, high, least, [self._table(r, low, members, coded, sampled, rng) for r in range(drawn)]))
+            self.classes.append((low, high, least, [self._table(r, low, members, shown, sampled, rng) for r in range(drawn)]))
         # short items by length, in the order of their window hashes
         self.short = []
         for n, members in at.items():
@@ -164,26 +177,6 @@ class Benchmark:
         present = np.unique(lengths[(lengths >= low) & (lengths <= high)]).tolist()
         return max(repetitions(n, self.allowed(n), recall, min(sampled, low), self._steps(low)) for n in present)
 
-    def _tabled(self) -> None:
-        """A direct-mapped table of the vocabulary; words that collide there are searched for."""
-        size = 1 << max(16, (8 * len(self.vocabulary)).bit_length())
-        self.slots = np.zeros(size, np.int32)
-        slot = (self.vocabulary & np.uint64(size - 1)).astype(np.int64)
-        self.slots[slot] = np.arange(1, len(self.vocabulary) + 1)
-        self.crowded = np.zeros(size, bool)
-        self.crowded[slot[np.bincount(slot, minlength=size)[slot] > 1]] = True
-
-    def codes(self, hashes: np.ndarray) -> np.ndarray:
-        """1 and up for words of the vocabulary, 0 for others."""
-        if not len(self.vocabulary):
-            return np.zeros(len(hashes), np.int32)
-        slot = (hashes & np.uint64(len(self.slots) - 1)).astype(np.int64)
-        code = self.slots[slot]
-        again = np.flatnonzero(self.crowded[slot])
-        if len(again):
-            code[again] = np.minimum(np.searchsorted(self.vocabulary, hashes[again]), len(self.vocabulary) - 1) + 1
-        return np.where(self.vocabulary[code - 1] == hashes, code, 0)
-
     @staticmethod
     def _ranges(lengths: np.ndarray):
         low = None
@@ -196,23 +189,23 @@ class Benchmark:
         if low is not None:
             yield low, high
 
-    def _table(self, rep: int, low: int, members: np.ndarray, coded: list[np.ndarray], sampled: int, rng):
-        """Sampled steps, words that parts show at each, and the parts by hash."""
+    def _table(self, rep: int, low: int, members: np.ndarray, shown: np.ndarray, sampled: int, rng):
+        """Sampled steps, filters of the words that parts show at the first ones, and the parts by
+        hash.  ``shown``: the parts' words, a row each, nothing beyond their ends."""
         steps = np.sort(rng.choice(self._steps(low), min(sampled, low), replace=False))
-        keys, parts, shown = [], [], np.zeros((len(steps), len(self.vocabulary) + 1), bool)
-        for m in members.tolist():
-            at, k, key, codes = 0, 0, 0, coded[m]
-            for j in range(steps[-1] + 1):
-                code = int(codes[at]) if at < len(codes) else 0
-                if j == steps[k]:
-                    shown[k, code] = True
-                    key = (key * (len(self.vocabulary) + 1) + code) % (1 << 64)
-                    k += 1
-                at += int(self.bits[rep, j, code])
-            keys.append(key)
-            parts.append(m)
-        order = np.argsort(np.array(keys, np.uint64), kind="stable")
-        return steps, shown, np.array(keys, np.uint64)[order], np.array(parts)[order]
+        size = 1 << max(8, (8 * len(members)).bit_length())
+        filters, rows = [], np.arange(len(members))
+        at, key = np.zeros(len(members), np.int64), np.zeros(len(members), np.uint64)
+        for j in range(steps[-1] + 1):
+            word = shown[rows, at]
+            if j in steps:
+                key = key * _SPREAD + word
+                if len(filters) < FILTERED:
+                    filters.append(np.zeros(size, bool))
+                    filters[-1][word & np.uint32(size - 1)] = True
+            at = at + (word * self.factors[rep, j] >> np.uint32(31))
+        order = np.argsort(key, kind="stable")
+        return steps, filters, key[order], members[order].astype(np.int32)
 
     def allowed(self, n: int) -> int:
         return int(self.edits * n)
@@ -223,29 +216,30 @@ class Benchmark:
         known = np.zeros(n + 1, np.int64)
         np.cumsum(self.pairs[(_pair_hash(hashes) & np.uint64(len(self.pairs) - 1)).astype(np.int64)], out=known[1:n])
         known[n] = known[n - 1]
-        codes = self.codes(hashes)
-        padded = np.append(codes, np.zeros(2 * self.longest + 2, np.int32))
+        padded = np.append(_short(hashes), np.zeros(self.steps + 1, np.uint32))
         starts, parts = [], []
         for _, high, least, tables in self.classes:
             reach = np.minimum(np.arange(high, n + high) + self.allowed(high) - 1, n)
             begin = np.flatnonzero(known[reach] - known[:-1] >= least)
             if not len(begin):
                 continue
-            for rep, (steps, shown, keys, members) in enumerate(tables):
+            for rep, (steps, filters, keys, members) in enumerate(tables):
                 at, origin, key, k = begin.copy(), begin, np.zeros(len(begin), np.uint64), 0
                 for j in range(steps[-1] + 1):
-                    code = padded[at]
+                    word = padded[at]
                     if j == steps[k]:
-                        on = shown[k, code]
-                        at, origin, key, code = at[on], origin[on], key[on], code[on]
-                        key = key * np.uint64(len(self.vocabulary) + 1) + code.astype(np.uint64)
+                        if k < len(filters):
+                            on = filters[k][word & np.uint32(len(filters[k]) - 1)]
+                            at, origin, key, word = at[on], origin[on], key[on], word[on]
+                        key = key * _SPREAD + word
                         k += 1
                         if not len(at):
                             break
-                    at = at + self.bits[rep, j, code]
+                    at = at + (word * self.factors[rep, j] >> np.uint32(31))
                 if len(at):
                     first, last = np.searchsorted(keys, key, "left"), np.searchsorted(keys, key, "right")
-                    for s, a, b in zip(origin.tolist(), first.tolist(), last.tolist(), strict=True):
+                    met = np.flatnonzero(last > first)
+                    for s, a, b in zip(origin[met].tolist(), first[met].tolist(), last[met].tolist(), strict=True):
                         starts += [s] * (b - a)
                         parts += members[a:b].tolist()
         return np.array(starts, np.int64), np.array(parts, np.int64)
@@ -322,14 +316,16 @@ def best_substring(pattern: np.ndarray, text: np.ndarray) -> tuple[int, int, int
 
 
 def _benchmarks(benchmark: DataFrame, **options):
-    """The benchmark in groups of a bounded number of items, in the order of their ids."""
+    """The benchmark in groups of a bounded size, in the order of their ids."""
     rows = benchmark.select("item_id", "text").where("item_id IS NOT NULL AND text IS NOT NULL").orderBy("item_id", "text")
-    group: list = []
+    group, size = [], 0
     for row in rows.toLocalIterator():
-        group.append(row)
-        if len(group) == ITEMS_A_PASS:
+        n = len(row[1].encode())
+        if group and size + n > PASS_BYTES:
             yield Benchmark([r[0] for r in group], [r[1] for r in group], **options)
-            group = []
+            group, size = [], 0
+        group.append(row)
+        size += n
     if group:
         yield Benchmark([r[0] for r in group], [r[1] for r in group], **options)
 
@@ -340,7 +336,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     Words are runs of letters, digits and non-ASCII characters, compared in lower case.  A
     passage matches an item of n words if at most ``edits`` * n words are inserted, deleted
     or replaced.  Items with fewer than ``least_words`` words match only word for word, items
-    without words, or with a null text or id, nothing; null and empty texts have no passages; repeated rows are found each.
+    without words, or with a null text or id, nothing; null and empty texts have no passages; repeated
+    rows are found each; texts and items are read whole, however long; without items or texts
+    there are no rows.
 
     Returns ``doc_id, item_id, n_edits, n_item_words, first_word, n_words``: the nearest
     passage to the item in each run of overlapping candidates.
@@ -373,16 +371,14 @@ _KINDS = [pa.int64() if x.split()[1] == "long" else pa.int32() for x in _FOUND.s
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows of ``docs``, all columns as they are, whose text holds no passage of the
-    benchmark (see :func:`find_leaks`)."""
+    benchmark (see :func:`find_leaks`).  Null and empty texts stay; repeated rows stay or go alike."""
     for items in _benchmarks(benchmark, **options):
         shared = docs.sparkSession.sparkContext.broadcast(items)
 
-        def clean(batches, shared=shared):
-            for batch in batches:
-                for part in slices(batch):
-                    keep = np.ones(part.num_rows, bool)
-                    keep[[m[0] for m in shared.value.matches(_words(part.column("text")))]] = False
-                    yield part.filter(pa.array(keep))
+        def clean(texts, shared=shared):
+            keep = np.ones(len(texts), bool)
+            keep[[m[0] for m in shared.value.matches(_words(texts))]] = False
+            return keep
 
-        docs = docs.mapInArrow(clean, docs.schema)
+        docs = filter_rows(docs, clean)
     return docs
