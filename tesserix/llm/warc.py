@@ -2,11 +2,14 @@
 
 Writing: each task writes one gzip file of records, a gzip member each, whose header carries
 its length (subfield "sl"), and reports it; only files of the attempts that Spark commits are
-listed in the archive's manifest, so lost and repeated tasks leave no records twice.
+listed in the archive's manifests, so lost and repeated tasks leave no records twice.  Every
+commit writes a manifest of its own: appending adds to an archive, overwriting ends the others.
 
 Reading: files are planned as partitions, large ones in ranges that start at the next record.
-A record's headers are parsed first; filters on what they say (type, page, address) are pushed
-down, and the rest of an unwanted record is skipped by its length without being decoded.
+A record's headers are parsed first; filters on what they say (type, page, address, date) are
+pushed down, and the rest of an unwanted record is skipped by its length without being decoded.
+Archives of other writers are read as well: their records have an id and a date instead of a
+page_id, chunked bodies are put together, and what a body is packed with is told.
 """
 
 from __future__ import annotations
@@ -36,20 +39,21 @@ from pyspark.sql.datasource import (
     WriterCommitMessage,
 )
 
-from .cluster import shared_folder
+from ..plans.session import delete, shared_folder
+from .cluster import checkpointed, salted_join
 
 WRITTEN = "page_id long, url string, html string, record_type string, refers_to long, payload_digest string"
 READ = (
     "page_id long, record_type string, target_uri string, payload_bytes long, payload_digest string, "
-    "refers_to long, payload binary"
+    "refers_to long, record_id string, date string, content_encoding string, payload binary"
 )
 #: Columns that a record's headers alone decide.
-HEADER_COLUMNS = ("page_id", "record_type", "target_uri", "refers_to")
+HEADER_COLUMNS = ("page_id", "record_type", "target_uri", "refers_to", "record_id", "date", "content_encoding")
 #: Bytes of a file that make a partition.
 SPLIT_BYTES = 64 << 20
 #: Payloads from this size on are stored once.
 REVISIT_BYTES = 1000
-_MANIFEST = "_manifest.json"
+_MANIFEST = "_manifest-"
 _MAGIC = b"\x1f\x8b\x08"
 
 
@@ -93,9 +97,9 @@ class _Committed(WriterCommitMessage):
 
 
 class WarcWriter(DataSourceArrowWriter):
-    def __init__(self, options: dict):
+    def __init__(self, options: dict, overwrite: bool = False):
         self.path, self.date = options["path"], options.get("date", "1970-01-01T00:00:00Z")
-        self.level = int(options.get("level", "1"))
+        self.level, self.overwrite = int(options.get("level", "1")), overwrite
 
     def write(self, iterator):
         files, folder = _files(self.path)
@@ -116,8 +120,15 @@ class WarcWriter(DataSourceArrowWriter):
         files, folder = _files(self.path)
         files.create_dir(folder, recursive=True)
         listed = [{"name": m.name, "records": m.records, "size": m.size} for m in messages if m is not None]
-        with files.open_output_stream(f"{folder}/{_MANIFEST}") as out:
+        before = _manifests(files, folder) if self.overwrite else []
+        manifest = f"{folder}/{_MANIFEST}{uuid.uuid4().hex}.json"
+        with files.open_output_stream(f"{manifest}.part") as out:
             out.write(json.dumps(listed).encode())
+        files.move(f"{manifest}.part", manifest)
+        for old, names in before:
+            files.delete_file(old)
+            for x in names:
+                files.delete_file(f"{folder}/{x['name']}")
 
     def abort(self, messages):
         files, folder = _files(self.path)
@@ -126,6 +137,16 @@ class WarcWriter(DataSourceArrowWriter):
                 files.delete_file(f"{folder}/{m.name}")
 
 
+def _manifests(files: pafs.FileSystem, folder: str) -> list[tuple[str, list[dict]]]:
+    """Paths of the archive's manifests, and the files that each lists."""
+    found = []
+    for info in files.get_file_info(pafs.FileSelector(folder, allow_not_found=True)):
+        if re.fullmatch(_MANIFEST + r"\w+\.json", info.base_name):
+            with files.open_input_stream(info.path) as f:
+                found.append((info.path, json.loads(f.read())))
+    return found
+
+
 class _Range(InputPartition):
     def __init__(self, name: str, start: int, end: int):
         super().__init__(None)
@@ -155,10 +176,9 @@ class WarcReader(DataSourceReader):
 
     def partitions(self):
         files, folder = _files(self.path)
-        manifest = files.get_file_info(f"{folder}/{_MANIFEST}")
-        if manifest.type == pafs.FileType.File:
-            with files.open_input_stream(manifest.path) as f:
-                listed = [(x["name"], x["size"]) for x in json.loads(f.read())]
+        manifests = _manifests(files, folder)
+        if manifests:
+            listed = sorted((x["name"], x["size"]) for _, names in manifests for x in names)
         else:
             found = files.get_file_info(pafs.FileSelector(folder))
             listed = sorted((f.base_name, f.size) for f in found if re.search(r"\.warc(\.gz)?$", f.base_name))
@@ -187,7 +207,7 @@ class WarcReader(DataSourceReader):
             return
         files, folder = _files(self.path)
         names = [x.split()[0] for x in READ.split(", ")]
-        kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary()]
+        kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), *[pa.string()] * 3, pa.binary()]
         rows, size = [], 0
 
         def batch():
@@ -211,14 +231,14 @@ def scan(f, start: int, end: int, accepts, payload: str, gzipped: bool):
         record = _Member(f, at) if gzipped else _Plain(f, at)
         row, http = _headers(record)
         if row is not None and accepts(row):
-            if payload != "skip" and row["record_type"] != "revisit" and http is not None:
-                row = _with_payload(row, record, payload)
+            if payload != "skip" and row["record_type"] != "revisit":
+                row = _with_payload(row, record, payload, bool(re.search(r"(?i)\r\ntransfer-encoding:[^\r]*chunked", http or "")))
             yield row
         at = record.skip()
 
 
 def _headers(record) -> tuple[dict | None, str | None]:
-    """What the record's headers say of it, and its HTTP headers."""
+    """What the record's headers say of it, and its HTTP headers, if it has any."""
     head = record.until_blank()
     if not head:
         return None, None
@@ -226,21 +246,51 @@ def _headers(record) -> tuple[dict | None, str | None]:
     warc = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
     record.begin_block(int(warc.get("content-length", 0)))
     http = record.until_blank() if warc.get("content-type", "").startswith("application/http") else None
-    length = re.search(rb"(?i)\r\ncontent-length:\s*(\d+)", http or b"")
-    digest = warc.get("warc-payload-digest", "")
+    http = http and http.decode("utf-8", "replace")
+    length = re.search(r"(?i)\r\ncontent-length:\s*(\d+)", http or "")
+    packed = re.search(r"(?i)\r\ncontent-encoding:\s*([^\r]+)", http or "")
     return {
         "page_id": _number(warc.get("warc-record-id")),
         "record_type": warc.get("warc-type"),
         "target_uri": warc.get("warc-target-uri"),
         "payload_bytes": int(length[1]) if length else record.block_left(),
-        "payload_digest": base64.b32decode(digest[5:]).hex() if digest.startswith("sha1:") else None,
+        "payload_digest": _sha1(warc.get("warc-payload-digest", "")),
         "refers_to": _number(warc.get("warc-refers-to")),
+        "record_id": warc.get("warc-record-id", "").strip("<>") or None,
+        "date": warc.get("warc-date"),
+        "content_encoding": packed[1].strip().lower() if packed else None,
         "payload": None,
     }, http
 
 
-def _with_payload(row: dict, record, payload: str) -> dict:
-    data = record.rest()
+def _sha1(digest: str) -> str | None:
+    """A labelled digest as hexadecimal SHA-1, in base 32 or 16; None for others."""
+    label, _, value = digest.partition(":")
+    try:
+        return {32: lambda: base64.b32decode(value.upper()).hex(), 40: lambda: bytes.fromhex(value).hex()}[len(value)]() if label.lower() == "sha1" else None
+    except (KeyError, ValueError):
+        return None
+
+
+def _unchunked(data: bytes) -> bytes:
+    """The body that came in chunks; as it is, if they are damaged."""
+    parts, at = [], 0
+    while (end := data.find(b"\r\n", at)) >= 0:
+        size = re.match(rb"[0-9A-Fa-f]+", data[at:end])
+        if not size:
+            return data
+        n, at = int(size[0], 16), end + 2
+        if not n:
+            return b"".join(parts)
+        if len(data) < at + n:
+            return data
+        parts.append(data[at : at + n])
+        at += n + 2
+    return data
+
+
+def _with_payload(row: dict, record, payload: str, chunked: bool) -> dict:
+    data = _unchunked(record.rest()) if chunked else record.rest()
     return row | {
         "payload_bytes": len(data),
         "payload_digest": hashlib.sha1(data).hexdigest(),
@@ -385,7 +435,7 @@ class WarcSource(DataSource):
         return WarcReader(self.options)
 
     def writer(self, schema, overwrite: bool) -> WarcWriter:
-        return WarcWriter(self.options)
+        return WarcWriter(self.options, overwrite)
 
 
 def register(spark: SparkSession) -> None:
@@ -403,7 +453,8 @@ def as_records(pages: DataFrame, least: int = REVISIT_BYTES) -> DataFrame:
     the largest page_id is the response and the others revisit it.
 
     A null html is an empty payload.  A null page_id revisits if another page has the payload,
-    else it is a response; rows that repeat the largest page_id are all responses.
+    else it is a response; rows that repeat the largest page_id are all responses.  Pages are read
+    whole, however long; an empty table has no records.
     """
     pages = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).withColumn("payload_digest", F.sha1("html"))
     shared = (
@@ -413,7 +464,8 @@ def as_records(pages: DataFrame, least: int = REVISIT_BYTES) -> DataFrame:
         .where("copies > 1 AND kept IS NOT NULL")
     )
     revisits = F.col("kept").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("kept"))
-    return pages.join(shared, "payload_digest", "left").select(
+    # a page that very many addresses have is dealt over several tasks
+    return salted_join(pages, shared, ["payload_digest"], F.struct("page_id", "url"), "left", salts=16).select(
         "page_id", "url", "html",
         F.when(revisits, "revisit").otherwise("response").alias("record_type"),
         F.when(revisits, F.col("kept")).alias("refers_to"),
@@ -421,20 +473,26 @@ def as_records(pages: DataFrame, least: int = REVISIT_BYTES) -> DataFrame:
     )
 
 
-def write_warc(pages: DataFrame, path: str) -> None:
+def write_warc(pages: DataFrame, path: str, mode: str = "append") -> None:
     """Archive pages (``page_id, url, html``) under ``path``, a folder that all machines share."""
     register(pages.sparkSession)
-    as_records(pages).write.format("warc").mode("append").option("path", path).save()
+    as_records(pages).write.format("warc").mode(mode).option("path", path).save()
 
 
 def archive_round_trip(pages: DataFrame) -> DataFrame:
     """Write an archive of the pages into the cluster's shared folder and read it back.
 
-    Returns a row per page: ``page_id, payload_bytes, payload_digest`` (hexadecimal SHA-1;
-    both taken from the decoded payload, or from a revisit's headers), ``record_type,
-    refers_to, target_uri``.
+    Takes ``page_id, url, html``; other columns are ignored.  Returns a row per page: ``page_id,
+    payload_bytes, payload_digest`` (hexadecimal SHA-1; both taken from the decoded payload, or
+    from a revisit's headers), ``record_type, refers_to, target_uri`` and the other columns that
+    headers decide.  Responses are asked for with their payloads and everything else without, by
+    filters on the type that the source takes over.  The archive is deleted once it is read.
     """
     spark = pages.sparkSession
     path = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
     write_warc(pages, path)
-    return read_warc(spark, path, payload="verify").drop("payload")
+    stored = read_warc(spark, path, payload="verify").where("record_type = 'response'")
+    revisits = read_warc(spark, path, payload="skip").where("record_type = 'revisit'")
+    rows = checkpointed(stored.drop("payload").union(revisits.drop("payload")))
+    delete(spark, path)
+    return rows
