@@ -2,17 +2,24 @@
 
 E-mail addresses, IP addresses, card and telephone numbers are found by their forms.  Each
 distinct one is a protected entity.  How much a term tells of it follows from corpus counts: with
-df(e), df(t) and co(e, t) the texts that hold the entity, the term and both, and N all texts, the
-term discloses the share
+df(e), df(t) and co(e, t) the texts that hold the entity, the term and both, N all texts and
+p(e) = df(e) / N, a text with the term holds the entity with the smoothed probability
 
-    log2(N * co / (df(e) * df(t))) / log2(N / df(e))
+    p(e | t) = (co + p(e)) / (df(t) + 1),
+
+as if one more text had the term and held the entity as often as any.  The term discloses the share
+
+    log2(p(e | t) / p(e)) / log2(1 / p(e))
 
 of the entity's information.  Terms over a threshold are removed wherever they stand in a text
-that holds their entity, and entities are generalised to their kind.
+that holds their entity, and entities are generalised to their kind.  Smoothing takes the place of
+a least number of texts: a term seen once tells of an entity that is as rare, but not of one that
+many texts hold anyway.
 
 All counts are of texts, copies included.  One pass finds entities and counts each task's words;
-what follows joins the words of texts whose entities other texts hold as well.  An entity and a
-term must be together in two different texts at least, so copies alone make no term telling.
+what follows joins the words of texts that hold entities.  Entities that stand in just the same
+texts share all their counts and are one class, so a text's terms meet its classes and not each of
+a long list of entities.
 """
 
 from __future__ import annotations
@@ -22,21 +29,22 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
-from .cluster import binary_column, checkpointed, flat_binary
+from .cluster import binary_column, checkpointed, flat_binary, row_slices, salted_join, whole_rows
 from .words import LOWER, NOT_ALNUM, Words, distinct, slices
 
 #: Kinds in the order they are listed; terms follow them.
 KINDS = ("email", "ip", "card", "phone")
 TERM = "term"
-#: Words on either side of an entity in the tests' plain count; the operator looks at whole texts.
-CONTEXT = 6
 #: Share of an entity's information from which on a term is removed.
 DISCLOSURE = 0.8
-#: Different texts that hold both the entity and the term at least.
-LEAST_CONTEXTS = 2
+#: Words in more than this share of the texts are told by a broadcast: a hundred times as many as
+#: a text's different words at most.
+FREQUENT = 0.01
 #: Distinct words that a task counts before it passes the counts on.
 WORDS_AT_A_TIME = 1 << 21
 
@@ -94,7 +102,13 @@ def _hash(*parts: str) -> int:
 
 
 _SPAN = "struct<start:bigint,number:int,kind:string,end:bigint>"
-_SCAN = f"base array<{_SPAN}>, base_sha256 string, entities array<bigint>, key bigint, terms array<bigint>, held string, words binary, counts binary"
+_SPANS = pa.list_(pa.struct([("start", pa.int64()), ("number", pa.int32()), ("kind", pa.string()), ("end", pa.int64())]))
+#: Of what a scan adds to each row.
+_SCANNED = {
+    "base": (_SPANS, f"array<{_SPAN}>"), "base_sha256": (pa.string(), "string"), "entities": (pa.list_(pa.int64()), "array<bigint>"),
+    "key": (pa.int64(), "bigint"), "terms": (pa.list_(pa.int64()), "array<bigint>"), "held": (pa.string(), "string"),
+    "words": (pa.binary(), "binary"), "counts": (pa.binary(), "binary"),
+}
 
 
 def joined(spans) -> str:
@@ -113,34 +127,31 @@ def _free(words: Words, row: int, text: str, spans) -> np.ndarray:
     return lo + np.flatnonzero(free)
 
 
-def _scan(batches, names: list[str]):
-    """Each row with its base spans and entities and, if it has any, its hash, its different
-    terms and its text (unless kept anyway); then the task's words with the number of texts that
-    hold each, in rows of their own."""
-    schema = [pa.list_(pa.struct([("start", pa.int64()), ("number", pa.int32()), ("kind", pa.string()), ("end", pa.int64())])), pa.string(), pa.list_(pa.int64())]
-    schema += [pa.int64(), pa.list_(pa.int64()), pa.string()]
-    extra = ["base", "base_sha256", "entities", "key", "terms", "held", "words", "counts"]
-    types, seen, waiting = None, [], 0
+def _scan(batches, text_at: int | None):
+    """Each row (its text is field ``text_at`` of it, or else stands beside it) with its base spans
+    and entities and, if it has any, its hash, its different terms and its text (unless the row
+    has it); then the task's words with the number of texts that hold each, in rows of their own."""
+    names, kinds, kept_kind, seen, waiting = ["row", *_SCANNED], [k for k, _ in _SCANNED.values()], None, [], 0
 
     def told():
         keys = np.concatenate([k for k, _ in seen])
         values, index = np.unique(keys, return_inverse=True)
         counts = np.bincount(index, weights=np.concatenate([c for _, c in seen])).astype(np.int64)
         whole = np.array([0, len(values)])
-        nothing = [pa.nulls(1, t) for t in [*types, *schema]]
-        return pa.RecordBatch.from_arrays([*nothing, binary_column(values, whole), binary_column(counts, whole)], [*names, *extra])
+        nothing = [pa.nulls(1, t) for t in [kept_kind, *kinds[:-2]]]
+        return pa.RecordBatch.from_arrays([*nothing, binary_column(values, whole), binary_column(counts, whole)], names)
 
     for batch in batches:
-        for part in slices(batch):
-            kept = [part.column(n) for n in names]
-            types = [c.type for c in kept]
-            texts = [t or "" for t in part.column("text").to_pylist()]
-            words = Words(part.column("text"), separators=NOT_ALNUM, fold=LOWER)
+        parts = row_slices(batch, text_at) if text_at is not None else ((x.column(0), x.column(1)) for x in slices(batch))
+        for rows, column in parts:
+            kept_kind = rows.type
+            texts = [t or "" for t in column.to_pylist()]
+            words = Words(column, separators=NOT_ALNUM, fold=LOWER)
             values, index = np.unique(words.hash, return_inverse=True)
             pairs = np.unique(words.owner() * max(1, len(values)) + index) % max(1, len(values))
             seen.append((values, np.bincount(pairs, minlength=len(values))))
             waiting += len(values)
-            columns: list[list] = [[] for _ in schema]
+            columns: list[list] = [[] for _ in kinds[:-2]]
             for row, text in enumerate(texts):
                 spans = base_spans(text)
                 listed = [{"start": a, "number": k, "kind": KINDS[k], "end": b} for a, k, b in spans]
@@ -149,10 +160,9 @@ def _scan(batches, names: list[str]):
                 columns[2].append(sorted({_hash(KINDS[k], text[a:b]) for a, k, b in spans}))
                 columns[3].append(_hash(text) if spans else None)
                 columns[4].append(distinct(words.hash[_free(words, row, text, [(a, b) for a, _, b in spans])]).view(np.int64) if spans else None)
-                columns[5].append(text if spans and "text" not in names else None)
-            empty = pa.nulls(part.num_rows, pa.binary())
-            arrays = [pa.array(c, t) for c, t in zip(columns, schema, strict=True)]
-            yield pa.RecordBatch.from_arrays([*kept, *arrays, empty, empty], [*names, *extra])
+                columns[5].append(text if spans and text_at is None else None)
+            empty = pa.nulls(len(texts), pa.binary())
+            yield pa.RecordBatch.from_arrays([rows, *map(pa.array, columns, kinds[:-2]), empty, empty], names)
             if waiting > WORDS_AT_A_TIME:
                 yield told()
                 seen, waiting = [], 0
@@ -167,14 +177,14 @@ def _unpacked(batches):
         yield pa.RecordBatch.from_arrays([pa.array(words), pa.array(counts)], ["term", "n"])
 
 
-def _marked(batches, names: list[str], text: str):
+def _marked(batches, text_at: int | None):
     """Rows with the spans of their ``terms``, which tell of their entities."""
-    kind = pa.list_(pa.struct([("start", pa.int64()), ("number", pa.int32()), ("kind", pa.string()), ("end", pa.int64())]))
     for batch in batches:
-        for part in slices(batch, text):
-            words = Words(part.column(text), separators=NOT_ALNUM, fold=LOWER)
+        held = batch.column("held") if text_at is None else pc.struct_field(batch.column("row"), [text_at])
+        for part in slices(batch.append_column("text", held)):
+            words = Words(part.column("text"), separators=NOT_ALNUM, fold=LOWER)
             found = []
-            for row, (own, spans, terms) in enumerate(zip(*(part.column(n).to_pylist() for n in (text, "base", "terms")), strict=True)):
+            for row, (own, spans, terms) in enumerate(zip(*(part.column(n).to_pylist() for n in ("text", "base", "terms")), strict=True)):
                 free = _free(words, row, own, [(x["start"], x["end"]) for x in spans])
                 free = free[np.isin(words.hash[free].view(np.int64), np.array(terms or [], np.int64))]
                 base = int(words.text_bounds[row])
@@ -182,62 +192,74 @@ def _marked(batches, names: list[str], text: str):
                 upto = np.append(0, np.cumsum((raw & 0xC0) != 0x80))
                 bounds = zip(upto[words.start[free] - base].tolist(), upto[words.end[free] - base].tolist(), strict=True)
                 found.append([{"start": a, "number": len(KINDS), "kind": TERM, "end": b} for a, b in bounds])
-            yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), pa.array(found, kind)], [*names, "found"])
+            yield pa.RecordBatch.from_arrays([*(part.column(n) for n in _FOUND), pa.array(found, _SPANS)], [*_FOUND, "found"])
+
+
+_FOUND = ("row", "base", "base_sha256")
 
 
-def find_personal_data(
-    docs: DataFrame, disclosure: float = DISCLOSURE, least_contexts: int = LEAST_CONTEXTS, keep: list[str] | None = None
-) -> DataFrame:
+def _disclosed(n, df_entity, df_term, co):
+    """Share of an entity's information that a term discloses, as Columns."""
+    p = df_entity / n
+    return F.log2((co + p) / (df_term + 1) / p) / F.log2(1 / p)
+
+
+def find_personal_data(docs: DataFrame, disclosure: float = DISCLOSURE, keep: list[str] | None = None) -> DataFrame:
     """Personal data and telling terms in every text.
 
-    Takes ``text`` and keeps the columns ``keep`` (all, if not given; they are checkpointed with
-    what is found).  Base kinds are matched leftmost without overlaps in
-    their kind; matches that fail their check are dropped and not retried.  Adds ``base`` and
-    ``found`` (arrays of start, number, kind, end; code points, end exclusive; ``found`` has
-    the terms as well) and ``base_sha256``.  A null text has nothing; repeated rows are texts
-    of their own, but not different ones: ``least_contexts`` is the number of different texts
-    in which an entity and a term must be together, so what one text alone holds isn't assessed.
+    Takes ``text``.  Returns a row per input row: ``row``, a struct of the columns ``keep`` (all,
+    if not given; they are checkpointed with what is found), ``base`` and ``found`` (arrays of
+    start, number, kind, end; code points, end exclusive; ``found`` has the terms as well) and
+    ``base_sha256``.  Base kinds are matched leftmost without overlaps in their kind; matches that
+    fail their check are dropped and not retried.  Texts are read whole.  A null text has nothing;
+    repeated rows are texts of their own; an entity that all texts hold has no information that
+    terms could disclose.
     """
     names = docs.columns if keep is None else keep
-    given = ", ".join(f"`{n}` {docs.schema[n].dataType.simpleString()}" for n in names)
-    scanned = docs.mapInArrow(lambda it: _scan(it, names), f"{given}, {_SCAN}")
-    scanned = checkpointed(scanned.withColumn("row", F.monotonically_increasing_id()))
+    text_at = names.index("text") if "text" in names else None
+    own = whole_rows(docs, names) if text_at is not None else whole_rows(docs, [*names, "text"]).select(F.col("row").dropFields("text").alias("row"), F.col("row.text").alias("text"))
+    kept = StructField("row", StructType([docs.schema[n] for n in names]))
+    added = StructType.fromDDL(", ".join(f"{n} {kind}" for n, (_, kind) in _SCANNED.items())).fields
+    scanned = own.mapInArrow(lambda it: _scan(it, text_at), StructType([kept, *added]))
+    scanned = checkpointed(scanned.withColumn("place", F.monotonically_increasing_id()))
     texts = scanned.where("base IS NOT NULL")
     n_texts = texts.count()
+    n = F.lit(float(max(1, n_texts)))
 
     holding = texts.where("size(entities) > 0")
     # copies as one row, with their number
     once = holding.groupBy("key").agg(F.count("*").alias("copies"), F.first("entities").alias("entities"), F.first("terms").alias("terms"))
     held = once.select("key", "copies", F.explode("entities").alias("entity"))
-    entities = held.groupBy("entity").agg(F.sum("copies").alias("df_entity"), F.count("*").alias("n")).where((F.col("n") >= least_contexts) & (F.col("df_entity") < n_texts)).drop("n")
-    held = checkpointed(held.join(entities, "entity"))
-
-    # co is df_entity at most, so a term in more texts than this discloses too little
-    n = F.lit(float(max(1, n_texts)))
-    bound = lambda df: F.pow(n, F.lit(1 - disclosure)) * F.pow(df, F.lit(disclosure)) * (1 + 1e-9)
+    sets = [F.bit_xor(F.xxhash64("key", F.lit(seed))) for seed in (1, 2)]
+    entities = held.groupBy("entity").agg(F.sum("copies").alias("df_entity"), F.xxhash64(F.count("*"), *sets).alias("class"))
+    held = salted_join(held, entities.where(F.col("df_entity") < n_texts), ["entity"], "key")
+    held = checkpointed(held.select("key", "copies", "class", "df_entity").distinct())
+
+    # co is neither above df_entity nor above df_term, so a term in more texts than this discloses too little
+    p = F.col("most") / n
+    bound = F.greatest(F.col("most"), (F.col("most") + p) * F.pow(p, F.lit(disclosure - 1)) * (1 + 1e-9))
     in_texts = scanned.where("base IS NULL").select("words", "counts").mapInArrow(_unpacked, "term long, n long").groupBy("term").agg(F.sum("n").alias("df_term"))
-    rare = (
-        once.join(held.groupBy("key").agg(F.max("df_entity").alias("most")), "key")
-        .select("key", "most", F.explode("terms").alias("term"))
-        .join(in_texts, "term")
-        .where(F.col("df_term") <= bound(F.col("most")))
-        .drop("most")
-    )
-    pairs = checkpointed(rare.join(held, "key").where(F.col("df_term") <= bound(F.col("df_entity"))))
-    share = F.log2(n * F.col("co") / (F.col("df_entity") * F.col("df_term"))) / F.log2(n / F.col("df_entity"))
+    in_texts = checkpointed(in_texts)
+    frequent = in_texts.where(F.col("df_term") > FREQUENT * n_texts)
+    own_terms = once.join(held.groupBy("key").agg(F.max("df_entity").alias("most")), "key").select("key", "most", F.explode("terms").alias("term"))
+    rest = own_terms.join(F.broadcast(frequent.select("term")), "term", "left_anti").join(in_texts.where(F.col("df_term") <= FREQUENT * n_texts), "term")
+    rare = own_terms.join(F.broadcast(frequent), "term").unionByName(rest).where(F.col("df_term") <= bound).drop("most")
+    met = rare.join(held, "key")
+    possible = _disclosed(n, F.col("df_entity"), F.col("df_term"), F.least("df_entity", "df_term")) >= disclosure - 1e-9
+    pairs = checkpointed(met.where(possible))
     telling = (
-        pairs.groupBy("entity", "term", "df_entity", "df_term")
-        .agg(F.sum("copies").alias("co"), F.count("*").alias("different"))
-        .where((F.col("different") >= least_contexts) & (share >= disclosure))
-        .select("entity", "term")
+        pairs.groupBy("class", "term", "df_entity", "df_term")
+        .agg(F.sum("copies").alias("co"))
+        .where(_disclosed(n, F.col("df_entity"), F.col("df_term"), F.col("co")) >= disclosure)
+        .select("class", "term")
     )
-    terms = pairs.join(telling, ["entity", "term"]).groupBy("key").agg(F.collect_set("term").alias("terms"))
-    terms = holding.select("row", "key").join(terms, "key").drop("key")
-    text, kept = "text" if "text" in names else "held", [*names, "base", "base_sha256"]
-    types = f"{given}, base array<{_SPAN}>, base_sha256 string, found array<{_SPAN}>"
-    marked = holding.drop("terms").join(terms, "row", "left").mapInArrow(lambda it: _marked(it, kept, text), types)
-    others = texts.where("size(entities) = 0").select(*kept, F.array().cast(f"array<{_SPAN}>").alias("found"))
-    return marked.unionAll(others).select(*kept, F.array_sort(F.concat("base", "found")).alias("found"))
+    terms = salted_join(pairs.select("key", "class", "term"), telling, ["class", "term"], "key").groupBy("key").agg(F.collect_set("term").alias("terms"))
+    terms = salted_join(holding.select("place", "key"), terms, ["key"], "place").drop("key")
+    marked = holding.drop("terms").join(terms, "place", "left").select(*_FOUND, "held", "terms")
+    spans = StructType.fromDDL(f"base array<{_SPAN}>, base_sha256 string, found array<{_SPAN}>").fields
+    marked = marked.mapInArrow(lambda it: _marked(it, text_at), StructType([kept, *spans]))
+    others = texts.where("size(entities) = 0").select(*_FOUND, F.array().cast(f"array<{_SPAN}>").alias("found"))
+    return marked.unionAll(others).select(*_FOUND, F.array_sort(F.concat("base", "found")).alias("found"))
 
 
 def scan_personal_data(docs: DataFrame, **options) -> DataFrame:
@@ -247,7 +269,7 @@ def scan_personal_data(docs: DataFrame, **options) -> DataFrame:
     found = find_personal_data(docs.select("doc_id", "text"), keep=["doc_id"], **options)
     counts = [F.expr(f"CAST(size(filter(base, s -> s.number = {k})) AS BIGINT)").alias(f"n_{kind}") for k, kind in enumerate(KINDS)]
     spans = F.array_join(F.transform("found", lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
-    return found.select("doc_id", *counts, "base_sha256", spans.alias("spans"), "found")
+    return found.select("row.doc_id", *counts, "base_sha256", spans.alias("spans"), "found")
 
 
 def redacted(text: str | None, found: list[dict]) -> str | None:
@@ -266,17 +288,19 @@ def sanitise(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` with entities generalised to their kind and telling terms removed
     (as ``<kind>`` and ``<term>``); ``n_chars`` follows the text where there is such a
     column, and all other columns stay."""
-    found = find_personal_data(docs, **options).drop("base", "base_sha256")
+    names = docs.columns
+    found = find_personal_data(docs, **options).select("row", "found")
 
     def apply(batches):
         for batch in batches:
-            at = batch.schema.get_field_index("text")
-            texts = [redacted(t, f) for t, f in zip(batch.column("text").to_pylist(), batch.column("found").to_pylist(), strict=True)]
-            columns = list(batch.columns[:-1])
-            columns[at] = pa.array(texts, batch.column("text").type)
-            if "n_chars" in batch.schema.names:
-                k = batch.schema.get_field_index("n_chars")
-                columns[k] = pa.array([None if t is None else len(t) for t in texts]).cast(batch.column("n_chars").type)
-            yield pa.RecordBatch.from_arrays(columns, batch.schema.names[:-1])
-
-    return found.mapInArrow(apply, docs.schema)
+            rows = batch.column("row")
+            columns = [pc.struct_field(rows, [k]) for k in range(len(names))]
+            at = names.index("text")
+            texts = [redacted(t, f) for t, f in zip(columns[at].to_pylist(), batch.column("found").to_pylist(), strict=True)]
+            columns[at] = pa.array(texts, columns[at].type)
+            if "n_chars" in names:
+                k = names.index("n_chars")
+                columns[k] = pa.array([None if t is None else len(t) for t in texts], pa.int64()).cast(columns[k].type)
+            yield pa.RecordBatch.from_arrays([pa.StructArray.from_arrays(columns, fields=list(rows.type))], ["row"])
+
+    return found.mapInArrow(apply, StructType([StructField("row", docs.schema)])).select("row.*")

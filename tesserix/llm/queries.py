@@ -206,6 +206,51 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_personal_data(_table(spark, sf_dir, "documents")).drop("found")
 
 
+def _op9_sql() -> str:
+    """Forms by regular expressions, terms by plain counts; places by counting off what lies between."""
+    from .pii import DISCLOSURE, KINDS, TERM
+
+    patterns = [
+        r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+        r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]",
+    ]
+    digits = "regexp_replace(hit, '[^0-9]', '', 'g')"
+    odd = "CAST(substr(reverse(digits), i, 1) AS INTEGER) * (2 - i % 2)"
+    checks = [
+        "true",
+        "len(list_filter(string_split(hit, '.'), lambda x: length(ltrim(x, '0')) > 3 OR CAST('0' || right(x, 3) AS INTEGER) > 255)) = 0",
+        f"length(digits) BETWEEN 12 AND 19 AND list_sum(list_transform(range(1, length(digits) + 1), lambda i: {odd} - CASE WHEN {odd} > 9 THEN 9 ELSE 0 END)) % 10 = 0",
+        "length(digits) BETWEEN 9 AND 15",
+    ]
+    cut = lambda text, p: f"unnest(string_split_regex({text}, '{p}')) AS gap, unnest(regexp_extract_all({text}, '{p}', 0)) AS hit, unnest(range(len(string_split_regex({text}, '{p}')))) AS i"
+    forms = " UNION ALL ".join(f"SELECT doc_id, {k} AS number, '{kind}' AS kind, {cut('text', p)} FROM d" for k, (kind, p) in enumerate(zip(KINDS, patterns, strict=True)))
+    placed = "sum(length(gap) + coalesce(length(hit), 0)) OVER (PARTITION BY doc_id{} ORDER BY i)"
+    valid = " OR ".join(f"(number = {k} AND ({c}))" for k, c in enumerate(checks))
+    span = "kind || ':' || start || ':' || stop"
+    return rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), m AS ({forms}
+), p AS (SELECT *, {digits} AS digits, CAST({placed.format(", number")} AS BIGINT) AS stop FROM m
+), b AS (SELECT doc_id, number, kind, hit, stop - length(hit) AS start, stop FROM p WHERE hit IS NOT NULL AND ({valid})
+), l AS (SELECT doc_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low FROM d
+), v AS (SELECT doc_id, {cut("low", r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")} FROM l
+), w AS (SELECT doc_id, hit AS word, stop - length(hit) AS start, stop FROM (SELECT *, CAST({placed.format("")} AS BIGINT) AS stop FROM v) WHERE hit IS NOT NULL
+), f AS (SELECT * FROM w WHERE doc_id IN (SELECT doc_id FROM b)
+  AND NOT EXISTS (SELECT 1 FROM b WHERE b.doc_id = w.doc_id AND w.start < b.stop AND w.stop > b.start)
+), dt AS (SELECT word, count(DISTINCT doc_id) AS df FROM w GROUP BY word
+), e AS (SELECT DISTINCT doc_id, number, hit FROM b), nn AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM d
+), de AS (SELECT number, hit, count(*) / n AS pe FROM e, nn GROUP BY number, hit, n HAVING count(*) < n
+), co AS (SELECT number, hit, word, count(*) AS co FROM e JOIN (SELECT DISTINCT doc_id, word FROM f) USING (doc_id) GROUP BY number, hit, word
+), t AS (SELECT number, hit, word FROM co JOIN de USING (number, hit) JOIN dt USING (word)
+  WHERE log2((co + pe) / (df + 1) / pe) / log2(1 / pe) >= {DISCLOSURE}
+), s AS (SELECT doc_id, number, kind, start, stop FROM b
+  UNION ALL SELECT DISTINCT f.doc_id, {len(KINDS)}, '{TERM}', start, stop FROM f JOIN e USING (doc_id) JOIN t ON e.number = t.number AND e.hit = t.hit AND f.word = t.word)
+SELECT d.doc_id, {", ".join(f"count(*) FILTER (number = {k}) AS n_{kind}" for k, kind in enumerate(KINDS))},
+       sha256(coalesce(string_agg({span}, ',' ORDER BY start, number) FILTER (number < {len(KINDS)}), '')) AS base_sha256,
+       coalesce(string_agg({span}, ',' ORDER BY start, number) FILTER (number IS NOT NULL), '') AS spans
+FROM d LEFT JOIN s USING (doc_id) GROUP BY d.doc_id
+"""
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import archive_round_trip
 
@@ -248,5 +293,6 @@ def oracle_sql() -> dict[str, str]:
         "op6_licenses": _op6_sql(),
         "op7_secrets": _op7_sql(),
         "op8_jaccard": _OP8_SQL,
+        "op9_pii": _op9_sql(),
         "op10_warc": _OP10_SQL,
     }
