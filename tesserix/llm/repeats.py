@@ -4,7 +4,8 @@ Fixed-block anchors.  Every text is an index of non-overlapping reference blocks
 18-35, ... for windows of 35 words) and at the same time a probe with every rolling window of a
 block's length.  A window of 35 words covers a whole reference block wherever it stands, so each
 repeat is hit by at least one probe.  Hits are extended: the full windows around them are
-compared by 64-bit hashes, and the runs of confirmed windows are the maximal exact repeats.
+compared by 127 bits of two hashes, few enough windows in any corpus for no two to agree by
+chance, and the runs of confirmed windows are the maximal exact repeats.
 
 Neither step pairs occurrences, so a passage in a third of all texts costs as much as any
 other: a batch of texts reports each distinct hash once, with a flag for "more than once here",
@@ -26,6 +27,8 @@ from .cluster import batch_count, binary_column, flat_binary, text_bytes
 from .words import Words
 
 WINDOW = 35
+#: Base of the windows' second hash.
+_SECOND_BASE = 0xA24BAED4963EE407
 
 _MESSAGE = "bucket int, batch int, phase int, entries binary"
 _ANSWER = "batch int, phase int, bucket int, hot binary"
@@ -51,6 +54,13 @@ def _by_bucket(buckets_of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return names, np.append(first, len(buckets_of))
 
 
+def _ordered(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order by both, and whether each entry differs from the one before it."""
+    order = np.lexsort((second, first))
+    a, b = first[order], second[order]
+    return order, np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))[: len(order)]
+
+
 def _hot_entries(answers: pa.Table, phase: int, names: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """A flag for each distinct key, from the answers of the buckets."""
     hot = np.zeros(bounds[-1], bool)
@@ -87,15 +97,16 @@ class _Passes:
 
     def _matched(self, key, table: pa.Table, phase: int) -> pa.Table:
         entries, bounds = flat_binary(table["entries"], np.uint32 if phase == 1 else np.uint64)
-        shift = 2 if phase == 1 else 1
-        value = entries >> entries.dtype.type(shift)
-        order = np.argsort(value, kind="stable")
-        ranked = value[order]
-        fresh = np.ones(len(ranked), bool)
-        fresh[1:] = ranked[1:] != ranked[:-1]
+        if phase == 1:
+            value = entries >> np.uint32(2)
+            order = np.argsort(value, kind="stable")
+            fresh = np.append(True, value[order][1:] != value[order][:-1])[: len(value)]
+        else:
+            (entries, second), bounds = entries.reshape(-1, 2).T, bounds // 2
+            order, fresh = _ordered(entries >> np.uint64(1), second)
         group = np.cumsum(fresh) - 1
         heads = np.flatnonzero(fresh)
-        often = np.diff(np.append(heads, len(ranked))) > 1
+        often = np.diff(np.append(heads, len(order))) > 1
         often |= np.logical_or.reduceat((entries[order] & 1) > 0, heads) if len(heads) else often
         if phase == 1 and len(heads):
             often &= np.logical_or.reduceat((entries[order] & 2) > 0, heads)
@@ -113,7 +124,8 @@ class _Passes:
         )
 
     def _candidates(self, words: Words, answers: pa.Table):
-        """Full windows with a hit inside: starts, distinct keys, each window's key."""
+        """Full windows with a hit inside: starts, distinct keys (two hashes each), each window's key
+        and how many windows have each."""
         starts, distinct, inverse, _, _ = _anchor_keys(words, self.block, self.buckets)
         names, bounds = _by_bucket(distinct >> np.uint64(30))
         hits = np.zeros(len(words) + 1, np.int64)
@@ -122,14 +134,12 @@ class _Passes:
         hits = np.cumsum(hits)
         full, _ = Words.windows(words, self.window) if len(words) else (starts, None)
         full = full[hits[full + self.window - self.block + 1] > hits[full]]
-        hashes = words.window_hashes(full, self.window)
-        order_key, inverse, counts = np.unique(
-            self._full_key(hashes), return_inverse=True, return_counts=True
-        )
-        return full, order_key, inverse, counts
-
-    def _full_key(self, hashes: np.ndarray) -> np.ndarray:
-        return hashes >> np.uint64(1)
+        first, second = words.window_hashes(full, self.window) >> np.uint64(1), words.window_hashes(full, self.window, _SECOND_BASE)
+        order, fresh = _ordered(first, second)
+        inverse = np.empty(len(full), np.int64)
+        inverse[order] = np.cumsum(fresh) - 1
+        keys = np.stack([first[order][fresh], second[order][fresh]], axis=1)
+        return full, keys, inverse, np.bincount(inverse, minlength=len(keys))
 
     def _full_bucket(self, keys: np.ndarray) -> np.ndarray:
         """Follows the keys' order, so that equal buckets stand together."""
@@ -138,8 +148,8 @@ class _Passes:
     def extend(self, key, docs: pa.Table, answers: pa.Table) -> pa.Table:
         words = Words(docs["text"])
         _, keys, _, counts = self._candidates(words, answers)
-        entries = (keys << np.uint64(1)) | (counts > 1).astype(np.uint64)
-        return self._message(key, 2, self._full_bucket(keys), entries)
+        entries = np.stack([(keys[:, 0] << np.uint64(1)) | (counts > 1).astype(np.uint64), keys[:, 1]], axis=1)
+        return self._message(key, 2, self._full_bucket(keys[:, 0]), entries)
 
     def _message(self, key, phase: int, buckets_of: np.ndarray, entries: np.ndarray) -> pa.Table:
         names, bounds = _by_bucket(buckets_of) if len(entries) else (np.empty(0, np.uint64), np.zeros(1, np.int64))
@@ -148,14 +158,14 @@ class _Passes:
                 "bucket": pa.array(names.astype(np.int32)),
                 "batch": pa.array(np.full(len(names), key[0].as_py()), pa.int32()),
                 "phase": pa.array(np.full(len(names), phase), pa.int32()),
-                "entries": binary_column(entries, bounds),
+                "entries": binary_column(entries.ravel(), bounds * (entries.size // max(1, len(entries)))),
             }
         )
 
     def remove(self, key, docs: pa.Table, answers: pa.Table) -> pa.Table:
         words = Words(docs["text"])
         full, keys, inverse, _ = self._candidates(words, answers)
-        names, bounds = _by_bucket(self._full_bucket(keys)) if len(keys) else (keys, np.zeros(1, np.int64))
+        names, bounds = _by_bucket(self._full_bucket(keys[:, 0])) if len(keys) else (keys, np.zeros(1, np.int64))
         repeated = full[_hot_entries(answers, 2, names, bounds)[inverse]] if len(keys) else full
         change = np.zeros(len(words) + 1, np.int64)
         np.add.at(change, repeated, 1)
@@ -202,17 +212,16 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, with_text: bool = True
 
     Returns a row per input row: ``doc_id, n_words, n_removed, kept_sha256, repeats`` (the
     maximal repeated runs) and ``kept`` (the remaining words joined by a space; null unless
-    ``with_text``).  A null text
-    has no words; a null doc_id stays null; repeated rows are each other's copies.
+    ``with_text``).  Texts are read whole.  A null text has no words; a null doc_id stays null;
+    repeated rows are each other's copies; an empty table gives an empty one.
     """
     if window < 2:
         raise ValueError("a window has two words or more")
     batches = batch_count(text_bytes(docs))
     passes = _Passes(window, max(32, batches // 2), with_text)
-    # equal rows share a batch, which its keys bear: what they repeat is known by each of them
-    texts = docs.select(
-        F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(batches)).cast("int").alias("batch"), "doc_id", "text"
-    )
+    # rows that repeat each other whole are told apart by where they stand, so that none fill a batch
+    spread = F.xxhash64("doc_id", "text", F.shiftright(F.monotonically_increasing_id(), 12))
+    texts = docs.select(F.pmod(spread, F.lit(batches)).cast("int").alias("batch"), "doc_id", "text")
     in_batches = texts.groupBy("batch")
     probes = in_batches.applyInArrow(lambda key, table: passes.probe(key, table), _MESSAGE)
     anchors = probes.groupBy("bucket").applyInArrow(lambda key, table: passes.match(key, table), _ANSWER)

@@ -136,12 +136,13 @@ class Words:
         starts = np.flatnonzero(inside)
         return starts, self.window_hashes(starts, size)
 
-    def window_hashes(self, starts: np.ndarray, size) -> np.ndarray:
-        """Hashes of the windows at ``starts``; ``size`` may differ by window."""
+    def window_hashes(self, starts: np.ndarray, size, base: int = _WORD_BASE) -> np.ndarray:
+        """Hashes of the windows at ``starts``; ``size`` may differ by window.  Another odd
+        ``base`` gives others."""
         n = len(self)
         sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(self.hash * _powers(_WORD_BASE, max(n, 1))[:n], out=sums[1:])
-        h = (sums[starts + size] - sums[starts]) * _inverse(_WORD_BASE, n + 1)[starts]
+        np.cumsum(self.hash * _powers(base, max(n, 1))[:n], out=sums[1:])
+        h = (sums[starts + size] - sums[starts]) * _inverse(base, n + 1)[starts]
         return mix(h + np.asarray(size, np.uint64))
 
 
