@@ -23,8 +23,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
-from .cluster import binary_column, flat_binary
+from .cluster import binary_column, filter_rows, flat_binary, row_slices, whole_rows
 from .words import BLOCK, NOT_ALNUM, SAME, Words, distinct, mix, slices
 
 MAX_LABELLED = 12_000
@@ -261,16 +262,18 @@ def _fitted(batches):
 
 def score_texts(docs: DataFrame, model: ToxicityModel, least: float = 0.5) -> DataFrame:
     """``docs`` with ``score`` (0 to 1; 0 for null and empty texts), ``n_sentences`` and
-    ``offending``: sentences that score ``least`` or more, as code points of the text."""
+    ``offending``: sentences that score ``least`` or more, as code points of the text.  Columns
+    that had one of these names are replaced."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     spans = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
+    names = [c for c in docs.columns if c not in ("score", "n_sentences", "offending")]
+    text_at = names.index("text")
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch):
-                texts = part.column("text")
+            for rows, texts in row_slices(batch, text_at):
                 scores, by_sentence, s = shared.value.score(texts)
-                found: list[list[dict]] = [[] for _ in range(part.num_rows)]
+                found: list[list[dict]] = [[] for _ in range(len(texts))]
                 for k in np.flatnonzero(by_sentence >= least).tolist():
                     t = int(s.text[k])
                     base = int(s.words.text_bounds[t])
@@ -278,14 +281,16 @@ def score_texts(docs: DataFrame, model: ToxicityModel, least: float = 0.5) -> Da
                     first = (lead & 0xC0) != 0x80
                     start = int(s.start[k]) - base
                     found[t].append({"start": int(first[:start].sum()), "end": int(first.sum()), "score": float(by_sentence[k])})
-                n = np.bincount(s.text, minlength=part.num_rows)
+                n = np.bincount(s.text, minlength=len(texts))
                 yield pa.RecordBatch.from_arrays(
-                    [*part.columns, pa.array(scores), pa.array(n.astype(np.int64)), pa.array(found, spans)],
-                    [*part.schema.names, "score", "n_sentences", "offending"],
+                    [rows, pa.array(scores), pa.array(n.astype(np.int64)), pa.array(found, spans)],
+                    ["row", "score", "n_sentences", "offending"],
                 )
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, schema + ", score double, n_sentences long, offending array<struct<start:bigint,end:bigint,score:double>>")
+    kept = StructType([f for f in docs.schema.fields if f.name in names])
+    added = StructType.fromDDL("score double, n_sentences long, offending array<struct<start:bigint,end:bigint,score:double>>").fields
+    schema = StructType([StructField("row", kept), *added])
+    return whole_rows(docs, names).mapInArrow(run, schema).select("row.*", "score", "n_sentences", "offending")
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **sample) -> DataFrame:
@@ -305,12 +310,7 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, *
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **sample) -> DataFrame:
-    """The rows of ``docs``, all columns as they are, that score below ``threshold``."""
+    """The rows of ``docs``, all columns as they are, that score below ``threshold``: null and empty
+    texts stay, repeated rows stay or go alike, and an empty table stays empty."""
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, **sample))
-
-    def keep(batches):
-        for batch in batches:
-            for part in slices(batch):
-                yield part.filter(pa.array(model.value.score(part.column("text"))[0] < threshold))
-
-    return docs.mapInArrow(keep, docs.schema)
+    return filter_rows(docs, lambda texts: model.value.score(texts)[0] < threshold)
