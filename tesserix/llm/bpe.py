@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .cluster import tidy
 from .words import slices
 
 #: The pre-tokeniser's pattern of byte-level BPE (fixed value of the tokenizer's format).
@@ -32,10 +33,10 @@ _SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\
 #: Runs that no piece crosses: cutting here first lets whole runs be looked up.
 _CHUNKS = re.compile(f" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
 #: Runs whose encoding is kept; the table is emptied when it is full.
-KEPT_RUNS = 300_000
+KEPT_RUNS = 200_000
 KEPT_CHARS = 64
 #: Bytes of text whose new pieces are indexed together.
-TOGETHER = 1 << 22
+TOGETHER = 1 << 21
 _NEVER = np.int32(1 << 30)
 #: The symbol beyond either end of a piece, which no rule knows.
 _END = np.int32((1 << 31) - 1)
@@ -237,6 +238,7 @@ def tokenize(docs: DataFrame, path: str, with_tokens: bool = True) -> DataFrame:
     ``ids`` and ``decoded`` (both null unless ``with_tokens``).
     """
 
+    @tidy
     def run(batches):
         tokenizer = Tokenizer(path)
         number = [str(i) for i in range(1 + max(tokenizer.bytes_of))]

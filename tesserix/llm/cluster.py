@@ -7,6 +7,9 @@ than its batch at a time.
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import inspect
 import math
 
 import numpy as np
@@ -42,6 +45,44 @@ def checkpointed(df: DataFrame) -> DataFrame:
         spark.conf.set(_CLEANUP, before)
 
 
+def release() -> None:
+    """Give memory that is free back to the machine: workers are kept for later stages, and what
+    they keep counts against their executor."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
+try:
+    _TRIM = ctypes.CDLL(None).malloc_trim
+except (AttributeError, OSError):  # another C library
+    _TRIM = None
+
+
+def tidy(function):
+    """A function that tasks run on a group, or a generator that they run on batches, which gives
+    its memory back at the end."""
+    if inspect.isgeneratorfunction(function):
+
+        @functools.wraps(function)
+        def run(*args):
+            try:
+                yield from function(*args)
+            finally:
+                release()
+
+        return run
+
+    @functools.wraps(function)
+    def once(*args):
+        try:
+            return function(*args)
+        finally:
+            release()
+
+    return once
+
+
 def quoted(name: str) -> str:
     """A column's name as SQL takes it, whatever is in it."""
     return "`" + name.replace("`", "``") + "`"
@@ -66,6 +107,7 @@ def filter_rows(docs: DataFrame, kept) -> DataFrame:
     array of texts) says so."""
     text_at = docs.columns.index("text")
 
+    @tidy
     def run(batches):
         for batch in batches:
             for rows, texts in row_slices(batch, text_at):

@@ -27,7 +27,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .cluster import filter_rows
+from .cluster import filter_rows, tidy
 from .words import NOT_ALNUM, SAME, Words, mix, slices
 
 #: Edits allowed, as a share of an item's words.
@@ -347,6 +347,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     for items in _benchmarks(benchmark, **options):
         shared = docs.sparkSession.sparkContext.broadcast(items)
 
+        @tidy
         def scan(batches, shared=shared):
             items = shared.value
             for batch in batches:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .cluster import batch_count, binary_column, checkpointed, flat_binary, salted_join, text_bytes, whole_rows
+from .cluster import batch_count, binary_column, checkpointed, flat_binary, salted_join, text_bytes, tidy, whole_rows
 from .components import components
 from .words import LOWER, Words, distinct, mix
 
@@ -84,6 +84,7 @@ class _Frequencies:
         names, first = np.unique(of, return_index=True)
         return names, np.append(first, len(found))
 
+    @tidy
     def report(self, key, texts: pa.Table) -> pa.Table:
         found, _, index = shingles(texts["text"], self.size)
         names, bounds = self._runs(found)
@@ -98,6 +99,7 @@ class _Frequencies:
             }
         )
 
+    @tidy
     def answer(self, key, reports: pa.Table) -> pa.Table:
         """The level of each token, which all its texts are told alike."""
         prints, bounds = flat_binary(reports["prints"], np.uint32)
@@ -112,6 +114,7 @@ class _Frequencies:
             }
         )
 
+    @tidy
     def sets(self, key, texts: pa.Table, answers: pa.Table) -> pa.Table:
         found, owner, index = shingles(texts["text"], self.size)
         names, bounds = self._runs(found)
@@ -267,6 +270,7 @@ def _pairs(names: np.ndarray, links: list[tuple[int, int]]) -> pa.Table:
     return pa.table({"a": pa.array(names[a], pa.int64()), "b": pa.array(names[b], pa.int64())})
 
 
+@tidy
 def _search_block(block: pa.Table, percent: int) -> pa.Table:
     """Links that make components of the classes of one block; a class is named by its least
     node, whose row all blocks with that class hold."""
@@ -283,6 +287,7 @@ def _search_block(block: pa.Table, percent: int) -> pa.Table:
     return _pairs(nodes, search.links)
 
 
+@tidy
 def _search_between(block: pa.Table, percent: int) -> pa.Table:
     """Links between components: ``query`` rows against the others."""
     block = block.sort_by([("query", "ascending"), ("n_shingles", "ascending"), ("rep", "ascending")])
@@ -336,6 +341,7 @@ def _home(n_blocks: int, block: int):
     return F.when(F.col("n_comp") > block, F.col("comp")).otherwise(F.pmod(F.xxhash64("comp"), F.lit(n_blocks)))
 
 
+@tidy
 def _routes(postings: pa.Table, block: int, at_a_time: int = 1 << 21) -> pa.Table:
     """Which components are to be searched for in which blocks, and which to be found there.
 

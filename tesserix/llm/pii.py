@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from .cluster import binary_column, checkpointed, flat_binary, row_slices, salted_join, whole_rows
+from .cluster import binary_column, checkpointed, flat_binary, row_slices, salted_join, tidy, whole_rows
 from .words import LOWER, NOT_ALNUM, Words, distinct, slices
 
 #: Kinds in the order they are listed; terms follow them.
@@ -127,6 +127,7 @@ def _free(words: Words, row: int, text: str, spans) -> np.ndarray:
     return lo + np.flatnonzero(free)
 
 
+@tidy
 def _scan(batches, text_at: int | None):
     """Each row (its text is field ``text_at`` of it, or else stands beside it) with its base spans
     and entities and, if it has any, its hash, its different terms and its text (unless the row
@@ -177,6 +178,7 @@ def _unpacked(batches):
         yield pa.RecordBatch.from_arrays([pa.array(words), pa.array(counts)], ["term", "n"])
 
 
+@tidy
 def _marked(batches, text_at: int | None):
     """Rows with the spans of their ``terms``, which tell of their entities."""
     for batch in batches:
@@ -216,6 +218,17 @@ def find_personal_data(docs: DataFrame, disclosure: float = DISCLOSURE, keep: li
     terms could disclose.
     """
     names = docs.columns if keep is None else keep
+    holding, others = _assessed(docs, disclosure, names)
+    text_at = names.index("text") if "text" in names else None
+    added = StructType.fromDDL(f"base array<{_SPAN}>, base_sha256 string, found array<{_SPAN}>").fields
+    marked = holding.mapInArrow(lambda it: _marked(it, text_at), StructType([holding.schema["row"], *added]))
+    others = others.select(*_FOUND, F.array().cast(f"array<{_SPAN}>").alias("found"))
+    return marked.unionAll(others).select(*_FOUND, F.array_sort(F.concat("base", "found")).alias("found"))
+
+
+def _assessed(docs: DataFrame, disclosure: float, names: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The rows (columns ``names``) whose texts hold entities, with the terms that tell of them,
+    and the others."""
     text_at = names.index("text") if "text" in names else None
     own = whole_rows(docs, names) if text_at is not None else whole_rows(docs, [*names, "text"]).select(F.col("row").dropFields("text").alias("row"), F.col("row.text").alias("text"))
     kept = StructField("row", StructType([docs.schema[n] for n in names]))
@@ -255,11 +268,8 @@ def find_personal_data(docs: DataFrame, disclosure: float = DISCLOSURE, keep: li
     )
     terms = salted_join(pairs.select("key", "class", "term"), telling, ["class", "term"], "key").groupBy("key").agg(F.collect_set("term").alias("terms"))
     terms = salted_join(holding.select("place", "key"), terms, ["key"], "place").drop("key")
-    marked = holding.drop("terms").join(terms, "place", "left").select(*_FOUND, "held", "terms")
-    spans = StructType.fromDDL(f"base array<{_SPAN}>, base_sha256 string, found array<{_SPAN}>").fields
-    marked = marked.mapInArrow(lambda it: _marked(it, text_at), StructType([kept, *spans]))
-    others = texts.where("size(entities) = 0").select(*_FOUND, F.array().cast(f"array<{_SPAN}>").alias("found"))
-    return marked.unionAll(others).select(*_FOUND, F.array_sort(F.concat("base", "found")).alias("found"))
+    holding = holding.drop("terms").join(terms, "place", "left").select(*_FOUND, "held", "terms")
+    return holding, texts.where("size(entities) = 0").select(*_FOUND)
 
 
 def scan_personal_data(docs: DataFrame, **options) -> DataFrame:
@@ -284,23 +294,25 @@ def redacted(text: str | None, found: list[dict]) -> str | None:
     return "".join(parts) + text[done:]
 
 
-def sanitise(docs: DataFrame, **options) -> DataFrame:
+def sanitise(docs: DataFrame, disclosure: float = DISCLOSURE) -> DataFrame:
     """The rows of ``docs`` with entities generalised to their kind and telling terms removed
     (as ``<kind>`` and ``<term>``); ``n_chars`` follows the text where there is such a
     column, and all other columns stay."""
     names = docs.columns
-    found = find_personal_data(docs, **options).select("row", "found")
+    at, kept = names.index("text"), StructField("row", docs.schema)
+    holding, others = _assessed(docs, disclosure, names)
 
-    def apply(batches):
-        for batch in batches:
+    def run(batches):
+        for batch in _marked(batches, at):
             rows = batch.column("row")
             columns = [pc.struct_field(rows, [k]) for k in range(len(names))]
-            at = names.index("text")
-            texts = [redacted(t, f) for t, f in zip(columns[at].to_pylist(), batch.column("found").to_pylist(), strict=True)]
+            spans = zip(*(batch.column(n).to_pylist() for n in ("base", "found")), strict=True)
+            found = [sorted([*a, *b], key=lambda s: (s["start"], s["number"])) for a, b in spans]
+            texts = [redacted(t, f) for t, f in zip(columns[at].to_pylist(), found, strict=True)]
             columns[at] = pa.array(texts, columns[at].type)
             if "n_chars" in names:
                 k = names.index("n_chars")
-                columns[k] = pa.array([None if t is None else len(t) for t in texts], pa.int64()).cast(columns[k].type)
+                columns[k] = pa.array([len(t) for t in texts], pa.int64()).cast(columns[k].type)
             yield pa.RecordBatch.from_arrays([pa.StructArray.from_arrays(columns, fields=list(rows.type))], ["row"])
 
-    return found.mapInArrow(apply, StructType([StructField("row", docs.schema)])).select("row.*")
+    return holding.mapInArrow(run, StructType([kept])).unionAll(others.select("row")).select("row.*")

@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .cluster import batch_count, binary_column, flat_binary, text_bytes
+from .cluster import batch_count, binary_column, flat_binary, text_bytes, tidy
 from .words import Words
 
 WINDOW = 35
@@ -79,6 +79,7 @@ class _Passes:
         self.window, self.buckets, self.with_text = window, buckets, with_text
         self.block = (window + 1) // 2
 
+    @tidy
     def probe(self, key, table: pa.Table) -> pa.Table:
         words = Words(table["text"])
         _, distinct, inverse, counts, reference = _anchor_keys(words, self.block, self.buckets)
@@ -88,6 +89,7 @@ class _Passes:
         entries |= (counts > 1).astype(np.uint64)
         return self._message(key, 1, distinct >> np.uint64(30), entries.astype(np.uint32))
 
+    @tidy
     def match(self, key, table: pa.Table) -> pa.Table:
         """Which entries of a bucket stand for a reference block that another place repeats."""
         phase = table["phase"].to_numpy()
@@ -145,6 +147,7 @@ class _Passes:
         """Follows the keys' order, so that equal buckets stand together."""
         return (keys >> np.uint64(31)) * np.uint64(self.buckets) >> np.uint64(32)
 
+    @tidy
     def extend(self, key, docs: pa.Table, answers: pa.Table) -> pa.Table:
         words = Words(docs["text"])
         _, keys, _, counts = self._candidates(words, answers)
@@ -162,6 +165,7 @@ class _Passes:
             }
         )
 
+    @tidy
     def remove(self, key, docs: pa.Table, answers: pa.Table) -> pa.Table:
         words = Words(docs["text"])
         full, keys, inverse, _ = self._candidates(words, answers)

@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .cluster import flat_binary
+from .cluster import flat_binary, tidy
 
 QUERY_BLOCK, CANDIDATE_BLOCK = 16384, 8192
 #: Candidate blocks that one task searches at most, and bytes that a block has at most on average.
@@ -92,6 +92,7 @@ def _vectors(rows: pa.Table, dim: int) -> tuple[np.ndarray, np.ndarray]:
     return _distinct(ids, np.concatenate(parts).astype(float) if parts else np.empty((0, dim)))
 
 
+@tidy
 def _search_lane(table: pa.Table, k: int) -> pa.Table:
     """The best of a lane's candidates for a block of queries."""
     dim, block = table["dim"][0].as_py(), table["block"].to_numpy()

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from .cluster import binary_column, filter_rows, flat_binary, row_slices, whole_rows
+from .cluster import binary_column, filter_rows, flat_binary, row_slices, tidy, whole_rows
 from .words import BLOCK, NOT_ALNUM, SAME, Words, distinct, mix, slices
 
 MAX_LABELLED = 12_000
@@ -222,6 +222,7 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED,
         return fit([])
     sample = spark.createDataFrame(list(chosen.items()), "doc_id long, toxic int")
 
+    @tidy
     def bags(batches):
         for batch in batches:
             for part in slices(batch):
@@ -246,6 +247,7 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED,
     return ToxicityModel(np.frombuffer(row["vocabulary"], np.uint32), np.frombuffer(row["weights"]), row["bias"])
 
 
+@tidy
 def _fitted(batches):
     rows = []
     for batch in batches:
@@ -269,6 +271,7 @@ def score_texts(docs: DataFrame, model: ToxicityModel, least: float = 0.5) -> Da
     names = [c for c in docs.columns if c not in ("score", "n_sentences", "offending")]
     text_at = names.index("text")
 
+    @tidy
     def run(batches):
         for batch in batches:
             for rows, texts in row_slices(batch, text_at):
