@@ -549,7 +549,7 @@ def _links_between(labelled: DataFrame, n_blocks: int, block: int, percent: int)
     """Links between components that a prefix token shows to be possible, all verified."""
     labelled = labelled.withColumn("home", _home(n_blocks, block))
     postings = labelled.mapInArrow(lambda it: _prefixes(it, percent), _POSTINGS)
-    rare = postings.where("NOT common").groupBy(F.pmod("token", F.lit(4 * n_blocks + 7)).alias("part"))
+    rare = postings.where("NOT common").groupBy(F.pmod("token", F.lit(16 * n_blocks + 99)).alias("part"))
     routes = rare.applyInArrow(lambda table: _routes(table, block), _ROUTES)
     probe = F.expr(f"n_shingles - CAST(ceil({percent} * n_shingles / 100) AS BIGINT) + 1")
     if not labelled.where(F.col("cool") < probe - F.col("n_shingles") + F.octet_length("tokens") / 8).isEmpty():
