@@ -36,7 +36,7 @@ from .words import LOWER, Words, distinct, mix
 SHINGLE = 5
 PERCENT = 75
 #: Classes that one task searches at a time.
-BLOCK = 4096
+BLOCK = 1024
 #: Rounds of blocking before the exact search.
 ROUNDS = 2
 #: Documents from which on a token's components are routed by joins (as counted, to a factor of two).
