@@ -4,15 +4,24 @@ The residual of a test adds the tested effects back: e + z x / sqrt(N) for one m
 of those of a chromosome.  Leave-one-out sums follow algebraically from the sums with the plain
 residual, so one pass and one shuffle serve all markers; leave-one-chromosome-out takes one
 shuffle for the chromosomes' predictors and one for the sums.
+
+The same tests run straight on packed markers, all estimates in one scan: a narrow map with the
+residuals broadcast, after a sum of partial predictors by chromosome.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.special import student_t_pvalue_udf
 from .cells import t_statistic
+from .matrix import MarkerMatrix
+
+#: Bytes of chromosomes' predictors that are broadcast at a time; more estimates take more scans.
+PREDICTOR_BYTES = 256 << 20
 
 
 def marginal(sums: DataFrame) -> DataFrame:
@@ -71,6 +80,84 @@ def leave_one_chromosome_out(z: DataFrame, residual: DataFrame, x: DataFrame, ch
     return sums.select(*keys, "chrom", "marker_idx", "n", t.alias("t"))
 
 
+def _t(n, sx, sxx, sxy, sy, syy) -> np.ndarray:
+    """As :func:`t_statistic`, NaN without variance."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        r = (n * sxy - sx * sy) / np.sqrt((n * sxx - sx * sx) * (n * syy - sy * sy))
+        t = r * np.sqrt((n - 2) / (1 - r * r))
+    return np.where(np.isfinite(t), t, np.nan)
+
+
+def _tests(index: np.ndarray, n: np.ndarray, t: np.ndarray, first: int, chrom: np.ndarray | None = None) -> pa.RecordBatch:
+    """A row for each marker and estimate; NaN is null."""
+    markers, width = t.shape
+    columns = [np.tile(np.arange(first, first + width, dtype=np.int32), markers), *(np.repeat(x, width) for x in (index, n.ravel()))]
+    names = ["it", "marker_idx", "n"]
+    if chrom is not None:
+        columns, names = [*columns, np.repeat(chrom, width)], [*names, "chrom"]
+    return pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(t.ravel(), from_pandas=True)], [*names, "t"])
+
+
+def packed_leave_one_out(matrix: MarkerMatrix, residual: np.ndarray, x: np.ndarray, first: int = 1) -> DataFrame:
+    """``it, marker_idx, n, t`` as :func:`leave_one_out`, over packed markers.  ``residual`` has a
+    row a sample and ``x`` a row a marker, both a column for each estimate; those are numbered
+    from ``first``."""
+    shared = matrix.spark.sparkContext.broadcast((np.where(matrix.present[:, None], residual, 0.0), x / np.sqrt(matrix.n_samples), matrix.present))
+
+    def tests(part, z, valid, own):
+        e, effects, _ = own
+        index = part.column("marker_idx").to_numpy()
+        x, v = effects[index], valid.astype(float)
+        n, sx, sxx = (s[:, None] for s in (valid.sum(axis=1), z.sum(axis=1), (z * z).sum(axis=1)))
+        ze = z @ e
+        t = _t(n, sx, sxx, ze + x * sxx, v @ e + x * sx, v @ (e * e) + 2 * x * ze + x * x * sxx)
+        yield _tests(index, n, t, first)
+
+    return matrix.mapped(tests, shared, "it int, marker_idx long, n long, t double")
+
+
+def packed_chromosome_predictor(matrix: MarkerMatrix, x: np.ndarray, chrom: np.ndarray) -> dict[int, np.ndarray]:
+    """What the markers of each chromosome predict: samples by estimates."""
+    shared = matrix.spark.sparkContext.broadcast((x / np.sqrt(matrix.n_samples), chrom, matrix.present))
+
+    def products(part, z, own):
+        index = part.column("marker_idx").to_numpy()
+        for c in np.unique(own[1][index]).tolist():
+            mine = own[1][index] == c
+            yield c, z[mine].T @ own[0][index[mine]]
+
+    return matrix.summed(products, shared, x.shape[1])
+
+
+def packed_leave_one_chromosome_out(matrix: MarkerMatrix, residual: np.ndarray, x: np.ndarray, chrom: np.ndarray, first: int = 1) -> DataFrame:
+    """``it, marker_idx, n, chrom, t`` as :func:`leave_one_chromosome_out`, over packed markers
+    whose chromosomes are ``chrom``."""
+    step = max(1, PREDICTOR_BYTES // (8 * matrix.n_samples * len(np.unique(chrom))))
+    found = None
+    for a in range(0, x.shape[1], step):
+        part = _leave_one_chromosome_out(matrix, residual[:, a : a + step], x[:, a : a + step], chrom, first + a)
+        found = part if found is None else found.union(part)
+    return found
+
+
+def _leave_one_chromosome_out(matrix: MarkerMatrix, residual: np.ndarray, x: np.ndarray, chrom: np.ndarray, first: int) -> DataFrame:
+    e = np.where(matrix.present[:, None], residual, 0.0)
+    adjusted = {c: np.where(matrix.present[:, None], e + p, 0.0) for c, p in packed_chromosome_predictor(matrix, x, chrom).items()}
+    shared = matrix.spark.sparkContext.broadcast((adjusted, chrom, matrix.present))
+
+    def tests(part, z, valid, own):
+        index = part.column("marker_idx").to_numpy()
+        of = own[1][index]
+        for c in np.unique(of).tolist():
+            mine, e = of == c, own[0][c]
+            zc, v = z[mine], valid[mine].astype(float)
+            n, sx, sxx = (s[:, None] for s in (valid[mine].sum(axis=1), zc.sum(axis=1), (zc * zc).sum(axis=1)))
+            t = _t(n, sx, sxx, zc @ e, v @ e, v @ (e * e))
+            yield _tests(index[mine], n, t if 1 <= c <= 23 else np.full_like(t, np.nan), first, of[mine].astype(np.int32))
+
+    return matrix.mapped(tests, shared, "it int, marker_idx long, n long, chrom int, t double")
+
+
 def lead_markers(tests: DataFrame, k: int, by: str = "chrom") -> DataFrame:
     """The ``k`` strongest markers of each group."""
     order = f"PARTITION BY {by} ORDER BY abs(t) DESC NULLS LAST, marker_idx"

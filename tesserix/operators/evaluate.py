@@ -53,6 +53,20 @@ def l2_error(pairs: DataFrame) -> DataFrame:
     return pairs.agg(F.sqrt(F.sum((a - b) * (a - b)) / F.sum(b * b)).alias("l2_error"))
 
 
+def expected_huber_loss(points: DataFrame, tau: float, deltas: list[float], draws: int, seed: int = 1) -> DataFrame:
+    """``delta, loss``: the mean Huber loss of ``y`` over ``draws`` values z ~ N(p, 1/tau) for each
+    row of ``idx, p, y``; all thresholds in one scan, nothing shuffled but their sums."""
+    from ..functions.scalars import huber_loss
+    from .simulate import normal
+
+    drawn = points.select("p", "y", F.explode(F.transform(F.sequence(F.lit(0), F.lit(draws - 1)), lambda k: F.col("idx") * draws + k)).alias("draw"))
+    z = drawn.select("y", (F.col("p") + normal(F.col("draw"), seed) / tau**0.5).alias("z"))
+    losses = [huber_loss(F.col("z"), d, F.col("y")) for d in deltas]
+    one = z.agg(*(F.avg(loss).alias(f"d{k}") for k, loss in enumerate(losses)))
+    pairs = F.array(*(F.struct(F.lit(float(d)).alias("delta"), F.col(f"d{k}").alias("loss")) for k, d in enumerate(deltas)))
+    return one.select(F.explode(pairs).alias("x")).select("x.delta", "x.loss")
+
+
 def relative_change(estimates: DataFrame) -> DataFrame:
     """``it, rel_change``: |x - previous x| / |previous x| over the markers of each iteration."""
     lagged = estimates.withColumn("last", F.expr("lag(x) OVER (PARTITION BY marker_idx ORDER BY it)")).where("last IS NOT NULL")

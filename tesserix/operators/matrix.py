@@ -1,23 +1,30 @@
 """A sample-by-marker matrix kept packed on the cluster, and its products.
 
 A row holds one marker: its payload (two-bit calls or doubles) with its mean and inverse standard
-deviation.  Payloads stay packed in memory and are decoded batch by batch in NumPy, where a batch
-of markers times a vector (or several at once) is one BLAS call.  Vectors of samples or markers
-live on the driver, as the solvers need them there: they grow with one side of the matrix only.
-
-``transpose_times`` is a narrow map.  ``times`` adds up what each task makes of its markers and
-sums those partial vectors segment by segment on the cluster.
+deviation.  Payloads stay packed in memory and are decoded in NumPy a bounded number of bytes at a
+time, where a slice of markers times a vector (or several at once) is one BLAS call.  Vectors of
+samples or markers live on the driver, as the solvers need them there: they grow with one side of
+the matrix only.
+
+``transpose_times`` is a narrow map.  ``times`` adds up what each task makes of its markers; those
+partial vectors are summed segment by segment in two rounds, so that no group holds those of all
+tasks.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
+from pyspark import StorageLevel, TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Samples whose partial sums travel together.
 SEGMENT = 1 << 16
+#: Bytes of decoded cells that a task holds at a time, with a few copies.
+DECODED_BYTES = 32 << 20
 
 #: Dosage of each two-bit code (fixed values of the format): 2, missing, 1, 0.
 _DOSAGE = np.array([2.0, np.nan, 1.0, 0.0])
@@ -40,6 +47,27 @@ def pack_dosages(dosages: np.ndarray) -> bytes:
     return (code << (2 * np.arange(4, dtype=np.uint8))).sum(axis=1, dtype=np.uint8).tobytes()
 
 
+def decoded_slices(batch: pa.RecordBatch, n_samples: int):
+    """The batch in runs of markers whose decoded cells are of a bounded size."""
+    step = max(1, DECODED_BYTES // (8 * max(1, n_samples)))
+    for a in range(0, batch.num_rows, step):
+        yield batch.slice(a, step)
+
+
+def unpacked(packed: DataFrame, kind: str, n_samples: int) -> DataFrame:
+    """``marker_idx, sample_idx, value`` of packed markers; missing is null."""
+
+    def run(batches):
+        for batch in batches:
+            for part in decoded_slices(batch, n_samples):
+                values = unpack(part.column("payload"), kind, n_samples).ravel()
+                index = np.repeat(part.column("marker_idx").to_numpy(), n_samples)
+                samples = np.tile(np.arange(n_samples), part.num_rows)
+                yield pa.RecordBatch.from_arrays([pa.array(index), pa.array(samples), pa.array(values, from_pandas=True)], ["marker_idx", "sample_idx", "value"])
+
+    return packed.select("marker_idx", "payload").mapInArrow(run, "marker_idx long, sample_idx long, value double")
+
+
 class MarkerMatrix:
     """See the module.  ``present``: which samples have a phenotype; the others' cells are zero."""
 
@@ -51,9 +79,7 @@ class MarkerMatrix:
 
         def with_stats(batches):
             here = shared.value
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
+            for batch in (part for whole in batches for part in decoded_slices(whole, n)):
                 v = unpack(batch.column("payload"), kind, n)[:, here]
                 count = (~np.isnan(v)).sum(axis=1)
                 mu = np.nansum(v, axis=1) / np.maximum(count, 1)
@@ -67,7 +93,7 @@ class MarkerMatrix:
 
         schema = "marker_idx long, payload binary, mu double, isd double, n long"
         self.rows = packed.select("marker_idx", "payload").mapInArrow(with_stats, schema).persist(StorageLevel.MEMORY_AND_DISK)
-        self.n_markers = self.rows.count()
+        self.n_markers, self.n_partitions = self.rows.count(), self.rows._jdf.rdd().getNumPartitions()
 
     @classmethod
     def from_cells(cls, cells: DataFrame, pheno: DataFrame, alpha: float = 1.0) -> "MarkerMatrix":
@@ -87,72 +113,82 @@ class MarkerMatrix:
         out.sample_ids = [s for s, _ in ids]
         return out
 
-    def _standardised(self, batch: pa.RecordBatch, kind: str, n: int, here: np.ndarray) -> np.ndarray:
-        z = (unpack(batch.column("payload"), kind, n) - batch.column("mu").to_numpy()[:, None]) * batch.column("isd").to_numpy()[:, None]
-        z[np.isnan(z)] = 0.0
-        z[:, ~here] = 0.0
-        return z
-
     def _shared(self, x: np.ndarray):
         return self.spark.sparkContext.broadcast((np.ascontiguousarray(x), self.present))
 
+    def mapped(self, function, shared, schema: str) -> DataFrame:
+        """What ``function`` makes of each slice of markers: it gets the slice, its standardised
+        cells (zero where missing), which of them are valid, and the broadcast ``shared``, whose
+        last part tells which samples are present; it yields record batches."""
+        kind, n = self.kind, self.n_samples
+
+        def run(batches):
+            for part, z, valid in standardised_slices(batches, kind, n, shared.value[-1]):
+                yield from function(part, z, valid, shared.value)
+
+        return self.rows.mapInArrow(run, schema)
+
     def transpose_times(self, u: np.ndarray) -> np.ndarray:
         """A'u / sqrt(N), one value a marker; ``u`` may have several columns."""
-        wide = u.reshape(self.n_samples, -1)
-        shared, kind, n, standardised = self._shared(wide), self.kind, self.n_samples, self._standardised
+        wide, n = u.reshape(self.n_samples, -1), self.n_samples
+        shared = self._shared(wide)
 
-        def run(batches, standardised=_detached(standardised)):
-            u, here = shared.value
-            for batch in batches:
-                values = standardised(batch, kind, n, here) @ u / np.sqrt(n)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("marker_idx"), pa.array([v.tobytes() for v in values], pa.binary())], ["marker_idx", "value"]
-                )
+        def product(part, z, _, own):
+            index, values = part.column("marker_idx").to_numpy(), z @ own[0] / np.sqrt(n)
+            yield pa.RecordBatch.from_pydict({"markers": [index.tobytes()], "value": [values.tobytes()]})
 
         out = np.zeros((self.n_markers, wide.shape[1]))
-        for row in self.rows.mapInArrow(run, "marker_idx long, value binary").collect():
-            out[row[0]] = np.frombuffer(row[1])
+        # a row for each slice, which comes to the doubles of the result
+        for row in self.mapped(product, shared, "markers binary, value binary").collect():
+            out[np.frombuffer(row[0], np.int64)] = np.frombuffer(row[1]).reshape(-1, wide.shape[1])
         shared.destroy()
         return out.reshape(self.n_markers, *u.shape[1:])
 
     def times(self, x: np.ndarray) -> np.ndarray:
         """A x / sqrt(N), one value a sample; ``x`` may have several columns."""
         wide = x.reshape(self.n_markers, -1)
-        shared, kind, n, standardised = self._shared(wide), self.kind, self.n_samples, self._standardised
-
-        def run(batches, standardised=_detached(standardised)):
-            x, here = shared.value
-            total = np.zeros((n, x.shape[1]))
-            for batch in batches:
-                total += standardised(batch, kind, n, here).T @ x[batch.column("marker_idx").to_numpy()]
-            for a in range(0, n, SEGMENT):
-                yield pa.RecordBatch.from_pydict({"segment": [a // SEGMENT], "value": [total[a : a + SEGMENT].tobytes()]})
-
-        def add(key, table: pa.Table) -> pa.Table:
-            total = sum(np.frombuffer(v) for v in table["value"].to_pylist())
-            return pa.table({"segment": [key[0].as_py()], "value": [total.tobytes()]})
-
-        schema = "segment long, value binary"
-        partial = self.rows.mapInArrow(run, schema)
-        out = np.zeros((n, wide.shape[1]))
-        for row in partial.groupBy("segment").applyInArrow(lambda key, t: add(key, t), schema).collect():
-            part = np.frombuffer(row[1]).reshape(-1, wide.shape[1])
-            out[row[0] * SEGMENT : row[0] * SEGMENT + len(part)] = part
-        shared.destroy()
-        return out.reshape(n, *x.shape[1:]) / np.sqrt(n)
+        shared = self._shared(wide)
+        product = lambda part, z, own: [(0, z.T @ own[0][part.column("marker_idx").to_numpy()])]
+        out = self.summed(product, shared, wide.shape[1]).get(0, np.zeros((self.n_samples, wide.shape[1])))
+        return out.reshape(self.n_samples, *x.shape[1:]) / np.sqrt(self.n_samples)
 
     def sample_diagonal(self) -> np.ndarray:
         """Diagonal of A A': the squared norm of each sample's standardised cells over N."""
-        shared, kind, n, standardised = self._shared(np.zeros(1)), self.kind, self.n_samples, self._standardised
-
-        def run(batches, standardised=_detached(standardised)):
-            here, total = shared.value[1], np.zeros(n)
-            for batch in batches:
-                total += (standardised(batch, kind, n, here) ** 2).sum(axis=0)
-            yield pa.RecordBatch.from_pydict({"value": [total.tobytes()]})
+        squares = lambda part, z, own: [(0, (z**2).sum(axis=0)[:, None])]
+        found = self.summed(squares, self._shared(np.zeros(1)), 1)
+        return found.get(0, np.zeros((self.n_samples, 1)))[:, 0] / self.n_samples
+
+    def summed(self, function, shared, width: int) -> dict[int, np.ndarray]:
+        """Sums of sample vectors by a key: ``function`` makes (key, samples by ``width``) pairs of
+        a slice, its standardised cells and ``shared``.  Few keys."""
+        kind, n = self.kind, self.n_samples
+
+        def run(batches):
+            totals: dict[int, np.ndarray] = {}
+            for part, z, _ in standardised_slices(batches, kind, n, shared.value[-1]):
+                for key, value in function(part, z, shared.value):
+                    totals[key] = totals[key] + value if key in totals else value
+            task = TaskContext.get().partitionId()
+            for key, total in totals.items():
+                for a in range(0, n, SEGMENT):
+                    columns = {"key": [key], "segment": [a // SEGMENT], "task": [task], "value": [total[a : a + SEGMENT].tobytes()]}
+                    yield pa.RecordBatch.from_pydict(columns)
+
+        def add(table: pa.Table) -> pa.Table:
+            total = sum(np.frombuffer(v) for v in table["value"].to_pylist())
+            return pa.table({**{c: table[c][:1] for c in ("key", "segment", "task")}, "value": [total.tobytes()]})
 
-        parts = self.rows.mapInArrow(run, "value binary").toLocalIterator()
-        out = sum(np.frombuffer(r[0]) for r in parts) / n
+        schema = "key long, segment long, task long, value binary"
+        partial = self.rows.mapInArrow(run, schema)
+        # a first round over as many tasks as the second has partial sums to add
+        fan = math.isqrt(max(1, self.n_partitions - 1)) + 1
+        if fan > 4:
+            partial = partial.groupBy("key", "segment", F.pmod("task", F.lit(fan)).alias("lot")).applyInArrow(lambda t: add(t), schema)
+        out: dict[int, np.ndarray] = {}
+        for row in partial.groupBy("key", "segment").applyInArrow(lambda t: add(t), schema).collect():
+            part = np.frombuffer(row["value"]).reshape(-1, width)
+            own = out.setdefault(row["key"], np.zeros((n, width)))
+            own[row["segment"] * SEGMENT : row["segment"] * SEGMENT + len(part)] = part
         shared.destroy()
         return out
 
@@ -160,7 +196,13 @@ class MarkerMatrix:
         self.rows.unpersist()
 
 
-def _detached(method):
-    """The plain function of a bound method, so that tasks don't get the matrix itself."""
-    function = method.__func__
-    return lambda batch, kind, n, here: function(None, batch, kind, n, here)
+def standardised_slices(batches, kind: str, n: int, here: np.ndarray):
+    """Slices of markers with their standardised cells, zero where missing or not present, and
+    which cells are valid."""
+    for batch in batches:
+        for part in decoded_slices(batch, n):
+            z = unpack(part.column("payload"), kind, n) - part.column("mu").to_numpy()[:, None]
+            z *= part.column("isd").to_numpy()[:, None]
+            valid = ~np.isnan(z) & here
+            z[~valid] = 0.0
+            yield part, z, valid

@@ -11,13 +11,17 @@ Effects are reported on the scale of standardised cells: the loop's x over sqrt(
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from typing import Protocol
 
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..functions.special import inverse_mills, log_normal_cdf, probit_denoise
 from .matrix import MarkerMatrix
 from .prior import Prior, from_sums
-from .solvers import lmmse, lmmse_by_samples
+from .solvers import lmmse, lmmse_by_samples, probe_trace
 
 LEAST, MOST = 1e-11, 1e11
 
@@ -63,6 +67,13 @@ def learn_prior(r: np.ndarray, gamma: float, prior: Prior, rounds: int, toleranc
     return prior.merged()
 
 
+class Denoiser(Protocol):
+    """What users may put in the prior's place."""
+
+    def __call__(self, r: np.ndarray, gamma: float) -> tuple[np.ndarray, np.ndarray]:
+        """Effects seen with noise of precision ``gamma`` as ``r``: estimates, and their derivatives."""
+
+
 @dataclass
 class Options:
     model: str = "linear"
@@ -97,33 +108,42 @@ class Fit:
 
 
 def fit(matrix: MarkerMatrix, y: np.ndarray, prior: Prior, options: Options | None = None, covariates: np.ndarray | None = None,
-        frozen: np.ndarray | None = None, start: np.ndarray | None = None, r1: np.ndarray | None = None) -> Fit:
+        frozen: np.ndarray | None = None, start: np.ndarray | None = None, r1: np.ndarray | None = None,
+        truth: np.ndarray | None = None, denoiser: Denoiser | None = None) -> Fit:
     """``y``: one value a sample, NaN where missing (0 or 1 for ``bin_class``).  ``start`` and
     ``r1``: effects and r1 of an earlier fit, on the reported scale.  ``frozen``: markers that
-    neither damping nor the mean derivative takes in."""
+    neither damping nor the mean derivative takes in.  ``truth``: true effects, to which the trace
+    tells the cosine and the relative error of each iteration.  ``denoiser`` takes the place of
+    the prior's, which isn't learnt then."""
     options = options or Options()
     y = np.where(np.isnan(y), 0.0, y)
     prior = prior.scaled(matrix.n_samples)
     root = np.sqrt(matrix.n_samples)
     start, r1 = (None if v is None else v * root for v in (start, r1))
     if options.model == "linear":
-        return _linear(matrix, y, prior, options, frozen, start, r1)
-    if options.model in ("bin_class", "robust"):
-        return _generalised(matrix, y, prior, options, covariates, frozen, start)
-    raise ValueError(f"no model {options.model}")
+        out = _linear(matrix, y, prior, options, frozen, start, r1, denoiser)
+    elif options.model in ("bin_class", "robust"):
+        out = _generalised(matrix, y, prior, options, covariates, frozen, start, denoiser)
+    else:
+        raise ValueError(f"no model {options.model}")
+    for it, x in enumerate(out.estimates if truth is not None else [], start=1):
+        size = max(np.linalg.norm(truth), 1e-300)
+        cosine = float(x @ truth) / max(np.linalg.norm(x) * size, 1e-300)
+        out.trace += [(it, "cosine_to_truth", cosine), (it, "l2_error_to_truth", float(np.linalg.norm(x - truth) / size))]
+    return out
 
 
-def _denoise_step(state: dict, it: int, prior: Prior, o: Options, live: np.ndarray, inner: int) -> tuple[np.ndarray, float, float, Prior]:
+def _denoise_step(state: dict, it: int, prior: Prior, o: Options, live: np.ndarray, inner: int, denoiser) -> tuple[np.ndarray, float, float, Prior]:
     """Effects, mean derivative and precision, with the prior and gamma1 re-estimated."""
     r, gamma = state["r1"], state["gam1"]
     for _ in range(1 + inner):
-        x, slope = denoise(r, gamma, prior)
+        x, slope = denoiser(r, gamma) if denoiser else denoise(r, gamma, prior)
         alpha = float(slope[live].mean())
         eta = gamma / alpha
         if it < 2:
             break
         new = clamp(1 / (1 / eta + float(((x - r) ** 2).mean())))
-        prior = learn_prior(r, new, prior, o.em_rounds, o.em_tolerance, o.learn_variances)
+        prior = prior if denoiser else learn_prior(r, new, prior, o.em_rounds, o.em_tolerance, o.learn_variances)
         done, gamma = abs(new - gamma) < 1e-3, new
         if done:
             break
@@ -131,7 +151,7 @@ def _denoise_step(state: dict, it: int, prior: Prior, o: Options, live: np.ndarr
     return x, alpha, eta, prior
 
 
-def _linear(matrix: MarkerMatrix, y, prior, o: Options, frozen, start, r1) -> Fit:
+def _linear(matrix: MarkerMatrix, y, prior, o: Options, frozen, start, r1, denoiser) -> Fit:
     n, m, root = matrix.n_samples, matrix.n_markers, np.sqrt(matrix.n_samples)
     live = np.ones(m, bool) if frozen is None else ~np.asarray(frozen, bool)
     state = {"r1": np.zeros(m) if r1 is None else r1, "gam1": o.gam1 or 1e-6}
@@ -142,7 +162,7 @@ def _linear(matrix: MarkerMatrix, y, prior, o: Options, frozen, start, r1) -> Fi
     note = lambda it, **v: out.trace.extend((it, k, float(x)) for k, x in v.items())
     for it in range(1, o.iterations + 1):
         before, alpha_before = x1, alpha1
-        x1, alpha1, eta1, prior = _denoise_step(state, it, prior, o, live, 5)
+        x1, alpha1, eta1, prior = _denoise_step(state, it, prior, o, live, 5, denoiser)
         if it == 1 and start is not None:
             x1 = state["r1"] = start.copy()
         if it > 1:
@@ -155,12 +175,14 @@ def _linear(matrix: MarkerMatrix, y, prior, o: Options, frozen, start, r1) -> Fi
         gam2 = rho * new + (1 - rho) * gam2 if o.lmmse_damping and gam2 is not None else new
         r2 = (eta1 * x1 - state["gam1"] * state["r1"]) / gam2
         rho = max(rho, min(2 * min(alpha1, alpha2), 1.0))
-        if it == 1:
+        if it == 1 and not denoiser:
             prior = learn_prior(state["r1"], state["gam1"], prior, o.em_rounds, o.em_tolerance, o.learn_variances)
         note(it, gam1=state["gam1"], gam2=gam2, r2_x1=_r2(y, z1))
-        x2, alpha2, probe, solved = lmmse(matrix, gamw, gam2, y, r2, x2 if it > 1 else None, o.cg_rounds, o.seed)
         if o.by_samples:
+            alpha2, probe, solved = probe_trace(matrix, gamw, gam2, o.cg_rounds, o.seed)
             x2, u = lmmse_by_samples(matrix, gamw, gam2, y, r2, u, o.cg_rounds)
+        else:
+            x2, alpha2, probe, solved = lmmse(matrix, gamw, gam2, y, r2, x2 if it > 1 else None, o.cg_rounds, o.seed)
         eta2 = gam2 / alpha2
         if it > 2:
             gam2 = clamp(1 / (1 / eta2 + float(((x2 - r2) ** 2).mean())))
@@ -200,8 +222,48 @@ def probit_covariates(y: np.ndarray, z: np.ndarray, variance: float = 1.0, round
     return eta
 
 
-#: Thresholds of the Huber loss that are compared when it is learnt.
-DELTAS = tuple(10.0**k for k in range(-6, 8))
+def probit_covariates_of(table: DataFrame, n_covariates: int, variance: float = 1.0, rounds: int = 100) -> np.ndarray:
+    """The same of a table (``z``, an array, and ``y``): each step's loss, gradient and Hessian are
+    sums that the cluster adds up, of 1 + C + C * C numbers."""
+    scale, size = np.sqrt(variance), n_covariates
+
+    def sums(eta: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        def run(batches):
+            total = np.zeros(2 + size + size * size)
+            for batch in batches:
+                z = batch.column("z").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, size)
+                sign = 2 * batch.column("y").to_numpy(zero_copy_only=False) - 1
+                c = sign * (z @ eta) / scale
+                h = inverse_mills(c)
+                gradient = -(z * (sign * h)[:, None]).sum(axis=0) / scale
+                hessian = (z * (h * (c + h))[:, None]).T @ z / variance
+                total += np.concatenate([[len(z), -log_normal_cdf(c).sum()], gradient, hessian.ravel()])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], ["at", "value"])
+
+        known = table.select("z", F.col("y").cast("double").alias("y")).where("y IS NOT NULL AND z IS NOT NULL")
+        added = np.zeros(2 + size + size * size)
+        for row in known.mapInArrow(run, "at long, value double").groupBy("at").agg(F.sum("value").alias("value")).collect():
+            added[row["at"]] = row["value"]
+        mean = added[1:] / max(added[0], 1)
+        return mean[0], mean[1 : 1 + size], mean[1 + size :].reshape(size, size)
+
+    eta = np.zeros(size)
+    now, gradient, hessian = sums(eta)
+    for _ in range(rounds):
+        step, share = np.linalg.lstsq(hessian, gradient, rcond=None)[0], 1.0
+        tried = sums(eta - step)
+        while tried[0] > now and share > 1e-8:
+            share *= 0.5
+            tried = sums(eta - share * step)
+        eta = eta - share * step
+        now, gradient, hessian = tried
+        if np.linalg.norm(share * step) <= 1e-10 * (1 + np.linalg.norm(eta)):
+            break
+    return eta
+
+
+#: Thresholds of the Huber loss that are compared when it is learnt (fixed values).
+DELTAS = (1e-6, 1e-5, 1e-4, 1e-3, 1e-2, 1e-1, 0.2, 0.4, 0.6, 0.8, 1, 1.5, 2, 3)
 
 
 def huber_step(p: np.ndarray, tau: float, delta: float, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -214,12 +276,14 @@ def huber_step(p: np.ndarray, tau: float, delta: float, y: np.ndarray) -> tuple[
 def huber_delta(p: np.ndarray, tau: float, y: np.ndarray, seed: int = 1, draws: int = 100) -> float:
     """The threshold with the least mean loss over z ~ N(p, 1/tau); the mean loss rises with
     the threshold, so this is the least of the grid up to sampling noise."""
-    w = np.abs(y[:, None] - p[:, None] - np.random.default_rng(seed).normal(0, 1 / np.sqrt(tau), (len(p), draws)))
-    loss = [np.where(w <= d, w * w / 2, d * (w - d / 2)).mean() for d in DELTAS]
+    rng, loss = np.random.default_rng(seed), np.zeros(len(DELTAS))
+    for _ in range(draws):
+        w = np.abs(y - p - rng.normal(0, 1 / np.sqrt(tau), len(p)))
+        loss += [np.where(w <= d, w * w / 2, d * (w - d / 2)).sum() for d in DELTAS]
     return DELTAS[int(np.argmin(loss))]
 
 
-def _generalised(matrix: MarkerMatrix, y, prior, o: Options, covariates, frozen, start) -> Fit:
+def _generalised(matrix: MarkerMatrix, y, prior, o: Options, covariates, frozen, start, denoiser) -> Fit:
     """Probit (``bin_class``) and Huber (``robust``) likelihoods."""
     n, m, root = matrix.n_samples, matrix.n_markers, np.sqrt(matrix.n_samples)
     live = np.ones(m, bool) if frozen is None else ~np.asarray(frozen, bool)
@@ -235,7 +299,7 @@ def _generalised(matrix: MarkerMatrix, y, prior, o: Options, covariates, frozen,
     note = lambda it, **v: out.trace.extend((it, k, float(x)) for k, x in v.items())
     for it in range(1, o.iterations + 1):
         before, alpha_before = x1, alpha1
-        x1, alpha1, eta1, prior = _denoise_step(state, it, prior, o, live, 50)
+        x1, alpha1, eta1, prior = _denoise_step(state, it, prior, o, live, 50, denoiser)
         if it == 1 and start is not None:
             x1 = state["r1"] = start.copy()
         if it > 1:

@@ -53,6 +53,15 @@ def default_prior(n_markers: int, n_samples: int) -> Prior:
     return Prior((1 - slab, *weights), (0.0, *variances))
 
 
+def halving_prior(n_markers: int, n_causal: int, components: int) -> Prior:
+    """A spike and ``components`` - 1 slabs over half the causal markers, each with half the last
+    one's probability and ten times its variance."""
+    causal = max(1, n_causal // 2)
+    first = causal / n_markers / (2 - 1 / 2 ** (components - 1))
+    slabs = range(components - 1)
+    return Prior((1 - causal / n_markers, *(first / 2**k for k in slabs)), (0.0, *(0.01 / causal * 10**k for k in slabs)))
+
+
 def em_sums(state: DataFrame, gamma: float, prior: Prior) -> DataFrame:
     """One row: ``n``, ``pi`` (expected slab markers) and for each slab k ``b<k>`` and ``g<k>``:
     its expected markers and their summed second moments.  One aggregate for all components."""

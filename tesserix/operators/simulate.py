@@ -9,14 +9,16 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.scalars import denoise_slope
 from ..functions.special import normal_cdf_udf
 from .prior import Prior
 
 
 def uniform(index: Column, seed: int, stream: int = 0) -> Column:
-    """Uniform on (0, 1)."""
-    bits = F.shiftrightunsigned(F.xxhash64(index, F.lit(seed), F.lit(stream)), 11)
-    return (bits.cast("double") + 0.5) / F.lit(float(1 << 53))
+    """Uniform on (0, 1): 52 bits of a digest that any engine has."""
+    digest = F.md5(F.concat_ws(":", index.cast("string"), F.lit(str(seed)), F.lit(str(stream))).cast("binary"))
+    bits = F.conv(F.substring(digest, 1, 13), 16, 10).cast("double")
+    return (bits + 0.5) / F.lit(float(1 << 52))
 
 
 def normal(index: Column, seed: int, stream: int = 0) -> Column:
@@ -76,5 +78,33 @@ def dense_cells(spark: SparkSession, n_samples: int, n_markers: int, seed: int =
     )
 
 
+def state_evolution(spark: SparkSession, n: int, prior: Prior, gamma: float, before: tuple[Prior, float] | None = None, rho: float = 1.0, seed: int = 1) -> DataFrame:
+    """``alpha, eta, gamma``: what the theory foretells of the effect denoiser's mean derivative and
+    of the precisions after it, from ``n`` draws of the prior seen with noise of precision
+    ``gamma``; the derivative is blended with that under the prior and precision ``before``."""
+
+    def slope(own: Prior, precision: float, stream: int) -> Column:
+        u, sd = uniform(F.col("id"), seed, 20 * stream), F.lit(0.0)
+        for p, v in reversed(list(zip(np.cumsum(own.probs), own.variances, strict=True))):
+            sd = F.when(u <= float(p), F.lit(math.sqrt(v))).otherwise(sd)
+        r = sd * normal(F.col("id"), seed, 10 * stream) + normal(F.col("id"), seed, 10 * stream + 1) / math.sqrt(precision)
+        return denoise_slope(r, precision, list(own.probs), list(own.variances))
+
+    derivative = slope(prior, gamma, 1)
+    if before:
+        derivative = rho * derivative + (1 - rho) * slope(*before, 2)
+    alpha = spark.range(n).agg(F.avg(derivative).alias("alpha"))
+    return alpha.select("alpha", (gamma / F.col("alpha")).alias("eta"), (gamma / F.col("alpha") - gamma).alias("gamma"))
+
+
+def variances(signal: DataFrame, pheno: DataFrame) -> DataFrame:
+    """``var_signal, var_y, r2``: of ``sample_idx, value`` and ``sample_idx, y``."""
+    both = signal.join(pheno, "sample_idx")
+    e = F.col("y") - F.col("value")
+    return both.agg(
+        F.var_samp("value").alias("var_signal"), F.var_samp("y").alias("var_y"), (1 - F.sum(e * e) / (F.var_samp("y") * F.count("*"))).alias("r2")
+    )
+
+
 def noise_precision(snr: float, prior: Prior, n_markers: int) -> float:
     return snr / (n_markers * sum(p * v for p, v in zip(prior.probs, prior.variances, strict=True)))

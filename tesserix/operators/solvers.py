@@ -82,6 +82,13 @@ def lmmse(matrix: MarkerMatrix, tau: float, gamma: float, target: np.ndarray, r2
     return solved[:, 0], gamma * float(probe @ solved[:, 1]), probe, solved[:, 1]
 
 
+def probe_trace(matrix: MarkerMatrix, tau: float, gamma: float, rounds: int = 60, seed: int = 1):
+    """(alpha, probe, solved probe) as :func:`lmmse` has them, without the other system."""
+    probe = signs(matrix.n_markers, seed)
+    solved, _ = conjugate_gradient(normal_operator(matrix, tau, gamma), probe, marker_diagonal(matrix, tau, gamma), None, rounds)
+    return gamma * float(probe @ solved), probe, solved
+
+
 def lmmse_by_samples(matrix: MarkerMatrix, tau: float, gamma: float, target: np.ndarray, r2: np.ndarray, start=None, rounds: int = 60):
     """The same x by way of (tau A A' + gamma) u = target - A r2; smaller if N < M.  Also u."""
     b = target - matrix.times(r2)

@@ -216,13 +216,17 @@ def read_chromosomes(spark: SparkSession, path: str) -> DataFrame:
     return lines(spark, path).select(F.col("idx").alias("marker_idx"), chromosome_number(F.col("tokens")[0]).alias("chrom"))
 
 
+def read_marker_ids(spark: SparkSession, path: str) -> DataFrame:
+    """``marker_idx, marker_id`` of an annotation file's second tokens."""
+    return lines(spark, path).select(F.col("idx").alias("marker_idx"), F.col("tokens")[1].alias("marker_id"))
+
+
 def read_text_vector(spark: SparkSession, path: str, start: int = 0, count: int | None = None) -> DataFrame:
     """``idx, value`` of white-space separated numbers, or of a stretch of them."""
-    exploded = lines(spark, path).select("idx", F.posexplode("tokens").alias("at", "token"))
-    # several numbers may share a line: each counts from the totals of the lines before it
-    totals = lines(spark, path).select("idx", F.size("tokens").alias("n"))
-    before = totals.select("idx", F.expr("sum(n) OVER (ORDER BY idx) - n").alias("base"))
-    whole = exploded.join(before, "idx").select((F.col("base") + F.col("at")).alias("idx"), F.col("token").cast("double").alias("value"))
+    # several numbers may share a line; they are numbered by the counts of each partition
+    tokens = spark.read.text(path).rdd.flatMap(lambda r: r[0].split()).zipWithIndex()
+    whole = spark.createDataFrame(tokens.map(lambda x: (x[1], x[0])), "idx long, token string")
+    whole = whole.select("idx", F.col("token").cast("double").alias("value"))
     end = start + count if count is not None else None
     part = whole.where(F.col("idx") >= start) if end is None else whole.where((F.col("idx") >= start) & (F.col("idx") < end))
     return part.select((F.col("idx") - start).alias("idx"), "value")

@@ -6,18 +6,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def score(cells: DataFrame, stats: DataFrame, effects: DataFrame, n_samples: int, window: str = "10 minutes") -> DataFrame:
+def score(cells: DataFrame, stats: DataFrame, effects: DataFrame, n_samples: int, gap: str = "10 minutes") -> DataFrame:
     """``sample_idx, value`` of a stream of ``ts, sample_idx, marker_idx, value`` cells.
 
-    ``stats`` and ``effects`` are static tables by marker; a sample's cells count if they arrive
-    within ``window`` of event time, after which its score is final.
+    ``stats`` and ``effects`` are static tables by marker.  A sample's cells are one session as
+    long as each comes within ``gap`` of event time after another, wherever the clock stands; once
+    the watermark passes that, its score is final and its state is dropped.
     """
     static = stats.join(effects, "marker_idx").select("marker_idx", "mu", (F.col("isd") * F.col("x")).alias("weight"))
     term = F.coalesce((F.col("value") - F.col("mu")) * F.col("weight"), F.lit(0.0))
     return (
-        cells.withWatermark("ts", window)
+        cells.withWatermark("ts", gap)
         .join(static, "marker_idx")
-        .groupBy(F.window("ts", window), "sample_idx")
+        .groupBy(F.session_window("ts", gap), "sample_idx")
         .agg((F.sum(term) / F.sqrt(F.lit(float(n_samples)))).alias("value"))
         .select("sample_idx", "value")
     )

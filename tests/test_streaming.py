@@ -3,6 +3,15 @@ from datetime import datetime, timedelta
 from tesserix.streaming.scoring import score
 
 
+def test_a_sample_s_cells_are_one_session_wherever_the_clock_stands(spark):
+    at = datetime(2024, 1, 1)
+    cells = [(at + timedelta(seconds=s), 7, m, 1.0) for m, s in enumerate((599, 601, 1190))]
+    table = spark.createDataFrame(cells, "ts timestamp, sample_idx long, marker_idx long, value double")
+    stats = spark.createDataFrame([(m, 0.0, 1.0) for m in range(3)], "marker_idx long, mu double, isd double")
+    effects = spark.createDataFrame([(m, 2.0) for m in range(3)], "marker_idx long, x double")
+    assert [tuple(r) for r in score(table, stats, effects, 4).collect()] == [(7, 3.0)]
+
+
 def test_stream_scores_as_a_batch_does(spark, tmp_path):
     start = datetime(2024, 1, 1)
     cells = [(start + timedelta(seconds=s), s, m, None if (s + m) % 5 == 0 else float(s * m % 3)) for s in range(6) for m in range(4)]
