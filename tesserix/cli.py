@@ -1,9 +1,10 @@
-"""Command line: fit, test, predict and association tests over files.
+"""Command line: fit, test, predict, simulate and association tests over files.
 
 ``python -m tesserix --run-mode infere --bed-file g.bed --phen-files y.phen --N 1000 ...``
 
-Options keep the names of the programs this engine replaces; an unknown one is an error.
-Results are Parquet datasets under ``<out-dir><out-name>``, estimates partitioned by iteration.
+Options keep the names of the programs this engine replaces; an unknown one is an error, and so
+is one that has no effect there.  The ``sim`` modes draw effects and a phenotype for the samples of
+a matrix and fit a model to them.  Results are Parquet datasets under ``<out-dir><out-name>``, estimates partitioned by iteration.
 """
 
 from __future__ import annotations
@@ -11,15 +12,23 @@ from __future__ import annotations
 import argparse
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import association, evaluate, models
+from .operators import association, evaluate, models, simulate
 from .operators.matrix import MarkerMatrix
-from .operators.prior import Prior, default_prior
+from .operators.prior import Prior, default_prior, halving_prior
 from .sources import genomics
 
-MODES = ("infere", "test", "both", "pvals-calc", "restart", "predict", "predict_single")
+SIMULATIONS = ("sim", "sim_heavy_tails", "sim_realistic", "sim_probit")
+MODES = ("infere", "test", "both", "pvals-calc", "restart", "predict", "predict_single", *SIMULATIONS)
+
+#: Mixture of effects of the realistic simulation, and its heritability (fixed values).
+REALISTIC = Prior(
+    (0.9595661, 0.0008876436, 0.0367001, 0.002712435, 0.0001066884, 8.915961e-6, 1.814535e-5), (0.0, 1e-6, 1e-5, 1e-4, 1e-3, 1e-2, 1e-1)
+)
+REALISTIC_H2 = 0.5525262
 
 
 def _numbers(text: str) -> list[float]:
@@ -30,7 +39,7 @@ def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="tesserix", allow_abbrev=False, description=__doc__.splitlines()[0])
     p.add_argument("--run-mode", choices=MODES, required=True)
     p.add_argument("--model", choices=("linear", "bin_class", "robust"), default="linear")
-    for name in ("bed-file", "bed-file-test", "dense-file", "dense-file-test", "bim-file", "cov-file", "cov-file-test",
+    for name in ("bed-file", "bed-file-test", "dense-file", "dense-file-test", "bim-file", "bim-file-test", "cov-file", "cov-file-test",
                  "cov-estimate-file", "estimate-file", "freeze-index-file", "out-dir", "out-name"):
         p.add_argument(f"--{name}", default="")
     for name in ("phen-files", "phen-files-test", "true-signal-files"):
@@ -59,20 +68,36 @@ def _options(a: argparse.Namespace) -> models.Options:
     )
 
 
+def _checked(a: argparse.Namespace) -> argparse.Namespace:
+    """The options, none of which goes without effect in silence."""
+    if a.red:
+        raise SystemExit("--red asks for a range of samples that no option sets")
+    if a.gamma_damp != 1:
+        raise SystemExit("--gamma-damp has no effect in any model")
+    if a.CV and a.run_mode not in SIMULATIONS:
+        raise SystemExit("--CV is the number of causal markers of a simulation")
+    if a.num_mix_comp and a.probs:
+        raise SystemExit("--num-mix-comp makes a prior, which --probs and --vars give already")
+    if a.num_mix_comp and not a.CV:
+        raise SystemExit("--num-mix-comp makes a prior from --CV causal markers")
+    if a.run_mode in SIMULATIONS and not (a.N and (a.CV or a.run_mode == "sim_realistic")):
+        raise SystemExit("a simulation needs --N and --CV")
+    return a
+
+
 class Study:
-    """A matrix, its phenotype and covariates, from files."""
+    """A matrix, its phenotype and covariates, from files; the phenotype of a simulation comes later."""
 
     def __init__(self, spark: SparkSession, a: argparse.Namespace, test: bool = False):
         suffix = "_test" if test else ""
         option = lambda name: getattr(a, name + suffix)
-        rows = genomics.read_phenotypes(spark, option("phen_files").split(",")[0]).orderBy("sample_idx").select("y").toLocalIterator()
-        y = np.array([np.nan if r[0] is None else r[0] for r in rows], float)
-        if option("N") and option("N") != len(y):
-            raise SystemExit(f"the phenotype file has {len(y)} samples, not {option('N')}")
-        self.y = y if a.model == "bin_class" else y / np.nanstd(y, ddof=1)
+        if a.run_mode in SIMULATIONS:
+            self.y = np.ones(a.N)
+        else:
+            self.y = self._phenotype(spark, a, option)
         bed = option("bed_file")
         read, path, kind = (genomics.read_bed, bed, "bed") if bed else (genomics.read_dense, option("dense_file"), "dense")
-        self.matrix = MarkerMatrix(read(spark, path, len(y)), kind, ~np.isnan(y), a.alpha_scale)
+        self.matrix = MarkerMatrix(read(spark, path, len(self.y)), kind, ~np.isnan(self.y), a.alpha_scale)
         if option("Mt") and option("Mt") != self.matrix.n_markers:
             raise SystemExit(f"the matrix has {self.matrix.n_markers} markers, not {option('Mt')}")
         cov = option("cov_file")
@@ -81,6 +106,14 @@ class Study:
             z = genomics.read_covariates(spark, cov, a.C).orderBy("sample_idx").select("z").toLocalIterator()
             self.covariates = np.array([r[0] for r in z], float)
 
+    @staticmethod
+    def _phenotype(spark: SparkSession, a: argparse.Namespace, option) -> np.ndarray:
+        rows = genomics.read_phenotypes(spark, option("phen_files").split(",")[0]).orderBy("sample_idx").select("y").toLocalIterator()
+        y = np.array([np.nan if r[0] is None else r[0] for r in rows], float)
+        if option("N") and option("N") != len(y):
+            raise SystemExit(f"the phenotype file has {len(y)} samples, not {option('N')}")
+        return y if a.model == "bin_class" else y / np.nanstd(y, ddof=1)
+
 
 def _vector(spark: SparkSession, path: str) -> np.ndarray:
     """A vector by its file's last extension: .bin is binary, all else text."""
@@ -89,66 +122,75 @@ def _vector(spark: SparkSession, path: str) -> np.ndarray:
 
 
 def _marker_table(spark: SparkSession, series: list[np.ndarray], first: int = 1) -> DataFrame:
-    rows = [(it, j, float(v)) for it, x in enumerate(series, start=first) for j, v in enumerate(x)]
-    return spark.createDataFrame(rows, "it int, marker_idx long, beta double")
+    n = [len(x) for x in series]
+    return spark.createDataFrame(
+        pa.table({
+            "it": np.repeat(np.arange(first, first + len(n), dtype=np.int32), n),
+            "marker_idx": np.concatenate([np.arange(k) for k in n]), "beta": np.concatenate(series).astype(float),
+        })
+    )
 
 
 def _prior(a: argparse.Namespace, study: Study) -> Prior:
-    return Prior(tuple(a.probs), tuple(a.vars)) if a.probs else default_prior(study.matrix.n_markers, study.matrix.n_samples)
-
-
-def run_fit(spark: SparkSession, a: argparse.Namespace, out: str, study: Study) -> models.Fit:
+    if a.probs:
+        return Prior(tuple(a.probs), tuple(a.vars))
+    if a.num_mix_comp:
+        return halving_prior(study.matrix.n_markers, a.CV, a.num_mix_comp)
+    return default_prior(study.matrix.n_markers, study.matrix.n_samples)
+
+
+def simulated(spark: SparkSession, a: argparse.Namespace, out: str, study: Study) -> np.ndarray:
+    """True effects, after the study got a phenotype that they explain to the share ``--h2``."""
+    m, n = study.matrix.n_markers, study.matrix.n_samples
+    h2 = REALISTIC_H2 if a.run_mode == "sim_realistic" else a.h2 if a.h2 >= 0 else 0.5
+    if a.run_mode == "sim_realistic":
+        drawn = simulate.rescaled_effects(spark, m, REALISTIC, h2, a.seed)
+    else:
+        drawn = (simulate.heavy_tailed_effects if a.run_mode == "sim_heavy_tails" else simulate.sparse_effects)(spark, m, a.CV, h2, a.seed)
+    truth = np.array([r[0] for r in drawn.orderBy("idx").select("value").toLocalIterator()], float)
+    g = study.matrix.times(truth * np.sqrt(n))
+    if a.run_mode == "sim_probit" and study.covariates is not None:
+        g = g + study.covariates @ np.array(simulate.alternating_covariate_effects(a.C))
+    signal = spark.createDataFrame(pa.table({"sample_idx": np.arange(n), "value": g}))
+    pheno = simulate.probit_phenotype(signal, a.probit_var, a.seed) if a.run_mode == "sim_probit" else simulate.linear_phenotype(signal, h2, a.seed)
+    pheno.write.mode("overwrite").parquet(f"{out}_y")
+    pheno = spark.read.parquet(f"{out}_y")
+    _marker_table(spark, [truth]).drop("it").write.mode("overwrite").parquet(f"{out}_beta_true")
+    simulate.variances(signal, pheno).write.mode("overwrite").parquet(f"{out}_variances")
+    study.y = np.array([r[0] for r in pheno.orderBy("sample_idx").select("y").toLocalIterator()], float)
+    return truth
+
+
+def run_fit(spark: SparkSession, a: argparse.Namespace, out: str, study: Study, truth: np.ndarray | None = None) -> models.Fit:
     start = _vector(spark, a.estimate_file) if a.init_est and a.estimate_file else None
     r1 = _vector(spark, a.estimate_file) if a.run_mode == "restart" else None
     frozen = _vector(spark, a.freeze_index_file) > 0 if a.use_freeze and a.freeze_index_file else None
-    fitted = models.fit(study.matrix, study.y, _prior(a, study), _options(a), study.covariates, frozen, start, r1)
+    if truth is None and a.true_signal_files:
+        truth = _vector(spark, a.true_signal_files.split(",")[0])
+    fitted = models.fit(study.matrix, study.y, _prior(a, study), _options(a), study.covariates, frozen, start, r1, truth)
     genomics.write_estimates(_marker_table(spark, fitted.estimates), f"{out}_estimates")
     genomics.write_estimates(_marker_table(spark, fitted.r1), f"{out}_r1")
     spark.createDataFrame(fitted.trace or [(0, "none", 0.0)], "it int, name string, value double").write.mode("overwrite").parquet(f"{out}_trace")
     if fitted.covariate_effects is not None:
-        rows = [(c, float(v)) for c, v in enumerate(fitted.covariate_effects)]
+        rows = [(c, float(v)) for c, v in enumerate(fitted.covariate_effects)]  # a few
         spark.createDataFrame(rows, "c int, eta double").write.mode("overwrite").parquet(f"{out}_covariates")
     if a.store_pvals:
         run_tests(spark, a, out, study, [fitted.effects], 1)
     return fitted
 
 
-def _cells(study: Study) -> DataFrame:
-    """Standardised valid cells of the present samples, unpacked on the cluster."""
-    import pyarrow as pa
-
-    from .operators.matrix import unpack
-
-    kind, n, here = study.matrix.kind, study.matrix.n_samples, np.flatnonzero(study.matrix.present)
-
-    def run(batches):
-        for batch in batches:
-            for k in range(batch.num_rows):
-                v = unpack(batch.column("payload").slice(k, 1), kind, n)[0][here]
-                z = (v - batch.column("mu")[k].as_py()) * batch.column("isd")[k].as_py()
-                ok = ~np.isnan(v)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(here[ok]), pa.array(np.full(ok.sum(), batch.column("marker_idx")[k].as_py())), pa.array(v[ok]), pa.array(z[ok])],
-                    ["sample_idx", "marker_idx", "value", "z"],
-                )
-
-    return study.matrix.rows.mapInArrow(run, "sample_idx long, marker_idx long, value double, z double")
-
-
 def run_tests(spark: SparkSession, a: argparse.Namespace, out: str, study: Study, series: list[np.ndarray], first: int) -> None:
-    """Leave-one-out tests, and leave-one-chromosome-out ones if there is an annotation."""
-    n, root, here = study.matrix.n_samples, np.sqrt(study.matrix.n_samples), np.flatnonzero(study.matrix.present)
-    z = study.matrix.times(np.stack(series, axis=1) * root)
-    rows = [(k + first, int(i), float(study.y[i] - z[i, k])) for k in range(len(series)) for i in here]
-    residual = spark.createDataFrame(rows, "it int, sample_idx long, e double")
-    x = _marker_table(spark, series, first).select("it", "marker_idx", (F.col("beta") * root).alias("x"))
-    cells = _cells(study)
+    """Leave-one-out tests, and leave-one-chromosome-out ones if there is an annotation, straight
+    on the packed markers and of all estimates at once."""
+    x = np.stack(series, axis=1) * np.sqrt(study.matrix.n_samples)
+    residual = study.y[:, None] - study.matrix.times(x)
     with_p = lambda t: t.withColumn("p", association.student_t_pvalue_udf("t", F.col("n") - 2.0))
     if a.store_pvals in (0, 1):
-        with_p(association.leave_one_out(cells, residual, x, n, ("it",))).write.mode("overwrite").parquet(f"{out}_pvals")
+        with_p(association.packed_leave_one_out(study.matrix, residual, x, first)).write.mode("overwrite").parquet(f"{out}_pvals")
     if a.bim_file and (a.store_pvals in (0, 2) or a.run_mode != "pvals-calc"):
-        chrom = genomics.read_chromosomes(spark, a.bim_file)
-        loco = association.leave_one_chromosome_out(cells, residual, x, chrom, n, ("it",))
+        rows = genomics.read_chromosomes(spark, a.bim_file).orderBy("marker_idx").select("chrom").toLocalIterator()
+        chrom = np.array([r[0] for r in rows], np.int64)
+        loco = association.packed_leave_one_chromosome_out(study.matrix, residual, x, chrom, first)
         with_p(loco).write.mode("overwrite").parquet(f"{out}_pvals_LOCO")
 
 
@@ -164,19 +206,38 @@ def _series(spark: SparkSession, a: argparse.Namespace) -> tuple[list[np.ndarray
     return [np.array(x) for x in found.values()], min(found, default=1)
 
 
+def _matched(spark: SparkSession, a: argparse.Namespace, out: str, x: np.ndarray, study: Study) -> np.ndarray:
+    """Estimates in the order of the test markers: by their ids if both annotations are given, and
+    by position otherwise.  Ids that one side lacks are reported, with effects of zero."""
+    if not (a.bim_file and a.bim_file_test):
+        if len(x) != study.matrix.n_markers:
+            raise SystemExit(f"{len(x)} estimates for {study.matrix.n_markers} test markers; give --bim-file and --bim-file-test to match ids")
+        return x
+    fitted = genomics.read_marker_ids(spark, a.bim_file).withColumnRenamed("marker_idx", "fitted_idx")
+    tested = genomics.read_marker_ids(spark, a.bim_file_test)
+    missing = tested.join(fitted, "marker_id", "left_anti").select("marker_id", F.lit("test").alias("only_in"))
+    missing.union(fitted.join(tested, "marker_id", "left_anti").select("marker_id", F.lit("fit"))).write.mode("overwrite").parquet(f"{out}_unmatched")
+    pairs = tested.join(fitted, "marker_id").select("marker_idx", "fitted_idx").toArrow()
+    own = np.zeros((study.matrix.n_markers, x.shape[1]))
+    own[pairs["marker_idx"].to_numpy()] = x[pairs["fitted_idx"].to_numpy()]
+    return own
+
+
 def run_evaluation(spark: SparkSession, a: argparse.Namespace, out: str, series: list[np.ndarray], first: int, effects=None) -> None:
     """Predictions of the test samples by iteration, with R squared or the rates of the classes."""
     study = Study(spark, a, test=True)
-    z = study.matrix.times(np.stack(series, axis=1) * np.sqrt(study.matrix.n_samples))
+    z = study.matrix.times(_matched(spark, a, out, np.stack(series, axis=1), study) * np.sqrt(study.matrix.n_samples))
     if effects is None and a.cov_estimate_file:
         effects = _vector(spark, a.cov_estimate_file)
     if study.covariates is not None and effects is not None:
         z = z + (study.covariates @ effects)[:, None]
-    rows = [
-        (k + first, i, None if np.isnan(study.y[i]) else float(study.y[i]), float(z[i, k]))
-        for k in range(len(series)) for i in range(study.matrix.n_samples)
-    ]
-    predicted = spark.createDataFrame(rows, "it int, sample_idx long, y double, z double")
+    n, k = z.shape
+    predicted = spark.createDataFrame(
+        pa.table({
+            "it": np.repeat(np.arange(first, first + k, dtype=np.int32), n), "sample_idx": np.tile(np.arange(n), k),
+            "y": pa.array(np.tile(study.y, k), from_pandas=True), "z": z.T.ravel(),
+        })
+    )
     predicted.write.mode("overwrite").partitionBy("it").parquet(f"{out}_predict")
     if a.run_mode.startswith("predict"):
         return
@@ -192,12 +253,16 @@ def run_evaluation(spark: SparkSession, a: argparse.Namespace, out: str, series:
 
 
 def main(arguments: list[str] | None = None, spark: SparkSession | None = None) -> None:
-    a = parser().parse_args(arguments)
+    a = _checked(parser().parse_args(arguments))
     spark = spark or SparkSession.builder.appName("tesserix").getOrCreate()
     out = a.out_dir + a.out_name
-    if a.run_mode in ("infere", "restart", "both"):
-        study = Study(spark, a)
-        fitted = run_fit(spark, a, out, study)
+    if a.run_mode in ("infere", "restart", "both", *SIMULATIONS):
+        study, truth = Study(spark, a), None
+        if a.run_mode in SIMULATIONS:
+            truth = simulated(spark, a, out, study)
+            a.model = "bin_class" if a.run_mode == "sim_probit" else a.model
+            study.y = study.y if a.model == "bin_class" else study.y / study.y.std(ddof=1)
+        fitted = run_fit(spark, a, out, study, truth)
         if a.run_mode == "both":
             run_evaluation(spark, a, out, fitted.estimates, 1, fitted.covariate_effects)
     elif a.run_mode == "pvals-calc":

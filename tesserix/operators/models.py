@@ -128,7 +128,7 @@ def fit(matrix: MarkerMatrix, y: np.ndarray, prior: Prior, options: Options | No
         raise ValueError(f"no model {options.model}")
     for it, x in enumerate(out.estimates if truth is not None else [], start=1):
         size = max(np.linalg.norm(truth), 1e-300)
-        cosine = float(x @ truth) / max(np.linalg.norm(x) * size, 1e-300)
+        cosine = float(x @ truth / max(np.linalg.norm(x) * size, 1e-300))
         out.trace += [(it, "cosine_to_truth", cosine), (it, "l2_error_to_truth", float(np.linalg.norm(x - truth) / size))]
     return out
 

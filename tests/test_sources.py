@@ -52,3 +52,40 @@ def test_command_line(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/later_predict").where(F.col("it") == 3).count() == n
     with pytest.raises(SystemExit):
         cli.main(["--run-mode", "infere", "--no-such-option", "1"], spark)
+
+    # the other modes: tests of stored estimates, a restart, markers matched by their ids
+    cli.main(["--run-mode", "pvals-calc", "--estimate-file", f"{tmp_path}/run_estimates", "--test-iter-range", "2,3", "--bim-file", f"{tmp_path}/g.bim", *files, *prior[:4]], spark)
+    both = [spark.read.parquet(f"{tmp_path}/run_{name}") for name in ("pvals", "pvals_LOCO")]
+    assert [t.count() for t in both] == [2 * m, 2 * m] and {r["it"] for r in both[0].select("it").distinct().collect()} == {2, 3}
+    beta = [r["beta"] for r in spark.read.parquet(f"{tmp_path}/run_estimates").where("it = 3").orderBy("marker_idx").collect()]
+    np.array(beta).astype("<f8").tofile(tmp_path / "beta.bin")
+    cli.main(["--run-mode", "restart", "--estimate-file", f"{tmp_path}/beta.bin", "--true-signal-files", f"{tmp_path}/beta.bin", "--gam1-init", "5", *files[:5], f"{tmp_path}/again", *prior[:6]], spark)
+    traced = {r["name"] for r in spark.read.parquet(f"{tmp_path}/again_trace").collect()}
+    assert {"cosine_to_truth", "l2_error_to_truth"} <= traced
+    order = rng.permutation(m)[:30]
+    genomics.write_bed([g[j] for j in order] + [g[0]], str(tmp_path / "t.bed"))
+    (tmp_path / "t.bim").write_text("".join(f"1 rs{j}\n" for j in order) + "1 other\n")
+    part = ["--bed-file-test", f"{tmp_path}/t.bed", "--phen-files-test", f"{tmp_path}/y.phen", "--bim-file", f"{tmp_path}/g.bim", "--bim-file-test", f"{tmp_path}/t.bim"]
+    cli.main(["--run-mode", "predict_single", "--estimate-file", f"{tmp_path}/beta.bin", "--out-dir", f"{tmp_path}/", "--out-name", "part", *part], spark)
+    unmatched = {(r["marker_id"], r["only_in"]) for r in spark.read.parquet(f"{tmp_path}/part_unmatched").collect()}
+    assert unmatched == {("other", "test")} | {(f"rs{j}", "fit") for j in set(range(m)) - set(order.tolist())}
+    with pytest.raises(SystemExit, match="match ids"):
+        cli.main(["--run-mode", "predict_single", "--estimate-file", f"{tmp_path}/beta.bin", "--out-dir", f"{tmp_path}/", "--out-name", "part", *part[:4]], spark)
+
+
+@pytest.mark.parametrize("mode", ["sim", "sim_heavy_tails", "sim_realistic", "sim_probit"])
+def test_simulations(spark, tmp_path, mode):
+    rng = np.random.default_rng(5)
+    n, m = 400, 60
+    genomics.write_bed(list(rng.integers(0, 3, (m, n)).astype(float)), str(tmp_path / "g.bed"))
+    more = ["--CV", "10", "--num-mix-comp", "4"] if mode != "sim_realistic" else ["--probs", "0.9,0.1", "--vars", "0,0.01"]
+    cli.main(["--run-mode", mode, "--bed-file", f"{tmp_path}/g.bed", "--N", str(n), "--out-dir", f"{tmp_path}/", "--out-name", "s", "--iterations", "4", "--h2", "0.8", "--rho", "0.9", *more], spark)
+    assert spark.read.parquet(f"{tmp_path}/s_beta_true").count() == m and spark.read.parquet(f"{tmp_path}/s_y").count() == n
+    cosine = max(r["value"] for r in spark.read.parquet(f"{tmp_path}/s_trace").where("name = 'cosine_to_truth'").collect())
+    assert cosine > (0.5 if mode != "sim_realistic" else -1)
+
+
+@pytest.mark.parametrize("options", [["--red", "1"], ["--gamma-damp", "0"], ["--CV", "3"], ["--num-mix-comp", "3"]])
+def test_options_without_effect_are_errors(spark, options):
+    with pytest.raises(SystemExit):
+        cli.main(["--run-mode", "infere", *options], spark)
