@@ -51,6 +51,8 @@ def _packed(batches, scale: float, n_queries: int, n_candidates: int, every: int
         sizes = np.unique(pc.list_value_length(batch.column("embedding")).fill_null(0).to_numpy(zero_copy_only=False))
         for dim in sizes[sizes > 0].tolist():
             ids, values = _distinct(*quantised(batch, scale, dim))
+            if not len(ids):
+                continue
             # small whole numbers fit floats exactly
             values = values.astype(np.float32) if np.abs(values).max(initial=0) < 1 << 24 else values
             rows, mixed = [], _spread(ids)
