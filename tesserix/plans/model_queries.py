@@ -112,8 +112,7 @@ def robust_fit_k(spark, d):
 
 
 def probit_covariate_fit(spark, d):
-    rows = w.covariates(spark, d).select("z", "y").collect()
-    eta = models.probit_covariates(np.array([r[1] for r in rows]), np.array([r[0] for r in rows]))
+    eta = models.probit_covariates_of(w.covariates(spark, d), 3)
     return spark.createDataFrame([(k, float(v)) for k, v in enumerate(eta)], "c int, eta double")
 
 

@@ -189,11 +189,36 @@ def write_vector(values: DataFrame, path: str) -> None:
     ordered.write.format("vector").mode("append").option("path", path).save()
 
 
+def _numbered(spark: SparkSession, path: str, items) -> DataFrame:
+    """``idx, item``: what ``items`` makes of each line of a text file, or of a folder's files in the
+    order of their names, numbered from 0.  Spark deals files to tasks by their size, so numbers
+    follow from where a block of a file stands and from the counts of the blocks before it, which
+    come to the driver: two numbers a block."""
+    block = (F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"))
+    rows = spark.read.text(path).select(*block, F.explode(items(F.col("value"))).alias("item"))
+    counts = sorted((r["file"], r["at"], r["count"]) for r in rows.groupBy("file", "at").count().collect())
+    ends = np.cumsum([0, *(n for *_, n in counts)]).tolist()
+    shared = spark.sparkContext.broadcast({(f, a): k for (f, a, _), k in zip(counts, ends)})
+
+    def number(batches):
+        # a block is read by one task, in order
+        following = dict(shared.value)
+        for batch in batches:
+            places = list(zip(batch.column("file").to_pylist(), batch.column("at").to_pylist(), strict=True))
+            index = np.empty(len(places), np.int64)
+            heads = [k for k in range(len(places)) if k == 0 or places[k] != places[k - 1]]
+            for a, b in zip(heads, [*heads[1:], len(places)], strict=True):
+                index[a:b] = following[places[a]] + np.arange(b - a)
+                following[places[a]] += b - a
+            yield pa.RecordBatch.from_arrays([pa.array(index), batch.column("item")], ["idx", "item"])
+
+    return rows.mapInArrow(number, "idx long, item string")
+
+
 def lines(spark: SparkSession, path: str) -> DataFrame:
     """``idx, tokens`` of a text file's lines in their order, blank ones left out."""
-    numbered = spark.read.text(path).rdd.map(lambda r: r[0]).filter(lambda x: x.strip() != "").zipWithIndex()
-    table = spark.createDataFrame(numbered.map(lambda x: (x[1], x[0])), "idx long, line string")
-    return table.select("idx", F.split(F.trim(F.translate("line", "\t\r", "  ")), r"\s+").alias("tokens"))
+    table = _numbered(spark, path, lambda line: F.filter(F.array(line), lambda x: x.rlike(r"\S")))
+    return table.select("idx", F.split(F.trim(F.translate("item", "\t\r", "  ")), r"\s+").alias("tokens"))
 
 
 def read_phenotypes(spark: SparkSession, path: str) -> DataFrame:
@@ -223,10 +248,9 @@ def read_marker_ids(spark: SparkSession, path: str) -> DataFrame:
 
 def read_text_vector(spark: SparkSession, path: str, start: int = 0, count: int | None = None) -> DataFrame:
     """``idx, value`` of white-space separated numbers, or of a stretch of them."""
-    # several numbers may share a line; they are numbered by the counts of each partition
-    tokens = spark.read.text(path).rdd.flatMap(lambda r: r[0].split()).zipWithIndex()
-    whole = spark.createDataFrame(tokens.map(lambda x: (x[1], x[0])), "idx long, token string")
-    whole = whole.select("idx", F.col("token").cast("double").alias("value"))
+    # several numbers may share a line
+    tokens = _numbered(spark, path, lambda line: F.filter(F.split(line, r"\s+"), lambda x: x != ""))
+    whole = tokens.select("idx", F.col("item").cast("double").alias("value"))
     end = start + count if count is not None else None
     part = whole.where(F.col("idx") >= start) if end is None else whole.where((F.col("idx") >= start) & (F.col("idx") < end))
     return part.select((F.col("idx") - start).alias("idx"), "value")

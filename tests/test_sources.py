@@ -18,6 +18,26 @@ def test_vectors(spark, tmp_path):
     assert [tuple(r) for r in genomics.read_text_vector(spark, str(tmp_path / "w.txt")).orderBy("idx").collect()] == [(0, 1.0), (1, 2.0), (2, 3.5)]
 
 
+def test_text_vector_in_several_files(spark, tmp_path):
+    # later files are larger, so they are read first
+    table = spark.range(20_000).select(F.col("id").alias("idx"), (F.col("id") / F.when(F.col("id") < 9_000, 1).otherwise(7)).alias("value"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        genomics.write_text_vector(table, str(tmp_path / "v"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(list((tmp_path / "v").glob("part-*"))) > 1
+    back = genomics.read_text_vector(spark, str(tmp_path / "v"))
+    assert back.exceptAll(table).isEmpty() and back.count() == 20_000
+    part = genomics.read_text_vector(spark, str(tmp_path / "v"), 8_999, 3).orderBy("idx").collect()
+    assert [tuple(r) for r in part] == [(0, 8999.0), (1, 9000 / 7), (2, 9001 / 7)]
+
+
+def test_empty_text_files(spark, tmp_path):
+    (tmp_path / "e").write_text("\n  \n")
+    assert genomics.read_text_vector(spark, str(tmp_path / "e")).isEmpty() and genomics.lines(spark, str(tmp_path / "e")).isEmpty()
+
+
 def test_a_truncated_file_is_an_error(spark, tmp_path):
     (tmp_path / "x.bed").write_bytes(b"\x6c\x1b\x01\x00\x00\x00")
     with pytest.raises(Exception, match="no whole number"):
