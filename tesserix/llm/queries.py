@@ -302,6 +302,13 @@ FROM p
 """
 
 
+def op13_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import classify_languages
+
+    told = classify_languages(_table(spark, sf_dir, "documents"))
+    return told.select("doc_id", "held_out", F.col("nearest").alias("lang_pred"), "score", "rejected")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontaminate": op1_decontaminate,
@@ -315,6 +322,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_pii": op9_pii,
         "op10_warc": op10_warc,
         "op12_fim": op12_fim,
+        "op13_langid": op13_langid,
     }
 
 
