@@ -271,6 +271,12 @@ FROM p LEFT JOIN m ON p.d = m.d
 """
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .alignment import align
+
+    return align(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op12_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .fim import fill_in_middle, restored
 
@@ -321,6 +327,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_jaccard": op8_jaccard,
         "op9_pii": op9_pii,
         "op10_warc": op10_warc,
+        "op11_alignment": op11_alignment,
         "op12_fim": op12_fim,
         "op13_langid": op13_langid,
     }
