@@ -91,7 +91,7 @@ def sides(path_a: str, path_b: str) -> Sides:
 
 
 class Aligner:
-    """Tokens, groups and links of texts, by way of their units.
+    """Tokens, groups and links of texts, by way of their units, which are kept from task to task.
 
     A unit's ``counts`` are its tokens of A and of B, its groups and whether the tokens' bytes are the
     unit's; its links, as pair keys (B's id times A's width and A's id), are a stretch of ``pool``.
@@ -160,6 +160,12 @@ class Aligner:
             self._forget()
 
 
+@lru_cache(maxsize=1)
+def aligner_of(path_a: str, path_b: str) -> Aligner:
+    """One a worker, as most of a task's units were in others."""
+    return Aligner(sides(path_a, path_b))
+
+
 def _packed(values: np.ndarray) -> bytes:
     return pa.compress(values.tobytes(), "zstd", asbytes=True)
 
@@ -215,7 +221,7 @@ _FIELDS = pa.schema([
 def _scan(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     @tidy
     def run(batches):
-        aligner, number, rows, keys, links = Aligner(sides(path_a, path_b)), 0, [], [], 0
+        aligner, number, rows, keys, links = aligner_of(path_a, path_b), 0, [], [], 0
         task, width = TaskContext.get().partitionId(), aligner.sides.width
 
         def told():

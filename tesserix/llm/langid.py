@@ -36,8 +36,8 @@ MAX_LANGUAGES = 256
 #: A radius is this share of the distances of a language's own texts in a band of sizes, and some more.
 SHARE, SLACK, LEAST_TEXTS = 0.995, 0.05, 20
 UNKNOWN = "und"
-#: Bands of sizes: powers of two of different n-grams.
-BANDS = BITS + 1
+#: Bands of sizes: powers of two of n-grams.
+BANDS = 48
 
 _LETTERS = np.zeros(256, bool)
 _LETTERS[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
@@ -114,8 +114,8 @@ class Grams:
         return w / size[self.text]
 
     def sizes(self) -> np.ndarray:
-        """Different n-grams of each text."""
-        return np.bincount(self.text, minlength=self.n_texts)
+        """N-grams of each text."""
+        return np.bincount(self.text, self.count, minlength=self.n_texts).astype(np.int64)
 
 
 def bands(sizes: np.ndarray) -> np.ndarray:

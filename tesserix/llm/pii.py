@@ -1,25 +1,27 @@
 """Personal data: base patterns and information-theoretic sanitisation of what surrounds them.
 
 E-mail addresses, IP addresses, card and telephone numbers are found by their forms.  Each
-distinct one is a protected entity.  How much a term tells of it follows from corpus counts: with
-df(e), df(t) and co(e, t) the texts that hold the entity, the term and both, N all texts and
-p(e) = df(e) / N, a text with the term holds the entity with the smoothed probability
-
-    p(e | t) = (co + p(e)) / (df(t) + 1),
-
-as if one more text had the term and held the entity as often as any.  The term discloses the share
+distinct one is a protected entity.  How much a term tells of it follows from corpus counts.  One text
+that holds both is no evidence, as every word of it does so: what counts is whether the texts with
+the term that are known from elsewhere hold the entity too.  With co(e, t) the sources of the texts that
+hold the entity and the term, and rest(e, t) the texts that hold the term alone, p(e | t) is
+estimated from k = co - 1 of n = co - 1 + rest, one source being the one at hand, and taken at the
+lower end of Wilson's interval of ``Z`` standard errors.  With df(e) of all N texts and p(e) = df(e) / N
+the term discloses the share
 
     log2(p(e | t) / p(e)) / log2(1 / p(e))
 
-of the entity's information.  Terms over a threshold are removed wherever they stand in a text
-that holds their entity, and entities are generalised to their kind.  Smoothing takes the place of
-a least number of texts: a term seen once tells of an entity that is as rare, but not of one that
-many texts hold anyway.
+of the entity's information.  Terms over a threshold, and whose p(e | t) is ``CERTAINTY`` or more, are
+removed wherever they stand in a text that holds their entity, and entities are generalised to their
+kind.  So a term in three sources with an entity and nowhere else tells of it, and one in two doesn't.
+
+A source is a text and its near copies.  Texts that hold entities have ``MARKS`` marks, two min-hashes
+each, of the five-word shingles of what else they say; a text takes the least number of the texts with
+which it shares a mark, ``SPREAD`` times over.  So 99.9 % of pairs of a similarity of 0.75 are one source.  df(e), rest and N count all texts, copies included.
 
-All counts are of texts, copies included.  One pass finds entities and counts each task's words;
-what follows joins the words of texts that hold entities.  Entities that stand in just the same
-texts share all their counts and are one class, so a text's terms meet its classes and not each of
-a long list of entities.
+One pass finds entities and counts each task's words; what follows joins the words of texts that
+hold entities.  Entities that stand in just the same texts share all their counts and are one class,
+so a text's terms meet its classes and not each of a long list of entities.
 """
 
 from __future__ import annotations
@@ -40,8 +42,12 @@ from .words import LOWER, NOT_ALNUM, Words, distinct, slices
 #: Kinds in the order they are listed; terms follow them.
 KINDS = ("email", "ip", "card", "phone")
 TERM = "term"
-#: Share of an entity's information from which on a term is removed.
-DISCLOSURE = 0.8
+#: Share of an entity's information, and least chance of it, from which on a term is removed.
+DISCLOSURE, CERTAINTY = 0.7, 0.25
+#: Standard errors of the lower bound: 2.5 % of true chances are below it.
+Z = 1.96
+#: Words of a shingle, marks of a text, rounds in which texts that share one become one source.
+SHINGLE, MARKS, SPREAD = 5, 8, 3
 #: Words in more than this share of the texts are told by a broadcast: a hundred times as many as
 #: a text's different words at most.
 FREQUENT = 0.01
@@ -101,13 +107,27 @@ def _hash(*parts: str) -> int:
     return int.from_bytes(hashlib.blake2b("\0".join(parts).encode(), digest_size=8).digest(), "little", signed=True)
 
 
+def text_key(text: str) -> int:
+    """A text's number: 15 digits of its MD5."""
+    return int(hashlib.md5(text.encode()).hexdigest()[:15], 16)
+
+
+def marks_of(words: list[bytes]) -> list[str]:
+    """Two min-hashes of the shingles each, and their place: a shingle's SHA-256, with 0 or 1 before it,
+    is eight hashes of eight digits."""
+    shingles = {b" ".join(words[k : k + SHINGLE]) for k in range(max(1, len(words) - SHINGLE + 1))}
+    least = [np.frombuffer(b"".join(hashlib.sha256(own + s).digest() for s in shingles), ">u4").reshape(-1, 8).min(axis=0) for own in (b"0", b"1")]
+    pairs = np.concatenate(least).reshape(MARKS, 2).tolist()
+    return [f"{k}{a:08x}{b:08x}" for k, (a, b) in enumerate(pairs)]
+
+
 _SPAN = "struct<start:bigint,number:int,kind:string,end:bigint>"
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("number", pa.int32()), ("kind", pa.string()), ("end", pa.int64())]))
 #: Of what a scan adds to each row.
 _SCANNED = {
     "base": (_SPANS, f"array<{_SPAN}>"), "base_sha256": (pa.string(), "string"), "entities": (pa.list_(pa.int64()), "array<bigint>"),
     "key": (pa.int64(), "bigint"), "terms": (pa.list_(pa.int64()), "array<bigint>"), "held": (pa.string(), "string"),
-    "words": (pa.binary(), "binary"), "counts": (pa.binary(), "binary"),
+    "marks": (pa.list_(pa.string()), "array<string>"), "words": (pa.binary(), "binary"), "counts": (pa.binary(), "binary"),
 }
 
 
@@ -159,9 +179,12 @@ def _scan(batches, text_at: int | None):
                 columns[0].append(listed)
                 columns[1].append(hashlib.sha256(joined((a, k, KINDS[k], b) for a, k, b in spans).encode()).hexdigest())
                 columns[2].append(sorted({_hash(KINDS[k], text[a:b]) for a, k, b in spans}))
-                columns[3].append(_hash(text) if spans else None)
-                columns[4].append(distinct(words.hash[_free(words, row, text, [(a, b) for a, _, b in spans])]).view(np.int64) if spans else None)
+                columns[3].append(text_key(text) if spans else None)
+                free = _free(words, row, text, [(a, b) for a, _, b in spans]) if spans else None
+                columns[4].append(distinct(words.hash[free]).view(np.int64) if spans else None)
                 columns[5].append(text if spans and text_at is None else None)
+                own = [words.folded[a:b].tobytes() for a, b in zip(words.start[free].tolist(), words.end[free].tolist(), strict=True)] if spans else []
+                columns[6].append(marks_of(own) if spans else None)
             empty = pa.nulls(len(texts), pa.binary())
             yield pa.RecordBatch.from_arrays([rows, *map(pa.array, columns, kinds[:-2]), empty, empty], names)
             if waiting > WORDS_AT_A_TIME:
@@ -200,10 +223,25 @@ def _marked(batches, text_at: int | None):
 _FOUND = ("row", "base", "base_sha256")
 
 
-def _disclosed(n, df_entity, df_term, co):
-    """Share of an entity's information that a term discloses, as Columns."""
-    p = df_entity / n
-    return F.log2((co + p) / (df_term + 1) / p) / F.log2(1 / p)
+def _disclosed(n, df_entity, df_term, co, both, disclosure: float):
+    """Whether a term discloses an entity, as a Column; ``co`` sources and ``both`` texts have both."""
+    p, z = df_entity / n, F.lit(Z * Z)
+    tried = co - 1 + df_term - both
+    rate = (co - 1) / tried
+    low = (rate + z / (2 * tried) - Z * F.sqrt(rate * (1 - rate) / tried + z / (4 * tried * tried))) / (1 + z / tried)
+    return (co > 1) & (low >= CERTAINTY) & (F.log2(low / p) / F.log2(1 / p) >= disclosure)
+
+
+def sources(marked: DataFrame) -> DataFrame:
+    """``key, source`` of texts with their ``marks``: the least key that is reached in ``SPREAD`` steps
+    between texts that share a mark."""
+    at = marked.select("key", F.explode("marks").alias("mark"), F.col("key").alias("source"))
+    for k in range(SPREAD):
+        least = at.groupBy("mark").agg(F.min("source").alias("least"))
+        own = salted_join(at.select("key", "mark"), least, ["mark"], "key").groupBy("key").agg(F.min("least").alias("source"))
+        if k < SPREAD - 1:
+            at = at.select("key", "mark").join(own, "key")
+    return own
 
 
 def find_personal_data(docs: DataFrame, disclosure: float = DISCLOSURE, keep: list[str] | None = None) -> DataFrame:
@@ -214,8 +252,8 @@ def find_personal_data(docs: DataFrame, disclosure: float = DISCLOSURE, keep: li
     start, number, kind, end; code points, end exclusive; ``found`` has the terms as well) and
     ``base_sha256``.  Base kinds are matched leftmost without overlaps in their kind; matches that
     fail their check are dropped and not retried.  Texts are read whole.  A null text has nothing;
-    repeated rows are texts of their own; an entity that all texts hold has no information that
-    terms could disclose.
+    repeated rows are texts of their own, of one source; an entity that all texts hold has no
+    information that terms could disclose.
     """
     names = docs.columns if keep is None else keep
     holding, others = _assessed(docs, disclosure, names)
@@ -241,29 +279,30 @@ def _assessed(docs: DataFrame, disclosure: float, names: list[str]) -> tuple[Dat
 
     holding = texts.where("size(entities) > 0")
     # copies as one row, with their number
-    once = holding.groupBy("key").agg(F.count("*").alias("copies"), F.first("entities").alias("entities"), F.first("terms").alias("terms"))
+    once = holding.groupBy("key").agg(F.count("*").alias("copies"), *(F.first(c).alias(c) for c in ("entities", "terms", "marks")))
     held = once.select("key", "copies", F.explode("entities").alias("entity"))
     sets = [F.bit_xor(F.xxhash64("key", F.lit(seed))) for seed in (1, 2)]
-    entities = held.groupBy("entity").agg(F.sum("copies").alias("df_entity"), F.xxhash64(F.count("*"), *sets).alias("class"))
-    held = salted_join(held, entities.where(F.col("df_entity") < n_texts), ["entity"], "key")
-    held = checkpointed(held.select("key", "copies", "class", "df_entity").distinct())
-
-    # co is neither above df_entity nor above df_term, so a term in more texts than this discloses too little
-    p = F.col("most") / n
-    bound = F.greatest(F.col("most"), (F.col("most") + p) * F.pow(p, F.lit(disclosure - 1)) * (1 + 1e-9))
+    entities = held.groupBy("entity").agg(F.sum("copies").alias("df_entity"), F.count("*").alias("n_keys"), F.xxhash64(F.count("*"), *sets).alias("class"))
+    # an entity of one text, copies apart, has one source
+    telling = entities.where(F.col("n_keys") > 1).where(F.col("df_entity") < n_texts).drop("n_keys")
+    held = salted_join(held, telling, ["entity"], "key")
+    held = held.select("key", "copies", "class", "df_entity").distinct().join(sources(once.select("key", "marks")), "key")
+    held = checkpointed(held)
+
+    # n is at most k / CERTAINTY, so a term in more texts than this tells too little
+    bound = F.col("most") / CERTAINTY + 1
     in_texts = scanned.where("base IS NULL").select("words", "counts").mapInArrow(_unpacked, "term long, n long").groupBy("term").agg(F.sum("n").alias("df_term"))
-    in_texts = checkpointed(in_texts)
+    in_texts = checkpointed(in_texts.where("df_term > 1"))
     frequent = in_texts.where(F.col("df_term") > FREQUENT * n_texts)
     own_terms = once.join(held.groupBy("key").agg(F.max("df_entity").alias("most")), "key").select("key", "most", F.explode("terms").alias("term"))
     rest = own_terms.join(F.broadcast(frequent.select("term")), "term", "left_anti").join(in_texts.where(F.col("df_term") <= FREQUENT * n_texts), "term")
     rare = own_terms.join(F.broadcast(frequent), "term").unionByName(rest).where(F.col("df_term") <= bound).drop("most")
-    met = rare.join(held, "key")
-    possible = _disclosed(n, F.col("df_entity"), F.col("df_term"), F.least("df_entity", "df_term")) >= disclosure - 1e-9
-    pairs = checkpointed(met.where(possible))
+    pairs = checkpointed(rare.join(held, "key").where(F.col("df_term") <= F.col("df_entity") / CERTAINTY + 1))
+    by_source = pairs.groupBy("class", "term", "df_entity", "df_term", "source").agg(F.sum("copies").alias("copies"))
     telling = (
-        pairs.groupBy("class", "term", "df_entity", "df_term")
-        .agg(F.sum("copies").alias("co"))
-        .where(_disclosed(n, F.col("df_entity"), F.col("df_term"), F.col("co")) >= disclosure)
+        by_source.groupBy("class", "term", "df_entity", "df_term")
+        .agg(F.count("*").alias("co"), F.sum("copies").alias("both"))
+        .where(_disclosed(n, F.col("df_entity"), F.col("df_term"), F.col("co"), F.col("both"), disclosure))
         .select("class", "term")
     )
     terms = salted_join(pairs.select("key", "class", "term"), telling, ["class", "term"], "key").groupBy("key").agg(F.collect_set("term").alias("terms"))

@@ -208,7 +208,7 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _op9_sql() -> str:
     """Forms by regular expressions, terms by plain counts; places by counting off what lies between."""
-    from .pii import DISCLOSURE, KINDS, TERM
+    from .pii import CERTAINTY, DISCLOSURE, KINDS, MARKS, SHINGLE, SPREAD, TERM, Z
 
     patterns = [
         r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
@@ -227,6 +227,9 @@ def _op9_sql() -> str:
     placed = "sum(length(gap) + coalesce(length(hit), 0)) OVER (PARTITION BY doc_id{} ORDER BY i)"
     valid = " OR ".join(f"(number = {k} AND ({c}))" for k, c in enumerate(checks))
     span = "kind || ':' || start || ':' || stop"
+    step = """, s{k} AS (SELECT key, min(least) AS source FROM m{j} JOIN (SELECT mark, min(source) AS least FROM m{j} GROUP BY mark) USING (mark) GROUP BY key)
+, m{k} AS (SELECT m{j}.key, mark, s{k}.source FROM m{j} JOIN s{k} USING (key))"""
+    spread = "".join(step.format(k=k, j=k - 1) for k in range(1, SPREAD + 1))
     return rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), m AS ({forms}
 ), p AS (SELECT *, {digits} AS digits, CAST({placed.format(", number")} AS BIGINT) AS stop FROM m
@@ -239,9 +242,20 @@ WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), m AS ({for
 ), dt AS (SELECT word, count(DISTINCT doc_id) AS df FROM w GROUP BY word
 ), e AS (SELECT DISTINCT doc_id, number, hit FROM b), nn AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM d
 ), de AS (SELECT number, hit, count(*) / n AS pe FROM e, nn GROUP BY number, hit, n HAVING count(*) < n
-), co AS (SELECT number, hit, word, count(*) AS co FROM e JOIN (SELECT DISTINCT doc_id, word FROM f) USING (doc_id) GROUP BY number, hit, word
-), t AS (SELECT number, hit, word FROM co JOIN de USING (number, hit) JOIN dt USING (word)
-  WHERE log2((co + pe) / (df + 1) / pe) / log2(1 / pe) >= {DISCLOSURE}
+), x AS (SELECT CAST('0x' || substr(md5(text), 1, 15) AS BIGINT) AS key, min(doc_id) AS doc_id FROM d WHERE doc_id IN (SELECT doc_id FROM b) GROUP BY text
+), xw AS (SELECT key, list(word ORDER BY start) FILTER (word IS NOT NULL) AS ws FROM x LEFT JOIN f USING (doc_id) GROUP BY key
+), sh AS (SELECT key, coalesce(array_to_string(ws[i:i + {SHINGLE - 1}], ' '), '') AS s
+  FROM (SELECT key, ws, unnest(range(1, greatest(2, coalesce(len(ws), 0) - {SHINGLE - 2}))) AS i FROM xw)
+), hs AS (SELECT key, own, sha256(own || s) AS h FROM sh, (SELECT unnest(range(2)) AS own)
+), m0 AS (SELECT key, (4 * own + k) || min(substr(h, 16 * k + 1, 8)) || min(substr(h, 16 * k + 9, 8)) AS mark, key AS source
+  FROM hs, (SELECT unnest(range({MARKS // 2})) AS k) GROUP BY key, own, k
+){spread}
+, co AS (SELECT number, hit, word, count(*) AS n_both, count(DISTINCT source) AS co
+  FROM e JOIN (SELECT DISTINCT doc_id, word FROM f) USING (doc_id) JOIN d USING (doc_id)
+  JOIN (SELECT DISTINCT key, source FROM m{SPREAD}) y ON y.key = CAST('0x' || substr(md5(text), 1, 15) AS BIGINT) GROUP BY number, hit, word
+), tr AS (SELECT number, hit, word, pe, CAST(co - 1 AS DOUBLE) AS k, CAST(co - 1 + df - n_both AS DOUBLE) AS n FROM co JOIN de USING (number, hit) JOIN dt USING (word) WHERE co > 1
+), lo AS (SELECT *, (k / n + {Z * Z} / (2 * n) - {Z} * sqrt(k / n * (1 - k / n) / n + {Z * Z} / (4 * n * n))) / (1 + {Z * Z} / n) AS low FROM tr
+), t AS (SELECT number, hit, word FROM lo WHERE low >= {CERTAINTY} AND log2(low / pe) / log2(1 / pe) >= {DISCLOSURE}
 ), s AS (SELECT doc_id, number, kind, start, stop FROM b
   UNION ALL SELECT DISTINCT f.doc_id, {len(KINDS)}, '{TERM}', start, stop FROM f JOIN e USING (doc_id) JOIN t ON e.number = t.number AND e.hit = t.hit AND f.word = t.word)
 SELECT d.doc_id, {", ".join(f"count(*) FILTER (number = {k}) AS n_{kind}" for k, kind in enumerate(KINDS))},
