@@ -235,12 +235,12 @@ def _disclosed(n, df_entity, df_term, co, both, disclosure: float):
 def sources(marked: DataFrame) -> DataFrame:
     """``key, source`` of texts with their ``marks``: the least key that is reached in ``SPREAD`` steps
     between texts that share a mark."""
-    at = marked.select("key", F.explode("marks").alias("mark"), F.col("key").alias("source"))
+    at = checkpointed(marked.select("key", F.explode("marks").alias("mark"), F.col("key").alias("source")))
     for k in range(SPREAD):
         least = at.groupBy("mark").agg(F.min("source").alias("least"))
         own = salted_join(at.select("key", "mark"), least, ["mark"], "key").groupBy("key").agg(F.min("least").alias("source"))
         if k < SPREAD - 1:
-            at = at.select("key", "mark").join(own, "key")
+            at = checkpointed(at.select("key", "mark").join(own, "key"))
     return own
 
 
