@@ -116,6 +116,17 @@ class MarkerMatrix:
     def _shared(self, x: np.ndarray):
         return self.spark.sparkContext.broadcast((np.ascontiguousarray(x), self.present))
 
+    def partition_by_marker(self) -> None:
+        """Markers hashed over partitions and sorted in them, once, so that tables of markers are
+        brought to them without the payloads moving."""
+        if not getattr(self, "by_marker", False):
+            before = self.rows
+            ordered = before.repartition(max(self.n_partitions, 1), "marker_idx").sortWithinPartitions("marker_idx")
+            self.rows, self.by_marker = ordered.persist(StorageLevel.MEMORY_AND_DISK), True
+            self.rows.count()
+            self.n_partitions = self.rows._jdf.rdd().getNumPartitions()
+            before.unpersist()
+
     def mapped(self, function, shared, schema: str) -> DataFrame:
         """What ``function`` makes of each slice of markers: it gets the slice, its standardised
         cells (zero where missing), which of them are valid, and the broadcast ``shared``, whose
@@ -152,15 +163,34 @@ class MarkerMatrix:
         out = self.summed(product, shared, wide.shape[1]).get(0, np.zeros((self.n_samples, wide.shape[1])))
         return out.reshape(self.n_samples, *x.shape[1:]) / np.sqrt(self.n_samples)
 
+    def times_columns(self, table: DataFrame, names) -> np.ndarray:
+        """A x / sqrt(N) of the columns ``names`` of a table by ``marker_idx``, samples by columns."""
+        self.partition_by_marker()
+        names, rows = list(names), self.rows.join(table.select("marker_idx", *names), "marker_idx")
+
+        def product(part, z, _):
+            return [(0, z.T @ np.stack([part.column(c).to_numpy(zero_copy_only=False) for c in names], axis=1))]
+
+        found = self.summed(product, self._shared(np.zeros(1)), len(names), rows)
+        return found.get(0, np.zeros((self.n_samples, len(names)))) / np.sqrt(self.n_samples)
+
+    def gram_times(self, u: np.ndarray) -> np.ndarray:
+        """A A'u in one pass: what lies between, a value a marker, stays in its task."""
+        shared = self._shared(u.reshape(self.n_samples, -1))
+        product = lambda part, z, own: [(0, z.T @ (z @ own[0]))]
+        out = self.summed(product, shared, u.reshape(self.n_samples, -1).shape[1])
+        return out.get(0, np.zeros((self.n_samples, 1))).reshape(u.shape) / self.n_samples
+
     def sample_diagonal(self) -> np.ndarray:
         """Diagonal of A A': the squared norm of each sample's standardised cells over N."""
         squares = lambda part, z, own: [(0, (z**2).sum(axis=0)[:, None])]
         found = self.summed(squares, self._shared(np.zeros(1)), 1)
         return found.get(0, np.zeros((self.n_samples, 1)))[:, 0] / self.n_samples
 
-    def summed(self, function, shared, width: int) -> dict[int, np.ndarray]:
+    def summed(self, function, shared, width: int, rows: DataFrame | None = None) -> dict[int, np.ndarray]:
         """Sums of sample vectors by a key: ``function`` makes (key, samples by ``width``) pairs of
-        a slice, its standardised cells and ``shared``.  Few keys."""
+        a slice, its standardised cells and ``shared``.  Few keys.  ``rows``: the matrix's, joined
+        with other columns."""
         kind, n = self.kind, self.n_samples
 
         def run(batches):
@@ -179,7 +209,7 @@ class MarkerMatrix:
             return pa.table({**{c: table[c][:1] for c in ("key", "segment", "task")}, "value": [total.tobytes()]})
 
         schema = "key long, segment long, task long, value binary"
-        partial = self.rows.mapInArrow(run, schema)
+        partial = (self.rows if rows is None else rows).mapInArrow(run, schema)
         # a first round over as many tasks as the second has partial sums to add
         fan = math.isqrt(max(1, self.n_partitions - 1)) + 1
         if fan > 4:

@@ -2,8 +2,9 @@
 
 Three likelihoods share the loop: an effect denoiser under a spike-and-slab prior alternates with
 a linear (LMMSE) step over the matrix; precisions are re-estimated on the way and the prior is
-learnt by expectation maximisation.  Marker vectors are NumPy arrays on the driver; products
-with the matrix run on the cluster (see :mod:`tesserix.operators.matrix`).
+learnt by expectation maximisation.  Products with the matrix run on the cluster.  Vectors of markers are
+on the driver up to a number of them, and columns of a table beyond (see
+:mod:`tesserix.operators.markers`); the loops are the same.
 
 Effects are reported on the scale of standardised cells: the loop's x over sqrt(N).
 """
@@ -15,13 +16,13 @@ from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.special import inverse_mills, log_normal_cdf, probit_denoise
+from .markers import ClusterMarkers, DriverMarkers, as_array, as_table, markers
 from .matrix import MarkerMatrix
 from .prior import Prior, from_sums
-from .solvers import lmmse, lmmse_by_samples, probe_trace
 
 LEAST, MOST = 1e-11, 1e11
 
@@ -30,39 +31,16 @@ def clamp(x: float) -> float:
     return float(min(max(x, LEAST), MOST))
 
 
-def _weights(r: np.ndarray, gamma: float, prior: Prior):
-    s = np.array(prior.variances) + 1 / gamma
-    e = -0.5 * r[:, None] ** 2 * (1 / s - 1 / s.max())
-    return np.array(prior.probs) / np.sqrt(s) * np.exp(e), s
-
-
-def denoise(r: np.ndarray, gamma: float, prior: Prior) -> tuple[np.ndarray, np.ndarray]:
-    """Posterior means and their derivatives; as the Column expressions have them."""
-    if abs(1 / gamma) < 1e-10:
-        return r.copy(), np.ones_like(r)
-    w, s = _weights(r, gamma, prior)
-    total, once, twice = w.sum(axis=1), (w / s).sum(axis=1), (w / s**2).sum(axis=1)
-    mean = r * once / total
-    return r - mean / gamma, 1 + ((r * r * twice - once) / total - mean**2) / gamma
-
-
-def learn_prior(r: np.ndarray, gamma: float, prior: Prior, rounds: int, tolerance: float, learn_variances: bool = True) -> Prior:
+def learn_prior(vectors: DriverMarkers | ClusterMarkers, r: str, gamma: float, prior: Prior, o: "Options") -> Prior:
     """Expectation maximisation until the prior stands still, then close components merged."""
-    for _ in range(rounds):
-        w, _ = _weights(r, gamma, prior)
-        share = w / w.sum(axis=1, keepdims=True)
-        sums = {"n": len(r), "pi": float(share[:, 1:].sum())}
-        for k, v in enumerate(prior.variances[1:], start=1):
-            m = r * gamma / (1 / v + gamma)
-            sums[f"b{k}"] = float(share[:, k].sum())
-            sums[f"g{k}"] = float((share[:, k] * (m * m + 1 / (1 / v + gamma))).sum())
-        new = from_sums(sums, prior, learn_variances)
+    for _ in range(o.em_rounds):
+        new = from_sums(vectors.em_sums(r, gamma, prior), prior, o.learn_variances)
         change = [
             np.linalg.norm(np.subtract(a, b)) / max(np.linalg.norm(b), 1e-300)
             for a, b in ((new.probs, prior.probs), (new.variances, prior.variances))
         ]
         prior = new
-        if max(change) < tolerance:
+        if max(change) < o.em_tolerance:
             break
     return prior.merged()
 
@@ -97,104 +75,149 @@ class Options:
 
 @dataclass
 class Fit:
-    """``estimates``: each iteration's effects; ``trace``: (it, name, value) rows."""
+    """``trace``: (it, name, value) rows.  With vectors on the driver ``effects`` are the last
+    iteration's and ``estimates`` and ``r1`` each iteration's; on the cluster these are empty and
+    ``series`` is the table they are in.  :meth:`table` has them either way."""
 
-    effects: np.ndarray
+    effects: np.ndarray | None
     prior: Prior
     estimates: list[np.ndarray] = field(default_factory=list)
     r1: list[np.ndarray] = field(default_factory=list)
     trace: list[tuple[int, str, float]] = field(default_factory=list)
     covariate_effects: np.ndarray | None = None
+    series: DataFrame | None = None
+
+    def table(self, spark: SparkSession) -> DataFrame:
+        """``it, marker_idx, beta, r1``."""
+        if self.series is not None:
+            return self.series
+        n = [len(x) for x in self.estimates]
+        return spark.createDataFrame(
+            pa.table({
+                "it": np.repeat(np.arange(1, 1 + len(n), dtype=np.int32), n), "marker_idx": np.concatenate([np.arange(k) for k in n]),
+                "beta": np.concatenate(self.estimates), "r1": np.concatenate(self.r1),
+            })
+        )
 
 
 def fit(matrix: MarkerMatrix, y: np.ndarray, prior: Prior, options: Options | None = None, covariates: np.ndarray | None = None,
-        frozen: np.ndarray | None = None, start: np.ndarray | None = None, r1: np.ndarray | None = None,
-        truth: np.ndarray | None = None, denoiser: Denoiser | None = None) -> Fit:
+        frozen=None, start=None, r1=None, truth=None, denoiser: Denoiser | None = None, on_cluster: bool | None = None) -> Fit:
     """``y``: one value a sample, NaN where missing (0 or 1 for ``bin_class``).  ``start`` and
     ``r1``: effects and r1 of an earlier fit, on the reported scale.  ``frozen``: markers that
     neither damping nor the mean derivative takes in.  ``truth``: true effects, to which the trace
-    tells the cosine and the relative error of each iteration.  ``denoiser`` takes the place of
-    the prior's, which isn't learnt then."""
+    tells the cosine and the relative error of each iteration.  These four are arrays or tables of
+    ``marker_idx, value``.  ``denoiser`` takes the place of the prior's, which isn't learnt then.
+    ``on_cluster``: where vectors of markers are, told by their length if not given."""
     options = options or Options()
     y = np.where(np.isnan(y), 0.0, y)
     prior = prior.scaled(matrix.n_samples)
-    root = np.sqrt(matrix.n_samples)
-    start, r1 = (None if v is None else v * root for v in (start, r1))
+    vectors = markers(matrix, frozen, on_cluster)
+    spread = isinstance(vectors, ClusterMarkers)
+    told = lambda v: as_table(matrix.spark, v) if spread else as_array(v, matrix.n_markers)
+    vectors.put("r1", told(r1) if options.model == "linear" else None)
+    vectors.put("start", told(start))
+    vectors.combine("r1", {"r1": np.sqrt(matrix.n_samples)})
+    vectors.combine("start", {"start": np.sqrt(matrix.n_samples)})
+    vectors.put("x1", None)
+    vectors.put("x2", None)
     if options.model == "linear":
-        out = _linear(matrix, y, prior, options, frozen, start, r1, denoiser)
+        out = _linear(matrix, vectors, y, prior, options, start is not None, denoiser)
     elif options.model in ("bin_class", "robust"):
-        out = _generalised(matrix, y, prior, options, covariates, frozen, start, denoiser)
+        out = _generalised(matrix, vectors, y, prior, options, covariates, start is not None, denoiser)
     else:
         raise ValueError(f"no model {options.model}")
-    for it, x in enumerate(out.estimates if truth is not None else [], start=1):
-        size = max(np.linalg.norm(truth), 1e-300)
-        cosine = float(x @ truth / max(np.linalg.norm(x) * size, 1e-300))
-        out.trace += [(it, "cosine_to_truth", cosine), (it, "l2_error_to_truth", float(np.linalg.norm(x - truth) / size))]
+    if spread:
+        out.series = matrix.spark.read.parquet(vectors.series).select(F.col("it").cast("int"), "marker_idx", "beta", "r1")
+    else:
+        out.estimates, out.r1, out.effects = vectors.estimates, vectors.r1, vectors.estimates[-1] if vectors.estimates else np.zeros(matrix.n_markers)
+    if truth is not None:
+        out.trace += _against_truth(out, matrix, told(truth))
     return out
 
 
-def _denoise_step(state: dict, it: int, prior: Prior, o: Options, live: np.ndarray, inner: int, denoiser) -> tuple[np.ndarray, float, float, Prior]:
-    """Effects, mean derivative and precision, with the prior and gamma1 re-estimated."""
-    r, gamma = state["r1"], state["gam1"]
+def _against_truth(out: Fit, matrix: MarkerMatrix, truth) -> list[tuple[int, str, float]]:
+    rows = []
+    if out.series is not None:
+        both = out.series.join(truth.select("marker_idx", F.col("value").alias("true")), "marker_idx", "left").fillna(0.0, ["true"])
+        sums = both.groupBy("it").agg(F.sum(F.col("beta") * F.col("true")).alias("xt"), F.sum(F.col("beta") ** 2).alias("xx"), F.sum(F.col("true") ** 2).alias("tt"), F.sum((F.col("beta") - F.col("true")) ** 2).alias("e"))
+        found = [(r["it"], r["xt"], r["xx"], r["tt"], r["e"]) for r in sums.orderBy("it").collect()]
+    else:
+        found = [(it, float(x @ truth), float(x @ x), float(truth @ truth), float(((x - truth) ** 2).sum())) for it, x in enumerate(out.estimates, start=1)]
+    for it, xt, xx, tt, e in found:
+        size = max(np.sqrt(tt), 1e-300)
+        rows += [(it, "cosine_to_truth", xt / max(np.sqrt(xx) * size, 1e-300)), (it, "l2_error_to_truth", np.sqrt(e) / size)]
+    return rows
+
+
+def _denoise_step(v, gamma: float, it: int, prior: Prior, o: Options, inner: int, denoiser) -> tuple[float, float, float, Prior]:
+    """Sets x1; mean derivative, precision, and gamma1 and the prior re-estimated."""
     for _ in range(1 + inner):
-        x, slope = denoiser(r, gamma) if denoiser else denoise(r, gamma, prior)
-        alpha = float(slope[live].mean())
+        alpha, error = v.denoise("x1", "r1", gamma, prior, denoiser)
         eta = gamma / alpha
         if it < 2:
             break
-        new = clamp(1 / (1 / eta + float(((x - r) ** 2).mean())))
-        prior = prior if denoiser else learn_prior(r, new, prior, o.em_rounds, o.em_tolerance, o.learn_variances)
+        new = clamp(1 / (1 / eta + error))
+        prior = prior if denoiser else learn_prior(v, "r1", new, prior, o)
         done, gamma = abs(new - gamma) < 1e-3, new
         if done:
             break
-    state["gam1"] = gamma
-    return x, alpha, eta, prior
-
-
-def _linear(matrix: MarkerMatrix, y, prior, o: Options, frozen, start, r1, denoiser) -> Fit:
-    n, m, root = matrix.n_samples, matrix.n_markers, np.sqrt(matrix.n_samples)
-    live = np.ones(m, bool) if frozen is None else ~np.asarray(frozen, bool)
-    state = {"r1": np.zeros(m) if r1 is None else r1, "gam1": o.gam1 or 1e-6}
+    return alpha, eta, gamma, prior
+
+
+def _first_half(v, it: int, gamma: float, alpha_before: float, rho: float, prior: Prior, o: Options, started: bool, inner: int, denoiser, scale: float):
+    """Denoising and damping, with the estimates kept: what all models begin an iteration with."""
+    v.combine("before", {"x1": 1.0})
+    v.settle("r1", "start", "x2", "before")
+    alpha, eta, gamma, prior = _denoise_step(v, gamma, it, prior, o, inner, denoiser)
+    if it == 1 and started:
+        v.combine("x1", {"start": 1.0})
+        v.combine("r1", {"start": 1.0})
+    if it > 1:
+        v.damp("x1", "before", rho)
+        alpha = rho * alpha + (1 - rho) * alpha_before
+    v.settle("r1", "x1", "x2", "start", "before")
+    v.keep(it, scale)
+    return alpha, eta, gamma, prior
+
+
+def _stands(v, it: int, o: Options) -> bool:
+    """Whether estimates moved by less than ``o.stop`` of their size."""
+    moved, size = v.squares(("x1", "before"), ("before", None))
+    return it > 1 and size > 0 and np.sqrt(moved / size) < o.stop
+
+
+def _linear(matrix: MarkerMatrix, v, y, prior, o: Options, started: bool, denoiser) -> Fit:
+    n, m, scale = matrix.n_samples, matrix.n_markers, 1 / np.sqrt(matrix.n_samples)
+    gam1 = o.gam1 or 1e-6
     gamw = o.gamw or (1 / (1 - o.h2) if o.h2 is not None and 0 <= o.h2 < 1 else 2.0)
-    rho, alpha1, alpha2, gam2 = o.rho, 0.0, 0.0, None
-    x1, x2, u = np.zeros(m), np.zeros(m), None
-    out = Fit(x1, prior)
+    rho, alpha1, alpha2, gam2, u = o.rho, 0.0, 0.0, None, None
+    out = Fit(None, prior)
     note = lambda it, **v: out.trace.extend((it, k, float(x)) for k, x in v.items())
     for it in range(1, o.iterations + 1):
-        before, alpha_before = x1, alpha1
-        x1, alpha1, eta1, prior = _denoise_step(state, it, prior, o, live, 5, denoiser)
-        if it == 1 and start is not None:
-            x1 = state["r1"] = start.copy()
-        if it > 1:
-            x1 = np.where(live, rho * x1 + (1 - rho) * before, x1)
-            alpha1 = rho * alpha1 + (1 - rho) * alpha_before
-        out.estimates.append(x1 / root)
-        out.r1.append(state["r1"] / root)
-        z1 = matrix.times(x1)
-        new = clamp(eta1 - state["gam1"])
+        alpha1, eta1, gam1, prior = _first_half(v, it, gam1, alpha1, rho, prior, o, started, 5, denoiser, scale)
+        z1 = v.times("x1")[:, 0]
+        new = clamp(eta1 - gam1)
         gam2 = rho * new + (1 - rho) * gam2 if o.lmmse_damping and gam2 is not None else new
-        r2 = (eta1 * x1 - state["gam1"] * state["r1"]) / gam2
+        v.combine("r2", {"x1": eta1 / gam2, "r1": -gam1 / gam2})
         rho = max(rho, min(2 * min(alpha1, alpha2), 1.0))
         if it == 1 and not denoiser:
-            prior = learn_prior(state["r1"], state["gam1"], prior, o.em_rounds, o.em_tolerance, o.learn_variances)
-        note(it, gam1=state["gam1"], gam2=gam2, r2_x1=_r2(y, z1))
+            prior = learn_prior(v, "r1", gam1, prior, o)
+        note(it, gam1=gam1, gam2=gam2, r2_x1=_r2(y, z1))
         if o.by_samples:
-            alpha2, probe, solved = probe_trace(matrix, gamw, gam2, o.cg_rounds, o.seed)
-            x2, u = lmmse_by_samples(matrix, gamw, gam2, y, r2, u, o.cg_rounds)
+            alpha2, u = v.lmmse_by_samples("x2", gamw, gam2, y, "r2", u, o.cg_rounds, o.seed)
         else:
-            x2, alpha2, probe, solved = lmmse(matrix, gamw, gam2, y, r2, x2 if it > 1 else None, o.cg_rounds, o.seed)
+            alpha2 = v.lmmse("x2", gamw, gam2, y, "r2", "x2" if it > 1 else None, o.cg_rounds, o.seed)
         eta2 = gam2 / alpha2
         if it > 2:
-            gam2 = clamp(1 / (1 / eta2 + float(((x2 - r2) ** 2).mean())))
-        state["gam1"] = clamp(eta2 - gam2)
-        state["r1"] = (eta2 * x2 - gam2 * r2) / state["gam1"]
-        both = matrix.times(np.stack([x2, solved, probe], axis=1))
+            gam2 = clamp(1 / (1 / eta2 + v.squares(("x2", "r2"))[0] / m))
+        gam1 = clamp(eta2 - gam2)
+        v.combine("r1", {"x2": eta2 / gam1, "r2": -gam2 / gam1})
+        both = v.times("x2", "solved", "probe")
         gamw = n / (float(((both[:, 0] - y) ** 2).sum()) + m * float(both[:, 2] @ both[:, 1]))
         note(it, r2_x2=_r2(y, both[:, 0]), gamw=gamw, rho=rho, components=len(prior.probs))
-        size = np.linalg.norm(before)
-        if it > 1 and size > 0 and np.linalg.norm(x1 - before) / size < o.stop:
+        if _stands(v, it, o):
             break
-    out.effects, out.prior = x1 / root, prior
+    out.prior = prior
     return out
 
 
@@ -283,32 +306,22 @@ def huber_delta(p: np.ndarray, tau: float, y: np.ndarray, seed: int = 1, draws:
     return DELTAS[int(np.argmin(loss))]
 
 
-def _generalised(matrix: MarkerMatrix, y, prior, o: Options, covariates, frozen, start, denoiser) -> Fit:
+def _generalised(matrix: MarkerMatrix, v, y, prior, o: Options, covariates, started: bool, denoiser) -> Fit:
     """Probit (``bin_class``) and Huber (``robust``) likelihoods."""
-    n, m, root = matrix.n_samples, matrix.n_markers, np.sqrt(matrix.n_samples)
-    live = np.ones(m, bool) if frozen is None else ~np.asarray(frozen, bool)
+    n, m, scale = matrix.n_samples, matrix.n_markers, 1 / np.sqrt(matrix.n_samples)
     probit, here = o.model == "bin_class", matrix.present
-    state = {"r1": np.zeros(m), "gam1": o.gam1 or 1e-8}
-    tau1, delta = state["gam1"], o.delta
+    gam1 = o.gam1 or 1e-8
+    tau1, delta = gam1, o.delta
     p1 = np.random.default_rng(o.seed).normal(size=n) if probit else np.zeros(n)
     eta = probit_covariates(y[here], covariates[here], o.probit_variance) if probit and covariates is not None else None
     offset = covariates @ eta if eta is not None else np.zeros(n)
     rho, alpha1 = o.rho, 0.0
-    x1 = np.zeros(m)
-    out = Fit(x1, prior, covariate_effects=eta)
+    out = Fit(None, prior, covariate_effects=eta)
     note = lambda it, **v: out.trace.extend((it, k, float(x)) for k, x in v.items())
     for it in range(1, o.iterations + 1):
-        before, alpha_before = x1, alpha1
-        x1, alpha1, eta1, prior = _denoise_step(state, it, prior, o, live, 50, denoiser)
-        if it == 1 and start is not None:
-            x1 = state["r1"] = start.copy()
-        if it > 1:
-            x1 = np.where(live, rho * x1 + (1 - rho) * before, x1)
-            alpha1 = rho * alpha1 + (1 - rho) * alpha_before
-        out.estimates.append(x1 / root)
-        out.r1.append(state["r1"] / root)
-        gam2 = clamp(eta1 - state["gam1"])
-        r2 = (eta1 * x1 - state["gam1"] * state["r1"]) / gam2
+        alpha1, eta1, gam1, prior = _first_half(v, it, gam1, alpha1, rho, prior, o, started, 50, denoiser, scale)
+        gam2 = clamp(eta1 - gam1)
+        v.combine("r2", {"x1": eta1 / gam2, "r1": -gam1 / gam2})
         for _ in range(50 if it > 1 else 1):
             if probit:
                 z1, slope = probit_denoise(p1, tau1, y, offset, o.probit_variance)
@@ -325,20 +338,18 @@ def _generalised(matrix: MarkerMatrix, y, prior, o: Options, covariates, frozen,
             delta = huber_delta(p1[here], tau1, y[here], o.seed + it)
         p2 = np.where(here, (z1 - beta1 * p1) / (1 - beta1), 0.0)
         tau2 = clamp(tau1 * (1 - beta1) / beta1)
-        x2, alpha2, _, _ = lmmse(matrix, tau2, gam2, p2, r2, None, o.cg_rounds, o.seed)
-        alpha2 = float(np.clip(alpha2, 1e-8, 1 - 1e-8))
-        gam2 = clamp(1 / (alpha2 / gam2 + float(((x2 - r2) ** 2).mean()))) if it > 1 else gam2
-        state["r1"] = (x2 - alpha2 * r2) / (1 - alpha2)
-        state["gam1"] = clamp(gam2 * (1 - alpha2) / alpha2)
-        z2 = matrix.times(x2)
+        alpha2 = float(np.clip(v.lmmse("x2", tau2, gam2, p2, "r2", None, o.cg_rounds, o.seed), 1e-8, 1 - 1e-8))
+        gam2 = clamp(1 / (alpha2 / gam2 + v.squares(("x2", "r2"))[0] / m)) if it > 1 else gam2
+        v.combine("r1", {"x2": 1 / (1 - alpha2), "r2": -alpha2 / (1 - alpha2)})
+        gam1 = clamp(gam2 * (1 - alpha2) / alpha2)
+        z2 = v.times("x2")[:, 0]
         beta2 = float(np.clip(m / n * (1 - alpha2), 1e-8, 1 - 1e-8))
         if it > 1:
             tau2 = clamp(1 / (beta2 / tau2 + float(((z2 - p2)[here] ** 2).mean())))
         p1 = (z2 - beta2 * p2) / (1 - beta2)
         tau1 = clamp(tau2 * (1 - beta2) / beta2)
-        note(it, gam1=state["gam1"], gam2=gam2, tau1=tau1, tau2=tau2, alpha2=alpha2, delta=delta, components=len(prior.probs))
-        size = np.linalg.norm(before)
-        if it > 1 and size > 0 and np.linalg.norm(x1 - before) / size < o.stop:
+        note(it, gam1=gam1, gam2=gam2, tau1=tau1, tau2=tau2, alpha2=alpha2, delta=delta, components=len(prior.probs))
+        if _stands(v, it, o):
             break
-    out.effects, out.prior = x1 / root, prior
+    out.prior = prior
     return out

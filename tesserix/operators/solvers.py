@@ -56,14 +56,18 @@ def conjugate_gradient(apply, b: np.ndarray, diagonal, start: np.ndarray | None
     return x, used
 
 
+def marker_diagonal_value(matrix: MarkerMatrix, tau: float, gamma: float) -> float:
+    """The diagonal of tau A'A + gamma, whose entries are the same for all markers."""
+    return tau * (matrix.n_samples - 1) / matrix.n_samples + gamma
+
+
 def marker_diagonal(matrix: MarkerMatrix, tau: float, gamma: float) -> np.ndarray:
-    n = matrix.n_samples
-    return np.full(matrix.n_markers, tau * (n - 1) / n + gamma)
+    return np.full(matrix.n_markers, marker_diagonal_value(matrix, tau, gamma))
 
 
-def signs(n: int, seed: int = 1) -> np.ndarray:
-    """n signs over sqrt(n), each a function of its index and the seed alone."""
-    k = np.arange(n, dtype=np.uint64) + np.uint64(seed) * np.uint64(0x9E3779B97F4A7C15)
+def signs(n: int, seed: int = 1, index: np.ndarray | None = None) -> np.ndarray:
+    """n signs over sqrt(n), each a function of its index and the seed alone; or those at ``index``."""
+    k = (np.arange(n) if index is None else index).astype(np.uint64) + np.uint64(seed) * np.uint64(0x9E3779B97F4A7C15)
     k = (k ^ (k >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     k = (k ^ (k >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return (1.0 - 2.0 * ((k >> np.uint64(40)) & np.uint64(1)).astype(float)) / np.sqrt(n)

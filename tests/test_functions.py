@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tesserix.functions import scalars, special
-from tesserix.operators import models
+from tesserix.operators import markers, models
 from tesserix.operators.prior import Prior, default_prior
 
 PRIOR = Prior((0.7, 0.2, 0.1), (0.0, 0.5, 4.0))
@@ -19,15 +19,15 @@ def test_mixture_denoiser(spark):
     got = rows.select("r", scalars.denoise(F.col("r"), 2.0, p, v), scalars.denoise_slope(F.col("r"), 2.0, p, v)).collect()
     assert [pytest.approx(tuple(g), abs=2e-6) for g in got] == GOLDEN
     r = np.array([g[0] for g in GOLDEN])
-    x, d = models.denoise(r, 2.0, PRIOR)
+    x, d = markers.denoise(r, 2.0, PRIOR)
     assert x == pytest.approx([g[1] for g in GOLDEN], abs=2e-6)
     h = 1e-5
-    slope = (models.denoise(r + h, 2.0, PRIOR)[0] - models.denoise(r - h, 2.0, PRIOR)[0]) / (2 * h)
+    slope = (markers.denoise(r + h, 2.0, PRIOR)[0] - markers.denoise(r - h, 2.0, PRIOR)[0]) / (2 * h)
     assert d == pytest.approx(slope, abs=1e-6)
 
 
 def test_no_noise_is_the_identity(spark):
-    x, d = models.denoise(np.array([1.0, -2.0]), 1e11, PRIOR)
+    x, d = markers.denoise(np.array([1.0, -2.0]), 1e11, PRIOR)
     assert x.tolist() == [1.0, -2.0] and d.tolist() == [1.0, 1.0]
 
 

@@ -155,6 +155,82 @@ def test_the_cluster_fits_as_memory_does(spark, model):
     assert fits[0].effects == pytest.approx(fits[1].effects, rel=1e-4, abs=1e-7)
 
 
+@pytest.mark.parametrize("model", ["linear", "by samples", "bin_class", "robust"])
+def test_vectors_on_the_cluster_give_the_same_fit(spark, model):
+    """Effects, precisions and the prior of three iterations, with a start, frozen markers and the truth."""
+    _, _, a, matrix = _dense(spark)
+    rng = np.random.default_rng(9)
+    truth = rng.normal(size=20) * (np.arange(20) % 3 == 0)
+    y = a @ truth + rng.normal(0, 0.3, 60)
+    y = (y > 0).astype(float) if model == "bin_class" else y / y.std(ddof=1)
+    options = models.Options(model="linear" if model == "by samples" else model, by_samples=model == "by samples", iterations=2 if model == "by samples" else 3, delta=1.0)
+    given = {"frozen": np.arange(20) == 4, "start": rng.normal(size=20) / 50, "truth": truth}
+    one, two = (models.fit(matrix, y, Prior((0.8, 0.2), (0.0, 1e-2)), options, on_cluster=c, **given) for c in (False, True))
+    assert two.effects is None and not two.estimates
+    rows = two.table(spark).orderBy("it", "marker_idx").collect()
+    for name, want in (("beta", one.estimates), ("r1", one.r1)):
+        got = np.array([r[name] for r in rows]).reshape(len(want), -1)
+        assert got == pytest.approx(np.stack(want), rel=1e-8, abs=1e-8)
+    assert [t[:2] for t in one.trace] == [t[:2] for t in two.trace]
+    assert [t[2] for t in two.trace] == pytest.approx([t[2] for t in one.trace], rel=1e-6, abs=1e-9)
+    assert two.prior.probs == pytest.approx(one.prior.probs) and two.prior.variances == pytest.approx(one.prior.variances)
+    again = one.table(spark).orderBy("it", "marker_idx").collect()
+    assert [r["marker_idx"] for r in again] == [r["marker_idx"] for r in rows] and [r["it"] for r in again] == [r["it"] for r in rows]
+
+
+def test_a_denoiser_of_the_user_runs_on_the_cluster(spark):
+    """The prior's own, as a user would give it, and a soft threshold, on Arrow batches of the table."""
+    from tesserix.operators import markers
+
+    _, _, a, matrix = _dense(spark)
+    y = a @ np.random.default_rng(9).normal(size=20)
+    prior = Prior((0.8, 0.2), (0.0, 1e-2))
+    own = lambda r, gamma: markers.denoise(r, gamma, prior.scaled(60))
+    soft = lambda r, gamma: (np.sign(r) * np.maximum(np.abs(r) - 0.01, 0), (np.abs(r) > 0.01) + 1e-3)
+    for denoiser in (own, soft):
+        fits = [models.fit(matrix, y, prior, models.Options(iterations=2), denoiser=denoiser, on_cluster=c) for c in (False, True)]
+        got = [r["beta"] for r in fits[1].table(spark).where("it = 2").orderBy("marker_idx").collect()]
+        assert got == pytest.approx(fits[0].effects, rel=1e-8, abs=1e-8)
+
+
+def test_payloads_stay_where_they_are(spark):
+    """Tables of markers are brought to the matrix: its side of the join has no exchange."""
+    _, _, a, matrix = _dense(spark)
+    matrix.partition_by_marker()
+    table = spark.createDataFrame([(j, float(j)) for j in range(20)], "marker_idx long, x double")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = matrix.rows.join(table, "marker_idx")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    lines = plan.splitlines()
+    own = [x for x in lines if x.lstrip().startswith(":")]
+    cached = next(k for k, x in enumerate(own) if "InMemoryRelation" in x)
+    assert not any("Exchange" in x or "Sort " in x for x in own[:cached])
+    assert any("SortMergeJoin" in x for x in lines) and any(x.lstrip().startswith("+- Exchange hashpartitioning(marker_idx") for x in lines)
+    assert matrix.times_columns(table, ["x"])[:, 0] == pytest.approx(a @ np.arange(20.0))
+    u = np.random.default_rng(3).normal(size=60)
+    assert matrix.gram_times(u) == pytest.approx(a @ (a.T @ u))
+
+
+def test_tables_of_a_fit_are_deleted(spark):
+    from tesserix.operators import markers
+    from tesserix.sources import genomics
+
+    _, _, _, matrix = _dense(spark)
+    v = markers.ClusterMarkers(matrix)
+    for _ in range(3):
+        v.put("x1", None)
+        v.put("r1", None)
+        v.settle("x1", "r1")
+    v.keep(1, 1.0)
+    files, name = genomics.opened(v.folder)
+    import pyarrow.fs as pafs
+
+    assert sorted(f.base_name for f in files.get_file_info(pafs.FileSelector(name))) == ["3", "series"]
+
+
 def test_probit_covariates():
     rng = np.random.default_rng(4)
     z = np.column_stack([np.ones(4000), rng.normal(size=4000)])
