@@ -9,7 +9,10 @@ Reading: files are planned as partitions, large ones in ranges that start at the
 A record's headers are parsed first; filters on what they say (type, page, address, date) are
 pushed down, and the rest of an unwanted record is skipped by its length without being decoded.
 Archives of other writers are read as well: their records have an id and a date instead of a
-page_id, chunked bodies are put together, and what a body is packed with is told.
+page_id, chunked bodies are put together, and what a body is packed with is told; a gzip member may
+hold many records, and lines may end in LF alone.  Nothing is passed over in silence: a record that is
+cut off, has no length or is no record gives a row that says so in ``error``, and reading goes on at
+the next one.
 """
 
 from __future__ import annotations
@@ -45,7 +48,7 @@ from .cluster import checkpointed, salted_join
 WRITTEN = "page_id long, url string, html string, record_type string, refers_to long, payload_digest string"
 READ = (
     "page_id long, record_type string, target_uri string, payload_bytes long, payload_digest string, "
-    "refers_to long, record_id string, date string, content_encoding string, payload binary"
+    "refers_to long, record_id string, date string, content_encoding string, payload binary, error string"
 )
 #: Columns that a record's headers alone decide.
 HEADER_COLUMNS = ("page_id", "record_type", "target_uri", "refers_to", "record_id", "date", "content_encoding")
@@ -207,7 +210,7 @@ class WarcReader(DataSourceReader):
             return
         files, folder = _files(self.path)
         names = [x.split()[0] for x in READ.split(", ")]
-        kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), *[pa.string()] * 3, pa.binary()]
+        kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), *[pa.string()] * 3, pa.binary(), pa.string()]
         rows, size = [], 0
 
         def batch():
@@ -225,42 +228,84 @@ class WarcReader(DataSourceReader):
 
 
 def scan(f, start: int, end: int, accepts, payload: str, gzipped: bool):
-    """Records that start in [start, end) of a file and whose headers are accepted."""
+    """Records that start in [start, end) of a file (or, if it is packed, in gzip members that do) and
+    whose headers are accepted."""
     at = _next_member(f, start, end) if gzipped and start else start
     while at is not None and at < end:
-        record = _Member(f, at) if gzipped else _Plain(f, at)
-        row, http = _headers(record)
-        if row is not None and accepts(row):
-            if payload != "skip" and row["record_type"] != "revisit":
-                row = _with_payload(row, record, payload, bool(re.search(r"(?i)\r\ntransfer-encoding:[^\r]*chunked", http or "")))
+        stream = _Member(f, at) if gzipped else _Plain(f, at)
+        yield from _records(stream, accepts, payload)
+        at = stream.following(end)
+
+
+_NOTHING = dict.fromkeys(x.split()[0] for x in READ.split(", "))
+
+
+def _records(stream, accepts, payload: str):
+    """The records of a stream that are accepted."""
+    told = False
+    while stream.next_record():
+        if stream.passed:
+            row = _NOTHING | {"error": f"{stream.passed} bytes that are no record"}
+            if accepts(row):
+                yield row
+            if not stream.ready:
+                return
+        head = stream.until_blank()
+        if head is None:
+            row = _NOTHING | {"error": "headers without an end"}
+            if accepts(row):
+                yield row
+            return
+        row, http, left = _headers(stream, head)
+        if not accepts(row):
+            if stream.whole:
+                return
+            told |= left > stream.pass_over(left)
+        elif row["error"]:
+            yield row
+        elif payload == "skip" or row["record_type"] == "revisit":
+            missing = left - stream.pass_over(left)
+            told |= missing > 0
+            yield row | ({"error": f"cut off: {missing} bytes are missing"} if missing else {})
+        else:
+            data = stream.take(left)
+            told |= len(data) < left
+            yield _with_payload(row, data, left - len(data), payload, bool(re.search(r"(?im)^transfer-encoding:[^\r\n]*chunked", http or "")))
+        if stream.whole:
+            return
+    if stream.broken() and not told:
+        row = _NOTHING | {"error": "a gzip member that is damaged"}
+        if accepts(row):
             yield row
-        at = record.skip()
-
-
-def _headers(record) -> tuple[dict | None, str | None]:
-    """What the record's headers say of it, and its HTTP headers, if it has any."""
-    head = record.until_blank()
-    if not head:
-        return None, None
-    lines = head.decode("utf-8", "replace").split("\r\n")
-    warc = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
-    record.begin_block(int(warc.get("content-length", 0)))
-    http = record.until_blank() if warc.get("content-type", "").startswith("application/http") else None
-    http = http and http.decode("utf-8", "replace")
-    length = re.search(r"(?i)\r\ncontent-length:\s*(\d+)", http or "")
-    packed = re.search(r"(?i)\r\ncontent-encoding:\s*([^\r]+)", http or "")
-    return {
+
+
+def _headers(stream, head: bytes) -> tuple[dict, str | None, int]:
+    """What the record's headers say of it, its HTTP headers, if it has any, and how much is left of it."""
+    warc = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in re.split(r"\r?\n", head.decode("utf-8", "replace"))[1:])}
+    size = warc.get("content-length", "")
+    known = re.fullmatch(r"[0-9]{1,18}", size) is not None
+    left, http = int(size) if known else 0, None
+    if known and warc.get("content-type", "").startswith("application/http"):
+        before = stream.taken
+        http = stream.until_blank(left)
+        left -= stream.taken - before
+        http = http and http.decode("utf-8", "replace")
+    length = re.search(r"(?im)^content-length:\s*(\d{1,18})\s*$", http or "")
+    packed = re.search(r"(?im)^content-encoding:\s*([^\r\n]+)", http or "")
+    row = {
         "page_id": _number(warc.get("warc-record-id")),
         "record_type": warc.get("warc-type"),
         "target_uri": warc.get("warc-target-uri"),
-        "payload_bytes": int(length[1]) if length else record.block_left(),
+        "payload_bytes": (int(length[1]) if length else left) if known else None,
         "payload_digest": _sha1(warc.get("warc-payload-digest", "")),
         "refers_to": _number(warc.get("warc-refers-to")),
         "record_id": warc.get("warc-record-id", "").strip("<>") or None,
         "date": warc.get("warc-date"),
         "content_encoding": packed[1].strip().lower() if packed else None,
         "payload": None,
-    }, http
+        "error": None if known else f"no length but {size!r}",
+    }
+    return row, http, left
 
 
 def _sha1(digest: str) -> str | None:
@@ -289,107 +334,176 @@ def _unchunked(data: bytes) -> bytes:
     return data
 
 
-def _with_payload(row: dict, record, payload: str, chunked: bool) -> dict:
-    data = _unchunked(record.rest()) if chunked else record.rest()
+def _with_payload(row: dict, data: bytes, missing: int, payload: str, chunked: bool) -> dict:
+    """A payload that is cut off comes as far as it goes, without a digest."""
+    data = _unchunked(data) if chunked else data
     return row | {
         "payload_bytes": len(data),
-        "payload_digest": hashlib.sha1(data).hexdigest(),
+        "payload_digest": None if missing else hashlib.sha1(data).hexdigest(),
         "payload": data if payload == "bytes" else None,
+        "error": f"cut off: {missing} bytes are missing" if missing else None,
     }
 
 
-class _Block:
-    """Bytes of one record, decoded as far as they are asked for."""
+class _Stream:
+    """Decoded bytes, as far as they are asked for.  ``taken``: how many were; ``passed``: those before
+    the record at hand that belong to none; ``whole``: one record is all there is."""
 
     def __init__(self):
-        self.ready, self.left = b"", None
+        self.ready, self.taken, self.passed, self.whole = b"", 0, 0, False
 
-    def until_blank(self) -> bytes | None:
-        """All up to the next empty line, without it."""
+    def more(self) -> bool:
+        raise NotImplementedError
+
+    def _drop(self, n: int) -> None:
+        self.ready, self.taken = self.ready[n:], self.taken + n
+
+    def next_record(self) -> bool:
+        """Go to the next line that begins a record; False at the end."""
+        self.passed = 0
+        while True:
+            blank = len(self.ready) - len(self.ready.lstrip(b"\r\n"))
+            self._drop(blank)
+            if len(self.ready) >= 5 or not self.more():
+                break
+        if self.ready.startswith(b"WARC/"):
+            return True
+        before = self.taken
+        while (cut := self.ready.find(b"\nWARC/")) < 0:
+            self._drop(max(0, len(self.ready) - 5))
+            if not self.more():
+                self._drop(len(self.ready))
+                break
+        else:
+            self._drop(cut + 1)
+        self.passed = self.taken - before
+        return self.passed > 0
+
+    def until_blank(self, limit: int | None = None) -> bytes | None:
+        """All up to the next empty line, without it; None, and nothing taken, if there is none among
+        the next ``limit`` bytes."""
         seen = 0
-        while (cut := self.ready.find(b"\r\n\r\n", max(0, seen - 3))) < 0:
+        while not (found := _BLANK.search(self.ready, max(0, seen - 3), len(self.ready) if limit is None else limit)):
             seen = len(self.ready)
-            if not self.more():
+            if (limit is not None and seen >= limit) or not self.more():
                 return None
-        head, self.ready = self.ready[:cut], self.ready[cut + 4 :]
-        if self.left is not None:
-            self.left -= cut + 4
+        head = self.ready[: found.start()]
+        self._drop(found.end())
         return head
 
-    def begin_block(self, size: int) -> None:
-        self.left = size
+    def take(self, n: int) -> bytes:
+        """``n`` bytes, or fewer at the end."""
+        parts, have = [], 0
+        while have < n and (self.ready or self.more()):
+            parts.append(self.ready[: n - have])
+            have += len(parts[-1])
+            self._drop(len(parts[-1]))
+        return b"".join(parts)
 
-    def block_left(self) -> int:
-        return self.left or 0
+    def pass_over(self, n: int) -> int:
+        """How many of ``n`` bytes there were."""
+        have = 0
+        while have < n and (self.ready or self.more()):
+            step = min(n - have, len(self.ready))
+            self._drop(step)
+            have += step
+        return have
 
-    def rest(self) -> bytes:
-        parts, have = [self.ready], len(self.ready)
-        self.ready = b""
-        while have < self.left and self.more():
-            parts.append(self.ready)
-            have += len(self.ready)
-            self.ready = b""
-        return b"".join(parts)[: self.left]
 
+_BLANK = re.compile(rb"\r?\n\r?\n")
 
-class _Member(_Block):
-    """A gzip member that holds one record."""
+
+class _Member(_Stream):
+    """A gzip member; of one record, if it tells its length (subfield "sl")."""
 
     CHUNK = 1 << 16
+    #: Packed bytes decoded at a time, which is what damage costs besides what follows it.
+    PIECE = 1 << 10
 
     def __init__(self, f, at: int):
         super().__init__()
-        self.f, self.at, self.read_to = f, at, at
+        self.f, self.at, self.read_to, self.read = f, at, at, b""
         self.unpack = zlib.decompressobj(31)
-        self.size = 0
+        self.size, self.damaged = 0, False
         f.seek(at)
         head = f.read(24)
-        if head[:3] == _MAGIC and head[3] & 4 and head[12:14] == b"sl":
+        if head[:3] == _MAGIC and len(head) == 24 and head[3] & 4 and head[12:14] == b"sl":
             self.size = struct.unpack("<I", head[16:20])[0]
+        self.whole = self.size > 0
         f.seek(at)
 
     def more(self) -> bool:
-        data = self.unpack.unconsumed_tail
-        if not data:
-            if self.unpack.eof:
-                return False
-            data = self.f.read(self.CHUNK if not self.size else min(self.CHUNK, self.at + self.size - self.read_to))
-            self.read_to += len(data)
+        while not self.damaged and not self.unpack.eof:
+            data = self.unpack.unconsumed_tail
+            if not data:
+                if not self.read:
+                    self.read = self.f.read(self.CHUNK if not self.size else max(0, min(self.CHUNK, self.at + self.size - self.read_to)))
+                    self.read_to += len(self.read)
+                data, self.read = self.read[: self.PIECE], self.read[self.PIECE :]
             if not data:
                 return False
-        self.ready += self.unpack.decompress(data, self.CHUNK)
-        return True
-
-    def skip(self) -> int | None:
+            try:
+                out = self.unpack.decompress(data, self.CHUNK)
+            except zlib.error:
+                self.damaged = True
+                return False
+            if out:
+                self.ready += out
+                return True
+        return False
+
+    def pass_over(self, n: int) -> int:
+        if not self.whole:
+            return super().pass_over(n)
+        # not decoded: it is there if the member's end is
+        self.f.seek(0, 2)
+        return n if self.at + self.size <= self.f.tell() else 0
+
+    def broken(self) -> bool:
+        return not self.unpack.eof
+
+    def following(self, end: int) -> int | None:
         if self.size:
             return self.at + self.size
-        while not self.unpack.eof:
+        while self.more():
             self.ready = b""
-            if not self.more():
-                return None
-        return self.read_to - len(self.unpack.unused_data)
+        if not self.unpack.eof:
+            return _next_member(self.f, self.at + 1, end)
+        # what some writers put between members
+        at = self.read_to - len(self.read) - len(self.unpack.unused_data)
+        self.f.seek(at)
+        return at if self.f.read(3) == _MAGIC else _next_member(self.f, at, end)
 
 
-class _Plain(_Block):
-    """A record of an uncompressed file."""
+class _Plain(_Stream):
+    """An uncompressed file from a place on."""
 
     def __init__(self, f, at: int):
         super().__init__()
-        self.f, self.at, self.taken, self.head = f, at, 0, 0
+        self.f = f
+        f.seek(0, 2)
+        self.end = f.tell()
         f.seek(at)
 
     def more(self) -> bool:
         data = self.f.read(1 << 16)
-        self.taken += len(data)
         self.ready += data
         return bool(data)
 
-    def begin_block(self, size: int) -> None:
-        super().begin_block(size)
-        self.head = self.taken - len(self.ready) + size + 4
+    def pass_over(self, n: int) -> int:
+        if n <= len(self.ready):
+            return super().pass_over(n)
+        left = n - len(self.ready)
+        have = min(left, self.end - self.f.tell())
+        self.f.seek(self.f.tell() + have)
+        self.taken, self.ready = self.taken + len(self.ready) + have, b""
+        return n - left + have
+
+    def broken(self) -> bool:
+        return False
 
-    def skip(self) -> int | None:
-        return self.at + self.head if self.head else None
+    def following(self, end: int) -> None:
+        return None
 
 
 def _next_member(f, start: int, end: int) -> int | None:

@@ -761,6 +761,92 @@ def test_warc_skips_by_length_and_splits(tmp_path):
                 assert [(r["page_id"], r["payload"]) for r in got] == [(i, bytes([65 + i]) * 5000) for i in range(0, 20, 2)]
 
 
+def foreign(i, body, eol="\r\n", length=None, kind="response"):
+    block = f"HTTP/1.1 200 OK{eol}Content-Type: text/html{eol}{eol}".encode() + body
+    top = ["WARC/1.0", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{i}>", "Content-Type: application/http; msgtype=response"]
+    top.append(f"Content-Length: {len(block) if length is None else length}")
+    return eol.join([*top, "", ""]).encode() + block + 2 * eol.encode()
+
+
+def read_back(spark, folder, **options):
+    rows = warc.read_warc(spark, str(folder), **options).collect()
+    return sorted(((r["record_id"] or "").removeprefix("urn:uuid:"), r["payload"], r["error"]) for r in rows)
+
+
+@pytest.mark.parametrize("eol", ["\r\n", "\n"])
+def test_warc_members_of_many_records_and_either_line_end(spark, tmp_path, eol):
+    """Records inside one gzip member, in several and in a plain file, with bodies that hold empty lines."""
+    import gzip
+
+    bodies = [b"first\n\nbody", b"", b"x" * 200_000 + b"\r\n\r\nWARC/", b"last"]
+    records = [foreign(i, b, eol) for i, b in enumerate(bodies)]
+    (tmp_path / "one").mkdir()
+    (tmp_path / "one" / "a.warc.gz").write_bytes(gzip.compress(b"".join(records)))
+    (tmp_path / "two").mkdir()
+    (tmp_path / "two" / "b.warc.gz").write_bytes(gzip.compress(b"".join(records[:3])) + bytes(7) + gzip.compress(records[3]))
+    (tmp_path / "plain").mkdir()
+    (tmp_path / "plain" / "c.warc").write_bytes(b"".join(records))
+    want = [(str(i), b, None) for i, b in enumerate(bodies)]
+    for folder in ("one", "two", "plain"):
+        assert read_back(spark, tmp_path / folder) == want
+        assert [r[0] for r in read_back(spark, tmp_path / folder, payload="skip")] == [r[0] for r in want]
+
+
+def test_warc_records_without_a_length(spark, tmp_path):
+    """Reading goes on at the next record, and what was passed over is told."""
+    import gzip
+
+    records = [foreign(1, b"one"), foreign(2, b"two", length="x"), foreign(3, b"three"), b"junk\r\n\r\n", foreign(4, b"four"), foreign(5, b"five", length="-3")]
+    want = [("", None, "37 bytes that are no record"), ("", None, "38 bytes that are no record"), ("", None, "4 bytes that are no record"),
+            ("1", b"one", None), ("2", None, "no length but 'x'"), ("3", b"three", None), ("4", b"four", None), ("5", None, "no length but '-3'")]
+    for name, data in (("a.warc", b"".join(records)), ("b.warc.gz", gzip.compress(b"".join(records)))):
+        folder = tmp_path / name
+        folder.mkdir()
+        (folder / name).write_bytes(data)
+        got = read_back(spark, folder)
+        assert [(i, p, re.sub(r"\d+ bytes", "n bytes", e or "")) for i, p, e in got] == [(i, p, re.sub(r"\d+ bytes", "n bytes", e or "")) for i, p, e in want]
+        assert warc.read_warc(spark, str(folder)).where("record_type = 'response'").count() == 5
+
+
+def test_warc_records_that_are_cut_off(spark, tmp_path):
+    """A payload comes as far as it goes, without a digest and with an error; damage stops nothing but its member."""
+    import gzip
+
+    body = bytes(random.Random(5).choices(range(256), k=5000))
+    whole, cut = foreign(1, b"whole"), foreign(2, body)
+    packed = gzip.compress(cut)
+    damaged = bytearray(packed)
+    damaged[2500:2600] = bytes(100)
+    files = {
+        "plain": ("a.warc", whole + cut[: len(cut) - 3004]), "gzip": ("b.warc.gz", gzip.compress(whole) + packed[:2600]),
+        "own": ("c.warc.gz", warc.gzip_member(whole) + warc.gzip_member(cut)[:2600]), "damaged": ("d.warc.gz", bytes(damaged) + gzip.compress(whole)),
+        "headers": ("e.warc", whole + b"WARC/1.0\r\nWARC-Type: resp"), "empty": ("f.warc", b""), "newlines": ("g.warc", b"\r\n\r\n"),
+    }
+    for name, (file, data) in files.items():
+        (tmp_path / name).mkdir()
+        (tmp_path / name / file).write_bytes(data)
+    for name in ("plain", "gzip", "own", "damaged"):
+        rows = {r["record_id"]: r for r in warc.read_warc(spark, str(tmp_path / name)).collect()}
+        one, two = rows["urn:uuid:1"], rows["urn:uuid:2"]
+        assert (one["payload"], one["error"]) == (b"whole", None)
+        assert two["payload_digest"] is None and re.fullmatch(r"cut off: \d+ bytes are missing", two["error"])
+        # what is damaged may decode to something else before that shows
+        assert body.startswith(two["payload"] if name != "damaged" else two["payload"][:1000]) and len(two["payload"]) == two["payload_bytes"] < 5000
+    assert next(r["payload_bytes"] for r in warc.read_warc(spark, str(tmp_path / "plain")).collect() if r["error"]) == 2000
+    skipped = warc.read_warc(spark, str(tmp_path / "plain"), "skip").where("error IS NOT NULL").collect()
+    assert [r["error"] for r in skipped] == ["cut off: 3000 bytes are missing"]
+    assert [r["error"] is None for r in warc.read_warc(spark, str(tmp_path / "own"), "skip").orderBy("record_id").collect()] == [True, False]
+    assert read_back(spark, tmp_path / "headers") == [("", None, "headers without an end"), ("1", b"whole", None)]
+    assert read_back(spark, tmp_path / "empty") == [] == read_back(spark, tmp_path / "newlines")
+
+
+def test_warc_of_a_very_long_payload(spark, tmp_path):
+    long = "x" * 9_000_000
+    pages = spark.createDataFrame([(1, "u", long), (2, "u", long), (3, "v", "short")], "page_id long, url string, html string")
+    rows = {r["page_id"]: (r["payload_bytes"], r["record_type"], r["refers_to"], r["error"]) for r in warc.archive_round_trip(pages).collect()}
+    assert rows == {1: (9_000_000, "revisit", 2, None), 2: (9_000_000, "response", None, None), 3: (5, "response", None, None)}
+
+
 def test_queries_match_their_oracles(spark):
     import duckdb
 
