@@ -50,7 +50,7 @@ def parser() -> argparse.ArgumentParser:
         ("stop-criteria-thr", float, 1e-4), ("learn-vars", int, 1), ("use-lmmse-damp", int, 0), ("use-XXT-denoiser", int, 0),
         ("store-pvals", int, 0), ("alpha-scale", float, 1.0), ("h2", float, -1.0), ("CV", int, 0), ("probit-var", float, 1.0),
         ("gam1-init", float, -1.0), ("gamw-init", float, -1.0), ("init-est", int, 0), ("use-freeze", int, 0), ("seed", int, 1),
-        ("red", int, 0), ("gamma-damp", int, 1), ("huber-delta", float, 1e-3), ("learn-delta", int, 0),
+        ("red", int, 0), ("hold-out", float, 0.0), ("gamma-damp", int, 1), ("huber-delta", float, 1e-3), ("learn-delta", int, 0),
     ):
         p.add_argument(f"--{name}", type=kind, default=default)
     for name in ("probs", "vars", "test-iter-range"):
@@ -65,13 +65,16 @@ def _options(a: argparse.Namespace) -> models.Options:
         em_rounds=a.EM_max_iter, em_tolerance=a.EM_err_thr, cg_rounds=a.CG_max_iter, stop=a.stop_criteria_thr,
         learn_variances=bool(a.learn_vars), by_samples=bool(a.use_XXT_denoiser), lmmse_damping=bool(a.use_lmmse_damp),
         probit_variance=a.probit_var, delta=a.huber_delta, learn_delta=bool(a.learn_delta), seed=a.seed,
+        hold_out=a.hold_out, reduced=bool(a.red),
     )
 
 
 def _checked(a: argparse.Namespace) -> argparse.Namespace:
     """The options, none of which goes without effect in silence."""
-    if a.red:
-        raise SystemExit("--red asks for a range of samples that no option sets")
+    if a.red not in (0, 1):
+        raise SystemExit("--red is 1 for solves over a tenth of the samples each, or 0")
+    if (a.red or a.hold_out) and a.model != "linear":
+        raise SystemExit("--red and --hold-out are of the linear model")
     if a.gamma_damp != 1:
         raise SystemExit("--gamma-damp has no effect in any model")
     if a.CV and a.run_mode not in SIMULATIONS:

@@ -68,6 +68,10 @@ class DriverMarkers:
         v = self.vectors
         v[name] = np.where(self.live, rho * v[name] + (1 - rho) * v[before], v[name])
 
+    def moved(self, name: str, a: str, b: str) -> None:
+        """a - b, and 0 for frozen markers."""
+        self.vectors[name] = np.where(self.live, self.vectors[a] - self.vectors[b], 0.0)
+
     def denoise(self, name: str, r: str, gamma: float, prior: Prior, denoiser) -> tuple[float, float]:
         """Mean derivative over the markers that aren't frozen, and mean square of what changed."""
         own = self.vectors[r]
@@ -95,8 +99,8 @@ class DriverMarkers:
         """These vectors are all that is needed later."""
         self.vectors = {n: self.vectors[n] for n in names}
 
-    def times(self, *names: str) -> np.ndarray:
-        return self.matrix.times(np.stack([self.vectors[n] for n in names], axis=1))
+    def times(self, *names: str, matrix=None) -> np.ndarray:
+        return (matrix or self.matrix).times(np.stack([self.vectors[n] for n in names], axis=1))
 
     def lmmse(self, name: str, tau: float, gamma: float, target: np.ndarray, r2: str, start: str | None, rounds: int, seed: int) -> float:
         """Sets ``name``, ``probe`` and ``solved``; see :func:`tesserix.operators.solvers.lmmse`."""
@@ -175,6 +179,9 @@ class ClusterMarkers:
         mixed = scalars.damped(F.col(name), F.col(before), rho)
         self.table = self.table.withColumn(name, F.when(F.col("live"), mixed).otherwise(F.col(name)))
 
+    def moved(self, name: str, a: str, b: str) -> None:
+        self.table = self.table.withColumn(name, F.when(F.col("live"), F.col(a) - F.col(b)).otherwise(0.0))
+
     def denoise(self, name: str, r: str, gamma: float, prior: Prior, denoiser) -> tuple[float, float]:
         """Of the table as it was written; a user's ``denoiser`` gets Arrow batches of its rows."""
         base, slope = self.written.drop(name), f"slope of {name}"
@@ -206,17 +213,18 @@ class ClusterMarkers:
     def settle(self, *names: str) -> None:
         self._write(*names)
 
-    def times(self, *names: str) -> np.ndarray:
-        return self.matrix.times_columns(self.table.select("marker_idx", *names), names)
+    def times(self, *names: str, matrix=None) -> np.ndarray:
+        return (matrix or self.matrix).times_columns(self.table.select("marker_idx", *names), names)
 
     def _with_transposed(self, table: DataFrame, names: list[str], u: np.ndarray) -> DataFrame:
         """``table`` with A'u in new columns, one for each column of ``u``."""
-        shared, kind, n, kept = self.matrix._shared(u), self.matrix.kind, self.matrix.n_samples, table.columns
+        own = self.matrix
+        shared, kind, n, first, kept = own._shared(u), own.kind, own.n_samples, own.first, table.columns
         schema = _with_doubles(table, names)
 
         def run(batches):
             u, here = shared.value
-            for part, z, _ in standardised_slices(batches, kind, n, here):
+            for part, z, _ in standardised_slices(batches, kind, n, here, first):
                 values = z @ u / np.sqrt(n)
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), *map(pa.array, np.ascontiguousarray(values.T))], [*kept, *names])
 

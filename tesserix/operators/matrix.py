@@ -13,10 +13,12 @@ tasks.
 
 from __future__ import annotations
 
+import copy
 import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import StorageLevel, TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,12 +33,16 @@ _DOSAGE = np.array([2.0, np.nan, 1.0, 0.0])
 _LUT = _DOSAGE[(np.arange(256)[:, None] >> (2 * np.arange(4))) & 3]
 
 
-def unpack(payloads: pa.Array, kind: str, n_samples: int) -> np.ndarray:
-    """Markers by samples; missing is NaN."""
+def unpack(payloads: pa.Array, kind: str, n_samples: int, first: int = 0) -> np.ndarray:
+    """Markers by ``n_samples`` samples from ``first`` on; missing is NaN.  Only the bytes that hold
+    these samples are decoded."""
+    a, b = (first // 4, -(-(first + n_samples) // 4)) if kind == "bed" else (8 * first, 8 * (first + n_samples))
+    if len(payloads) and (a or len(payloads[0].as_py()) != b):
+        payloads = pc.binary_slice(payloads, a, b)
     raw = b"".join(payloads.to_pylist())
     if kind == "bed":
-        packed = np.frombuffer(raw, np.uint8).reshape(len(payloads), -1)
-        return _LUT[packed].reshape(len(payloads), -1)[:, :n_samples]
+        packed, skipped = np.frombuffer(raw, np.uint8).reshape(len(payloads), b - a), first - 4 * a
+        return _LUT[packed].reshape(len(payloads), 4 * (b - a))[:, skipped : skipped + n_samples]
     return np.frombuffer(raw, "<f8").reshape(len(payloads), n_samples)
 
 
@@ -74,7 +80,7 @@ class MarkerMatrix:
     def __init__(self, packed: DataFrame, kind: str, present: np.ndarray, alpha: float = 1.0):
         """``packed`` has ``marker_idx, payload``; markers are numbered from 0 without gaps."""
         self.spark: SparkSession = packed.sparkSession
-        self.kind, self.present, self.n_samples = kind, np.asarray(present, bool), len(present)
+        self.kind, self.present, self.n_samples, self.first = kind, np.asarray(present, bool), len(present), 0
         shared, n = self.spark.sparkContext.broadcast(self.present), self.n_samples
 
         def with_stats(batches):
@@ -113,6 +119,18 @@ class MarkerMatrix:
         out.sample_ids = [s for s, _ in ids]
         return out
 
+    def sample_range(self, start: int, end: int) -> "MarkerMatrix":
+        """The same markers with the samples from ``start`` to before ``end`` alone.
+
+        Rows and statistics are those of the whole matrix, and each payload is cut by bytes before
+        it is decoded.  Products are scaled by the range's own number of samples.
+        """
+        if not 0 <= start < end <= self.n_samples:
+            raise ValueError(f"no samples {start} to {end} of {self.n_samples}")
+        part = copy.copy(self)
+        part.first, part.n_samples, part.present = self.first + start, end - start, self.present[start:end]
+        return part
+
     def _shared(self, x: np.ndarray):
         return self.spark.sparkContext.broadcast((np.ascontiguousarray(x), self.present))
 
@@ -131,10 +149,10 @@ class MarkerMatrix:
         """What ``function`` makes of each slice of markers: it gets the slice, its standardised
         cells (zero where missing), which of them are valid, and the broadcast ``shared``, whose
         last part tells which samples are present; it yields record batches."""
-        kind, n = self.kind, self.n_samples
+        kind, n, first = self.kind, self.n_samples, self.first
 
         def run(batches):
-            for part, z, valid in standardised_slices(batches, kind, n, shared.value[-1]):
+            for part, z, valid in standardised_slices(batches, kind, n, shared.value[-1], first):
                 yield from function(part, z, valid, shared.value)
 
         return self.rows.mapInArrow(run, schema)
@@ -191,11 +209,11 @@ class MarkerMatrix:
         """Sums of sample vectors by a key: ``function`` makes (key, samples by ``width``) pairs of
         a slice, its standardised cells and ``shared``.  Few keys.  ``rows``: the matrix's, joined
         with other columns."""
-        kind, n = self.kind, self.n_samples
+        kind, n, first = self.kind, self.n_samples, self.first
 
         def run(batches):
             totals: dict[int, np.ndarray] = {}
-            for part, z, _ in standardised_slices(batches, kind, n, shared.value[-1]):
+            for part, z, _ in standardised_slices(batches, kind, n, shared.value[-1], first):
                 for key, value in function(part, z, shared.value):
                     totals[key] = totals[key] + value if key in totals else value
             task = TaskContext.get().partitionId()
@@ -226,12 +244,12 @@ class MarkerMatrix:
         self.rows.unpersist()
 
 
-def standardised_slices(batches, kind: str, n: int, here: np.ndarray):
-    """Slices of markers with their standardised cells, zero where missing or not present, and
-    which cells are valid."""
+def standardised_slices(batches, kind: str, n: int, here: np.ndarray, first: int = 0):
+    """Slices of markers with the standardised cells of ``n`` samples from ``first`` on, zero where
+    missing or not present, and which cells are valid."""
     for batch in batches:
         for part in decoded_slices(batch, n):
-            z = unpack(part.column("payload"), kind, n) - part.column("mu").to_numpy()[:, None]
+            z = unpack(part.column("payload"), kind, n, first) - part.column("mu").to_numpy()[:, None]
             z *= part.column("isd").to_numpy()[:, None]
             valid = ~np.isnan(z) & here
             z[~valid] = 0.0

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.special import inverse_mills, log_normal_cdf, probit_denoise
-from .markers import ClusterMarkers, DriverMarkers, as_array, as_table, markers
+from .markers import DRIVER_MARKERS, ClusterMarkers, DriverMarkers, as_array, as_table, markers
 from .matrix import MarkerMatrix
 from .prior import Prior, from_sums
 
@@ -67,6 +67,10 @@ class Options:
     learn_variances: bool = True
     by_samples: bool = False
     lmmse_damping: bool = False
+    #: Share of the samples, the last ones, that is held out to choose the damping by (linear model).
+    hold_out: float = 0.0
+    #: Each LMMSE step solves over another tenth of the samples (linear model).
+    reduced: bool = False
     probit_variance: float = 1.0
     delta: float = 1e-3
     learn_delta: bool = False
@@ -110,6 +114,18 @@ def fit(matrix: MarkerMatrix, y: np.ndarray, prior: Prior, options: Options | No
     ``on_cluster``: where vectors of markers are, told by their length if not given."""
     options = options or Options()
     y = np.where(np.isnan(y), 0.0, y)
+    if (options.hold_out or options.reduced) and options.model != "linear":
+        raise ValueError("only the linear model holds samples out or solves over parts of them")
+    held = None
+    if options.hold_out:
+        # in fours, as packed payloads have them
+        cut = 4 * int((1 - options.hold_out) * (matrix.n_samples // 4))
+        if not 0 < cut < matrix.n_samples:
+            raise ValueError(f"holding out {options.hold_out} of {matrix.n_samples} samples leaves none on one side")
+        if isinstance(matrix, MarkerMatrix) and (on_cluster or matrix.n_markers > DRIVER_MARKERS):
+            matrix.partition_by_marker()
+        held = _HeldOut(matrix.sample_range(cut, matrix.n_samples), y[cut:], cut)
+        matrix, y = matrix.sample_range(0, cut), y[:cut]
     prior = prior.scaled(matrix.n_samples)
     vectors = markers(matrix, frozen, on_cluster)
     spread = isinstance(vectors, ClusterMarkers)
@@ -121,7 +137,7 @@ def fit(matrix: MarkerMatrix, y: np.ndarray, prior: Prior, options: Options | No
     vectors.put("x1", None)
     vectors.put("x2", None)
     if options.model == "linear":
-        out = _linear(matrix, vectors, y, prior, options, start is not None, denoiser)
+        out = _linear(matrix, vectors, y, prior, options, start is not None, denoiser, held)
     elif options.model in ("bin_class", "robust"):
         out = _generalised(matrix, vectors, y, prior, options, covariates, start is not None, denoiser)
     else:
@@ -164,7 +180,37 @@ def _denoise_step(v, gamma: float, it: int, prior: Prior, o: Options, inner: int
     return alpha, eta, gamma, prior
 
 
-def _first_half(v, it: int, gamma: float, alpha_before: float, rho: float, prior: Prior, o: Options, started: bool, inner: int, denoiser, scale: float):
+class _HeldOut:
+    """Samples that aren't learnt from, and how well they were predicted last."""
+
+    #: Share of the last try's damping that the next one takes, and the most tries.
+    LESS, TRIES = 0.9, 25
+
+    def __init__(self, matrix, y: np.ndarray, n_fitted: int):
+        self.matrix, self.y, self.r2 = matrix, y, -np.inf
+        # x is on the scale of the samples fitted
+        self.scale = np.sqrt(matrix.n_samples / n_fitted)
+        self.total = max(float(((y - y.mean()) ** 2).sum()), 1e-300)
+
+    def damping(self, v, rho: float, first: bool) -> float:
+        """The largest of ``rho`` and its parts at which the estimates between "before" (0) and x1
+        (1) predict no worse than the last ones did; 0, at which they stay, if none does.
+
+        Predictions are linear in it, so two products do for all tries.
+        """
+        both = v.times("x1", "moved", matrix=self.matrix) * self.scale
+        share = 1.0 if first else rho
+        for _ in range(1 if first else self.TRIES):
+            error = self.y - both[:, 0] + (1 - share) * both[:, 1]
+            r2 = 1 - float(error @ error) / self.total
+            if first or r2 >= self.r2:
+                self.r2 = r2
+                return share
+            share *= self.LESS
+        return 0.0
+
+
+def _first_half(v, it: int, gamma: float, alpha_before: float, rho: float, prior: Prior, o: Options, started: bool, inner: int, denoiser, scale: float, held=None):
     """Denoising and damping, with the estimates kept: what all models begin an iteration with."""
     v.combine("before", {"x1": 1.0})
     v.settle("r1", "start", "x2", "before")
@@ -172,6 +218,10 @@ def _first_half(v, it: int, gamma: float, alpha_before: float, rho: float, prior
     if it == 1 and started:
         v.combine("x1", {"start": 1.0})
         v.combine("r1", {"start": 1.0})
+    if held is not None:
+        v.moved("moved", "x1", "before")
+        v.settle("r1", "x1", "x2", "start", "before", "moved")
+        rho = held.damping(v, rho, it == 1)
     if it > 1:
         v.damp("x1", "before", rho)
         alpha = rho * alpha + (1 - rho) * alpha_before
@@ -186,7 +236,15 @@ def _stands(v, it: int, o: Options) -> bool:
     return it > 1 and size > 0 and np.sqrt(moved / size) < o.stop
 
 
-def _linear(matrix: MarkerMatrix, v, y, prior, o: Options, started: bool, denoiser) -> Fit:
+def _tenth(matrix, y: np.ndarray, seed: int):
+    """A tenth of the samples, in a row and in fours, and their phenotypes."""
+    fours = matrix.n_samples // 4
+    length = max(1, fours // 10)
+    start = int(np.random.default_rng(seed).integers(0, max(1, fours - length + 1)))
+    return matrix.sample_range(4 * start, 4 * (start + length)), y[4 * start : 4 * (start + length)]
+
+
+def _linear(matrix: MarkerMatrix, v, y, prior, o: Options, started: bool, denoiser, held=None) -> Fit:
     n, m, scale = matrix.n_samples, matrix.n_markers, 1 / np.sqrt(matrix.n_samples)
     gam1 = o.gam1 or 1e-6
     gamw = o.gamw or (1 / (1 - o.h2) if o.h2 is not None and 0 <= o.h2 < 1 else 2.0)
@@ -194,7 +252,9 @@ def _linear(matrix: MarkerMatrix, v, y, prior, o: Options, started: bool, denois
     out = Fit(None, prior)
     note = lambda it, **v: out.trace.extend((it, k, float(x)) for k, x in v.items())
     for it in range(1, o.iterations + 1):
-        alpha1, eta1, gam1, prior = _first_half(v, it, gam1, alpha1, rho, prior, o, started, 5, denoiser, scale)
+        alpha1, eta1, gam1, prior = _first_half(v, it, gam1, alpha1, rho, prior, o, started, 5, denoiser, scale, held)
+        if held is not None:
+            note(it, r2_held_out=held.r2)
         z1 = v.times("x1")[:, 0]
         new = clamp(eta1 - gam1)
         gam2 = rho * new + (1 - rho) * gam2 if o.lmmse_damping and gam2 is not None else new
@@ -203,18 +263,22 @@ def _linear(matrix: MarkerMatrix, v, y, prior, o: Options, started: bool, denois
         if it == 1 and not denoiser:
             prior = learn_prior(v, "r1", gam1, prior, o)
         note(it, gam1=gam1, gam2=gam2, r2_x1=_r2(y, z1))
+        part, own = _tenth(matrix, y, o.seed + it) if o.reduced else (matrix, y)
+        v.matrix = part
         if o.by_samples:
-            alpha2, u = v.lmmse_by_samples("x2", gamw, gam2, y, "r2", u, o.cg_rounds, o.seed)
+            alpha2, u = v.lmmse_by_samples("x2", gamw, gam2, own, "r2", None if o.reduced else u, o.cg_rounds, o.seed)
         else:
-            alpha2 = v.lmmse("x2", gamw, gam2, y, "r2", "x2" if it > 1 else None, o.cg_rounds, o.seed)
+            alpha2 = v.lmmse("x2", gamw, gam2, own, "r2", "x2" if it > 1 else None, o.cg_rounds, o.seed)
         eta2 = gam2 / alpha2
         if it > 2:
             gam2 = clamp(1 / (1 / eta2 + v.squares(("x2", "r2"))[0] / m))
         gam1 = clamp(eta2 - gam2)
         v.combine("r1", {"x2": eta2 / gam1, "r2": -gam2 / gam1})
-        both = v.times("x2", "solved", "probe")
-        gamw = n / (float(((both[:, 0] - y) ** 2).sum()) + m * float(both[:, 2] @ both[:, 1]))
-        note(it, r2_x2=_r2(y, both[:, 0]), gamw=gamw, rho=rho, components=len(prior.probs))
+        correction = v.times("solved", "probe")
+        v.matrix = matrix
+        z2 = v.times("x2")[:, 0]
+        gamw = n / (float(((z2 - y) ** 2).sum()) + m * float(correction[:, 1] @ correction[:, 0]))
+        note(it, r2_x2=_r2(y, z2), gamw=gamw, rho=rho, components=len(prior.probs))
         if _stands(v, it, o):
             break
     out.prior = prior

@@ -32,6 +32,12 @@ def packed_a_x(spark, d):
     return _by_sample(spark, matrix.sample_ids, matrix.times(1 / (1.0 + np.arange(matrix.n_markers))))
 
 
+def packed_subrange_product(spark, d):
+    """Samples 100 to 299 only, scaled by their number, cut out of the payloads."""
+    matrix, y = _matrix(spark, d)
+    return _by_marker(spark, matrix.sample_range(100, 300).transpose_times(y[100:300]), "value")
+
+
 def _calls(spark, d) -> tuple[MarkerMatrix, np.ndarray, np.ndarray]:
     """The dosages in two-bit calls, the residual that a tenth of A'y leaves, and those effects."""
     cells, pheno = w.dosage(spark, d), w.dosage_phenotype(spark, d)
@@ -147,6 +153,7 @@ _FIRST = "vec_id AS idx, CAST(embedding[1] AS DOUBLE) AS value FROM embeddings"
 SQL = {
     "packed_at_x": base.SQL["at_x"],
     "packed_a_x": base.SQL["a_x"],
+    "packed_subrange_product": base.SQL["sample_subrange_product"],
     "packed_loo_ttest": base.SQL["loo_ttest"],
     "packed_loco_ttest": base.SQL["loco_ttest"],
     "unpack_calls": "WITH " + base._DOSAGE + " SELECT m AS marker_idx, s AS sample_idx, v AS value FROM w2",
@@ -172,7 +179,7 @@ SQL = {
 QUERIES = {
     f.__name__: f
     for f in (
-        packed_at_x, packed_a_x, packed_loo_ttest, packed_loco_ttest, unpack_calls, simulate_sparse, simulate_heavy_tails,
+        packed_at_x, packed_a_x, packed_subrange_product, packed_loo_ttest, packed_loco_ttest, unpack_calls, simulate_sparse, simulate_heavy_tails,
         simulate_rescaled, simulate_dense_cells, simulate_phenotype, signal_variances, scan_dense, scan_text_vector,
         scan_covariate_cells, scan_marker_ids, sink_vector, sink_text_vector, estimates_of_iterations,
     )

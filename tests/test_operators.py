@@ -108,6 +108,11 @@ class Dense:
     def sample_diagonal(self):
         return (self.a**2).sum(axis=1)
 
+    def sample_range(self, start, end):
+        part = Dense(self.a[start:end] * np.sqrt(self.n_samples / (end - start)))
+        part.present = self.present[start:end]
+        return part
+
 
 def _simulated(n, m, causal, h2, seed):
     rng = np.random.default_rng(seed)
@@ -178,6 +183,80 @@ def test_vectors_on_the_cluster_give_the_same_fit(spark, model):
     assert [r["marker_idx"] for r in again] == [r["marker_idx"] for r in rows] and [r["it"] for r in again] == [r["it"] for r in rows]
 
 
+@pytest.mark.parametrize("kind", ["bed", "dense"])
+def test_sample_ranges_of_packed_payloads(spark, kind):
+    """Products over a range are those of its decoded cells, at any offset within a byte."""
+    from tesserix.operators.matrix import pack_dosages
+
+    rng = np.random.default_rng(6)
+    cells = rng.choice([0.0, 1.0, 2.0, np.nan], size=(7, 41)) if kind == "bed" else rng.normal(size=(7, 41))
+    payload = pack_dosages if kind == "bed" else lambda v: v.astype("<f8").tobytes()
+    packed = spark.createDataFrame([(j, bytearray(payload(v))) for j, v in enumerate(cells)], "marker_idx long, payload binary")
+    present = rng.random(41) > 0.2
+    matrix = MarkerMatrix(packed, kind, present)
+    stats = matrix.rows.orderBy("marker_idx").collect()
+    z = (cells - np.array([[r["mu"]] for r in stats])) * np.array([[r["isd"]] for r in stats])
+    z = np.where(np.isnan(z) | ~present, 0.0, z)
+    x, u = rng.normal(size=7), rng.normal(size=41)
+    table = spark.createDataFrame([(j, float(v)) for j, v in enumerate(x)], "marker_idx long, x double")
+    for a, b in ((0, 41), (0, 8), (4, 12), (5, 6), (3, 41), (18, 39)):
+        part, own = matrix.sample_range(a, b), z[:, a:b]
+        assert part.times(x) == pytest.approx(own.T @ x / np.sqrt(b - a))
+        assert part.transpose_times(u[a:b]) == pytest.approx(own @ u[a:b] / np.sqrt(b - a))
+        assert part.gram_times(u[a:b]) == pytest.approx(own.T @ (own @ u[a:b]) / (b - a))
+        assert part.times_columns(table, ["x"])[:, 0] == pytest.approx(own.T @ x / np.sqrt(b - a))
+    assert matrix.sample_range(8, 40).sample_range(3, 9).times(x) == pytest.approx(z[:, 11:17].T @ x / np.sqrt(6))
+    for a, b in ((-1, 3), (3, 3), (0, 42)):
+        with pytest.raises(ValueError, match="no samples"):
+            matrix.sample_range(a, b)
+
+
+def _correlated(n, m, seed):
+    """Markers in blocks that are nearly the same, with a part that all share: without damping, messages diverge."""
+    rng = np.random.default_rng(seed)
+    z = np.repeat(rng.normal(size=(n, m // 10)), 10, axis=1) + 0.25 * rng.normal(size=(n, m)) + 3 * rng.normal(size=(n, 1))
+    z = (z - z.mean(axis=0)) / z.std(axis=0, ddof=1)
+    beta = np.zeros(m)
+    beta[rng.choice(m, m // 20, replace=False)] = rng.normal(0, 0.2, m // 20)
+    signal = z @ beta
+    y = signal + rng.normal(0, signal.std(), n)
+    return z / np.sqrt(n), y / y.std(ddof=1)
+
+
+def test_damping_by_held_out_samples_converges_where_a_fixed_one_fails():
+    a, y = _correlated(600, 400, 2)
+    prior, options = Prior((0.95, 0.05), (0.0, 4e-2)), {"iterations": 25, "rho": 1.0, "stop": 0.0, "learn_variances": False}
+    fixed = models.fit(Dense(a).sample_range(0, 540), y[:540], prior, models.Options(**options))
+    chosen = models.fit(Dense(a), y, prior, models.Options(hold_out=0.1, **options))
+    z = a[540:] * np.sqrt(600)
+    r2 = lambda x: 1 - ((y[540:] - z @ x) ** 2).sum() / ((y[540:] - y[540:].mean()) ** 2).sum()
+    held = [v for _, name, v in chosen.trace if name == "r2_held_out"]
+    # never worse than the last, and what the trace tells is what the estimates do
+    assert all(b >= a - 1e-12 for a, b in zip(held, held[1:]))
+    assert [r2(x) for x in chosen.estimates] == pytest.approx(held, abs=1e-9) and held[-1] > 0.4
+    assert min(r2(x) for x in fixed.estimates[-4:]) < -5
+
+
+def test_held_out_and_reduced_fits_are_the_same_on_the_cluster(spark):
+    _, _, a, matrix = _dense(spark)
+    y = a @ np.random.default_rng(9).normal(size=20)
+    y = y / y.std(ddof=1)
+    for options in (models.Options(iterations=2, hold_out=0.2), models.Options(iterations=2, reduced=True)):
+        one, two = (models.fit(matrix, y, Prior((0.8, 0.2), (0.0, 1e-2)), options, on_cluster=c) for c in (False, True))
+        got = [r["beta"] for r in two.table(spark).where("it = 2").orderBy("marker_idx").collect()]
+        assert got == pytest.approx(one.effects, rel=1e-8, abs=1e-8)
+        assert [t[2] for t in two.trace] == pytest.approx([t[2] for t in one.trace], rel=1e-6, abs=1e-9)
+    with pytest.raises(ValueError, match="only the linear"):
+        models.fit(matrix, y, Prior((0.8, 0.2), (0.0, 1e-2)), models.Options(model="robust", reduced=True))
+
+
+def test_solving_over_tenths_finds_the_truth():
+    a, signal, beta, rng = _simulated(2000, 200, 10, 0.8, 1)
+    y = signal + rng.normal(0, np.sqrt(0.2), 2000)
+    fit = models.fit(Dense(a), y / y.std(ddof=1), Prior((0.95, 0.05), (0.0, 8e-2)), models.Options(iterations=12, reduced=True))
+    assert _cosine(fit.effects, beta) > 0.9
+
+
 def test_a_denoiser_of_the_user_runs_on_the_cluster(spark):
     """The prior's own, as a user would give it, and a soft threshold, on Arrow batches of the table."""
     from tesserix.operators import markers
