@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import association, evaluate, models, simulate
+from .operators.markers import as_array
 from .operators.matrix import MarkerMatrix
 from .operators.prior import Prior, default_prior, halving_prior
 from .sources import genomics
@@ -171,14 +172,20 @@ def run_fit(spark: SparkSession, a: argparse.Namespace, out: str, study: Study,
     if truth is None and a.true_signal_files:
         truth = _vector(spark, a.true_signal_files.split(",")[0])
     fitted = models.fit(study.matrix, study.y, _prior(a, study), _options(a), study.covariates, frozen, start, r1, truth)
-    genomics.write_estimates(_marker_table(spark, fitted.estimates), f"{out}_estimates")
-    genomics.write_estimates(_marker_table(spark, fitted.r1), f"{out}_r1")
+    table = fitted.table(spark)
+    genomics.write_estimates(table.select("it", "marker_idx", "beta"), f"{out}_estimates")
+    genomics.write_estimates(table.select("it", "marker_idx", F.col("r1").alias("beta")), f"{out}_r1")
     spark.createDataFrame(fitted.trace or [(0, "none", 0.0)], "it int, name string, value double").write.mode("overwrite").parquet(f"{out}_trace")
     if fitted.covariate_effects is not None:
         rows = [(c, float(v)) for c, v in enumerate(fitted.covariate_effects)]  # a few
         spark.createDataFrame(rows, "c int, eta double").write.mode("overwrite").parquet(f"{out}_covariates")
     if a.store_pvals:
-        run_tests(spark, a, out, study, [fitted.effects], 1)
+        effects = fitted.effects
+        if effects is None:
+            # the tests take their estimates broadcast
+            last = table.where(F.col("it") == table.agg(F.max("it")).scalar()).withColumnRenamed("beta", "value")
+            effects = as_array(last, study.matrix.n_markers)
+        run_tests(spark, a, out, study, [effects], 1)
     return fitted
 
 
@@ -209,46 +216,53 @@ def _series(spark: SparkSession, a: argparse.Namespace) -> tuple[list[np.ndarray
     return [np.array(x) for x in found.values()], min(found, default=1)
 
 
-def _matched(spark: SparkSession, a: argparse.Namespace, out: str, x: np.ndarray, study: Study) -> np.ndarray:
-    """Estimates in the order of the test markers: by their ids if both annotations are given, and
-    by position otherwise.  Ids that one side lacks are reported, with effects of zero."""
-    if not (a.bim_file and a.bim_file_test):
-        if len(x) != study.matrix.n_markers:
-            raise SystemExit(f"{len(x)} estimates for {study.matrix.n_markers} test markers; give --bim-file and --bim-file-test to match ids")
-        return x
-    fitted = genomics.read_marker_ids(spark, a.bim_file).withColumnRenamed("marker_idx", "fitted_idx")
-    tested = genomics.read_marker_ids(spark, a.bim_file_test)
+def _estimates(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
+    """``it, marker_idx, beta`` to evaluate: a dataset's iterations, or one vector."""
+    if a.estimate_file.endswith((".bin", ".txt", ".csv")):
+        read = genomics.read_vector if a.estimate_file.endswith(".bin") else genomics.read_text_vector
+        return read(spark, a.estimate_file).select(F.lit(1).alias("it"), F.col("idx").alias("marker_idx"), F.col("value").alias("beta"))
+    low, high = (int(x) for x in a.test_iter_range) if a.test_iter_range else (None, None)
+    return genomics.read_estimates(spark, a.estimate_file, low, high).select("it", "marker_idx", "beta")
+
+
+def matched(estimates: DataFrame, fitted: DataFrame, tested: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A table of estimates by the test markers' numbers, joined by their ids (``marker_idx, marker_id`` of
+    both sides), and the ids that one side lacks (``marker_id, only_in``); their effects count as 0."""
+    fitted, tested = fitted.withColumnRenamed("marker_idx", "fitted_idx"), tested.select(F.col("marker_idx").alias("tested_idx"), "marker_id")
     missing = tested.join(fitted, "marker_id", "left_anti").select("marker_id", F.lit("test").alias("only_in"))
-    missing.union(fitted.join(tested, "marker_id", "left_anti").select("marker_id", F.lit("fit"))).write.mode("overwrite").parquet(f"{out}_unmatched")
-    pairs = tested.join(fitted, "marker_id").select("marker_idx", "fitted_idx").toArrow()
-    own = np.zeros((study.matrix.n_markers, x.shape[1]))
-    own[pairs["marker_idx"].to_numpy()] = x[pairs["fitted_idx"].to_numpy()]
-    return own
+    missing = missing.unionAll(fitted.join(tested, "marker_id", "left_anti").select("marker_id", F.lit("fit")))
+    pairs = tested.join(fitted, "marker_id").select("tested_idx", F.col("fitted_idx").alias("marker_idx"))
+    return estimates.join(pairs, "marker_idx").drop("marker_idx").withColumnRenamed("tested_idx", "marker_idx"), missing
 
 
-def run_evaluation(spark: SparkSession, a: argparse.Namespace, out: str, series: list[np.ndarray], first: int, effects=None) -> None:
+def run_evaluation(spark: SparkSession, a: argparse.Namespace, out: str, estimates: DataFrame, effects=None) -> None:
     """Predictions of the test samples by iteration, with R squared or the rates of the classes."""
     study = Study(spark, a, test=True)
-    z = study.matrix.times(_matched(spark, a, out, np.stack(series, axis=1), study) * np.sqrt(study.matrix.n_samples))
+    its = sorted(r["it"] for r in estimates.select("it").distinct().collect())
+    wide = estimates.groupBy("marker_idx").pivot("it", its).agg(F.first("beta"))
+    names = [f"x{k}" for k in range(len(its))]
+    wide = wide.toDF("marker_idx", *names)
+    if a.bim_file and a.bim_file_test:
+        wide, missing = matched(wide, genomics.read_marker_ids(spark, a.bim_file), genomics.read_marker_ids(spark, a.bim_file_test))
+        missing.write.mode("overwrite").parquet(f"{out}_unmatched")
+    elif (found := estimates.agg(F.max("marker_idx") + 1).first()[0]) != study.matrix.n_markers:
+        raise SystemExit(f"{found} estimates for {study.matrix.n_markers} test markers; give --bim-file and --bim-file-test to match ids")
     if effects is None and a.cov_estimate_file:
         effects = _vector(spark, a.cov_estimate_file)
-    if study.covariates is not None and effects is not None:
-        z = z + (study.covariates @ effects)[:, None]
-    n, k = z.shape
-    predicted = spark.createDataFrame(
-        pa.table({
-            "it": np.repeat(np.arange(first, first + k, dtype=np.int32), n), "sample_idx": np.tile(np.arange(n), k),
-            "y": pa.array(np.tile(study.y, k), from_pandas=True), "z": z.T.ravel(),
-        })
+    offset = study.covariates @ effects if study.covariates is not None and effects is not None else np.zeros(len(study.y))
+    samples = spark.createDataFrame(pa.table({"sample_idx": np.arange(len(study.y)), "y": pa.array(study.y, from_pandas=True), "offset": offset}))
+    root = float(np.sqrt(study.matrix.n_samples))
+    by_it = F.posexplode("z").alias("k", "value")
+    predicted = study.matrix.scores(wide, names).select("sample_idx", by_it).join(samples, "sample_idx").select(
+        F.element_at(F.array(*map(F.lit, its)), F.col("k") + 1).alias("it"), "sample_idx", "y", (F.col("value") * root + F.col("offset")).alias("z")
     )
     predicted.write.mode("overwrite").partitionBy("it").parquet(f"{out}_predict")
     if a.run_mode.startswith("predict"):
         return
+    predicted = spark.read.parquet(f"{out}_predict")
     if a.model == "bin_class":
-        known = predicted.where("y IS NOT NULL")
-        for it in range(first, first + len(series)):
-            rates = evaluate.confusion_rates(known.where(F.col("it") == it).select("y", (F.col("z") >= 0).cast("int").alias("yhat")))
-            rates.withColumn("it", F.lit(it)).write.mode("append").parquet(f"{out}_rates")
+        known = predicted.where("y IS NOT NULL").select("it", "y", (F.col("z") >= 0).cast("int").alias("yhat"))
+        evaluate.confusion_rates(known, ("it",)).write.mode("overwrite").parquet(f"{out}_rates")
     else:
         r2 = evaluate.test_r2(predicted, ("it",))
         r2.write.mode("overwrite").parquet(f"{out}_r2")
@@ -267,13 +281,15 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
             study.y = study.y if a.model == "bin_class" else study.y / study.y.std(ddof=1)
         fitted = run_fit(spark, a, out, study, truth)
         if a.run_mode == "both":
-            run_evaluation(spark, a, out, fitted.estimates, 1, fitted.covariate_effects)
+            run_evaluation(spark, a, out, fitted.table(spark), fitted.covariate_effects)
     elif a.run_mode == "pvals-calc":
         series, first = _series(spark, a)
         run_tests(spark, a, out, Study(spark, a), series, first)
     else:
-        series, first = _series(spark, a)
-        run_evaluation(spark, a, out, series[-1:] if a.run_mode == "predict_single" else series, first)
+        estimates = _estimates(spark, a)
+        if a.run_mode == "predict_single":
+            estimates = estimates.where(F.col("it") == estimates.agg(F.max("it")).scalar())
+        run_evaluation(spark, a, out, estimates)
 
 
 if __name__ == "__main__":

@@ -31,10 +31,10 @@ def classified(scores: DataFrame) -> DataFrame:
     return scores.select("sample_idx", (F.col("value") >= 0).cast("int").alias("yhat"))
 
 
-def confusion_rates(predicted: DataFrame) -> DataFrame:
+def confusion_rates(predicted: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """``P, N, TPR, FPR`` of ``y, yhat`` rows; a rate is null without rows of its class."""
     y, hat = F.col("y"), F.col("yhat")
-    return predicted.agg(
+    return predicted.groupBy(*keys).agg(
         F.count_if(y == 1).alias("P"), F.count_if(y == 0).alias("N"),
         F.try_divide(F.count_if((y == 1) & (hat == 1)), F.count_if(y == 1)).alias("TPR"),
         F.try_divide(F.count_if((y == 0) & (hat == 1)), F.count_if(y == 0)).alias("FPR"),

@@ -209,6 +209,16 @@ class MarkerMatrix:
         """Sums of sample vectors by a key: ``function`` makes (key, samples by ``width``) pairs of
         a slice, its standardised cells and ``shared``.  Few keys.  ``rows``: the matrix's, joined
         with other columns."""
+        out: dict[int, np.ndarray] = {}
+        for row in self._segments(function, shared, rows).collect():
+            part = np.frombuffer(row["value"]).reshape(-1, width)
+            own = out.setdefault(row["key"], np.zeros((self.n_samples, width)))
+            own[row["segment"] * SEGMENT : row["segment"] * SEGMENT + len(part)] = part
+        shared.destroy()
+        return out
+
+    def _segments(self, function, shared, rows: DataFrame | None) -> DataFrame:
+        """The sums of :meth:`summed`, a row for each key and segment of samples."""
         kind, n, first = self.kind, self.n_samples, self.first
 
         def run(batches):
@@ -232,13 +242,27 @@ class MarkerMatrix:
         fan = math.isqrt(max(1, self.n_partitions - 1)) + 1
         if fan > 4:
             partial = partial.groupBy("key", "segment", F.pmod("task", F.lit(fan)).alias("lot")).applyInArrow(lambda t: add(t), schema)
-        out: dict[int, np.ndarray] = {}
-        for row in partial.groupBy("key", "segment").applyInArrow(lambda t: add(t), schema).collect():
-            part = np.frombuffer(row["value"]).reshape(-1, width)
-            own = out.setdefault(row["key"], np.zeros((n, width)))
-            own[row["segment"] * SEGMENT : row["segment"] * SEGMENT + len(part)] = part
-        shared.destroy()
-        return out
+        return partial.groupBy("key", "segment").applyInArrow(lambda t: add(t), schema)
+
+    def scores(self, table: DataFrame, names) -> DataFrame:
+        """``sample_idx, z``: A x / sqrt(N) of the columns ``names`` of a table by ``marker_idx``, as an
+        array a sample; markers that the table lacks count as 0.  Nothing reaches the driver."""
+        self.partition_by_marker()
+        names, n = list(names), self.n_samples
+        width, rows = len(names), self.rows.join(table.select("marker_idx", *names), "marker_idx", "left")
+
+        def product(part, z, _):
+            x = np.stack([part.column(c).fill_null(0.0).to_numpy(zero_copy_only=False) for c in names], axis=1)
+            return [(0, z.T @ x / np.sqrt(n))]
+
+        def spread(batches):
+            for batch in batches:
+                for segment, value in zip(batch.column("segment").to_pylist(), batch.column("value").to_pylist(), strict=True):
+                    z = np.frombuffer(value)
+                    index = np.arange(len(z) // width) + segment * SEGMENT
+                    yield pa.RecordBatch.from_arrays([pa.array(index), pa.FixedSizeListArray.from_arrays(z, width).cast(pa.list_(pa.float64()))], ["sample_idx", "z"])
+
+        return self._segments(product, self._shared(np.zeros(1)), rows).mapInArrow(spread, "sample_idx long, z array<double>")
 
     def unpersist(self) -> None:
         self.rows.unpersist()

@@ -11,6 +11,7 @@ Effects are reported on the scale of standardised cells: the loop's x over sqrt(
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 from typing import Protocol
 
@@ -160,8 +161,8 @@ def _against_truth(out: Fit, matrix: MarkerMatrix, truth) -> list[tuple[int, str
     else:
         found = [(it, float(x @ truth), float(x @ x), float(truth @ truth), float(((x - truth) ** 2).sum())) for it, x in enumerate(out.estimates, start=1)]
     for it, xt, xx, tt, e in found:
-        size = max(np.sqrt(tt), 1e-300)
-        rows += [(it, "cosine_to_truth", xt / max(np.sqrt(xx) * size, 1e-300)), (it, "l2_error_to_truth", np.sqrt(e) / size)]
+        size = max(math.sqrt(tt), 1e-300)
+        rows += [(it, "cosine_to_truth", xt / max(math.sqrt(xx) * size, 1e-300)), (it, "l2_error_to_truth", math.sqrt(e) / size)]
     return rows
 
 

@@ -13,7 +13,7 @@ from ..operators.matrix import MarkerMatrix
 from ..operators.prior import Prior
 from ..sources import genomics
 from . import workloads as w
-from .association_queries import DENSE, _ATY, _r, rounded
+from .association_queries import DENSE, _ATY, _DOSAGE, _r, packed_dosages, rounded
 from .session import shared_folder
 
 TAU, GAMMA = 1.5, 0.8
@@ -116,8 +116,13 @@ def probit_covariate_fit(spark, d):
     return spark.createDataFrame([(k, float(v)) for k, v in enumerate(eta)], "c int, eta double")
 
 
+def parts(spark, d) -> int:
+    """The markers of simulations: as many as there are parts."""
+    return w.table(spark, d, "part").count()
+
+
 def simulate_mixture(spark, d):
-    return simulate.mixture(spark, 10_000, Prior((0.7, 0.2, 0.1), (0.0, 0.5, 4.0)))
+    return rounded(simulate.mixture(spark, parts(spark, d), Prior((0.7, 0.2, 0.1), (0.0, 0.5, 4.0))))
 
 
 def simulate_linear(spark, d):
@@ -128,34 +133,63 @@ def simulate_linear(spark, d):
     return simulate.linear_phenotype(op.a_x(cells, op.marker_stats(cells, pheno), effects, n), 0.5)
 
 
-def _written(spark: SparkSession, content: str | bytes) -> str:
-    """The path of a new file with the content, in the folder that all machines share."""
+def new_file(spark: SparkSession) -> str:
+    """The path of a new file or folder in the folder that all machines share."""
     path = f"{shared_folder(spark)}/source-{uuid.uuid4().hex}"
     files, name = genomics.opened(path)
     files.create_dir(name.rpartition("/")[0], recursive=True)
-    with files.open_output_stream(name, compression=None) as f:
-        f.write(content if isinstance(content, bytes) else content.encode())
+    return path
+
+
+def written_lines(spark: SparkSession, table: DataFrame, order: str, line) -> str:
+    """A folder of text files with a line a row of ``table`` in order."""
+    path = new_file(spark)
+    table.orderBy(order).select(line.alias("value")).write.text(path)
     return path
 
 
 def scan_bed(spark, d):
-    return op.decode(genomics.read_bed(spark, _written(spark, b"\x6c\x1b\x01\xe4\x0e\x00\x00\x2b\x0b"), 6), 6)
+    """Calls of the dosages written as a packed file, of which markers 8 to 23 are read."""
+    cells, path = w.dosage(spark, d), new_file(spark)
+    n = cells.agg(F.max("sample_idx") + 1).first()[0]
+    genomics.write_matrix(packed_dosages(cells), "bed", path)
+    return op.decode(genomics.read_bed(spark, path, n).where(F.col("marker_idx").between(8, 23)), n)
 
 
 def scan_phen(spark, d):
-    return genomics.read_phenotypes(spark, _written(spark, "f1 i1 1\nf2 i2 2.5\nf3 i3 NA\nf4 i4 4\n"))
+    table = w.dosage_phenotype(spark, d)
+    line = F.concat_ws(" ", F.concat(F.lit("f"), "sample_idx"), F.concat(F.lit("i"), "sample_idx"), F.coalesce(F.col("y").cast("string"), F.lit("NA")))
+    return genomics.read_phenotypes(spark, written_lines(spark, table, "sample_idx", line))
+
+
+def annotation(spark, d) -> str:
+    """An annotation file with a marker for each part, on chromosomes 1 to 22, X and MT."""
+    key = F.col("p_partkey")
+    chrom = F.when(key % 29 == 0, "MT").when(key % 23 == 0, "X").otherwise((1 + key % 22).cast("string"))
+    line = F.concat_ws(" ", chrom, F.concat(F.lit("rs"), key), F.lit("0"), key.cast("string"), F.lit("A G"))
+    return written_lines(spark, w.table(spark, d, "part"), "p_partkey", line)
 
 
 def scan_bim(spark, d):
-    return genomics.read_chromosomes(spark, _written(spark, "1 rs1 0 10 A G\n22 rs2 0 20 C T\nX rs3 0 30 A C\nMT rs4 0 1 A T\n"))
+    return genomics.read_chromosomes(spark, annotation(spark, d))
+
+
+def covariate_file(spark, d) -> str:
+    """A line of an intercept, the length and whether it is English for each labelled document."""
+    docs = w.table(spark, d, "documents").join(w.table(spark, d, "labels"), "doc_id")
+    line = F.concat_ws("\t", F.lit("1"), F.col("n_chars").cast("string"), (F.col("lang") == "en").cast("int").cast("string"))
+    return written_lines(spark, docs, "doc_id", line)
 
 
 def scan_cov(spark, d):
-    return genomics.read_covariates(spark, _written(spark, "1 0.5 2\n1 -0.25 3\n"), 3)
+    return genomics.read_covariates(spark, covariate_file(spark, d), 3)
 
 
 def scan_f64(spark, d):
-    return genomics.read_vector(spark, _written(spark, np.array([1.5, -2.0, 3.25]).astype("<f8").tobytes()))
+    """Values 100 to 299 of a binary vector."""
+    path = new_file(spark)
+    genomics.write_vector(w.dense(spark, d).where("marker_idx = 0").select(F.col("sample_idx").alias("idx"), "value"), path)
+    return genomics.read_vector(spark, path, 100, 200)
 
 
 # -- oracles: the operator as a dense matrix q of markers by markers, and two rounds spelt out
@@ -176,6 +210,25 @@ def _cg_sql(b: str) -> str:
 , sol AS (SELECT m, x + step * p AS mu FROM p1, s1)"""
 
 
+def _uniform(index: str, stream: int) -> str:
+    return f"((CAST('0x' || substr(md5({index} || ':1:{stream}'), 1, 13) AS BIGINT) + 0.5) / 4503599627370496)"
+
+
+def normal_sql(index: str, stream: int = 0) -> str:
+    return f"(sqrt(-2 * ln({_uniform(index, 2 * stream + 1)})) * cos(2 * pi() * {_uniform(index, 2 * stream + 2)}))"
+
+
+#: A number for each part, from 0 on, and how many there are.
+PARTS = "(SELECT row_number() OVER () - 1 AS i, count(*) OVER () AS mt FROM part)"
+
+
+def mixture_sql(shares: list[str], variances: list[str]) -> str:
+    """Draws of a mixture; shares and variances may use ``mt``."""
+    upto = [" + ".join(shares[: k + 1]) for k in range(len(shares))]
+    cases = " ".join(f"WHEN u <= {p} THEN sqrt({v})" for p, v in zip(upto, variances, strict=True))
+    return f"SELECT i AS idx, {_r(f'CASE {cases} ELSE 0 END * e')} AS value FROM (SELECT i, mt, {_uniform('i', 0)} AS u, {normal_sql('i')} AS e FROM {PARTS})"
+
+
 _PROBE = "SELECT m, (1 - 2 * ((m * (m + 1) // 2) % 2)) / sqrt(mt) AS b FROM st, mm"
 
 SQL = {
@@ -191,12 +244,13 @@ SQL = {
 , ap AS (SELECT s, 1.5 * sum(a * u) AS ap FROM a JOIN vv USING (m) GROUP BY s)
 , st0 AS (SELECT sum(b * p) / sum(p * (ap + 0.8 * p)) AS step FROM p0 JOIN ap USING (s))
 """ + f" SELECT m AS marker_idx, {_r('r / 10 + 1.5 * step * u')} AS x2 FROM vv JOIN r USING (m), st0",
-    "scan_bed": """SELECT CAST(m AS BIGINT) AS marker_idx, CAST(i - 1 AS BIGINT) AS sample_idx, CAST(d[i] AS INTEGER) AS dosage
-        FROM (VALUES (0, [2, NULL, 1, 0, 1, 0]), (1, [2, 2, 2, 2, 2, 2]), (2, [0, 1, 1, 2, 0, 1])) t(m, d), (SELECT unnest(range(1, 7)) AS i)""",
-    "scan_phen": """SELECT CAST(i AS BIGINT) AS sample_idx, 'f' || (i + 1) AS fid, 'i' || (i + 1) AS iid, CAST(y AS DOUBLE) AS y
-        FROM (VALUES (0, 1.0), (1, 2.5), (2, NULL), (3, 4.0)) t(i, y)""",
-    "scan_bim": """SELECT CAST(i AS BIGINT) AS marker_idx, CAST(c AS INTEGER) AS chrom FROM (VALUES (0, 1), (1, 22), (2, 23), (3, 0)) t(i, c)""",
-    "scan_f64": "SELECT CAST(unnest([0, 1, 2]) AS BIGINT) AS idx, CAST(unnest([1.5, -2.0, 3.25]) AS DOUBLE) AS value",
+    "simulate_mixture": mixture_sql(["0.7", "0.2", "0.1"], ["0.0", "0.5", "4.0"]),
+    "scan_bed": "WITH " + _DOSAGE + " SELECT m AS marker_idx, s AS sample_idx, CAST(v AS INTEGER) AS dosage FROM w2 WHERE m BETWEEN 8 AND 23",
+    "scan_phen": "WITH " + _DOSAGE + " SELECT row_number() OVER (ORDER BY s) - 1 AS sample_idx, 'f' || s AS fid, 'i' || s AS iid, y FROM y2",
+    "scan_bim": """SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS marker_idx,
+        CAST(CASE WHEN p_partkey % 29 = 0 THEN 0 WHEN p_partkey % 23 = 0 THEN 23 ELSE 1 + p_partkey % 22 END AS INTEGER) AS chrom FROM part""",
+    "scan_f64": """SELECT i - 100 AS idx, value FROM (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS i, CAST(embedding[1] AS DOUBLE) AS value FROM embeddings)
+        WHERE i BETWEEN 100 AND 299""",
 }
 
 QUERIES = {

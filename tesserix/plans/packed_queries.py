@@ -14,8 +14,7 @@ from ..operators.prior import Prior
 from ..sources import genomics
 from . import association_queries as base, workloads as w
 from .association_queries import _r, rounded
-from .model_queries import _by_marker, _matrix, _written
-from .session import shared_folder
+from .model_queries import PARTS, _by_marker, _matrix, annotation, covariate_file, mixture_sql, new_file, normal_sql, parts, written_lines
 
 
 def _by_sample(spark: SparkSession, ids: list[int], values: np.ndarray) -> DataFrame:
@@ -65,19 +64,23 @@ def unpack_calls(spark, d):
 
 
 def simulate_sparse(spark, d):
-    return rounded(simulate.sparse_effects(spark, 5_000, 500, 0.5))
+    """A tenth of the markers has effects."""
+    m = parts(spark, d)
+    return rounded(simulate.sparse_effects(spark, m, m // 10, 0.5))
 
 
 def simulate_heavy_tails(spark, d):
-    return rounded(simulate.heavy_tailed_effects(spark, 5_000, 500, 0.5))
+    m = parts(spark, d)
+    return rounded(simulate.heavy_tailed_effects(spark, m, m // 10, 0.5))
 
 
 def simulate_rescaled(spark, d):
-    return rounded(simulate.rescaled_effects(spark, 5_000, Prior((0.8, 0.2), (0.0, 3.0)), 0.5))
+    return rounded(simulate.rescaled_effects(spark, parts(spark, d), Prior((0.8, 0.2), (0.0, 3.0)), 0.5))
 
 
 def simulate_dense_cells(spark, d):
-    return rounded(simulate.dense_cells(spark, 100, 20))
+    """Cells of 20 markers, a sample for each part."""
+    return rounded(simulate.dense_cells(spark, parts(spark, d), 20))
 
 
 def simulate_phenotype(spark, d):
@@ -92,21 +95,27 @@ def signal_variances(spark, d):
 
 
 def scan_dense(spark, d):
-    values = np.array([[1.5, -2.0], [0.25, 3.0], [4.0, -0.125]])
-    return unpacked(genomics.read_dense(spark, _written(spark, values.astype("<f8").tobytes()), 2), "dense", 2)
+    """Cells written as a dense file, of which samples 40 to 119 of the first 32 markers are read."""
+    matrix, _ = _matrix(spark, d)
+    path, ids = new_file(spark), matrix.sample_ids
+    genomics.write_matrix(matrix.rows, "dense", path)
+    return unpacked(genomics.read_dense(spark, path, len(ids), (40, 120)).where("marker_idx < 32"), "dense", 80)
 
 
 def scan_text_vector(spark, d):
-    return genomics.read_text_vector(spark, _written(spark, "1.5 -2\n\n3.25\n4\n"), 1, 2)
+    """Values 1 to 200 of a vector written as text, three in a line."""
+    lines = _component(spark, d).groupBy(F.floor(F.col("idx") / 3).alias("at")).agg(F.sort_array(F.collect_list(F.struct("idx", "value"))).alias("v"))
+    path = written_lines(spark, lines, "at", F.array_join(F.transform("v", lambda x: x["value"].cast("string")), " "))
+    return genomics.read_text_vector(spark, path, 1, 200)
 
 
 def scan_covariate_cells(spark, d):
-    table = genomics.read_covariates(spark, _written(spark, "1 0.5 2\n1 -0.25 3\n"), 3)
+    table = genomics.read_covariates(spark, covariate_file(spark, d), 3)
     return table.select("sample_idx", F.posexplode("z").alias("c", "value"))
 
 
 def scan_marker_ids(spark, d):
-    return genomics.read_marker_ids(spark, _written(spark, "1 rs1 0 10 A G\n22 rs2 0 20 C T\n"))
+    return genomics.read_marker_ids(spark, annotation(spark, d))
 
 
 def _component(spark, d) -> DataFrame:
@@ -115,39 +124,27 @@ def _component(spark, d) -> DataFrame:
 
 def sink_vector(spark, d):
     """A vector written as a binary file and read back."""
-    path = _written(spark, b"")
+    path = new_file(spark)
     genomics.write_vector(_component(spark, d), path)
     return genomics.read_vector(spark, path)
 
 
 def sink_text_vector(spark, d):
     """A vector written as text and read back."""
-    path = f"{shared_folder(spark)}/source-{uuid.uuid4().hex}"
+    path = new_file(spark)
     genomics.write_text_vector(_component(spark, d), path)
     return genomics.read_text_vector(spark, path)
 
 
 def estimates_of_iterations(spark, d):
     """Estimates written by iteration, of which the last two are read."""
-    path = f"{shared_folder(spark)}/source-{uuid.uuid4().hex}"
+    path = new_file(spark)
     beta = _component(spark, d).select(F.explode(F.sequence(F.lit(1), F.lit(3))).alias("it"), F.col("idx").alias("marker_idx"), "value")
     genomics.write_estimates(beta.select("it", "marker_idx", (F.col("value") * F.col("it")).alias("beta")), path)
     return rounded(genomics.read_estimates(spark, path, first=2).select(F.col("it").cast("int").alias("it"), "marker_idx", "beta"))
 
 
-def _uniform(index: str, stream: int) -> str:
-    return f"((CAST('0x' || substr(md5({index} || ':1:{stream}'), 1, 13) AS BIGINT) + 0.5) / 4503599627370496)"
-
-
-def _normal(index: str, stream: int = 0) -> str:
-    return f"(sqrt(-2 * ln({_uniform(index, 2 * stream + 1)})) * cos(2 * pi() * {_uniform(index, 2 * stream + 2)}))"
-
-
-def _mixture(n: int, shares: list[float], variances: list[float]) -> str:
-    cases = " ".join(f"WHEN u <= {p!r} THEN sqrt({v!r})" for p, v in zip(np.cumsum(shares).tolist(), variances, strict=True))
-    return f"SELECT i AS idx, {_r(f'CASE {cases} ELSE 0 END * e')} AS value FROM (SELECT i, {_uniform('i', 0)} AS u, {_normal('i')} AS e FROM range({n}) t(i))"
-
-
+_CAUSAL = "CAST(mt // 10 AS DOUBLE)"
 _FIRST = "vec_id AS idx, CAST(embedding[1] AS DOUBLE) AS value FROM embeddings"
 
 SQL = {
@@ -157,19 +154,22 @@ SQL = {
     "packed_loo_ttest": base.SQL["loo_ttest"],
     "packed_loco_ttest": base.SQL["loco_ttest"],
     "unpack_calls": "WITH " + base._DOSAGE + " SELECT m AS marker_idx, s AS sample_idx, v AS value FROM w2",
-    "simulate_sparse": _mixture(5_000, [0.9, 0.1], [0.0, 0.001]),
-    "simulate_heavy_tails": _mixture(5_000, [0.9, 0.1 / 2, 0.1 / 3, 0.1 / 6], [0.0, *(k * 6 * 0.5 / 61_500 for k in (1, 10, 100))]),
-    "simulate_rescaled": _mixture(5_000, [0.8, 0.2], [0.0, 0.0005]),
-    "simulate_dense_cells": f"SELECT i % 100 AS sample_idx, i // 100 AS marker_idx, {_r(_normal('i', 3))} AS value FROM range(2000) t(i)",
-    "simulate_phenotype": f"SELECT idx AS sample_idx, {_r(f'value + sqrt(0.5) * {_normal("idx", 7)}')} AS y FROM (SELECT {_FIRST})",
+    "simulate_sparse": mixture_sql([f"1 - {_CAUSAL} / mt", f"{_CAUSAL} / mt"], ["0.0", f"0.5 / {_CAUSAL}"]),
+    "simulate_heavy_tails": mixture_sql(
+        [f"1 - {_CAUSAL} / mt", *(f"{_CAUSAL} / mt / {k}" for k in (2, 3, 6))], ["0.0", *(f"{k} * 6 * 0.5 / (123 * {_CAUSAL})" for k in (1, 10, 100))]
+    ),
+    "simulate_rescaled": mixture_sql(["0.8", "0.2"], ["0.0", "3.0 * 0.5 / (mt * 0.2 * 3.0)"]),
+    "simulate_dense_cells": f"""SELECT CAST(k % mt AS BIGINT) AS sample_idx, CAST(k // mt AS BIGINT) AS marker_idx, {_r(normal_sql('k', 3))} AS value
+        FROM (SELECT i + mt * j AS k, mt FROM {PARTS}, (SELECT unnest(range(20)) AS j))""",
+    "simulate_phenotype": f"SELECT idx AS sample_idx, {_r(f'value + sqrt(0.5) * {normal_sql("idx", 7)}')} AS y FROM (SELECT {_FIRST})",
     "signal_variances": f"""SELECT {_r("var_samp(v)")} AS var_signal, {_r("var_samp(y)")} AS var_y, {_r("1 - sum(power(y - v, 2)) / (var_samp(y) * count(*))")} AS r2
         FROM (SELECT CAST(embedding[1] AS DOUBLE) AS v, CAST(label AS DOUBLE) AS y FROM embeddings)""",
-    "scan_dense": """SELECT CAST(m AS BIGINT) AS marker_idx, CAST(s AS BIGINT) AS sample_idx, CAST(v AS DOUBLE) AS value
-        FROM (VALUES (0, 0, 1.5), (0, 1, -2.0), (1, 0, 0.25), (1, 1, 3.0), (2, 0, 4.0), (2, 1, -0.125)) t(m, s, v)""",
-    "scan_text_vector": "SELECT CAST(i AS BIGINT) AS idx, CAST(v AS DOUBLE) AS value FROM (VALUES (0, -2.0), (1, 3.25)) t(i, v)",
-    "scan_covariate_cells": """SELECT CAST(s AS BIGINT) AS sample_idx, CAST(c AS INTEGER) AS c, CAST(v AS DOUBLE) AS value
-        FROM (VALUES (0, 0, 1.0), (0, 1, 0.5), (0, 2, 2.0), (1, 0, 1.0), (1, 1, -0.25), (1, 2, 3.0)) t(s, c, v)""",
-    "scan_marker_ids": "SELECT CAST(i AS BIGINT) AS marker_idx, 'rs' || (i + 1) AS marker_id FROM (VALUES (0), (1)) t(i)",
+    "scan_dense": "WITH " + base._CELLS + """, i AS (SELECT vec_id AS s, row_number() OVER (ORDER BY vec_id) - 1 AS pos FROM embeddings)
+        SELECT m AS marker_idx, pos - 40 AS sample_idx, v AS value FROM w1 JOIN i USING (s) WHERE m < 32 AND pos BETWEEN 40 AND 119""",
+    "scan_text_vector": f"SELECT idx - 1 AS idx, value FROM (SELECT {_FIRST}) WHERE idx BETWEEN 1 AND 200",
+    "scan_covariate_cells": """SELECT s AS sample_idx, CAST(c AS INTEGER) AS c, CAST([1, n_chars, CASE WHEN lang = 'en' THEN 1 ELSE 0 END][c + 1] AS DOUBLE) AS value
+        FROM (SELECT row_number() OVER (ORDER BY d.doc_id) - 1 AS s, n_chars, lang FROM documents d JOIN labels l ON d.doc_id = l.doc_id), (SELECT unnest(range(3)) AS c)""",
+    "scan_marker_ids": "SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS marker_idx, 'rs' || p_partkey AS marker_id FROM part",
     "sink_vector": f"SELECT {_FIRST}",
     "sink_text_vector": f"SELECT {_FIRST}",
     "estimates_of_iterations": f"""SELECT CAST(it AS INTEGER) AS it, idx AS marker_idx, {_r("value * it")} AS beta

@@ -2,6 +2,8 @@
 
 Binary matrices and vectors are Python data sources, planned as ranges of markers (or values) so
 that each task reads its own stretch of the file; text formats go through Spark's text reader.
+Filters on the number of a marker (or value) are pushed down and decide which ranges are planned, and of
+matrices a range of samples can be asked for: only bytes that hold wanted rows and samples are read.
 
 ==========  ================================================================  =====================
 format      layout                                                            rows
@@ -23,10 +25,24 @@ import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import (
+    DataSource,
+    DataSourceArrowWriter,
+    DataSourceReader,
+    EqualTo,
+    GreaterThan,
+    GreaterThanOrEqual,
+    In,
+    InputPartition,
+    LessThan,
+    LessThanOrEqual,
+    WriterCommitMessage,
+)
 
 from ..functions.scalars import chromosome_number
 
+#: What a file of two-bit calls begins with (fixed value of the format): its mark, and markers by samples.
+BED_HEADER = b"\x6c\x1b\x01"
 #: Bytes of a file that one task reads.
 RANGE_BYTES = 32 << 20
 _BATCH_BYTES = 8 << 20
@@ -43,11 +59,42 @@ class _Range(InputPartition):
         self.start, self.end = start, end
 
 
+#: A stretch of each record is read by itself if what lies between two of them is as long as this.
+_GAP_BYTES = 64 << 10
+
+
 class _Records(DataSourceReader):
-    """Records of one size after a header."""
+    """Records of one size after a header; ``part``: the bytes of each that are wanted."""
 
-    def __init__(self, path: str, header: int, size: int, binary: bool):
+    def __init__(self, path: str, header: int, size: int, binary: bool, part: tuple[int, int] | None = None):
         self.path, self.header, self.size, self.binary = path, header, size, binary
+        self.part = part or (0, size)
+        self.low, self.high, self.listed = 0, None, None
+
+    def pushFilters(self, filters):
+        """Takes over comparisons of the record's number with integers."""
+        column = "marker_idx" if self.binary else "idx"
+        for f in filters:
+            mine = getattr(f, "attribute", None) == (column,)
+            if mine and isinstance(f, In) and all(isinstance(v, int) for v in f.value):
+                self.listed = set(f.value) if self.listed is None else self.listed & set(f.value)
+            elif mine and isinstance(f, (EqualTo, GreaterThan, GreaterThanOrEqual, LessThan, LessThanOrEqual)) and isinstance(f.value, int):
+                if not isinstance(f, (LessThan, LessThanOrEqual)):
+                    self.low = max(self.low, f.value + isinstance(f, GreaterThan))
+                if not isinstance(f, (GreaterThan, GreaterThanOrEqual)):
+                    end = f.value + (not isinstance(f, LessThan))
+                    self.high = end if self.high is None else min(self.high, end)
+            else:
+                yield f
+
+    def _ranges(self, count: int) -> list[tuple[int, int]]:
+        """Runs of wanted records among ``count``."""
+        low, high = max(0, self.low), count if self.high is None else min(count, self.high)
+        if self.listed is None:
+            return [(low, high)] if low < high else []
+        own = np.array(sorted(k for k in self.listed if low <= k < high), np.int64)
+        cuts = np.flatnonzero(np.diff(own) != 1) + 1
+        return [(int(run[0]), int(run[-1]) + 1) for run in np.split(own, cuts) if len(run)]
 
     def partitions(self):
         files, name = opened(self.path)
@@ -55,7 +102,16 @@ class _Records(DataSourceReader):
         if whole < 0 or whole % self.size:
             raise ValueError(f"{self.path}: {whole} bytes after the header are no whole number of records of {self.size}")
         step = max(1, RANGE_BYTES // self.size)
-        return [_Range(a, min(whole // self.size, a + step)) for a in range(0, whole // self.size, step)] or [_Range(0, 0)]
+        return [_Range(k, min(b, k + step)) for a, b in self._ranges(whole // self.size) for k in range(a, b, step)] or [_Range(0, 0)]
+
+    def _read(self, f, a: int, b: int) -> list[bytes]:
+        """The wanted part of each of the records from ``a`` on."""
+        first, last = self.part
+        at = lambda k: self.header + k * self.size
+        if self.size - (last - first) >= _GAP_BYTES:
+            return [f.read_at(last - first, at(k) + first) for k in range(a, b)]
+        data = f.read_at((b - 1 - a) * self.size + last - first, at(a) + first)
+        return [data[k * self.size : k * self.size + last - first] for k in range(b - a)]
 
     def read(self, partition):
         files, name = opened(self.path)
@@ -63,17 +119,17 @@ class _Records(DataSourceReader):
         with files.open_input_file(name) as f:
             for a in range(partition.start, partition.end, step):
                 b = min(partition.end, a + step)
-                data = f.read_at((b - a) * self.size, self.header + a * self.size)
                 index = pa.array(np.arange(a, b))
                 if self.binary:
-                    payload = pa.array([data[k : k + self.size] for k in range(0, len(data), self.size)], pa.binary())
-                    yield pa.RecordBatch.from_arrays([index, payload], ["marker_idx", "payload"])
+                    yield pa.RecordBatch.from_arrays([index, pa.array(self._read(f, a, b), pa.binary())], ["marker_idx", "payload"])
                 else:
+                    data = f.read_at((b - a) * self.size, self.header + a * self.size)
                     yield pa.RecordBatch.from_arrays([index, pa.array(np.frombuffer(data, "<f8"))], ["idx", "value"])
 
 
 class BedSource(DataSource):
-    """Options: ``path`` and ``samples``."""
+    """Options: ``path`` and ``samples``; ``first`` and ``last``, multiples of four but at the end, for a
+    range of samples."""
 
     @classmethod
     def name(cls) -> str:
@@ -83,11 +139,16 @@ class BedSource(DataSource):
         return "marker_idx long, payload binary"
 
     def reader(self, schema) -> _Records:
-        return _Records(self.options["path"], 3, -(-int(self.options["samples"]) // 4), True)
+        size = -(-int(self.options["samples"]) // 4)
+        first, last = int(self.options.get("first", 0)), int(self.options.get("last", self.options["samples"]))
+        return _Records(self.options["path"], len(BED_HEADER), size, True, (first // 4, -(-last // 4)))
+
+    def writer(self, schema, overwrite: bool) -> "_Writer":
+        return _Writer(self.options["path"], BED_HEADER)
 
 
 class DenseSource(DataSource):
-    """Options: ``path`` and ``samples``."""
+    """Options: ``path`` and ``samples``; ``first`` and ``last`` for a range of samples."""
 
     @classmethod
     def name(cls) -> str:
@@ -97,7 +158,11 @@ class DenseSource(DataSource):
         return "marker_idx long, payload binary"
 
     def reader(self, schema) -> _Records:
-        return _Records(self.options["path"], 0, 8 * int(self.options["samples"]), True)
+        first, last = int(self.options.get("first", 0)), int(self.options.get("last", self.options["samples"]))
+        return _Records(self.options["path"], 0, 8 * int(self.options["samples"]), True, (8 * first, 8 * last))
+
+    def writer(self, schema, overwrite: bool) -> "_Writer":
+        return _Writer(self.options["path"])
 
 
 class _Written(WriterCommitMessage):
@@ -105,11 +170,12 @@ class _Written(WriterCommitMessage):
         self.first, self.name = first, name
 
 
-class _VectorWriter(DataSourceArrowWriter):
-    """Tasks write stretches of a vector that is sorted by index; committing joins them."""
+class _Writer(DataSourceArrowWriter):
+    """Tasks write stretches of rows that are sorted by their number, payloads or doubles; committing
+    joins them after the header."""
 
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, path: str, header: bytes = b""):
+        self.path, self.header = path, header
 
     def write(self, iterator):
         files, name = opened(self.path)
@@ -119,13 +185,16 @@ class _VectorWriter(DataSourceArrowWriter):
             for batch in iterator:
                 if batch.num_rows:
                     first = batch.column(0)[0].as_py() if first is None else first
-                    out.write(batch.column(1).to_numpy(zero_copy_only=False).astype("<f8").tobytes())
+                    values = batch.column(1)
+                    packed = pa.types.is_binary(values.type)
+                    out.write(b"".join(values.to_pylist()) if packed else values.to_numpy(zero_copy_only=False).astype("<f8").tobytes())
         return _Written(-1 if first is None else first, part)
 
     def commit(self, messages):
         files, name = opened(self.path)
         parts = sorted((m for m in messages if m is not None), key=lambda m: m.first)
         with files.open_output_stream(name, compression=None) as out:
+            out.write(self.header)
             for m in parts:
                 with files.open_input_stream(m.name, compression=None) as f:
                     while data := f.read(1 << 22):
@@ -152,27 +221,48 @@ class VectorSource(DataSource):
     def reader(self, schema) -> _Records:
         return _Records(self.options["path"], 0, 8, False)
 
-    def writer(self, schema, overwrite: bool) -> _VectorWriter:
-        return _VectorWriter(self.options["path"])
+    def writer(self, schema, overwrite: bool) -> _Writer:
+        return _Writer(self.options["path"])
 
 
 def register(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     for source in (BedSource, DenseSource, VectorSource):
         spark.dataSource.register(source)
 
 
-def read_bed(spark: SparkSession, path: str, n_samples: int) -> DataFrame:
+def _matrix(spark: SparkSession, kind: str, path: str, n_samples: int, samples: tuple[int, int] | None) -> DataFrame:
     register(spark)
-    return spark.read.format("bed").option("path", path).option("samples", n_samples).load()
+    reader = spark.read.format(kind).option("path", path).option("samples", n_samples)
+    if samples is not None:
+        first, last = samples
+        if not 0 <= first < last <= n_samples or (kind == "bed" and (first % 4 or (last % 4 and last != n_samples))):
+            raise ValueError(f"no range of samples {first} to {last} of {n_samples}")
+        reader = reader.option("first", first).option("last", last)
+    return reader.load()
 
 
-def read_dense(spark: SparkSession, path: str, n_samples: int) -> DataFrame:
-    register(spark)
-    return spark.read.format("dense").option("path", path).option("samples", n_samples).load()
+def read_bed(spark: SparkSession, path: str, n_samples: int, samples: tuple[int, int] | None = None) -> DataFrame:
+    """``marker_idx, payload`` of two-bit calls, of all samples or of those from one (a multiple of four) to
+    before another (the same, or the end)."""
+    return _matrix(spark, "bed", path, n_samples, samples)
+
+
+def read_dense(spark: SparkSession, path: str, n_samples: int, samples: tuple[int, int] | None = None) -> DataFrame:
+    """``marker_idx, payload`` of doubles, of all samples or of those from one to before another."""
+    return _matrix(spark, "dense", path, n_samples, samples)
+
+
+def write_matrix(packed: DataFrame, kind: str, path: str) -> None:
+    """``marker_idx, payload`` rows, numbered from 0 without gaps, as one ``bed`` or ``dense`` file, written
+    in parallel by ranges of markers."""
+    register(packed.sparkSession)
+    packed.select("marker_idx", "payload").orderBy("marker_idx").write.format(kind).mode("append").option("path", path).save()
 
 
 def read_vector(spark: SparkSession, path: str, start: int = 0, count: int | None = None) -> DataFrame:
-    """``idx, value`` of a binary vector, or of a stretch of it with its own count from 0."""
+    """``idx, value`` of a binary vector, or of a stretch of it with its own count from 0, which alone
+    is read."""
     register(spark)
     whole = spark.read.format("vector").option("path", path).load()
     if start == 0 and count is None:
@@ -279,6 +369,6 @@ def write_bed(dosages: dict[int, np.ndarray] | list[np.ndarray], path: str) -> N
 
     files, name = opened(path)
     with files.open_output_stream(name, compression=None) as out:
-        out.write(b"\x6c\x1b\x01")
+        out.write(BED_HEADER)
         for marker in dosages if isinstance(dosages, list) else dosages.values():
             out.write(pack_dosages(np.asarray(marker, float)))

@@ -18,6 +18,101 @@ def test_vectors(spark, tmp_path):
     assert [tuple(r) for r in genomics.read_text_vector(spark, str(tmp_path / "w.txt")).orderBy("idx").collect()] == [(0, 1.0), (1, 2.0), (2, 3.5)]
 
 
+class _Counted:
+    """A file system that tells how many bytes were read."""
+
+    def __init__(self, files):
+        self.files, self.read = files, 0
+
+    def get_file_info(self, name):
+        return self.files.get_file_info(name)
+
+    def open_input_file(self, name):
+        own, f = self, self.files.open_input_file(name)
+
+        class File:
+            def read_at(self, n, at):
+                own.read += n
+                return f.read_at(n, at)
+
+            def __enter__(self):
+                return self
+
+            def __exit__(self, *_):
+                f.close()
+
+        return File()
+
+
+def _rows(monkeypatch, reader, filters):
+    """What a reader yields under filters, those it leaves to Spark, and the bytes it read."""
+    real, counted = genomics.opened, []
+
+    def opened(path):
+        files, name = real(path)
+        counted.append(_Counted(files))
+        return counted[-1], name
+
+    monkeypatch.setattr(genomics, "opened", opened)
+    left = list(reader.pushFilters(filters))
+    out = [tuple(r.values()) for p in reader.partitions() for b in reader.read(p) for r in b.to_pylist()]
+    monkeypatch.setattr(genomics, "opened", real)
+    return out, left, sum(c.read for c in counted)
+
+
+def test_filters_decide_which_bytes_are_read(monkeypatch, tmp_path):
+    from pyspark.sql.datasource import EqualTo, GreaterThan, GreaterThanOrEqual, In, IsNotNull, LessThan, LessThanOrEqual
+
+    path, n = tmp_path / "v.bin", 5000
+    np.arange(n, dtype="<f8").tofile(path)
+    new = lambda: genomics._Records(str(path), 0, 8, False)
+    at, null = ("idx",), IsNotNull(("idx",))
+    for filters, want in (
+        ([GreaterThanOrEqual(at, 100), LessThan(at, 300)], range(100, 300)), ([GreaterThan(at, 4990), null], range(4991, n)), ([LessThanOrEqual(at, 2)], range(3)),
+        ([EqualTo(at, 7)], [7]), ([In(at, (5, 3, 4, 99, 7000, -2))], [3, 4, 5, 99]), ([EqualTo(at, 9), EqualTo(at, 10)], []), ([GreaterThan(at, n)], []), ([In(at, ())], []),
+        ([In(at, (1, 2, 3)), GreaterThan(at, 1)], [2, 3]),
+    ):
+        rows, left, read = _rows(monkeypatch, new(), filters)
+        assert rows == [(k, float(k)) for k in want] and read == 8 * len(want)
+        assert left == [f for f in filters if f is null]
+    # others are Spark's
+    others = [EqualTo(("value",), 3.0), GreaterThan(at, 1.5)]
+    assert _rows(monkeypatch, new(), others)[1:] == (others, 8 * n)
+
+
+def test_sample_ranges_decide_which_bytes_are_read(monkeypatch, tmp_path):
+    from pyspark.sql.datasource import LessThan
+
+    path, n, m = tmp_path / "m.bin", 20_000, 6
+    cells = np.arange(n * m, dtype="<f8").reshape(m, n)
+    cells.tofile(path)
+    rows, _, read = _rows(monkeypatch, genomics._Records(str(path), 0, 8 * n, True, (800, 1600)), [LessThan(("marker_idx",), 4)])
+    assert [np.frombuffer(p).tolist() for _, p in rows] == cells[:4, 100:200].tolist() and read == 4 * 800
+
+
+def test_matrices_are_written_and_read_in_ranges(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    cells = rng.choice([0.0, 1.0, 2.0, np.nan], size=(30, 37))
+    from tesserix.operators.matrix import pack_dosages, unpack
+
+    packed = spark.createDataFrame([(j, bytearray(pack_dosages(v))) for j, v in enumerate(cells)], "marker_idx long, payload binary").repartition(5)
+    genomics.write_matrix(packed, "bed", f"{tmp_path}/g.bed")
+    genomics.write_bed(list(cells), f"{tmp_path}/h.bed")
+    assert (tmp_path / "g.bed").read_bytes() == (tmp_path / "h.bed").read_bytes()
+    part = genomics.read_bed(spark, f"{tmp_path}/g.bed", 37, (8, 20)).where("marker_idx >= 10 AND marker_idx < 13 AND marker_idx != 11")
+    rows = part.orderBy("marker_idx").toArrow()
+    assert rows["marker_idx"].to_pylist() == [10, 12]
+    assert np.array_equal(unpack(rows["payload"].combine_chunks(), "bed", 12), cells[[10, 12], 8:20], equal_nan=True)
+    assert "PushedFilters" in part._jdf.queryExecution().executedPlan().toString() or part.count() == 2
+    dense = spark.createDataFrame([(j, bytearray(v.astype("<f8").tobytes())) for j, v in enumerate(np.nan_to_num(cells))], "marker_idx long, payload binary")
+    genomics.write_matrix(dense, "dense", f"{tmp_path}/d.bin")
+    own = genomics.read_dense(spark, f"{tmp_path}/d.bin", 37, (5, 37)).where("marker_idx = 29").first()
+    assert np.frombuffer(own["payload"]).tolist() == np.nan_to_num(cells)[29, 5:].tolist()
+    for bad in ((3, 20), (8, 21), (20, 8), (0, 40)):
+        with pytest.raises(ValueError, match="no range"):
+            genomics.read_bed(spark, f"{tmp_path}/g.bed", 37, bad)
+
+
 def test_text_vector_in_several_files(spark, tmp_path):
     # later files are larger, so they are read first
     table = spark.range(20_000).select(F.col("id").alias("idx"), (F.col("id") / F.when(F.col("id") < 9_000, 1).otherwise(7)).alias("value"))
@@ -105,7 +200,7 @@ def test_simulations(spark, tmp_path, mode):
     assert cosine > (0.5 if mode != "sim_realistic" else -1)
 
 
-@pytest.mark.parametrize("options", [["--red", "1"], ["--gamma-damp", "0"], ["--CV", "3"], ["--num-mix-comp", "3"]])
+@pytest.mark.parametrize("options", [["--red", "2"], ["--model", "robust", "--hold-out", "0.1"], ["--gamma-damp", "0"], ["--CV", "3"], ["--num-mix-comp", "3"]])
 def test_options_without_effect_are_errors(spark, options):
     with pytest.raises(SystemExit):
         cli.main(["--run-mode", "infere", *options], spark)
