@@ -49,8 +49,11 @@ def denoise(r: np.ndarray, gamma: float, prior: Prior) -> tuple[np.ndarray, np.n
 class DriverMarkers:
     """Vectors as arrays."""
 
-    def __init__(self, matrix, frozen: np.ndarray | None = None):
+    def __init__(self, matrix, frozen: np.ndarray | None = None, gram: bool = False):
+        """``gram``: solve by way of A'A, put together once for each matrix."""
         self.matrix, self.n = matrix, matrix.n_markers
+        self.gram: solvers.Gram | None = None
+        self.by_gram = gram
         self.live = np.ones(self.n, bool) if frozen is None else ~np.asarray(frozen, bool)
         self.vectors: dict[str, np.ndarray] = {}
         self.estimates: list[np.ndarray] = []
@@ -105,6 +108,11 @@ class DriverMarkers:
     def lmmse(self, name: str, tau: float, gamma: float, target: np.ndarray, r2: str, start: str | None, rounds: int, seed: int) -> float:
         """Sets ``name``, ``probe`` and ``solved``; see :func:`tesserix.operators.solvers.lmmse`."""
         v = self.vectors
+        if self.by_gram:
+            if self.gram is None or self.gram.matrix is not self.matrix:
+                self.gram = solvers.Gram(self.matrix)
+            v[name], alpha, v["probe"], v["solved"] = self.gram.lmmse(tau, gamma, target, v[r2], seed)
+            return alpha
         begin = v[start] if start else None
         v[name], alpha, v["probe"], v["solved"] = solvers.lmmse(self.matrix, tau, gamma, target, v[r2], begin, rounds, seed)
         return alpha
@@ -314,11 +322,17 @@ class ClusterMarkers:
         kept.write.parquet(f"{self.series}/it={it}")
 
 
-def markers(matrix, frozen, on_cluster: bool | None) -> DriverMarkers | ClusterMarkers:
-    """Vectors on the driver up to ``DRIVER_MARKERS`` markers, unless said otherwise."""
+def markers(matrix, frozen, on_cluster: bool | None, gram: bool | None = None) -> DriverMarkers | ClusterMarkers:
+    """Vectors on the driver up to ``DRIVER_MARKERS`` markers, and solved for by way of A'A up to
+    ``solvers.GRAM_MARKERS``, unless said otherwise."""
+    packed = isinstance(matrix, MarkerMatrix)
     if on_cluster is None:
-        on_cluster = isinstance(matrix, MarkerMatrix) and matrix.n_markers > DRIVER_MARKERS
-    return ClusterMarkers(matrix, as_table(matrix.spark, frozen)) if on_cluster else DriverMarkers(matrix, as_array(frozen, matrix.n_markers))
+        on_cluster = packed and matrix.n_markers > DRIVER_MARKERS
+    if on_cluster:
+        return ClusterMarkers(matrix, as_table(matrix.spark, frozen))
+    if gram is None:
+        gram = packed and matrix.n_markers <= solvers.GRAM_MARKERS
+    return DriverMarkers(matrix, as_array(frozen, matrix.n_markers), gram)
 
 
 def as_table(spark, values) -> DataFrame | None:

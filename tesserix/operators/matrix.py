@@ -199,6 +199,45 @@ class MarkerMatrix:
         out = self.summed(product, shared, u.reshape(self.n_samples, -1).shape[1])
         return out.get(0, np.zeros((self.n_samples, 1))).reshape(u.shape) / self.n_samples
 
+    def gram(self) -> DataFrame:
+        """``i, j, value``: A'A of few markers, the upper triangle, j >= i.
+
+        Payloads are cut into segments of samples, still packed, and a segment's markers meet in one task,
+        which decodes some samples at a time; its products are summed over the segments.
+        """
+        kind, n, first, m, here = self.kind, self.n_samples, self.first, self.n_markers, self.present
+        # in fours, as packed payloads have them; M x M partial sums for each segment
+        length = 4 * max(1, SEGMENT // 4)
+        shared = self.spark.sparkContext.broadcast(here)
+        if kind == "bed" and first % 4:
+            raise ValueError("a range of packed samples begins with a multiple of four here")
+
+        def cut(batches):
+            for batch in batches:
+                for k, a in enumerate(range(0, n, length)):
+                    b = min(n, a + length)
+                    at = (lambda s: -(-s // 4)) if kind == "bed" else (lambda s: 8 * s)
+                    part = pc.binary_slice(batch.column("payload"), at(first + a), at(first + b))
+                    index = pa.array(np.full(batch.num_rows, k))
+                    yield pa.RecordBatch.from_arrays([index, batch.column("marker_idx"), part, batch.column("mu"), batch.column("isd")], ["segment", "marker_idx", "payload", "mu", "isd"])
+
+        def product(key, table: pa.Table) -> pa.Table:
+            table = table.sort_by("marker_idx").combine_chunks()
+            a = key[0].as_py() * length
+            size, total = min(n, a + length) - a, np.zeros((m, m))
+            step = 4 * max(1, DECODED_BYTES // (32 * max(1, m)))
+            payload, mu, isd = table["payload"].combine_chunks(), table["mu"].to_numpy()[:, None], table["isd"].to_numpy()[:, None]
+            for s in range(0, size, step):
+                z = (unpack(payload, kind, min(step, size - s), s) - mu) * isd
+                z[np.isnan(z) | ~shared.value[a + s : a + s + z.shape[1]]] = 0.0
+                total += z @ z.T
+            i, j = np.triu_indices(m)
+            return pa.table({"i": i, "j": j, "value": total[i, j] / n})
+
+        pieces = self.rows.mapInArrow(cut, "segment long, marker_idx long, payload binary, mu double, isd double")
+        sums = pieces.groupBy("segment").applyInArrow(lambda key, t: product(key, t), "i long, j long, value double")
+        return sums.groupBy("i", "j").agg(F.sum("value").alias("value"))
+
     def sample_diagonal(self) -> np.ndarray:
         """Diagonal of A A': the squared norm of each sample's standardised cells over N."""
         squares = lambda part, z, own: [(0, (z**2).sum(axis=0)[:, None])]

@@ -72,6 +72,8 @@ class Options:
     hold_out: float = 0.0
     #: Each LMMSE step solves over another tenth of the samples (linear model).
     reduced: bool = False
+    #: Whether LMMSE steps are solved by way of A'A; told by the number of markers if not given.
+    gram: bool | None = None
     probit_variance: float = 1.0
     delta: float = 1e-3
     learn_delta: bool = False
@@ -128,7 +130,7 @@ def fit(matrix: MarkerMatrix, y: np.ndarray, prior: Prior, options: Options | No
         held = _HeldOut(matrix.sample_range(cut, matrix.n_samples), y[cut:], cut)
         matrix, y = matrix.sample_range(0, cut), y[:cut]
     prior = prior.scaled(matrix.n_samples)
-    vectors = markers(matrix, frozen, on_cluster)
+    vectors = markers(matrix, frozen, on_cluster, False if options.reduced else options.gram)
     spread = isinstance(vectors, ClusterMarkers)
     told = lambda v: as_table(matrix.spark, v) if spread else as_array(v, matrix.n_markers)
     vectors.put("r1", told(r1) if options.model == "linear" else None)

@@ -31,6 +31,11 @@ def packed_a_x(spark, d):
     return _by_sample(spark, matrix.sample_ids, matrix.times(1 / (1.0 + np.arange(matrix.n_markers))))
 
 
+def gram(spark, d):
+    """A'A of all pairs of markers, the upper triangle."""
+    return rounded(_matrix(spark, d)[0].gram())
+
+
 def packed_subrange_product(spark, d):
     """Samples 100 to 299 only, scaled by their number, cut out of the payloads."""
     matrix, y = _matrix(spark, d)
@@ -150,6 +155,7 @@ _FIRST = "vec_id AS idx, CAST(embedding[1] AS DOUBLE) AS value FROM embeddings"
 SQL = {
     "packed_at_x": base.SQL["at_x"],
     "packed_a_x": base.SQL["a_x"],
+    "gram": base.DENSE + f" SELECT x.m AS i, y.m AS j, {_r('sum(x.a * y.a)')} AS value FROM a x JOIN a y ON x.s = y.s AND x.m <= y.m GROUP BY 1, 2",
     "packed_subrange_product": base.SQL["sample_subrange_product"],
     "packed_loo_ttest": base.SQL["loo_ttest"],
     "packed_loco_ttest": base.SQL["loco_ttest"],
@@ -179,7 +185,7 @@ SQL = {
 QUERIES = {
     f.__name__: f
     for f in (
-        packed_at_x, packed_a_x, packed_subrange_product, packed_loo_ttest, packed_loco_ttest, unpack_calls, simulate_sparse, simulate_heavy_tails,
+        packed_at_x, packed_a_x, gram, packed_subrange_product, packed_loo_ttest, packed_loco_ttest, unpack_calls, simulate_sparse, simulate_heavy_tails,
         simulate_rescaled, simulate_dense_cells, simulate_phenotype, signal_variances, scan_dense, scan_text_vector,
         scan_covariate_cells, scan_marker_ids, sink_vector, sink_text_vector, estimates_of_iterations,
     )

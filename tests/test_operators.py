@@ -168,7 +168,7 @@ def test_vectors_on_the_cluster_give_the_same_fit(spark, model):
     truth = rng.normal(size=20) * (np.arange(20) % 3 == 0)
     y = a @ truth + rng.normal(0, 0.3, 60)
     y = (y > 0).astype(float) if model == "bin_class" else y / y.std(ddof=1)
-    options = models.Options(model="linear" if model == "by samples" else model, by_samples=model == "by samples", iterations=2 if model == "by samples" else 3, delta=1.0)
+    options = models.Options(model="linear" if model == "by samples" else model, by_samples=model == "by samples", iterations=2 if model == "by samples" else 3, delta=1.0, gram=False)
     given = {"frozen": np.arange(20) == 4, "start": rng.normal(size=20) / 50, "truth": truth}
     one, two = (models.fit(matrix, y, Prior((0.8, 0.2), (0.0, 1e-2)), options, on_cluster=c, **given) for c in (False, True))
     assert two.effects is None and not two.estimates
@@ -211,6 +211,35 @@ def test_sample_ranges_of_packed_payloads(spark, kind):
             matrix.sample_range(a, b)
 
 
+@pytest.mark.parametrize("kind", ["bed", "dense"])
+def test_gram_is_a_product_of_decoded_cells(spark, kind, monkeypatch):
+    from tesserix.operators import matrix as packed_matrix
+
+    monkeypatch.setattr(packed_matrix, "SEGMENT", 8)
+    rng = np.random.default_rng(6)
+    cells = rng.choice([0.0, 1.0, 2.0, np.nan], size=(7, 41)) if kind == "bed" else rng.normal(size=(7, 41))
+    payload = packed_matrix.pack_dosages if kind == "bed" else lambda v: v.astype("<f8").tobytes()
+    packed = spark.createDataFrame([(j, bytearray(payload(v))) for j, v in enumerate(cells)], "marker_idx long, payload binary")
+    matrix = MarkerMatrix(packed, kind, rng.random(41) > 0.2)
+    for part in (matrix, matrix.sample_range(12, 39)):
+        a = part.transpose_times(np.eye(part.n_samples))
+        got = {(r["i"], r["j"]): r["value"] for r in part.gram().collect()}
+        want = a @ a.T
+        assert got == {(i, j): pytest.approx(want[i, j], abs=1e-12) for i in range(7) for j in range(i, 7)}
+
+
+def test_fits_by_way_of_the_gram_matrix(spark):
+    """Chosen by the number of markers, and the same as by conjugate gradients to their tolerance."""
+    _, _, a, matrix = _dense(spark)
+    y = a @ np.random.default_rng(9).normal(size=20)
+    y = y / y.std(ddof=1)
+    prior = Prior((0.8, 0.2), (0.0, 1e-2))
+    one, two, three = (models.fit(matrix, y, prior, models.Options(iterations=3, gram=g)) for g in (False, True, None))
+    assert two.effects == pytest.approx(one.effects, rel=1e-3, abs=1e-6) and three.effects.tolist() == two.effects.tolist()
+    q = 1.5 * a.T @ a + 0.7 * np.eye(20)
+    assert solvers.Gram(matrix).solve(1.5, 0.7, np.ones(20)) == pytest.approx(np.linalg.solve(q, np.ones(20)))
+
+
 def _correlated(n, m, seed):
     """Markers in blocks that are nearly the same, with a part that all share: without damping, messages diverge."""
     rng = np.random.default_rng(seed)
@@ -241,7 +270,7 @@ def test_held_out_and_reduced_fits_are_the_same_on_the_cluster(spark):
     _, _, a, matrix = _dense(spark)
     y = a @ np.random.default_rng(9).normal(size=20)
     y = y / y.std(ddof=1)
-    for options in (models.Options(iterations=2, hold_out=0.2), models.Options(iterations=2, reduced=True)):
+    for options in (models.Options(iterations=2, hold_out=0.2, gram=False), models.Options(iterations=2, reduced=True)):
         one, two = (models.fit(matrix, y, Prior((0.8, 0.2), (0.0, 1e-2)), options, on_cluster=c) for c in (False, True))
         got = [r["beta"] for r in two.table(spark).where("it = 2").orderBy("marker_idx").collect()]
         assert got == pytest.approx(one.effects, rel=1e-8, abs=1e-8)
@@ -267,7 +296,7 @@ def test_a_denoiser_of_the_user_runs_on_the_cluster(spark):
     own = lambda r, gamma: markers.denoise(r, gamma, prior.scaled(60))
     soft = lambda r, gamma: (np.sign(r) * np.maximum(np.abs(r) - 0.01, 0), (np.abs(r) > 0.01) + 1e-3)
     for denoiser in (own, soft):
-        fits = [models.fit(matrix, y, prior, models.Options(iterations=2), denoiser=denoiser, on_cluster=c) for c in (False, True)]
+        fits = [models.fit(matrix, y, prior, models.Options(iterations=2, gram=False), denoiser=denoiser, on_cluster=c) for c in (False, True)]
         got = [r["beta"] for r in fits[1].table(spark).where("it = 2").orderBy("marker_idx").collect()]
         assert got == pytest.approx(fits[0].effects, rel=1e-8, abs=1e-8)
 
