@@ -43,8 +43,8 @@ LOT_LINKS, LOT_DOCS = 1 << 21, 1 << 14
 TASK_ENTRIES = (1 << 16, 1 << 25)
 #: Pairs whose counts a task adds up before it passes them on, and pairs that travel as one row.
 PAIRS_AT_A_TIME, PACKED = 1 << 21, 1 << 18
-#: Units that a task keeps, and characters of the longest such unit; units handled at a time.
-KEPT_UNITS, KEPT_CHARS, TOGETHER = 400_000, 64, 200_000
+#: Units that a worker keeps, and characters of them all; units handled at a time.
+KEPT_UNITS, KEPT_CHARS, TOGETHER = 600_000, 16_000_000, 200_000
 
 #: From the start or a single space between two characters that aren't white space up to the next.
 _UNITS = re.compile(r"\s*\S+(?:(?! \S)\s+(?:\S+|\Z))*|\s+")
@@ -76,11 +76,16 @@ class Sides:
             if "▁" in piece.lstrip("▁"):
                 raise ValueError("a piece of side B goes across a space between other characters")
         self.width = 1 + max(self.bytes_a)
+        self.sizes_a, self.sizes_b = np.zeros(self.width, np.int64), np.array([len(x) for x in self.bytes_b], np.int64)
+        for i, x in self.bytes_a.items():
+            self.sizes_a[i] = len(x)
+        # an id's digits and what follows them: in a group of side A or B, and at the end of one
+        self.digits = np.array([f"{i}{end}" for ids, ends in ((self.width, ",|"), (len(self.bytes_b), ",;")) for end in ends for i in range(ids)], object)
         if self.width * len(self.bytes_b) >> 42:
             raise ValueError("the vocabularies have over 2**42 pairs of ids")
 
     def encode(self, units: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        a = [e.ids for e in self.a.encode_batch(units, add_special_tokens=False)]
+        a = [e.ids for e in self.a.encode_batch_fast(units, add_special_tokens=False)]
         return a, self.b.encode([u[1:] for u in units], num_threads=1)
 
 
@@ -94,7 +99,7 @@ class Aligner:
     """Tokens, groups and links of texts, by way of their units, which are kept from task to task.
 
     A unit's ``counts`` are its tokens of A and of B, its groups and whether the tokens' bytes are the
-    unit's; its links, as pair keys (B's id times A's width and A's id), are a stretch of ``pool``.
+    unit's (it has no groups else); its links, as pair keys (B's id times A's width and A's id), are a stretch of ``pool``.
     """
 
     def __init__(self, of: Sides):
@@ -102,46 +107,53 @@ class Aligner:
         self._forget()
 
     def _forget(self) -> None:
-        self.known = _Numbers()
+        self.known, self.chars = _Numbers(), 0
         self.groups: list[str] = []
         self.counts = np.empty((0, 4), np.int64)
         self.pool, self.bounds = np.empty(0, np.int64), np.zeros(1, np.int64)
 
     def _learn(self) -> None:
+        """Align the units that are numbered but not known yet, all at once: their bytes lie end to end,
+        so offsets at which tokens of both sides end are found by one search."""
         units = list(islice(self.known, len(self.groups), None))
         if not units:
             return
-        counts, keys, sizes = [], [], []
-        bytes_a, bytes_b, width = self.sides.bytes_a, self.sides.bytes_b, self.sides.width
-        for unit, a, b in zip(units, *self.sides.encode(units), strict=True):
-            raw, text_a, text_b = unit.encode(), [bytes_a[i] for i in a], [bytes_b[i] for i in b]
-            good = b"".join(text_a) == raw == b"".join(text_b)
-            groups, own = [], 0
-            if good:
-                i = j = i0 = j0 = at_a = at_b = 0
-                while i < len(a) or j < len(b):
-                    if j == len(b) or (i < len(a) and at_a <= at_b):
-                        at_a += len(text_a[i])
-                        i += 1
-                    else:
-                        at_b += len(text_b[j])
-                        j += 1
-                    if at_a == at_b:
-                        groups.append(",".join(map(str, a[i0:i])) + "|" + ",".join(map(str, b[j0:j])))
-                        keys.append(b[j - 1] * width + a[i - 1])
-                        own, i0, j0 = own + 1, i, j
-            counts.append((len(a), len(b), len(groups), good))
-            sizes.append(own)
-            self.groups.append(";".join(groups))
-        self.counts = np.concatenate([self.counts, np.array(counts, np.int64)])
-        self.bounds = np.append(self.bounds, self.bounds[-1] + np.cumsum(sizes))
-        self.pool = np.append(self.pool, np.array(keys, np.int64))
+        self.chars += sum(map(len, units))
+        of, n = self.sides, len(units)
+        sides = self.sides.encode(units)
+        counts = np.array([[len(x) for x in ids] for ids in sides], np.int64)
+        raw = [u.encode() for u in units]
+        tables = (of.bytes_a, of.bytes_b)
+        good = np.ones(n, bool)
+        if any(b"".join([table[i] for x in ids for i in x]) != b"".join(raw) for ids, table in zip(sides, tables, strict=True)):
+            for k in range(n):
+                good[k] = all(b"".join([table[i] for i in ids[k]]) == raw[k] for ids, table in zip(sides, tables, strict=True))
+        ids = [np.array([i for x, ok in zip(own, good.tolist(), strict=True) if ok for i in x], np.int64) for own in sides]
+        ends = [np.cumsum(sizes[own]) for own, sizes in zip(ids, (of.sizes_a, of.sizes_b), strict=True)]
+        # each token's group, and whether it is its last
+        cuts = np.intersect1d(*ends, assume_unique=True)
+        group = [np.searchsorted(cuts, e) for e in ends]
+        last = [np.append(g[1:] != g[:-1], True) if len(g) else np.empty(0, bool) for g in group]
+        unit_ends = np.cumsum(np.where(good, [len(x) for x in raw], 0))
+        upto = np.searchsorted(cuts, unit_ends, "right")
+        n_groups = np.diff(np.append(0, upto))
+        keys = ids[1][last[1]] * of.width + ids[0][last[0]]
+        # all tokens, by group and side, as text
+        order = np.argsort(np.concatenate([2 * group[0], 2 * group[1] + 1]), kind="stable")
+        first_b = 2 * of.width
+        spelt = np.concatenate([ids[0] + of.width * last[0], first_b + ids[1] + len(of.bytes_b) * last[1]])[order]
+        text = of.digits[spelt].tolist()
+        bounds = np.append(0, np.cumsum(np.where(good, counts.sum(axis=0), 0))).tolist()
+        self.groups += ["".join(text[a:b]) for a, b in zip(bounds, bounds[1:])]
+        self.counts = np.concatenate([self.counts, np.stack([counts[0], counts[1], n_groups, good], axis=1)])
+        self.bounds = np.append(self.bounds, self.bounds[-1] + np.cumsum(n_groups))
+        self.pool = np.append(self.pool, keys)
 
     def align(self, texts: list[str]):
         """Of each text (tokens of A, of B, groups, the groups' digest or '', pair keys of its links)."""
-        if len(self.known) > KEPT_UNITS:
+        if len(self.known) > KEPT_UNITS or self.chars > KEPT_CHARS:
             self._forget()
-        numbers, had = [], len(self.known)
+        numbers = []
         for text in texts:
             known = self.known
             numbers.append([known[u] for u in _UNITS.findall(" " + text)] if text else [])
@@ -154,10 +166,10 @@ class Aligner:
                 continue
             digest = hashlib.sha256()
             for k in range(0, len(own), TOGETHER):
-                digest.update(((";" if k else "") + ";".join([self.groups[u] for u in own[k : k + TOGETHER]])).encode())
+                spelt = "".join([self.groups[u] for u in own[k : k + TOGETHER]])
+                # each group has a semicolon behind it, which the last one goes without
+                digest.update((spelt if k + TOGETHER < len(own) else spelt[:-1]).encode())
             yield n_a, n_b, n_groups, digest.hexdigest(), _gathered(self.pool, self.bounds, at)[0]
-        if any(len(u) > KEPT_CHARS for u in islice(self.known, had, None)):
-            self._forget()
 
 
 @lru_cache(maxsize=1)
