@@ -123,6 +123,16 @@ class DriverMarkers:
         v[name], u = solvers.lmmse_by_samples(self.matrix, tau, gamma, target, v[r2], start, rounds)
         return alpha, u
 
+    def save(self, path: str, names: tuple[str, ...]) -> None:
+        from .commits import write_arrays
+
+        write_arrays(path, {n: self.vectors[n] for n in names})
+
+    def load(self, path: str) -> None:
+        from .commits import read_arrays
+
+        self.vectors |= read_arrays(path)
+
     def keep(self, it: int, scale: float) -> None:
         """The iteration's estimates ``x1`` and its ``r1``, both by ``scale``."""
         self.estimates.append(self.vectors["x1"] * scale)
@@ -317,6 +327,13 @@ class ClusterMarkers:
         self._write(*(c for c in self.table.columns if c not in ("marker_idx", "live")))
         return gamma * self.table.agg(F.sum(F.col("probe") * F.col("solved"))).first()[0], u
 
+    def save(self, path: str, names: tuple[str, ...]) -> None:
+        self.table.select("marker_idx", *names).write.parquet(path)
+
+    def load(self, path: str) -> None:
+        saved = self.spark.read.parquet(path)
+        self.table = self.table.drop(*(c for c in saved.columns if c != "marker_idx")).join(saved, "marker_idx")
+
     def keep(self, it: int, scale: float) -> None:
         kept = self.table.select("marker_idx", (F.col("x1") * scale).alias("beta"), (F.col("r1") * scale).alias("r1"))
         kept.write.parquet(f"{self.series}/it={it}")

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.special import inverse_mills, log_normal_cdf, probit_denoise
+from .commits import Commits
 from .markers import DRIVER_MARKERS, ClusterMarkers, DriverMarkers, as_array, as_table, markers
 from .matrix import MarkerMatrix
 from .prior import Prior, from_sums
@@ -93,6 +94,8 @@ class Fit:
     trace: list[tuple[int, str, float]] = field(default_factory=list)
     covariate_effects: np.ndarray | None = None
     series: DataFrame | None = None
+    #: The number of the first iteration here; later than 1 where a fit went on from a commit.
+    first: int = 1
 
     def table(self, spark: SparkSession) -> DataFrame:
         """``it, marker_idx, beta, r1``."""
@@ -101,20 +104,23 @@ class Fit:
         n = [len(x) for x in self.estimates]
         return spark.createDataFrame(
             pa.table({
-                "it": np.repeat(np.arange(1, 1 + len(n), dtype=np.int32), n), "marker_idx": np.concatenate([np.arange(k) for k in n]),
+                "it": np.repeat(np.arange(self.first, self.first + len(n), dtype=np.int32), n), "marker_idx": np.concatenate([np.arange(k) for k in n]),
                 "beta": np.concatenate(self.estimates), "r1": np.concatenate(self.r1),
             })
         )
 
 
 def fit(matrix: MarkerMatrix, y: np.ndarray, prior: Prior, options: Options | None = None, covariates: np.ndarray | None = None,
-        frozen=None, start=None, r1=None, truth=None, denoiser: Denoiser | None = None, on_cluster: bool | None = None) -> Fit:
+        frozen=None, start=None, r1=None, truth=None, denoiser: Denoiser | None = None, on_cluster: bool | None = None,
+        commits: str | None = None) -> Fit:
     """``y``: one value a sample, NaN where missing (0 or 1 for ``bin_class``).  ``start`` and
     ``r1``: effects and r1 of an earlier fit, on the reported scale.  ``frozen``: markers that
     neither damping nor the mean derivative takes in.  ``truth``: true effects, to which the trace
     tells the cosine and the relative error of each iteration.  These four are arrays or tables of
     ``marker_idx, value``.  ``denoiser`` takes the place of the prior's, which isn't learnt then.
-    ``on_cluster``: where vectors of markers are, told by their length if not given."""
+    ``on_cluster``: where vectors of markers are, told by their length if not given.  ``commits``: a
+    folder to which each iteration's state is committed, and from whose last commit a fit of the same
+    data and options (but for ``iterations``, the number of all) goes on."""
     options = options or Options()
     y = np.where(np.isnan(y), 0.0, y)
     if (options.hold_out or options.reduced) and options.model != "linear":
@@ -139,16 +145,23 @@ def fit(matrix: MarkerMatrix, y: np.ndarray, prior: Prior, options: Options | No
     vectors.combine("start", {"start": np.sqrt(matrix.n_samples)})
     vectors.put("x1", None)
     vectors.put("x2", None)
+    kept = Commits(commits) if commits else None
+    state = kept.last() if kept else None
+    if state:
+        vectors.load(state["vectors"])
+        prior = Prior(*map(tuple, state["scalars"]["prior"]))
+    loop = _Loop(options, kept, state)
     if options.model == "linear":
-        out = _linear(matrix, vectors, y, prior, options, start is not None, denoiser, held)
+        out = _linear(matrix, vectors, y, prior, options, start is not None, denoiser, held, loop)
     elif options.model in ("bin_class", "robust"):
-        out = _generalised(matrix, vectors, y, prior, options, covariates, start is not None, denoiser)
+        out = _generalised(matrix, vectors, y, prior, options, covariates, start is not None, denoiser, loop)
     else:
         raise ValueError(f"no model {options.model}")
     if spread:
         out.series = matrix.spark.read.parquet(vectors.series).select(F.col("it").cast("int"), "marker_idx", "beta", "r1")
     else:
-        out.estimates, out.r1, out.effects = vectors.estimates, vectors.r1, vectors.estimates[-1] if vectors.estimates else np.zeros(matrix.n_markers)
+        out.estimates, out.r1, out.effects = vectors.estimates, vectors.r1, vectors.vectors["x1"] / np.sqrt(matrix.n_samples)
+    out.first = loop.first
     if truth is not None:
         out.trace += _against_truth(out, matrix, told(truth))
     return out
@@ -161,7 +174,7 @@ def _against_truth(out: Fit, matrix: MarkerMatrix, truth) -> list[tuple[int, str
         sums = both.groupBy("it").agg(F.sum(F.col("beta") * F.col("true")).alias("xt"), F.sum(F.col("beta") ** 2).alias("xx"), F.sum(F.col("true") ** 2).alias("tt"), F.sum((F.col("beta") - F.col("true")) ** 2).alias("e"))
         found = [(r["it"], r["xt"], r["xx"], r["tt"], r["e"]) for r in sums.orderBy("it").collect()]
     else:
-        found = [(it, float(x @ truth), float(x @ x), float(truth @ truth), float(((x - truth) ** 2).sum())) for it, x in enumerate(out.estimates, start=1)]
+        found = [(it, float(x @ truth), float(x @ x), float(truth @ truth), float(((x - truth) ** 2).sum())) for it, x in enumerate(out.estimates, start=out.first)]
     for it, xt, xx, tt, e in found:
         size = max(math.sqrt(tt), 1e-300)
         rows += [(it, "cosine_to_truth", xt / max(math.sqrt(xx) * size, 1e-300)), (it, "l2_error_to_truth", math.sqrt(e) / size)]
@@ -183,6 +196,21 @@ def _denoise_step(v, gamma: float, it: int, prior: Prior, o: Options, inner: int
     return alpha, eta, gamma, prior
 
 
+class _Loop:
+    """The iterations of a fit that are left, and what they commit."""
+
+    def __init__(self, o: Options, commits: Commits | None, state: dict | None):
+        self.commits, self.scalars, self.arrays = commits, (state or {}).get("scalars", {}), (state or {}).get("arrays", {})
+        self.first = 1 + (state["it"] if state else 0)
+        self.left = range(self.first, 1 if self.scalars.get("done") else o.iterations + 1)
+
+    def end(self, it: int, v, done: bool, prior: Prior, scalars: dict, arrays: dict | None = None) -> bool:
+        """Commit an iteration; whether it was the last."""
+        if self.commits:
+            self.commits.save(it, scalars | {"done": done, "prior": [prior.probs, prior.variances]}, v, arrays or {})
+        return done
+
+
 class _HeldOut:
     """Samples that aren't learnt from, and how well they were predicted last."""
 
@@ -236,7 +264,7 @@ def _first_half(v, it: int, gamma: float, alpha_before: float, rho: float, prior
 def _stands(v, it: int, o: Options) -> bool:
     """Whether estimates moved by less than ``o.stop`` of their size."""
     moved, size = v.squares(("x1", "before"), ("before", None))
-    return it > 1 and size > 0 and np.sqrt(moved / size) < o.stop
+    return it > 1 and size > 0 and math.sqrt(moved / size) < o.stop
 
 
 def _tenth(matrix, y: np.ndarray, seed: int):
@@ -247,14 +275,18 @@ def _tenth(matrix, y: np.ndarray, seed: int):
     return matrix.sample_range(4 * start, 4 * (start + length)), y[4 * start : 4 * (start + length)]
 
 
-def _linear(matrix: MarkerMatrix, v, y, prior, o: Options, started: bool, denoiser, held=None) -> Fit:
+def _linear(matrix: MarkerMatrix, v, y, prior, o: Options, started: bool, denoiser, held, loop: _Loop) -> Fit:
     n, m, scale = matrix.n_samples, matrix.n_markers, 1 / np.sqrt(matrix.n_samples)
     gam1 = o.gam1 or 1e-6
     gamw = o.gamw or (1 / (1 - o.h2) if o.h2 is not None and 0 <= o.h2 < 1 else 2.0)
-    rho, alpha1, alpha2, gam2, u = o.rho, 0.0, 0.0, None, None
+    rho, alpha1, alpha2, gam2, u = o.rho, 0.0, 0.0, None, loop.arrays.get("u")
+    if loop.scalars:
+        gam1, gamw, rho, alpha1, alpha2, gam2 = (loop.scalars[k] for k in ("gam1", "gamw", "rho", "alpha1", "alpha2", "gam2"))
+        if held is not None:
+            held.r2 = loop.scalars["held"]
     out = Fit(None, prior)
     note = lambda it, **v: out.trace.extend((it, k, float(x)) for k, x in v.items())
-    for it in range(1, o.iterations + 1):
+    for it in loop.left:
         alpha1, eta1, gam1, prior = _first_half(v, it, gam1, alpha1, rho, prior, o, started, 5, denoiser, scale, held)
         if held is not None:
             note(it, r2_held_out=held.r2)
@@ -282,7 +314,8 @@ def _linear(matrix: MarkerMatrix, v, y, prior, o: Options, started: bool, denois
         z2 = v.times("x2")[:, 0]
         gamw = n / (float(((z2 - y) ** 2).sum()) + m * float(correction[:, 1] @ correction[:, 0]))
         note(it, r2_x2=_r2(y, z2), gamw=gamw, rho=rho, components=len(prior.probs))
-        if _stands(v, it, o):
+        scalars = {"gam1": gam1, "gamw": gamw, "rho": rho, "alpha1": alpha1, "alpha2": alpha2, "gam2": gam2, "held": held and held.r2}
+        if loop.end(it, v, _stands(v, it, o), prior, scalars, {"u": u}):
             break
     out.prior = prior
     return out
@@ -373,7 +406,7 @@ def huber_delta(p: np.ndarray, tau: float, y: np.ndarray, seed: int = 1, draws:
     return DELTAS[int(np.argmin(loss))]
 
 
-def _generalised(matrix: MarkerMatrix, v, y, prior, o: Options, covariates, started: bool, denoiser) -> Fit:
+def _generalised(matrix: MarkerMatrix, v, y, prior, o: Options, covariates, started: bool, denoiser, loop: _Loop) -> Fit:
     """Probit (``bin_class``) and Huber (``robust``) likelihoods."""
     n, m, scale = matrix.n_samples, matrix.n_markers, 1 / np.sqrt(matrix.n_samples)
     probit, here = o.model == "bin_class", matrix.present
@@ -383,9 +416,12 @@ def _generalised(matrix: MarkerMatrix, v, y, prior, o: Options, covariates, star
     eta = probit_covariates(y[here], covariates[here], o.probit_variance) if probit and covariates is not None else None
     offset = covariates @ eta if eta is not None else np.zeros(n)
     rho, alpha1 = o.rho, 0.0
+    if loop.scalars:
+        gam1, tau1, delta, alpha1 = (loop.scalars[k] for k in ("gam1", "tau1", "delta", "alpha1"))
+        p1 = loop.arrays["p1"]
     out = Fit(None, prior, covariate_effects=eta)
     note = lambda it, **v: out.trace.extend((it, k, float(x)) for k, x in v.items())
-    for it in range(1, o.iterations + 1):
+    for it in loop.left:
         alpha1, eta1, gam1, prior = _first_half(v, it, gam1, alpha1, rho, prior, o, started, 50, denoiser, scale)
         gam2 = clamp(eta1 - gam1)
         v.combine("r2", {"x1": eta1 / gam2, "r1": -gam1 / gam2})
@@ -416,7 +452,8 @@ def _generalised(matrix: MarkerMatrix, v, y, prior, o: Options, covariates, star
         p1 = (z2 - beta2 * p2) / (1 - beta2)
         tau1 = clamp(tau2 * (1 - beta2) / beta2)
         note(it, gam1=gam1, gam2=gam2, tau1=tau1, tau2=tau2, alpha2=alpha2, delta=delta, components=len(prior.probs))
-        if _stands(v, it, o):
+        scalars = {"gam1": gam1, "tau1": tau1, "delta": delta, "alpha1": alpha1}
+        if loop.end(it, v, _stands(v, it, o), prior, scalars, {"p1": p1}):
             break
     out.prior = prior
     return out

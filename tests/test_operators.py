@@ -240,6 +240,54 @@ def test_fits_by_way_of_the_gram_matrix(spark):
     assert solvers.Gram(matrix).solve(1.5, 0.7, np.ones(20)) == pytest.approx(np.linalg.solve(q, np.ones(20)))
 
 
+@pytest.mark.parametrize("model", ["linear", "by samples", "held out", "bin_class", "robust"])
+def test_a_fit_goes_on_from_its_last_commit(tmp_path, model, monkeypatch):
+    """Two iterations and three more are five to the bit, also when the third was lost before its commit."""
+    from tesserix.operators import commits
+
+    a, signal, beta, rng = _simulated(300, 120, 10, 0.5, 1)
+    y = signal + rng.normal(0, np.sqrt(0.5), 300)
+    y = (y > 0).astype(float) if model == "bin_class" else y / y.std(ddof=1)
+    kind = model if model in ("bin_class", "robust") else "linear"
+    options = lambda k: models.Options(
+        model=kind, iterations=k, delta=1.0, stop=0.0, by_samples=model == "by samples", hold_out=0.1 if model == "held out" else 0.0, lmmse_damping=True
+    )
+    fit = lambda k, **more: models.fit(Dense(a), y, Prior((0.8, 0.2), (0.0, 1e-2)), options(k), **more)
+    whole, path = fit(5), str(tmp_path / "commits")
+    begun = fit(2, commits=path)
+    assert begun.first == 1 and len(begun.estimates) == 2
+    real = commits.Commits.save
+
+    def lost(self, it, scalars, vectors, arrays):
+        # the vectors are written, but what names them isn't
+        vectors.save(f"{self.path}/it-{it:06d}-lost-vectors", ("r1", "x1", "x2"))
+        raise RuntimeError("lost")
+
+    monkeypatch.setattr(commits.Commits, "save", lost)
+    with pytest.raises(RuntimeError, match="lost"):
+        fit(5, commits=path)
+    monkeypatch.setattr(commits.Commits, "save", real)
+    later = fit(5, commits=path)
+    assert later.first == 3
+    assert [x.tolist() for x in begun.estimates + later.estimates] == [x.tolist() for x in whole.estimates]
+    assert later.effects.tolist() == whole.effects.tolist() and later.prior == whole.prior
+    assert begun.trace + later.trace == whole.trace
+    # nothing is left to do
+    assert fit(5, commits=path).effects.tolist() == whole.effects.tolist()
+
+
+def test_a_fit_on_the_cluster_goes_on_from_its_last_commit(spark, tmp_path):
+    _, _, a, matrix = _dense(spark)
+    y = a @ np.random.default_rng(9).normal(size=20)
+    y = y / y.std(ddof=1)
+    fit = lambda k, **more: models.fit(matrix, y, Prior((0.8, 0.2), (0.0, 1e-2)), models.Options(iterations=k), on_cluster=True, **more)
+    fit(1, commits=str(tmp_path / "c"))
+    later = fit(2, commits=str(tmp_path / "c"))
+    rows, whole = (f.table(spark).where("it = 2").orderBy("marker_idx").collect() for f in (later, fit(2)))
+    assert [r["beta"] for r in rows] == pytest.approx([r["beta"] for r in whole], rel=1e-8, abs=1e-10)
+    assert later.first == 2 and {r["it"] for r in later.table(spark).collect()} == {2}
+
+
 def _correlated(n, m, seed):
     """Markers in blocks that are nearly the same, with a part that all share: without damping, messages diverge."""
     rng = np.random.default_rng(seed)
