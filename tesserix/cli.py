@@ -41,7 +41,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--run-mode", choices=MODES, required=True)
     p.add_argument("--model", choices=("linear", "bin_class", "robust"), default="linear")
     for name in ("bed-file", "bed-file-test", "dense-file", "dense-file-test", "bim-file", "bim-file-test", "cov-file", "cov-file-test",
-                 "cov-estimate-file", "estimate-file", "freeze-index-file", "out-dir", "out-name"):
+                 "cov-estimate-file", "estimate-file", "freeze-index-file", "out-dir", "out-name", "commits"):
         p.add_argument(f"--{name}", default="")
     for name in ("phen-files", "phen-files-test", "true-signal-files"):
         p.add_argument(f"--{name}", default="", help="comma-separated; the first counts")
@@ -107,8 +107,7 @@ class Study:
         cov = option("cov_file")
         self.covariates = None
         if cov and a.C:
-            z = genomics.read_covariates(spark, cov, a.C).orderBy("sample_idx").select("z").toLocalIterator()
-            self.covariates = np.array([r[0] for r in z], float)
+            self.covariates = genomics.read_covariates(spark, cov, a.C)
 
     @staticmethod
     def _phenotype(spark: SparkSession, a: argparse.Namespace, option) -> np.ndarray:
@@ -154,7 +153,7 @@ def simulated(spark: SparkSession, a: argparse.Namespace, out: str, study: Study
     truth = np.array([r[0] for r in drawn.orderBy("idx").select("value").toLocalIterator()], float)
     g = study.matrix.times(truth * np.sqrt(n))
     if a.run_mode == "sim_probit" and study.covariates is not None:
-        g = g + study.covariates @ np.array(simulate.alternating_covariate_effects(a.C))
+        g = g + models.covariate_offset(study.covariates, simulate.alternating_covariate_effects(a.C), n)
     signal = spark.createDataFrame(pa.table({"sample_idx": np.arange(n), "value": g}))
     pheno = simulate.probit_phenotype(signal, a.probit_var, a.seed) if a.run_mode == "sim_probit" else simulate.linear_phenotype(signal, h2, a.seed)
     pheno.write.mode("overwrite").parquet(f"{out}_y")
@@ -171,7 +170,7 @@ def run_fit(spark: SparkSession, a: argparse.Namespace, out: str, study: Study,
     frozen = _vector(spark, a.freeze_index_file) > 0 if a.use_freeze and a.freeze_index_file else None
     if truth is None and a.true_signal_files:
         truth = _vector(spark, a.true_signal_files.split(",")[0])
-    fitted = models.fit(study.matrix, study.y, _prior(a, study), _options(a), study.covariates, frozen, start, r1, truth)
+    fitted = models.fit(study.matrix, study.y, _prior(a, study), _options(a), study.covariates, frozen, start, r1, truth, commits=a.commits or None)
     table = fitted.table(spark)
     genomics.write_estimates(table.select("it", "marker_idx", "beta"), f"{out}_estimates")
     genomics.write_estimates(table.select("it", "marker_idx", F.col("r1").alias("beta")), f"{out}_r1")
@@ -249,7 +248,9 @@ def run_evaluation(spark: SparkSession, a: argparse.Namespace, out: str, estimat
         raise SystemExit(f"{found} estimates for {study.matrix.n_markers} test markers; give --bim-file and --bim-file-test to match ids")
     if effects is None and a.cov_estimate_file:
         effects = _vector(spark, a.cov_estimate_file)
-    offset = study.covariates @ effects if study.covariates is not None and effects is not None else np.zeros(len(study.y))
+    offset = np.zeros(len(study.y))
+    if study.covariates is not None and effects is not None:
+        offset = models.covariate_offset(study.covariates, effects, len(study.y))
     samples = spark.createDataFrame(pa.table({"sample_idx": np.arange(len(study.y)), "y": pa.array(study.y, from_pandas=True), "offset": offset}))
     root = float(np.sqrt(study.matrix.n_samples))
     by_it = F.posexplode("z").alias("k", "value")

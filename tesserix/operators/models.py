@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from ..functions.special import inverse_mills, log_normal_cdf, probit_denoise
 from .commits import Commits
+from .evaluate import expected_huber_loss
 from .markers import DRIVER_MARKERS, ClusterMarkers, DriverMarkers, as_array, as_table, markers
 from .matrix import MarkerMatrix
 from .prior import Prior, from_sums
@@ -116,7 +117,8 @@ def fit(matrix: MarkerMatrix, y: np.ndarray, prior: Prior, options: Options | No
     """``y``: one value a sample, NaN where missing (0 or 1 for ``bin_class``).  ``start`` and
     ``r1``: effects and r1 of an earlier fit, on the reported scale.  ``frozen``: markers that
     neither damping nor the mean derivative takes in.  ``truth``: true effects, to which the trace
-    tells the cosine and the relative error of each iteration.  These four are arrays or tables of
+    tells the cosine and the relative error of each iteration.  ``covariates``: samples by covariates, or a
+    table of ``sample_idx, z``.  The other four are arrays or tables of
     ``marker_idx, value``.  ``denoiser`` takes the place of the prior's, which isn't learnt then.
     ``on_cluster``: where vectors of markers are, told by their length if not given.  ``commits``: a
     folder to which each iteration's state is committed, and from whose last commit a fit of the same
@@ -345,6 +347,15 @@ def probit_covariates(y: np.ndarray, z: np.ndarray, variance: float = 1.0, round
     return eta
 
 
+def covariate_offset(covariates: DataFrame, effects, n: int) -> np.ndarray:
+    """z'effects of each sample of ``sample_idx, z``; only the products, a number a sample, reach the driver."""
+    terms = [F.col("z")[c] * float(e) for c, e in enumerate(effects)]
+    rows = covariates.select("sample_idx", sum(terms[1:], terms[0]).alias("value")).toArrow()
+    out = np.zeros(n)
+    out[rows["sample_idx"].to_numpy()] = rows["value"].to_numpy()
+    return out
+
+
 def probit_covariates_of(table: DataFrame, n_covariates: int, variance: float = 1.0, rounds: int = 100) -> np.ndarray:
     """The same of a table (``z``, an array, and ``y``): each step's loss, gradient and Hessian are
     sums that the cluster adds up, of 1 + C + C * C numbers."""
@@ -396,9 +407,13 @@ def huber_step(p: np.ndarray, tau: float, delta: float, y: np.ndarray) -> tuple[
     return y - residual, np.where(inside, 1 / (1 + step), 1.0)
 
 
-def huber_delta(p: np.ndarray, tau: float, y: np.ndarray, seed: int = 1, draws: int = 100) -> float:
+def huber_delta(p: np.ndarray, tau: float, y: np.ndarray, seed: int = 1, draws: int = 100, spark: SparkSession | None = None) -> float:
     """The threshold with the least mean loss over z ~ N(p, 1/tau); the mean loss rises with
-    the threshold, so this is the least of the grid up to sampling noise."""
+    the threshold, so this is the least of the grid up to sampling noise.  With a session, draws are
+    made and averaged on the cluster."""
+    if spark is not None:
+        points = spark.createDataFrame(pa.table({"idx": np.arange(len(p)), "p": p, "y": y}))
+        return min((r["loss"], r["delta"]) for r in expected_huber_loss(points, tau, list(DELTAS), draws, seed).collect())[1]
     rng, loss = np.random.default_rng(seed), np.zeros(len(DELTAS))
     for _ in range(draws):
         w = np.abs(y - p - rng.normal(0, 1 / np.sqrt(tau), len(p)))
@@ -413,8 +428,15 @@ def _generalised(matrix: MarkerMatrix, v, y, prior, o: Options, covariates, star
     gam1 = o.gam1 or 1e-8
     tau1, delta = gam1, o.delta
     p1 = np.random.default_rng(o.seed).normal(size=n) if probit else np.zeros(n)
-    eta = probit_covariates(y[here], covariates[here], o.probit_variance) if probit and covariates is not None else None
-    offset = covariates @ eta if eta is not None else np.zeros(n)
+    eta, offset = None, np.zeros(n)
+    if probit and isinstance(covariates, DataFrame):
+        known = matrix.spark.createDataFrame(pa.table({"sample_idx": np.flatnonzero(here), "y": y[here]}))
+        width = len(covariates.first()["z"])
+        eta = probit_covariates_of(covariates.join(known, "sample_idx"), width, o.probit_variance)
+        offset = covariate_offset(covariates, eta, n)
+    elif probit and covariates is not None:
+        eta = probit_covariates(y[here], covariates[here], o.probit_variance)
+        offset = covariates @ eta
     rho, alpha1 = o.rho, 0.0
     if loop.scalars:
         gam1, tau1, delta, alpha1 = (loop.scalars[k] for k in ("gam1", "tau1", "delta", "alpha1"))
@@ -438,7 +460,7 @@ def _generalised(matrix: MarkerMatrix, v, y, prior, o: Options, covariates, star
             if done:
                 break
         if not probit and o.learn_delta:
-            delta = huber_delta(p1[here], tau1, y[here], o.seed + it)
+            delta = huber_delta(p1[here], tau1, y[here], o.seed + it, spark=getattr(matrix, "spark", None))
         p2 = np.where(here, (z1 - beta1 * p1) / (1 - beta1), 0.0)
         tau2 = clamp(tau1 * (1 - beta1) / beta1)
         alpha2 = float(np.clip(v.lmmse("x2", tau2, gam2, p2, "r2", None, o.cg_rounds, o.seed), 1e-8, 1 - 1e-8))

@@ -387,6 +387,36 @@ def test_tables_of_a_fit_are_deleted(spark):
     assert sorted(f.base_name for f in files.get_file_info(pafs.FileSelector(name))) == ["3", "series"]
 
 
+def test_probit_fit_takes_covariates_as_a_table(spark):
+    _, _, a, matrix = _dense(spark)
+    rng = np.random.default_rng(4)
+    z = np.column_stack([np.ones(60), rng.normal(size=60)])
+    y = (a @ rng.normal(size=20) + z @ [0.3, -0.8] + rng.normal(size=60) > 0).astype(float)
+    table = spark.createDataFrame([(i, [float(x) for x in row]) for i, row in enumerate(z)], "sample_idx long, z array<double>").repartition(3)
+    one, two = (models.fit(matrix, y, Prior((0.8, 0.2), (0.0, 1e-2)), models.Options(model="bin_class", iterations=2), covariates=c) for c in (z, table))
+    assert two.covariate_effects == pytest.approx(one.covariate_effects, abs=1e-7)
+    assert two.effects == pytest.approx(one.effects, rel=1e-5, abs=1e-9)
+    assert models.covariate_offset(table, [2.0, -1.0], 60) == pytest.approx(z @ [2.0, -1.0])
+
+
+def test_huber_threshold_is_learnt_on_the_cluster(spark):
+    """The loss of each threshold is its mean over draws, as an average in memory has it."""
+    from tesserix.operators import evaluate
+
+    rng = np.random.default_rng(4)
+    p, y, tau = rng.normal(size=50), rng.normal(size=50), 2.0
+    points = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(zip(p, y))], "idx long, p double, y double")
+    got = {r["delta"]: r["loss"] for r in evaluate.expected_huber_loss(points, tau, list(models.DELTAS), 400).collect()}
+    w = np.abs(y - p - rng.normal(0, 1 / np.sqrt(tau), (4000, 50)))
+    for d in models.DELTAS:
+        assert got[d] == pytest.approx(np.where(w <= d, w * w / 2, d * (w - d / 2)).mean(), rel=0.03)
+    assert models.huber_delta(p, tau, y, spark=spark) == models.huber_delta(p, tau, y) == models.DELTAS[0]
+    _, _, a, matrix = _dense(spark)
+    target = a @ rng.normal(size=20)
+    fit = models.fit(matrix, target / target.std(ddof=1), Prior((0.8, 0.2), (0.0, 1e-2)), models.Options(model="robust", iterations=1, learn_delta=True, delta=1.0))
+    assert [v for _, name, v in fit.trace if name == "delta"] == [models.DELTAS[0]]
+
+
 def test_probit_covariates():
     rng = np.random.default_rng(4)
     z = np.column_stack([np.ones(4000), rng.normal(size=4000)])
