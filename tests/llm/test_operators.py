@@ -171,6 +171,49 @@ def test_best_substring_is_exact():
         assert edits == want == edit_distance(p, t[a:b])
 
 
+def nearest_ends(pattern, text):
+    """Fewest edits between the pattern and any passage that ends after each word, by the plain recurrence."""
+    row = list(range(len(pattern) + 1))
+    out = [row[-1]]
+    for w in text:
+        last, row = row, [0]
+        for k, p in enumerate(pattern):
+            row.append(min(last[k] + (p != w), last[k + 1] + 1, row[k] + 1))
+        out.append(row[-1])
+    return out
+
+
+def test_decontamination_rows_are_those_of_plain_edit_distances(spark):
+    """Which passages are found, with how many edits and where, against all items and texts one by one."""
+    rng = random.Random(14)
+    words = [f"w{k}" for k in range(300)]
+    items = [(k, rng.choices(words, k=rng.randint(8, 45))) for k in range(25)]
+    texts = []
+    for k in range(60):
+        t = rng.choices(words, k=rng.randint(0, 40))
+        for _ in range(k % 3):
+            w = list(rng.choice(items)[1])
+            for _ in range(int(rng.choice([0, 0.1, 0.2, 0.35]) * len(w))):
+                at = rng.randrange(len(w))
+                rng.choice((lambda: w.pop(at), lambda: w.insert(at, rng.choice(words)), lambda: w.__setitem__(at, rng.choice(words))))()
+            t += w + rng.choices(words, k=rng.randint(20, 40))
+        texts.append((k, t))
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
+    rows = decontaminate.find_leaks(docs_of(spark, [(i, " ".join(w)) for i, w in texts]), bench).collect()
+    by_id, item_of = dict(texts), dict(items)
+    for r in rows:
+        passage = by_id[r["doc_id"]][r["first_word"] : r["first_word"] + r["n_words"]]
+        assert r["n_edits"] == edit_distance(np.array(item_of[r["item_id"]]), np.array(passage)) and r["n_item_words"] == len(item_of[r["item_id"]])
+    got = {}
+    for r in rows:
+        got.setdefault((r["doc_id"], r["item_id"]), []).append(r["n_edits"])
+    want = {(i, m): min(nearest_ends(item, t)) for i, t in texts for m, item in items}
+    want = {pair: n for pair, n in want.items() if n <= int(decontaminate.EDITS * len(item_of[pair[1]]))}
+    # what is found is right to the edit, and all but a hundredth at the most edits is found
+    assert {p: min(n) for p, n in got.items()} == {p: n for p, n in want.items() if p in got}
+    assert set(got) <= set(want) and len(got) >= 0.97 * len(want) > 25
+
+
 def test_decontamination_recall_and_precision(spark):
     rng = random.Random(4)
     word = lambda: "".join(rng.choice("aeiounrst") for _ in range(rng.randint(2, 4)))
@@ -340,6 +383,66 @@ def test_toxicity_learns_from_texts_and_finds_sentences(spark):
     assert all(r["predicted"] == 0 for r in none) and toxicity.classify(docs_of(spark, []), labels).count() == 0
 
 
+def test_toxicity_fit_is_at_the_optimum_of_the_plain_likelihood():
+    """The penalised likelihood, counted text by text and word by word, has no slope where the fit ends."""
+    import math
+
+    rng = random.Random(6)
+    bad, plain = [f"bad{k}" for k in range(4)], [f"word{k}" for k in range(30)]
+    texts = []
+    for k in range(240):
+        sentences = [[rng.choice(plain) for _ in range(5)] for _ in range(rng.randint(1, 4))]
+        if k % 3 == 0 or rng.random() < 0.05:
+            rng.choice(sentences)[rng.randrange(5)] = rng.choice(bad)
+        texts.append((int(k % 3 == 0 or rng.random() < 0.03), ". ".join(" ".join(s) for s in sentences)))
+    bags = []
+    for label, text in texts:
+        s = toxicity.Sentences(pa.array([text]))
+        bags.append((label, s.features, np.bincount(s.sentence, minlength=len(s.text)).astype(np.int32)))
+    model = toxicity.fit(bags)
+    weight = {f"{w}": 0.0 for w in bad}
+    vocabulary = model.vocabulary.tolist()
+    assert len(vocabulary) >= len(weight)
+    per_text = {}
+    for label, features, lengths in bags:
+        if (label, features.tobytes()) not in per_text:
+            cut = np.split(features, np.cumsum(lengths)[:-1])
+            per_text[label, features.tobytes()] = (label, [set(c.tolist()) & set(vocabulary) for c in cut])
+
+    def loss(weights, bias):
+        total = 0.0
+        for label, sentences in per_text.values():
+            clean = sum(math.log1p(math.exp(bias + sum(weights[f] for f in s))) for s in sentences)
+            total += -math.log(-math.expm1(-clean)) if label else clean
+        return total / len(per_text) + toxicity.RIDGE / 200 * sum(w * w for w in weights.values())
+
+    at, bias, h = dict(zip(vocabulary, model.weights.tolist())), model.bias, 1e-4
+    slopes = [(loss(at, bias + h) - loss(at, bias - h)) / (2 * h)]
+    for f in vocabulary:
+        slopes.append((loss(at | {f: at[f] + h}, bias) - loss(at | {f: at[f] - h}, bias)) / (2 * h))
+    assert max(map(abs, slopes)) < 2e-3
+    # and no step of a plain descent from there lowers it by much
+    lower = loss({f: w - 5 * g for (f, w), g in zip(at.items(), slopes[1:])}, bias - 5 * slopes[0])
+    assert loss(at, bias) - lower < 1e-4
+
+
+def test_toxicity_scores_long_texts_and_repeated_rows(spark):
+    """Scores of texts of many blocks are those of their sentences, and repeated rows score alike."""
+    rng = random.Random(2)
+    plain = lambda n: " ".join(rng.choice(["alpha", "beta", "gamma", "delta", "eps"]) for _ in range(n))
+    texts = [(k, plain(20) + ". " + (f"you foul {plain(3)}. " if k % 2 else "") + plain(9)) for k in range(120)]
+    labels = spark.createDataFrame([(k, k % 2) for k, _ in texts], "doc_id long, toxic int")
+    model = toxicity.train(docs_of(spark, texts), labels)
+    long = (plain(30) + ". ") * 9_000
+    rows = [(500, long), (501, long + "you foul alpha."), (502, texts[1][1]), (502, texts[1][1])]
+    got = toxicity.score_texts(docs_of(spark, rows).select("doc_id", "text"), model).collect()
+    scores = {i: {r["score"] for r in got if r["doc_id"] == i} for i, _ in rows}
+    want = {i: float(model.score(pa.array([t]))[0][0]) for i, t in rows}
+    assert all(len(s) == 1 and abs(next(iter(s)) - want[i]) < 1e-12 for i, s in scores.items())
+    spans = next(r["offending"] for r in got if r["doc_id"] == 501)
+    assert [(long + "you foul alpha.")[s["start"] : s["end"]] for s in spans] == ["you foul alpha"]
+
+
 def test_toxicity_sample_skips_long_texts(spark):
     rng = random.Random(12)
     word = lambda: "".join(rng.choice("aeioulmnr") for _ in range(4))
