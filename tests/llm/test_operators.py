@@ -430,8 +430,8 @@ def test_toxicity_scores_long_texts_and_repeated_rows(spark):
     """Scores of texts of many blocks are those of their sentences, and repeated rows score alike."""
     rng = random.Random(2)
     plain = lambda n: " ".join(rng.choice(["alpha", "beta", "gamma", "delta", "eps"]) for _ in range(n))
-    texts = [(k, plain(20) + ". " + (f"you foul {plain(3)}. " if k % 2 else "") + plain(9)) for k in range(120)]
-    labels = spark.createDataFrame([(k, k % 2) for k, _ in texts], "doc_id long, toxic int")
+    texts = [(k, plain(20) + ". " + (f"you foul {plain(3)}. " if k % 6 == 1 else "") + plain(9)) for k in range(600)]
+    labels = spark.createDataFrame([(k, int(k % 6 == 1)) for k, _ in texts], "doc_id long, toxic int")
     model = toxicity.train(docs_of(spark, texts), labels)
     long = (plain(30) + ". ") * 9_000
     rows = [(500, long), (501, long + "you foul alpha."), (502, texts[1][1]), (502, texts[1][1])]
