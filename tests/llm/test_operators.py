@@ -429,18 +429,18 @@ def test_toxicity_fit_is_at_the_optimum_of_the_plain_likelihood():
 def test_toxicity_scores_long_texts_and_repeated_rows(spark):
     """Scores of texts of many blocks are those of their sentences, and repeated rows score alike."""
     rng = random.Random(2)
-    plain = lambda n: " ".join(rng.choice(["alpha", "beta", "gamma", "delta", "eps"]) for _ in range(n))
-    texts = [(k, plain(20) + ". " + (f"you foul {plain(3)}. " if k % 6 == 1 else "") + plain(9)) for k in range(600)]
-    labels = spark.createDataFrame([(k, int(k % 6 == 1)) for k, _ in texts], "doc_id long, toxic int")
+    plain = lambda *more: " ".join([*("".join(rng.choice("aeioulmnr") for _ in range(4)) for _ in range(6)), *more])
+    texts = [(k, ". ".join([plain(), plain("grimfoul") if k % 4 == 0 else plain(), plain()])) for k in range(900)]
+    labels = spark.createDataFrame([(k, int(k % 4 == 0)) for k, _ in texts], "doc_id long, toxic int")
     model = toxicity.train(docs_of(spark, texts), labels)
-    long = (plain(30) + ". ") * 9_000
-    rows = [(500, long), (501, long + "you foul alpha."), (502, texts[1][1]), (502, texts[1][1])]
+    long = (plain() + ". ") * 40_000
+    rows = [(1500, long), (1501, long + "you grimfoul alpha."), (1502, texts[4][1]), (1502, texts[4][1])]
     got = toxicity.score_texts(docs_of(spark, rows).select("doc_id", "text"), model).collect()
     scores = {i: {r["score"] for r in got if r["doc_id"] == i} for i, _ in rows}
     want = {i: float(model.score(pa.array([t]))[0][0]) for i, t in rows}
     assert all(len(s) == 1 and abs(next(iter(s)) - want[i]) < 1e-12 for i, s in scores.items())
-    spans = next(r["offending"] for r in got if r["doc_id"] == 501)
-    assert [(long + "you foul alpha.")[s["start"] : s["end"]] for s in spans] == ["you foul alpha"]
+    spans = next(r["offending"] for r in got if r["doc_id"] == 1501)
+    assert [rows[1][1][s["start"] : s["end"]] for s in spans] == ["you grimfoul alpha"]
 
 
 def test_toxicity_sample_skips_long_texts(spark):
