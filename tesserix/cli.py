@@ -224,16 +224,6 @@ def _estimates(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     return genomics.read_estimates(spark, a.estimate_file, low, high).select("it", "marker_idx", "beta")
 
 
-def matched(estimates: DataFrame, fitted: DataFrame, tested: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """A table of estimates by the test markers' numbers, joined by their ids (``marker_idx, marker_id`` of
-    both sides), and the ids that one side lacks (``marker_id, only_in``); their effects count as 0."""
-    fitted, tested = fitted.withColumnRenamed("marker_idx", "fitted_idx"), tested.select(F.col("marker_idx").alias("tested_idx"), "marker_id")
-    missing = tested.join(fitted, "marker_id", "left_anti").select("marker_id", F.lit("test").alias("only_in"))
-    missing = missing.unionAll(fitted.join(tested, "marker_id", "left_anti").select("marker_id", F.lit("fit")))
-    pairs = tested.join(fitted, "marker_id").select("tested_idx", F.col("fitted_idx").alias("marker_idx"))
-    return estimates.join(pairs, "marker_idx").drop("marker_idx").withColumnRenamed("tested_idx", "marker_idx"), missing
-
-
 def run_evaluation(spark: SparkSession, a: argparse.Namespace, out: str, estimates: DataFrame, effects=None) -> None:
     """Predictions of the test samples by iteration, with R squared or the rates of the classes."""
     study = Study(spark, a, test=True)
@@ -242,7 +232,7 @@ def run_evaluation(spark: SparkSession, a: argparse.Namespace, out: str, estimat
     names = [f"x{k}" for k in range(len(its))]
     wide = wide.toDF("marker_idx", *names)
     if a.bim_file and a.bim_file_test:
-        wide, missing = matched(wide, genomics.read_marker_ids(spark, a.bim_file), genomics.read_marker_ids(spark, a.bim_file_test))
+        wide, missing = evaluate.matched(wide, genomics.read_marker_ids(spark, a.bim_file), genomics.read_marker_ids(spark, a.bim_file_test))
         missing.write.mode("overwrite").parquet(f"{out}_unmatched")
     elif (found := estimates.agg(F.max("marker_idx") + 1).first()[0]) != study.matrix.n_markers:
         raise SystemExit(f"{found} estimates for {study.matrix.n_markers} test markers; give --bim-file and --bim-file-test to match ids")

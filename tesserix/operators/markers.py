@@ -248,6 +248,10 @@ class ClusterMarkers:
 
         return self.matrix.rows.join(table, "marker_idx").mapInArrow(run, schema)
 
+    def transpose_times(self, name: str, u: np.ndarray) -> None:
+        """A'u / sqrt(N) of a vector of samples."""
+        self.table = self._with_transposed(self.table, [name], u[:, None])
+
     def _with_probe(self, table: DataFrame, seed: int) -> DataFrame:
         n, schema = self.n, _with_doubles(table, ["probe"])
 
@@ -257,7 +261,7 @@ class ClusterMarkers:
 
         return table.mapInArrow(run, schema)
 
-    def _conjugate_gradient(self, tau: float, gamma: float, systems: list[tuple[str, str, str | None]], rounds: int, tolerance: float = 1e-5) -> None:
+    def conjugate_gradient(self, tau: float, gamma: float, systems: list[tuple[str, str, str | None]], rounds: int, tolerance: float = 1e-5) -> None:
         """Solves (tau A'A + gamma) x = b for (x, b, start) by name; as the solver on the driver, whose
         preconditioner is the same number for all markers.
 
@@ -312,13 +316,13 @@ class ClusterMarkers:
     def lmmse(self, name: str, tau: float, gamma: float, target: np.ndarray, r2: str, start: str | None, rounds: int, seed: int) -> float:
         table = self._with_probe(self._with_transposed(self.table, ["b"], target[:, None]), seed)
         self.table = table.withColumn("b", tau * F.col("b") + gamma * F.col(r2))
-        self._conjugate_gradient(tau, gamma, [(name, "b", start), ("solved", "probe", None)], rounds)
+        self.conjugate_gradient(tau, gamma, [(name, "b", start), ("solved", "probe", None)], rounds)
         self._write(*(c for c in self.table.columns if c not in ("marker_idx", "live", "b")))
         return gamma * self.table.agg(F.sum(F.col("probe") * F.col("solved"))).first()[0]
 
     def lmmse_by_samples(self, name: str, tau: float, gamma: float, target: np.ndarray, r2: str, start, rounds: int, seed: int) -> tuple[float, np.ndarray]:
         self.table = self._with_probe(self.table, seed)
-        self._conjugate_gradient(tau, gamma, [("solved", "probe", None)], rounds)
+        self.conjugate_gradient(tau, gamma, [("solved", "probe", None)], rounds)
         apply = lambda v: tau * self.matrix.gram_times(v) + gamma * v if v.any() else np.zeros_like(v)
         b = target - self.times(r2)[:, 0]
         u, _ = solvers.conjugate_gradient(apply, b, tau * self.matrix.sample_diagonal() + gamma, start, rounds, 1e-4)

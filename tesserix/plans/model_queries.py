@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import cells as op, models, simulate, solvers
+from ..operators.markers import ClusterMarkers
 from ..operators.matrix import MarkerMatrix
 from ..operators.prior import Prior
 from ..sources import genomics
@@ -86,8 +87,7 @@ _START = Prior((0.6, 0.3, 0.1), (0.0, 1e-3, 1e-2))
 
 
 def _estimates(spark, fit: models.Fit) -> DataFrame:
-    rows = [(it, j, float(v)) for it, x in enumerate(fit.estimates, start=1) for j, v in enumerate(x)]
-    return spark.createDataFrame(rows, "it int, marker_idx long, beta double")
+    return fit.table(spark).select("it", "marker_idx", "beta")
 
 
 def linear_fit_k(spark, d):
@@ -95,6 +95,21 @@ def linear_fit_k(spark, d):
     return _estimates(spark, models.fit(matrix, y, _START, models.Options(iterations=3)))
 
 
+def cg_step_on_cluster(spark, d):
+    """The two rounds of :func:`cg_step_k` with its vectors as columns of a table."""
+    matrix, y = _matrix(spark, d)
+    vectors = ClusterMarkers(matrix)
+    vectors.transpose_times("b", y)
+    vectors.conjugate_gradient(TAU, GAMMA, [("mu", "b", None)], rounds=2, tolerance=0.0)
+    return rounded(vectors.table.select("marker_idx", "mu"))
+
+
+def cluster_fit_k(spark, d):
+    """A fit whose vectors of markers never are on the driver."""
+    matrix, y = _matrix(spark, d)
+    return _estimates(spark, models.fit(matrix, y, _START, models.Options(iterations=2), on_cluster=True))
+
+
 def linear_fit_by_samples(spark, d):
     matrix, y = _matrix(spark, d)
     return _estimates(spark, models.fit(matrix, y, _START, models.Options(iterations=3, by_samples=True)))
@@ -234,6 +249,7 @@ _PROBE = "SELECT m, (1 - 2 * ((m * (m + 1) // 2) % 2)) / sqrt(mt) AS b FROM st,
 SQL = {
     "lmmse_apply": DENSE + _Q + f" SELECT i AS marker_idx, {_r('sum(q / (1.0 + j))')} AS value FROM q GROUP BY i",
     "cg_step_k": _cg_sql("SELECT m, r AS b FROM r") + f" SELECT m AS marker_idx, {_r('mu')} AS mu FROM sol",
+    "cg_step_on_cluster": _cg_sql("SELECT m, r AS b FROM r") + f" SELECT m AS marker_idx, {_r('mu')} AS mu FROM sol",
     "rademacher_trace": _cg_sql(_PROBE) + f" SELECT {_r('0.8 * sum(mu * b)')} AS alpha2 FROM sol JOIN b USING (m)",
     "noise_precision_update": DENSE + _ATY + _Q + f""", b AS ({_PROBE}), f AS (
         SELECT s, sum(a * r / 10) AS z, sum(a * b) AS u, sum(a * b / dg) AS v FROM a JOIN r USING (m) JOIN b USING (m), dg GROUP BY s)
@@ -256,7 +272,7 @@ SQL = {
 QUERIES = {
     f.__name__: f
     for f in (
-        lmmse_apply, cg_step_k, lmmse_sample_space, rademacher_trace, noise_precision_update, linear_fit_k, linear_fit_by_samples,
+        lmmse_apply, cg_step_k, cg_step_on_cluster, cluster_fit_k, lmmse_sample_space, rademacher_trace, noise_precision_update, linear_fit_k, linear_fit_by_samples,
         probit_fit_k, robust_fit_k, probit_covariate_fit, simulate_mixture, simulate_linear, scan_bed, scan_phen, scan_bim,
         scan_cov, scan_f64,
     )

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import association, cells as op, simulate
+from ..operators import association, cells as op, evaluate, simulate
 from ..operators.matrix import MarkerMatrix, unpacked
 from ..operators.prior import Prior
 from ..sources import genomics
@@ -149,6 +149,22 @@ def estimates_of_iterations(spark, d):
     return rounded(genomics.read_estimates(spark, path, first=2).select(F.col("it").cast("int").alias("it"), "marker_idx", "beta"))
 
 
+def estimates_by_id(spark, d):
+    """Prices of parts as estimates, brought to markers with the ids of customers; what has no match is left out."""
+    part, customer = w.table(spark, d, "part"), w.table(spark, d, "customer")
+    fitted = part.select(F.col("p_partkey").alias("marker_idx"), F.concat(F.lit("rs"), "p_partkey").alias("marker_id"))
+    tested = customer.select((F.col("c_custkey") * 2).alias("marker_idx"), F.concat(F.lit("rs"), F.col("c_custkey") * 3).alias("marker_id"))
+    estimates = part.select(F.col("p_partkey").alias("marker_idx"), F.col("p_retailprice").alias("beta"))
+    return evaluate.matched(estimates, fitted, tested)[0].select("marker_idx", "beta")
+
+
+def unmatched_ids(spark, d):
+    part, customer = w.table(spark, d, "part"), w.table(spark, d, "customer")
+    fitted = part.select(F.col("p_partkey").alias("marker_idx"), F.concat(F.lit("rs"), "p_partkey").alias("marker_id"))
+    tested = customer.select((F.col("c_custkey") * 2).alias("marker_idx"), F.concat(F.lit("rs"), F.col("c_custkey") * 3).alias("marker_id"))
+    return evaluate.matched(fitted.select("marker_idx"), fitted, tested)[1]
+
+
 _CAUSAL = "CAST(mt // 10 AS DOUBLE)"
 _FIRST = "vec_id AS idx, CAST(embedding[1] AS DOUBLE) AS value FROM embeddings"
 
@@ -176,6 +192,9 @@ SQL = {
     "scan_covariate_cells": """SELECT s AS sample_idx, CAST(c AS INTEGER) AS c, CAST([1, n_chars, CASE WHEN lang = 'en' THEN 1 ELSE 0 END][c + 1] AS DOUBLE) AS value
         FROM (SELECT row_number() OVER (ORDER BY d.doc_id) - 1 AS s, n_chars, lang FROM documents d JOIN labels l ON d.doc_id = l.doc_id), (SELECT unnest(range(3)) AS c)""",
     "scan_marker_ids": "SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS marker_idx, 'rs' || p_partkey AS marker_id FROM part",
+    "estimates_by_id": "SELECT c_custkey * 2 AS marker_idx, p_retailprice AS beta FROM customer JOIN part ON p_partkey = c_custkey * 3",
+    "unmatched_ids": """SELECT 'rs' || (c_custkey * 3) AS marker_id, 'test' AS only_in FROM customer WHERE c_custkey * 3 NOT IN (SELECT p_partkey FROM part)
+        UNION ALL SELECT 'rs' || p_partkey, 'fit' FROM part WHERE p_partkey NOT IN (SELECT c_custkey * 3 FROM customer)""",
     "sink_vector": f"SELECT {_FIRST}",
     "sink_text_vector": f"SELECT {_FIRST}",
     "estimates_of_iterations": f"""SELECT CAST(it AS INTEGER) AS it, idx AS marker_idx, {_r("value * it")} AS beta
@@ -187,6 +206,6 @@ QUERIES = {
     for f in (
         packed_at_x, packed_a_x, gram, packed_subrange_product, packed_loo_ttest, packed_loco_ttest, unpack_calls, simulate_sparse, simulate_heavy_tails,
         simulate_rescaled, simulate_dense_cells, simulate_phenotype, signal_variances, scan_dense, scan_text_vector,
-        scan_covariate_cells, scan_marker_ids, sink_vector, sink_text_vector, estimates_of_iterations,
+        scan_covariate_cells, scan_marker_ids, estimates_by_id, unmatched_ids, sink_vector, sink_text_vector, estimates_of_iterations,
     )
 }

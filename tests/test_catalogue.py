@@ -30,8 +30,8 @@ def test_query_matches_its_oracle(spark, oracle, name):
 
 
 def test_other_queries_run(spark):
-    for name in ("ttest_pvalue", "probit_denoise", "probit_covariate_fit", "scan_bed", "scan_phen", "scan_cov"):
-        assert catalogue.queries()[name](spark, SF).count() > 0
+    for name in sorted(set(catalogue.queries()) - set(catalogue.oracle_sql())):
+        assert catalogue.queries()[name](spark, SF).count() > 0, name
 
 
 def test_entry(spark):
