@@ -77,6 +77,8 @@ class Options:
     #: Whether LMMSE steps are solved by way of A'A; told by the number of markers if not given.
     gram: bool | None = None
     probit_variance: float = 1.0
+    #: Whether the probit model's noise variance is learnt from its latent values, from the second iteration on.
+    learn_probit_variance: bool = False
     delta: float = 1e-3
     learn_delta: bool = False
     seed: int = 1
@@ -299,7 +301,7 @@ def _linear(matrix: MarkerMatrix, v, y, prior, o: Options, started: bool, denois
         rho = max(rho, min(2 * min(alpha1, alpha2), 1.0))
         if it == 1 and not denoiser:
             prior = learn_prior(v, "r1", gam1, prior, o)
-        note(it, gam1=gam1, gam2=gam2, r2_x1=_r2(y, z1))
+        note(it, alpha1=alpha1, gam1=gam1, gam2=gam2, r2_x1=_r2(y, z1))
         part, own = _tenth(matrix, y, o.seed + it) if o.reduced else (matrix, y)
         v.matrix = part
         if o.by_samples:
@@ -396,6 +398,55 @@ def probit_covariates_of(table: DataFrame, n_covariates: int, variance: float =
     return eta
 
 
+def _variance_scores(z: np.ndarray, y: np.ndarray, variances: np.ndarray, eta: float | None, nodes: int = 24) -> np.ndarray:
+    """Sums over rows of the slope of E log Phi((2y - 1) z / sqrt(v)) in log v, over z with precision
+    ``eta`` around what is given (or just that), at each v."""
+    at, weight = (np.zeros(1), np.ones(1)) if eta is None else np.polynomial.hermite_e.hermegauss(nodes)
+    sign, out = 2 * y - 1, np.zeros(len(variances))
+    for a, w in zip(at, weight / weight.sum(), strict=True):
+        drawn = sign * (z if eta is None else z + a / np.sqrt(eta))
+        for k, v in enumerate(variances):
+            c = drawn / np.sqrt(v)
+            out[k] += w * float((-c * inverse_mills(c)).sum()) / 2
+    return out
+
+
+def probit_variance(points, eta: float | None = None, low: float = 1e-4, high: float = 1e4, trials: int = 8, rounds: int = 8) -> float:
+    """The noise variance at which the expected likelihood of ``y`` given ``z`` has no slope.
+
+    ``points``: a table of ``z, y``, or two arrays.  The slope falls through zero, so each round brackets
+    that among ``trials`` values, all in one aggregate, and the last bracket's middle (on a log scale) is
+    the answer; one of the bounds, if the slope has one sign between them.
+    """
+
+    def scores(variances: np.ndarray) -> np.ndarray:
+        if not isinstance(points, DataFrame):
+            return _variance_scores(*points, variances, eta)
+
+        def run(batches):
+            total = np.zeros(len(variances))
+            for batch in batches:
+                total += _variance_scores(batch.column("z").to_numpy(), batch.column("y").to_numpy(), variances, eta)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], ["k", "value"])
+
+        known = points.select(F.col("z").cast("double"), F.col("y").cast("double")).where("z IS NOT NULL AND y IS NOT NULL")
+        out = np.zeros(len(variances))
+        for row in known.mapInArrow(run, "k long, value double").groupBy("k").agg(F.sum("value").alias("value")).collect():
+            out[row["k"]] = row["value"]
+        return out
+
+    for _ in range(rounds):
+        tried = np.exp(np.linspace(np.log(low), np.log(high), trials + 2))
+        up = scores(tried) > 0
+        if up[-1]:
+            return high
+        if not up[0]:
+            return low
+        k = int(np.flatnonzero(up)[-1])
+        low, high = float(tried[k]), float(tried[k + 1])
+    return float(np.sqrt(low * high))
+
+
 #: Thresholds of the Huber loss that are compared when it is learnt (fixed values).
 DELTAS = (1e-6, 1e-5, 1e-4, 1e-3, 1e-2, 1e-1, 0.2, 0.4, 0.6, 0.8, 1, 1.5, 2, 3)
 
@@ -437,9 +488,9 @@ def _generalised(matrix: MarkerMatrix, v, y, prior, o: Options, covariates, star
     elif probit and covariates is not None:
         eta = probit_covariates(y[here], covariates[here], o.probit_variance)
         offset = covariates @ eta
-    rho, alpha1 = o.rho, 0.0
+    rho, alpha1, variance = o.rho, 0.0, o.probit_variance
     if loop.scalars:
-        gam1, tau1, delta, alpha1 = (loop.scalars[k] for k in ("gam1", "tau1", "delta", "alpha1"))
+        gam1, tau1, delta, alpha1, variance = (loop.scalars[k] for k in ("gam1", "tau1", "delta", "alpha1", "variance"))
         p1 = loop.arrays["p1"]
     out = Fit(None, prior, covariate_effects=eta)
     note = lambda it, **v: out.trace.extend((it, k, float(x)) for k, x in v.items())
@@ -449,7 +500,7 @@ def _generalised(matrix: MarkerMatrix, v, y, prior, o: Options, covariates, star
         v.combine("r2", {"x1": eta1 / gam2, "r1": -gam1 / gam2})
         for _ in range(50 if it > 1 else 1):
             if probit:
-                z1, slope = probit_denoise(p1, tau1, y, offset, o.probit_variance)
+                z1, slope = probit_denoise(p1, tau1, y, offset, variance)
             else:
                 z1, slope = huber_step(p1, tau1, delta, y)
             beta1 = float(np.clip(slope[here].mean(), 1e-8, 1 - 1e-8))
@@ -459,6 +510,11 @@ def _generalised(matrix: MarkerMatrix, v, y, prior, o: Options, covariates, star
             done, tau1 = abs(new - tau1) < 1e-3 * tau1, new
             if done:
                 break
+        if probit and o.learn_probit_variance and it > 1:
+            points = (z1[here] + offset[here], y[here])
+            spark = getattr(matrix, "spark", None)
+            variance = probit_variance(points if spark is None else spark.createDataFrame(pa.table({"z": points[0], "y": points[1]})), tau1 / beta1)
+            note(it, probit_variance=variance)
         if not probit and o.learn_delta:
             delta = huber_delta(p1[here], tau1, y[here], o.seed + it, spark=getattr(matrix, "spark", None))
         p2 = np.where(here, (z1 - beta1 * p1) / (1 - beta1), 0.0)
@@ -474,7 +530,7 @@ def _generalised(matrix: MarkerMatrix, v, y, prior, o: Options, covariates, star
         p1 = (z2 - beta2 * p2) / (1 - beta2)
         tau1 = clamp(tau2 * (1 - beta2) / beta2)
         note(it, gam1=gam1, gam2=gam2, tau1=tau1, tau2=tau2, alpha2=alpha2, delta=delta, components=len(prior.probs))
-        scalars = {"gam1": gam1, "tau1": tau1, "delta": delta, "alpha1": alpha1}
+        scalars = {"gam1": gam1, "tau1": tau1, "delta": delta, "alpha1": alpha1, "variance": variance}
         if loop.end(it, v, _stands(v, it, o), prior, scalars, {"p1": p1}):
             break
     out.prior = prior

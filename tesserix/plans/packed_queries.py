@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import association, cells as op, evaluate, simulate
+from ..operators.cell_tables import CellTables
 from ..operators.matrix import MarkerMatrix, unpacked
 from ..operators.prior import Prior
 from ..sources import genomics
 from . import association_queries as base, workloads as w
 from .association_queries import _r, rounded
 from .model_queries import PARTS, _by_marker, _matrix, annotation, covariate_file, mixture_sql, new_file, normal_sql, parts, written_lines
+from .session import shared_folder
 
 
 def _by_sample(spark: SparkSession, ids: list[int], values: np.ndarray) -> DataFrame:
@@ -31,6 +31,26 @@ def packed_a_x(spark, d):
     return _by_sample(spark, matrix.sample_ids, matrix.times(1 / (1.0 + np.arange(matrix.n_markers))))
 
 
+def _of_tables(spark, d, product) -> DataFrame:
+    """A product over bucketed cells, whose tables are dropped once it is written."""
+    cells, pheno = w.dense(spark, d), w.dense_phenotype(spark, d)
+    shared_folder(spark)
+    tables = CellTables(cells, pheno, 8)
+    try:
+        return rounded(product(tables, op.scaled_phenotype(pheno)).checkpoint())
+    finally:
+        tables.drop()
+
+
+def bucketed_at_x(spark, d):
+    return _of_tables(spark, d, lambda tables, y: tables.at_x(y.select("sample_idx", F.col("y").alias("u"))))
+
+
+def bucketed_a_x(spark, d):
+    x = w.dense(spark, d).select("marker_idx").distinct().select("marker_idx", (1 / (F.col("marker_idx") + 1.0)).alias("x"))
+    return _of_tables(spark, d, lambda tables, y: tables.a_x(x))
+
+
 def gram(spark, d):
     """A'A of all pairs of markers, the upper triangle."""
     return rounded(_matrix(spark, d)[0].gram())
@@ -171,6 +191,8 @@ _FIRST = "vec_id AS idx, CAST(embedding[1] AS DOUBLE) AS value FROM embeddings"
 SQL = {
     "packed_at_x": base.SQL["at_x"],
     "packed_a_x": base.SQL["a_x"],
+    "bucketed_at_x": base.SQL["at_x"],
+    "bucketed_a_x": base.SQL["a_x"],
     "gram": base.DENSE + f" SELECT x.m AS i, y.m AS j, {_r('sum(x.a * y.a)')} AS value FROM a x JOIN a y ON x.s = y.s AND x.m <= y.m GROUP BY 1, 2",
     "packed_subrange_product": base.SQL["sample_subrange_product"],
     "packed_loo_ttest": base.SQL["loo_ttest"],
@@ -204,7 +226,7 @@ SQL = {
 QUERIES = {
     f.__name__: f
     for f in (
-        packed_at_x, packed_a_x, gram, packed_subrange_product, packed_loo_ttest, packed_loco_ttest, unpack_calls, simulate_sparse, simulate_heavy_tails,
+        packed_at_x, packed_a_x, bucketed_at_x, bucketed_a_x, gram, packed_subrange_product, packed_loo_ttest, packed_loco_ttest, unpack_calls, simulate_sparse, simulate_heavy_tails,
         simulate_rescaled, simulate_dense_cells, simulate_phenotype, signal_variances, scan_dense, scan_text_vector,
         scan_covariate_cells, scan_marker_ids, estimates_by_id, unmatched_ids, sink_vector, sink_text_vector, estimates_of_iterations,
     )

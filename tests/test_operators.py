@@ -417,6 +417,92 @@ def test_huber_threshold_is_learnt_on_the_cluster(spark):
     assert [v for _, name, v in fit.trace if name == "delta"] == [models.DELTAS[0]]
 
 
+def test_bucketed_cells_stay_where_they_are(spark):
+    from tesserix.operators.cell_tables import CellTables
+
+    cells, pheno, a, _ = _dense(spark)
+    tables = CellTables(cells, pheno, 4)
+    rng = np.random.default_rng(5)
+    u, x = rng.normal(size=60), rng.normal(size=20)
+    table = lambda v, index, name: spark.createDataFrame([(k, float(e)) for k, e in enumerate(v)], f"{index} long, {name} double")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        for limit in (before, "100"):
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+            for product, want, side in ((tables.at_x(table(u, "sample_idx", "u")), a.T @ u, "sample"), (tables.a_x(table(x, "marker_idx", "x")), a @ x, "marker")):
+                assert [r["value"] for r in product.orderBy(product.columns[0]).collect()] == pytest.approx(want)
+                exchanges = [line for line in plan(product).splitlines() if "Exchange hashpartitioning" in line]
+                # the vector and the partial sums, if the vector is long
+                assert len(exchanges) == (0 if limit == before else 2)
+                if limit != before:
+                    other = "marker" if side == "sample" else "sample"
+                    assert [f"hashpartitioning({other}_idx" in e for e in exchanges].count(True) == 1
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    tables.drop()
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("cells_by_")]
+
+
+def test_state_evolution_tells_a_fit_s_mean_derivatives():
+    """Of a fit over a random matrix, with the prior that effects were drawn from."""
+    from tesserix.operators import markers, state_evolution as se
+
+    n, m = 3000, 2000
+    rng = np.random.default_rng(8)
+    z = rng.normal(size=(n, m))
+    z = (z - z.mean(axis=0)) / z.std(axis=0, ddof=1)
+    prior = Prior((0.9, 0.1), (0.0, 0.5 / (0.1 * m)))
+    beta = np.where(rng.random(m) < 0.1, rng.normal(0, np.sqrt(0.5 / (0.1 * m)), m), 0.0)
+    y = z @ beta + rng.normal(0, np.sqrt(0.5), n)
+    fit = models.fit(Dense(z / np.sqrt(n)), y, prior, models.Options(iterations=6, rho=1.0, em_rounds=0, gamw=2.0, learn_variances=False))
+    traced = {name: {it: v for it, k, v in fit.trace if k == name} for name in ("alpha1", "gam1")}
+    for it in range(2, 7):
+        step = se.denoising_step(traced["gam1"][it], prior.scaled(n))
+        assert step.alpha == pytest.approx(traced["alpha1"][it], rel=0.05)
+        assert step.eta == pytest.approx(traced["gam1"][it] / step.alpha) and step.gamma == pytest.approx(step.eta - traced["gam1"][it])
+    # quadrature against plain averages, damping, and the other step against its trace
+    draws = rng.normal(size=400_000) * np.sqrt(np.where(rng.random(400_000) < 0.1, prior.variances[1] * n, 0) + 1 / 2.0)
+    assert se.mean_slope(2.0, prior.scaled(n)) == pytest.approx(markers.denoise(draws, 2.0, prior.scaled(n))[1].mean(), rel=0.01)
+    damped = se.denoising_step(2.0, prior.scaled(n), 0.25, 3.0)
+    assert damped.alpha == pytest.approx(0.25 * se.mean_slope(2.0, prior.scaled(n)) + 0.75 * se.mean_slope(3.0, prior.scaled(n)))
+    spectrum = np.linalg.eigvalsh(z.T @ z / n)
+    assert se.lmmse_step(0.7, 2.0, spectrum).alpha == pytest.approx(0.7 * np.trace(np.linalg.inv(2.0 * z.T @ z / n + 0.7 * np.eye(m))) / m)
+    path = se.trajectory(traced["gam1"][2], 2.0, prior.scaled(n), spectrum, 8)
+    assert path[-1][0].alpha == pytest.approx(path[-2][0].alpha, rel=1e-2) and path[-1][0].alpha == pytest.approx(traced["alpha1"][6], rel=0.1)
+
+
+def test_probit_variance_is_recovered(spark):
+    rng = np.random.default_rng(12)
+    z = rng.normal(0, 2, 40_000)
+    for planted in (0.3, 2.5):
+        y = (z + np.sqrt(planted) * rng.normal(size=len(z)) > 0).astype(float)
+        got = models.probit_variance((z, y))
+        assert got == pytest.approx(planted, rel=0.1)
+    import pandas as pd
+
+    table = spark.createDataFrame(pd.DataFrame({"z": z, "y": y})).repartition(5).unionAll(spark.createDataFrame([(None, 1.0), (1.0, None)], "z double, y double"))
+    assert models.probit_variance(table) == pytest.approx(got, rel=1e-9)
+    # latent values that are known with some noise: quadrature against draws
+    few = slice(0, 400)
+    want = np.mean([models._variance_scores(z[few] + rng.normal(0, 0.5, 400), y[few], np.array([0.5, 2.0]), None) for _ in range(2000)], axis=0)
+    assert models._variance_scores(z[few], y[few], np.array([0.5, 2.0]), 4.0) == pytest.approx(want, rel=0.02, abs=0.3)
+    # no sign change: the bound that the likelihood tends to
+    assert models.probit_variance((np.ones(50), np.ones(50))) == 1e-4
+    assert models.probit_variance((np.ones(50), np.zeros(50))) == 1e4
+
+
+def test_probit_fit_learns_its_noise_variance(spark):
+    _, _, a, matrix = _dense(spark)
+    rng = np.random.default_rng(4)
+    y = (a @ rng.normal(size=20) * 3 + rng.normal(size=60) > 0).astype(float)
+    options = lambda learn: models.Options(model="bin_class", iterations=2, learn_probit_variance=learn)
+    one, two = (models.fit(x, y, Prior((0.8, 0.2), (0.0, 1e-2)), options(True)) for x in (matrix, Dense(a)))
+    learnt = [[v for _, name, v in f.trace if name == "probit_variance"] for f in (one, two)]
+    assert len(learnt[0]) == 1 and learnt[0] == pytest.approx(learnt[1], rel=1e-3)
+    assert not any(name == "probit_variance" for _, name, _ in models.fit(Dense(a), y, Prior((0.8, 0.2), (0.0, 1e-2)), options(False)).trace)
+
+
 def test_probit_covariates():
     rng = np.random.default_rng(4)
     z = np.column_stack([np.ones(4000), rng.normal(size=4000)])
