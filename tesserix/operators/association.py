@@ -116,8 +116,8 @@ def packed_leave_one_out(matrix: MarkerMatrix, residual: np.ndarray, x: np.ndarr
     return matrix.mapped(tests, shared, "it int, marker_idx long, n long, t double")
 
 
-def packed_chromosome_predictor(matrix: MarkerMatrix, x: np.ndarray, chrom: np.ndarray) -> dict[int, np.ndarray]:
-    """What the markers of each chromosome predict: samples by estimates."""
+def packed_chromosome_predictor(matrix: MarkerMatrix, x: np.ndarray, chrom: np.ndarray, rows: DataFrame | None = None) -> dict[int, np.ndarray]:
+    """What the markers of each chromosome (those in ``rows``, if given) predict: samples by estimates."""
     shared = matrix.spark.sparkContext.broadcast((x / np.sqrt(matrix.n_samples), chrom, matrix.present))
 
     def products(part, z, own):
@@ -126,23 +126,42 @@ def packed_chromosome_predictor(matrix: MarkerMatrix, x: np.ndarray, chrom: np.n
             mine = own[1][index] == c
             yield c, z[mine].T @ own[0][index[mine]]
 
-    return matrix.summed(products, shared, x.shape[1])
+    return matrix.summed(products, shared, x.shape[1], rows)
 
 
 def packed_leave_one_chromosome_out(matrix: MarkerMatrix, residual: np.ndarray, x: np.ndarray, chrom: np.ndarray, first: int = 1) -> DataFrame:
     """``it, marker_idx, n, chrom, t`` as :func:`leave_one_chromosome_out`, over packed markers
-    whose chromosomes are ``chrom``."""
-    step = max(1, PREDICTOR_BYTES // (8 * matrix.n_samples * len(np.unique(chrom))))
-    found = None
+    whose chromosomes are ``chrom``.
+
+    Predictors of ``PREDICTOR_BYTES`` are broadcast at a time: of several estimates, or of one
+    and as many chromosomes, whose markers alone are read then.  A predictor has 8 bytes a sample.
+    """
+    known = np.unique(chrom)
+    room = max(1, PREDICTOR_BYTES // (8 * matrix.n_samples))
+    step, found = max(1, room // len(known)), None
     for a in range(0, x.shape[1], step):
-        part = _leave_one_chromosome_out(matrix, residual[:, a : a + step], x[:, a : a + step], chrom, first + a)
-        found = part if found is None else found.union(part)
+        for k in range(0, len(known), max(1, room)):
+            own = known[k : k + room] if room < len(known) else None
+            part = _leave_one_chromosome_out(matrix, residual[:, a : a + step], x[:, a : a + step], chrom, first + a, own)
+            found = part if found is None else found.union(part)
     return found
 
 
-def _leave_one_chromosome_out(matrix: MarkerMatrix, residual: np.ndarray, x: np.ndarray, chrom: np.ndarray, first: int) -> DataFrame:
+def _of_chromosomes(matrix: MarkerMatrix, chrom: np.ndarray, own: np.ndarray) -> DataFrame:
+    """The matrix's rows on some chromosomes, as a filter on runs of markers: one a chromosome, if
+    they stand together."""
+    inside = np.isin(chrom, own)
+    starts, ends = (np.flatnonzero(np.diff(np.concatenate([[0], inside.astype(int), [0]])) == d) for d in (1, -1))
+    within = F.lit(False)
+    for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
+        within = within | F.col("marker_idx").between(a, b - 1)
+    return matrix.rows.where(within)
+
+
+def _leave_one_chromosome_out(matrix: MarkerMatrix, residual: np.ndarray, x: np.ndarray, chrom: np.ndarray, first: int, own: np.ndarray | None = None) -> DataFrame:
+    rows = None if own is None else _of_chromosomes(matrix, chrom, own)
     e = np.where(matrix.present[:, None], residual, 0.0)
-    adjusted = {c: np.where(matrix.present[:, None], e + p, 0.0) for c, p in packed_chromosome_predictor(matrix, x, chrom).items()}
+    adjusted = {c: np.where(matrix.present[:, None], e + p, 0.0) for c, p in packed_chromosome_predictor(matrix, x, chrom, rows).items()}
     shared = matrix.spark.sparkContext.broadcast((adjusted, chrom, matrix.present))
 
     def tests(part, z, valid, own):
@@ -155,7 +174,7 @@ def _leave_one_chromosome_out(matrix: MarkerMatrix, residual: np.ndarray, x: np.
             t = _t(n, sx, sxx, zc @ e, v @ e, v @ (e * e))
             yield _tests(index[mine], n, t if 1 <= c <= 23 else np.full_like(t, np.nan), first, of[mine].astype(np.int32))
 
-    return matrix.mapped(tests, shared, "it int, marker_idx long, n long, chrom int, t double")
+    return matrix.mapped(tests, shared, "it int, marker_idx long, n long, chrom int, t double", rows)
 
 
 def lead_markers(tests: DataFrame, k: int, by: str = "chrom") -> DataFrame:

@@ -145,17 +145,17 @@ class MarkerMatrix:
             self.n_partitions = self.rows._jdf.rdd().getNumPartitions()
             before.unpersist()
 
-    def mapped(self, function, shared, schema: str) -> DataFrame:
+    def mapped(self, function, shared, schema: str, rows: DataFrame | None = None) -> DataFrame:
         """What ``function`` makes of each slice of markers: it gets the slice, its standardised
         cells (zero where missing), which of them are valid, and the broadcast ``shared``, whose
-        last part tells which samples are present; it yields record batches."""
+        last part tells which samples are present; it yields record batches.  ``rows``: some of the matrix's."""
         kind, n, first = self.kind, self.n_samples, self.first
 
         def run(batches):
             for part, z, valid in standardised_slices(batches, kind, n, shared.value[-1], first):
                 yield from function(part, z, valid, shared.value)
 
-        return self.rows.mapInArrow(run, schema)
+        return (self.rows if rows is None else rows).mapInArrow(run, schema)
 
     def transpose_times(self, u: np.ndarray) -> np.ndarray:
         """A'u / sqrt(N), one value a marker; ``u`` may have several columns."""

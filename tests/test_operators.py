@@ -92,6 +92,20 @@ def test_leave_one_out_is_the_explicit_test(spark):
     assert loco[15] is None
 
 
+def test_chromosomes_are_left_out_a_few_at_a_time(spark, monkeypatch):
+    """Whatever is broadcast at a time, tests are the same, also with chromosomes in pieces."""
+    _, _, a, matrix = _dense(spark)
+    rng = np.random.default_rng(2)
+    x, residual = rng.normal(size=(20, 3)), rng.normal(size=(60, 3))
+    chrom = np.array([1, 1, 2, 2, 2, 3, 1, 1, 30, 30, 4, 4, 4, 5, 5, 2, 2, 3, 3, 3])
+    rows = lambda: sorted((r["it"], r["marker_idx"], r["chrom"], r["n"], None if r["t"] is None else round(r["t"], 9)) for r in association.packed_leave_one_chromosome_out(matrix, residual, x, chrom, 4).collect())
+    want = rows()
+    assert len(want) == 60 and {r[0] for r in want} == {4, 5, 6}
+    for room in (1, 2, 4, 6, 13):
+        monkeypatch.setattr(association, "PREDICTOR_BYTES", 8 * 60 * room)
+        assert rows() == want
+
+
 class Dense:
     """A matrix in memory with the products of MarkerMatrix."""
 
