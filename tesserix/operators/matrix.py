@@ -104,19 +104,22 @@ class MarkerMatrix:
     @classmethod
     def from_cells(cls, cells: DataFrame, pheno: DataFrame, alpha: float = 1.0) -> "MarkerMatrix":
         """Of a cell table whose samples are those of ``pheno``, in the order of their ids."""
-        ids = [(r[0], r[1]) for r in pheno.orderBy("sample_idx").selectExpr("sample_idx", "y IS NOT NULL").toLocalIterator()]
-        order = {s: i for i, (s, _) in enumerate(ids)}
-        shared, n = cells.sparkSession.sparkContext.broadcast(order), len(order)
+        table = pheno.select(F.col("sample_idx").cast("long"), F.col("y").isNotNull().alias("present")).orderBy("sample_idx").toArrow()
+        ids, present = (table[c].to_numpy(zero_copy_only=False) for c in ("sample_idx", "present"))
+        shared, n = cells.sparkSession.sparkContext.broadcast(ids), len(ids)
 
         def packed(key, table: pa.Table) -> pa.Table:
             values = np.full(n, np.nan)
-            at = [shared.value[s] for s in table["sample_idx"].to_pylist()]
+            samples = table["sample_idx"].to_numpy(zero_copy_only=False)
+            at = np.minimum(np.searchsorted(shared.value, samples), max(0, n - 1))
+            if (shared.value[at] != samples).any():
+                raise ValueError("a cell's sample has no phenotype row")
             values[at] = table["value"].to_numpy(zero_copy_only=False)
             return pa.table({"marker_idx": [key[0].as_py()], "payload": [values.astype("<f8").tobytes()]})
 
         rows = cells.groupBy("marker_idx").applyInArrow(lambda key, t: packed(key, t), "marker_idx long, payload binary")
-        out = cls(rows, "dense", np.array([p for _, p in ids]), alpha)
-        out.sample_ids = [s for s, _ in ids]
+        out = cls(rows, "dense", present.astype(bool), alpha)
+        out.sample_ids = ids.tolist()
         return out
 
     def sample_range(self, start: int, end: int) -> "MarkerMatrix":
