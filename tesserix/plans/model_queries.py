@@ -107,7 +107,7 @@ def cg_step_on_cluster(spark, d):
 def cluster_fit_k(spark, d):
     """A fit whose vectors of markers never are on the driver."""
     matrix, y = _matrix(spark, d)
-    return _estimates(spark, models.fit(matrix, y, _START, models.Options(iterations=2), on_cluster=True))
+    return _estimates(spark, models.fit(matrix, y, _START, models.Options(iterations=2, cg_rounds=8), on_cluster=True))
 
 
 def linear_fit_by_samples(spark, d):

@@ -182,7 +182,7 @@ def test_vectors_on_the_cluster_give_the_same_fit(spark, model):
     truth = rng.normal(size=20) * (np.arange(20) % 3 == 0)
     y = a @ truth + rng.normal(0, 0.3, 60)
     y = (y > 0).astype(float) if model == "bin_class" else y / y.std(ddof=1)
-    options = models.Options(model="linear" if model == "by samples" else model, by_samples=model == "by samples", iterations=2 if model == "by samples" else 3, delta=1.0, gram=False)
+    options = models.Options(model="linear" if model == "by samples" else model, by_samples=model == "by samples", iterations=3 if model == "linear" else 2, delta=1.0, gram=False, cg_rounds=5)
     given = {"frozen": np.arange(20) == 4, "start": rng.normal(size=20) / 50, "truth": truth}
     one, two = (models.fit(matrix, y, Prior((0.8, 0.2), (0.0, 1e-2)), options, on_cluster=c, **given) for c in (False, True))
     assert two.effects is None and not two.estimates
@@ -294,7 +294,7 @@ def test_a_fit_on_the_cluster_goes_on_from_its_last_commit(spark, tmp_path):
     _, _, a, matrix = _dense(spark)
     y = a @ np.random.default_rng(9).normal(size=20)
     y = y / y.std(ddof=1)
-    fit = lambda k, **more: models.fit(matrix, y, Prior((0.8, 0.2), (0.0, 1e-2)), models.Options(iterations=k), on_cluster=True, **more)
+    fit = lambda k, **more: models.fit(matrix, y, Prior((0.8, 0.2), (0.0, 1e-2)), models.Options(iterations=k, cg_rounds=4), on_cluster=True, **more)
     fit(1, commits=str(tmp_path / "c"))
     later = fit(2, commits=str(tmp_path / "c"))
     rows, whole = (f.table(spark).where("it = 2").orderBy("marker_idx").collect() for f in (later, fit(2)))
@@ -332,7 +332,7 @@ def test_held_out_and_reduced_fits_are_the_same_on_the_cluster(spark):
     _, _, a, matrix = _dense(spark)
     y = a @ np.random.default_rng(9).normal(size=20)
     y = y / y.std(ddof=1)
-    for options in (models.Options(iterations=2, hold_out=0.2, gram=False), models.Options(iterations=2, reduced=True)):
+    for options in (models.Options(iterations=2, hold_out=0.2, gram=False, cg_rounds=4), models.Options(iterations=2, reduced=True, cg_rounds=4)):
         one, two = (models.fit(matrix, y, Prior((0.8, 0.2), (0.0, 1e-2)), options, on_cluster=c) for c in (False, True))
         got = [r["beta"] for r in two.table(spark).where("it = 2").orderBy("marker_idx").collect()]
         assert got == pytest.approx(one.effects, rel=1e-8, abs=1e-8)
@@ -358,7 +358,7 @@ def test_a_denoiser_of_the_user_runs_on_the_cluster(spark):
     own = lambda r, gamma: markers.denoise(r, gamma, prior.scaled(60))
     soft = lambda r, gamma: (np.sign(r) * np.maximum(np.abs(r) - 0.01, 0), (np.abs(r) > 0.01) + 1e-3)
     for denoiser in (own, soft):
-        fits = [models.fit(matrix, y, prior, models.Options(iterations=2, gram=False), denoiser=denoiser, on_cluster=c) for c in (False, True)]
+        fits = [models.fit(matrix, y, prior, models.Options(iterations=2, gram=False, cg_rounds=4), denoiser=denoiser, on_cluster=c) for c in (False, True)]
         got = [r["beta"] for r in fits[1].table(spark).where("it = 2").orderBy("marker_idx").collect()]
         assert got == pytest.approx(fits[0].effects, rel=1e-8, abs=1e-8)
 
