@@ -102,6 +102,7 @@ def packed_leave_one_out(matrix: MarkerMatrix, residual: np.ndarray, x: np.ndarr
     """``it, marker_idx, n, t`` as :func:`leave_one_out`, over packed markers.  ``residual`` has a
     row a sample and ``x`` a row a marker, both a column for each estimate; those are numbered
     from ``first``."""
+    matrix = matrix.whole()
     shared = matrix.spark.sparkContext.broadcast((np.where(matrix.present[:, None], residual, 0.0), x / np.sqrt(matrix.n_samples), matrix.present))
 
     def tests(part, z, valid, own):
@@ -136,7 +137,7 @@ def packed_leave_one_chromosome_out(matrix: MarkerMatrix, residual: np.ndarray,
     Predictors of ``PREDICTOR_BYTES`` are broadcast at a time: of several estimates, or of one
     and as many chromosomes, whose markers alone are read then.  A predictor has 8 bytes a sample.
     """
-    known = np.unique(chrom)
+    matrix, known = matrix.whole(), np.unique(chrom)
     room = max(1, PREDICTOR_BYTES // (8 * matrix.n_samples))
     step, found = max(1, room // len(known)), None
     for a in range(0, x.shape[1], step):

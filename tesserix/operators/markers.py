@@ -163,6 +163,7 @@ class ClusterMarkers:
         self.folder, self.step = f"{shared_folder(self.spark)}/fit-{uuid.uuid4().hex}", 0
         self.series = f"{self.folder}/series"
         table = matrix.rows.select("marker_idx")
+        table = table.distinct() if matrix.n_segments > 1 else table
         if frozen is None:
             self.table = table.withColumn("live", F.lit(True))
         else:
@@ -237,16 +238,22 @@ class ClusterMarkers:
     def _with_transposed(self, table: DataFrame, names: list[str], u: np.ndarray) -> DataFrame:
         """``table`` with A'u in new columns, one for each column of ``u``."""
         own = self.matrix
-        shared, kind, n, first, kept = own._shared(u), own.kind, own.n_samples, own.first, table.columns
-        schema = _with_doubles(table, names)
+        shared, cut, n = own._shared(u), own._cut(), own.n_samples
+        # a marker's segments are in several rows, whose sums are added
+        several = own.n_segments > 1
+        kept = ["marker_idx"] if several else table.columns
+        schema = _with_doubles(table.select(*kept), names)
 
         def run(batches):
             u, here = shared.value
-            for part, z, _ in standardised_slices(batches, kind, n, here, first):
-                values = z @ u / np.sqrt(n)
+            for part, at, z, _ in standardised_slices(batches, cut, here):
+                values = z @ u[at : at + z.shape[1]] / np.sqrt(n)
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), *map(pa.array, np.ascontiguousarray(values.T))], [*kept, *names])
 
-        return self.matrix.rows.join(table, "marker_idx").mapInArrow(run, schema)
+        if several:
+            sums = own.in_range().mapInArrow(run, schema).groupBy("marker_idx").agg(*(F.sum(c).alias(c) for c in names))
+            return table.join(sums, "marker_idx")
+        return own.rows.join(table, "marker_idx").mapInArrow(run, schema)
 
     def transpose_times(self, name: str, u: np.ndarray) -> None:
         """A'u / sqrt(N) of a vector of samples."""

@@ -24,8 +24,12 @@ def _matrix(spark, d) -> tuple[MarkerMatrix, np.ndarray]:
     """The dense workload and its scaled phenotype."""
     cells, pheno = w.dense(spark, d), w.dense_phenotype(spark, d)
     matrix = MarkerMatrix.from_cells(cells, pheno)
-    y = np.array([r[0] for r in op.scaled_phenotype(pheno).orderBy("sample_idx").select("y").toLocalIterator()], float)
-    return matrix, y
+    return matrix, _in_order(op.scaled_phenotype(pheno))
+
+
+def _in_order(pheno: DataFrame) -> np.ndarray:
+    """``y`` of a phenotype table by sample, NaN where missing."""
+    return pheno.orderBy("sample_idx").select(F.col("y").cast("double")).toArrow()["y"].to_numpy(zero_copy_only=False).copy()
 
 
 def _by_marker(spark: SparkSession, values: np.ndarray, name: str) -> DataFrame:
@@ -117,7 +121,8 @@ def linear_fit_by_samples(spark, d):
 
 def probit_fit_k(spark, d):
     matrix, _ = _matrix(spark, d)
-    y = np.array([r[0] >= 5 for r in w.dense_phenotype(spark, d).orderBy("sample_idx").select("y").toLocalIterator()], float)
+    y = _in_order(w.dense_phenotype(spark, d))
+    y = np.where(np.isnan(y), np.nan, y >= 5)
     return _estimates(spark, models.fit(matrix, y, _START, models.Options(model="bin_class", iterations=3)))
 
 

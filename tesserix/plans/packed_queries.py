@@ -123,7 +123,7 @@ def scan_dense(spark, d):
     """Cells written as a dense file, of which samples 40 to 119 of the first 32 markers are read."""
     matrix, _ = _matrix(spark, d)
     path, ids = new_file(spark), matrix.sample_ids
-    genomics.write_matrix(matrix.rows, "dense", path)
+    genomics.write_matrix(matrix.whole().rows, "dense", path)
     return unpacked(genomics.read_dense(spark, path, len(ids), (40, 120)).where("marker_idx < 32"), "dense", 80)
 
 

@@ -242,6 +242,46 @@ def test_gram_is_a_product_of_decoded_cells(spark, kind, monkeypatch):
         assert got == {(i, j): pytest.approx(want[i, j], abs=1e-12) for i in range(7) for j in range(i, 7)}
 
 
+@pytest.mark.parametrize("few", [True, False])
+@pytest.mark.parametrize("gaps", [False, True])
+def test_cells_are_packed_by_segments_of_samples(spark, monkeypatch, few, gaps):
+    """No payload has more samples than a segment, and products are those of the whole matrix: with ids
+    in a row or not, missing cells, cells without a row, samples without a phenotype."""
+    from tesserix.operators import markers, matrix as packed_matrix
+
+    monkeypatch.setattr(packed_matrix, "SEGMENT", 8)
+    monkeypatch.setattr(packed_matrix, "SEGMENT_MARKERS", 2048 if few else 0)
+    rng = np.random.default_rng(6)
+    values, present = rng.normal(5, 1, size=(7, 41)), rng.random(41) > 0.2
+    values[rng.random(values.shape) < 0.1] = np.nan
+    values[3, 8:16] = np.nan
+    ids = [3 * s + s % 2 if gaps else s + 100 for s in range(41)]
+    rows = [(ids[s], j, None if np.isnan(v) else float(v)) for j in range(7) for s, v in enumerate(values[j]) if not (j == 3 and 8 <= s < 16)]
+    cells = spark.createDataFrame(rows, "sample_idx long, marker_idx long, value double")
+    pheno = spark.createDataFrame([(i, 1.0 if p else None) for i, p in zip(ids, present)], "sample_idx long, y double")
+    matrix = MarkerMatrix.from_cells(cells, pheno)
+    assert max(len(r["payload"]) for r in matrix.rows.collect()) == 8 * 8 and matrix.sample_ids == ids
+    known = np.where(present, values, np.nan)
+    mean = np.nanmean(known, axis=1, keepdims=True)
+    z = (values - mean) / np.sqrt(np.nansum((known - mean) ** 2, axis=1, keepdims=True) / (present.sum() - 1))
+    z = np.where(np.isnan(z) | ~present, 0.0, z)
+    x, u = rng.normal(size=(7, 2)), rng.normal(size=(41, 2))
+    for a, b in ((0, 41), (3, 30)):
+        part, own = matrix.sample_range(a, b), z[:, a:b] / np.sqrt(b - a)
+        assert part.times(x) == pytest.approx(own.T @ x) and part.transpose_times(u[a:b]) == pytest.approx(own @ u[a:b])
+        assert part.gram_times(u[a:b]) == pytest.approx(own.T @ (own @ u[a:b])) and part.sample_diagonal() == pytest.approx((own**2).sum(axis=0))
+        assert {(r["i"], r["j"]): r["value"] for r in part.gram().collect()} == {(i, j): pytest.approx((own @ own.T)[i, j]) for i in range(7) for j in range(i, 7)}
+    tests = [{(r["marker_idx"], r["it"]): (r["n"], r["t"]) for r in association.packed_leave_one_out(m, u, x).collect()} for m in (matrix, MarkerMatrix(
+        spark.createDataFrame([(j, bytearray(v.astype("<f8").tobytes())) for j, v in enumerate(values)], "marker_idx long, payload binary"), "dense", present))]
+    assert tests[0] == {k: (n, pytest.approx(t)) for k, (n, t) in tests[1].items()}
+    vectors = markers.ClusterMarkers(matrix)
+    vectors.transpose_times("b", u[:, 0])
+    assert [r["b"] for r in vectors.table.orderBy("marker_idx").collect()] == pytest.approx(z @ u[:, 0] / np.sqrt(41))
+    assert vectors.times("b")[:, 0] == pytest.approx(z.T @ (z @ u[:, 0]) / 41)
+    with pytest.raises(Exception, match="no phenotype row"):
+        MarkerMatrix.from_cells(cells, pheno.where(F.col("sample_idx") != ids[20]))
+
+
 def test_fits_by_way_of_the_gram_matrix(spark):
     """Chosen by the number of markers, and the same as by conjugate gradients to their tolerance."""
     _, _, a, matrix = _dense(spark)
