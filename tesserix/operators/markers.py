@@ -105,13 +105,16 @@ class DriverMarkers:
     def times(self, *names: str, matrix=None) -> np.ndarray:
         return (matrix or self.matrix).times(np.stack([self.vectors[n] for n in names], axis=1))
 
+    def _gram(self) -> solvers.Gram:
+        if self.gram is None or self.gram.matrix is not self.matrix:
+            self.gram = solvers.Gram(self.matrix)
+        return self.gram
+
     def lmmse(self, name: str, tau: float, gamma: float, target: np.ndarray, r2: str, start: str | None, rounds: int, seed: int) -> float:
         """Sets ``name``, ``probe`` and ``solved``; see :func:`tesserix.operators.solvers.lmmse`."""
         v = self.vectors
         if self.by_gram:
-            if self.gram is None or self.gram.matrix is not self.matrix:
-                self.gram = solvers.Gram(self.matrix)
-            v[name], alpha, v["probe"], v["solved"] = self.gram.lmmse(tau, gamma, target, v[r2], seed)
+            v[name], alpha, v["probe"], v["solved"] = self._gram().lmmse(tau, gamma, target, v[r2], seed)
             return alpha
         begin = v[start] if start else None
         v[name], alpha, v["probe"], v["solved"] = solvers.lmmse(self.matrix, tau, gamma, target, v[r2], begin, rounds, seed)
@@ -119,7 +122,8 @@ class DriverMarkers:
 
     def lmmse_by_samples(self, name: str, tau: float, gamma: float, target: np.ndarray, r2: str, start, rounds: int, seed: int) -> tuple[float, np.ndarray]:
         v = self.vectors
-        alpha, v["probe"], v["solved"] = solvers.probe_trace(self.matrix, tau, gamma, rounds, seed)
+        gram = self._gram() if self.by_gram else None
+        alpha, v["probe"], v["solved"] = solvers.probe_trace(self.matrix, tau, gamma, rounds, seed, gram)
         v[name], u = solvers.lmmse_by_samples(self.matrix, tau, gamma, target, v[r2], start, rounds)
         return alpha, u
 

@@ -296,6 +296,33 @@ class MarkerMatrix:
         out = self.summed(product, shared, u.reshape(self.n_samples, -1).shape[1])
         return out.get(0, np.zeros((self.n_samples, 1))).reshape(u.shape) / self.n_samples
 
+    def samples_step(self, p: np.ndarray, diagonal: np.ndarray, w: np.ndarray, tau: float, gamma: float) -> tuple[np.ndarray, np.ndarray]:
+        """(q, A' (q / diagonal)) where q = tau A w + gamma p, in one pass: tasks need whole segments."""
+        n, m, cut = self.n_samples, self.n_markers, self._cut()
+        shared = self.spark.sparkContext.broadcast((p, diagonal, w, self.present))
+
+        def run(batches):
+            (p, d, w, here), back = shared.value, np.zeros(m)
+            for index, at, z in whole_segments(batches, cut, here):
+                own = slice(at, at + z.shape[1])
+                q = tau * (w[index] @ z) / np.sqrt(n) + gamma * p[own]
+                back[index] += z @ (q / d[own])
+                yield pa.RecordBatch.from_pydict({"start": [at], "value": [q.tobytes()]})
+            yield pa.RecordBatch.from_pydict({"start": [-1], "value": [back.tobytes()]})
+
+        q, back, seen = gamma * p, np.zeros(m), set()
+        for start, value in self.in_range().mapInArrow(run, "start long, value binary").collect():
+            part = np.frombuffer(value)
+            if start < 0:
+                back += part
+            elif start in seen:
+                raise RuntimeError("a segment's markers are in several tasks")
+            else:
+                seen.add(start)
+                q[start : start + len(part)] = part
+        shared.destroy()
+        return q, back / np.sqrt(n)
+
     def gram(self) -> DataFrame:
         """``i, j, value``: A'A of few markers, the upper triangle, j >= i.
 

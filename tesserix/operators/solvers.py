@@ -98,7 +98,8 @@ class Gram:
         rows, m = matrix.gram().toArrow(), matrix.n_markers
         self.matrix, whole = matrix, np.zeros((m, m))
         whole[rows["i"].to_numpy(), rows["j"].to_numpy()] = rows["value"].to_numpy()
-        self.values, self.vectors = np.linalg.eigh(whole + np.triu(whole, 1).T)
+        self.whole = whole + np.triu(whole, 1).T
+        self.values, self.vectors = np.linalg.eigh(self.whole)
 
     def solve(self, tau: float, gamma: float, b: np.ndarray) -> np.ndarray:
         """x of (tau A'A + gamma) x = b."""
@@ -111,15 +112,45 @@ class Gram:
         return solved[:, 0], gamma * float(probe @ solved[:, 1]), probe, solved[:, 1]
 
 
-def probe_trace(matrix: MarkerMatrix, tau: float, gamma: float, rounds: int = 60, seed: int = 1):
-    """(alpha, probe, solved probe) as :func:`lmmse` has them, without the other system."""
+def probe_trace(matrix: MarkerMatrix, tau: float, gamma: float, rounds: int = 60, seed: int = 1, gram: Gram | None = None):
+    """(alpha, probe, solved probe) as :func:`lmmse` has them, without the other system.  With ``gram``
+    the same rounds multiply by A'A and pass over no samples."""
     probe = signs(matrix.n_markers, seed)
-    solved, _ = conjugate_gradient(normal_operator(matrix, tau, gamma), probe, marker_diagonal(matrix, tau, gamma), None, rounds)
+    apply = normal_operator(matrix, tau, gamma) if gram is None else lambda v: tau * (gram.whole @ v) + gamma * v
+    solved, _ = conjugate_gradient(apply, probe, marker_diagonal(matrix, tau, gamma), None, rounds)
     return gamma * float(probe @ solved), probe, solved
 
 
+def conjugate_gradient_by_segments(matrix: MarkerMatrix, tau: float, gamma: float, b: np.ndarray, diagonal: np.ndarray, start=None, rounds: int = 60, tolerance: float = 1e-5):
+    """As :func:`conjugate_gradient` of :func:`sample_operator`, with one pass a round over a matrix whose
+    tasks have whole segments: A'p of the next direction follows from what the pass adds up."""
+    x = np.zeros_like(b) if start is None else start.copy()
+    r = b - sample_operator(matrix, tau, gamma)(x)
+    z = r / diagonal
+    p, rz, size = z.copy(), float(r @ z), np.sqrt(float(b @ b))
+    back = w = None
+    used = 0
+    for used in range(1, rounds + 1):
+        if np.sqrt(float(r @ r)) <= tolerance * size:
+            return x, used - 1
+        if w is None:
+            back = w = matrix.transpose_times(p)
+        q, moved = matrix.samples_step(p, diagonal, w, tau, gamma)
+        pq = float(p @ q)
+        step = rz / pq if pq > 0 else 0.0
+        x, r, back = x + step * p, r - step * q, back - step * moved
+        z = r / diagonal
+        new = float(r @ z)
+        beta = new / rz if rz > 0 else 0.0
+        p, w, rz = z + beta * p, back + beta * w, new
+    return x, used
+
+
 def lmmse_by_samples(matrix: MarkerMatrix, tau: float, gamma: float, target: np.ndarray, r2: np.ndarray, start=None, rounds: int = 60):
     """The same x by way of (tau A A' + gamma) u = target - A r2; smaller if N < M.  Also u."""
-    b = target - matrix.times(r2)
-    u, _ = conjugate_gradient(sample_operator(matrix, tau, gamma), b, tau * matrix.sample_diagonal() + gamma, start, rounds, 1e-4)
+    b, diagonal = target - matrix.times(r2), tau * matrix.sample_diagonal() + gamma
+    if getattr(matrix, "by_segment", False):
+        u, _ = conjugate_gradient_by_segments(matrix, tau, gamma, b, diagonal, start, rounds, 1e-4)
+    else:
+        u, _ = conjugate_gradient(sample_operator(matrix, tau, gamma), b, diagonal, start, rounds, 1e-4)
     return r2 + tau * matrix.transpose_times(u), u

@@ -282,6 +282,30 @@ def test_cells_are_packed_by_segments_of_samples(spark, monkeypatch, few, gaps):
         MarkerMatrix.from_cells(cells, pheno.where(F.col("sample_idx") != ids[20]))
 
 
+def test_solves_by_samples_pass_once_a_round(spark, monkeypatch):
+    """The rounds of conjugate gradients are the plain ones, and each passes over the segments once."""
+    from tesserix.operators import matrix as packed_matrix
+
+    monkeypatch.setattr(packed_matrix, "SEGMENT", 16)
+    _, _, a, matrix = _dense(spark)
+    passes = []
+    for name in ("transpose_times", "times", "samples_step"):
+        plain = getattr(MarkerMatrix, name)
+        monkeypatch.setattr(MarkerMatrix, name, lambda self, *given, plain=plain, name=name: (passes.append(name), plain(self, *given))[1])
+    rng = np.random.default_rng(4)
+    target, r2, start = rng.normal(size=60), rng.normal(size=20), rng.normal(size=60)
+    for begin, rounds in ((None, 1), (None, 7), (start, 7), (start, 60)):
+        want = solvers.lmmse_by_samples(Dense(a), 1.5, 0.7, target, r2, begin, rounds)
+        passes.clear()
+        got = solvers.lmmse_by_samples(matrix, 1.5, 0.7, target, r2, begin, rounds)
+        assert got[0] == pytest.approx(want[0], rel=1e-8, abs=1e-10) and got[1] == pytest.approx(want[1], rel=1e-8, abs=1e-10)
+        assert passes.count("transpose_times") <= 3 and passes.count("times") <= 2 and passes.count("samples_step") <= min(rounds, 20)
+    passes.clear()
+    gram = solvers.Gram(matrix)
+    assert solvers.probe_trace(matrix, 1.5, 0.7, gram=gram)[2] == pytest.approx(solvers.probe_trace(Dense(a), 1.5, 0.7)[2], rel=1e-8)
+    assert not passes
+
+
 def test_fits_by_way_of_the_gram_matrix(spark):
     """Chosen by the number of markers, and the same as by conjugate gradients to their tolerance."""
     _, _, a, matrix = _dense(spark)
