@@ -241,23 +241,21 @@ class ClusterMarkers:
 
     def _with_transposed(self, table: DataFrame, names: list[str], u: np.ndarray) -> DataFrame:
         """``table`` with A'u in new columns, one for each column of ``u``."""
-        own = self.matrix
-        shared, cut, n = own._shared(u), own._cut(), own.n_samples
+        (rows, shared, own), cut, n = self.matrix.beside(u), self.matrix._cut(), self.matrix.n_samples
         # a marker's segments are in several rows, whose sums are added
-        several = own.n_segments > 1
+        several = self.matrix.n_segments > 1
         kept = ["marker_idx"] if several else table.columns
         schema = _with_doubles(table.select(*kept), names)
 
         def run(batches):
-            u, here = shared.value
-            for part, at, z, _ in standardised_slices(batches, cut, here):
-                values = z @ u[at : at + z.shape[1]] / np.sqrt(n)
+            for part, at, z, _ in standardised_slices(batches, cut, shared.value[1]):
+                values = z @ own(part, at, z.shape[1]) / np.sqrt(n)
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), *map(pa.array, np.ascontiguousarray(values.T))], [*kept, *names])
 
         if several:
-            sums = own.in_range().mapInArrow(run, schema).groupBy("marker_idx").agg(*(F.sum(c).alias(c) for c in names))
+            sums = rows.mapInArrow(run, schema).groupBy("marker_idx").agg(*(F.sum(c).alias(c) for c in names))
             return table.join(sums, "marker_idx")
-        return own.rows.join(table, "marker_idx").mapInArrow(run, schema)
+        return rows.join(table, "marker_idx").mapInArrow(run, schema)
 
     def transpose_times(self, name: str, u: np.ndarray) -> None:
         """A'u / sqrt(N) of a vector of samples."""

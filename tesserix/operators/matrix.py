@@ -5,7 +5,8 @@ marker's mean and inverse standard deviation.  Matrices of cells have segments o
 samples, so no row and no group grows with the samples; those of files have one segment.  Payloads
 stay packed in memory and are decoded in NumPy a bounded number of bytes at a time, where a slice of
 markers times a vector (or several at once) is one BLAS call.  Vectors of samples or markers live on
-the driver, as the solvers need them there: they grow with one side of the matrix only.
+the driver, as the solvers need them there: they grow with one side of the matrix only.  Rows of several
+segments are joined with their own part of a vector of samples, so that no Python worker has all of it.
 
 ``transpose_times`` is a narrow map.  ``times`` adds up what each task makes of its markers; those
 partial vectors are summed segment by segment in two rounds, so that no group holds those of all
@@ -44,13 +45,22 @@ def unpack(payloads: pa.Array, kind: str, n_samples: int, first: int = 0) -> np.
     a, b = (first // 4, -(-(first + n_samples) // 4)) if kind == "bed" else (8 * first, 8 * (first + n_samples))
     if len(payloads) and (a or len(payloads[0].as_py()) != b):
         payloads = pc.binary_slice(payloads, a, b)
-    raw = b"".join(payloads.to_pylist())
+    raw = _bytes_of(payloads)
     if kind == "bed":
         packed, skipped = np.frombuffer(raw, np.uint8).reshape(len(payloads), b - a), first - 4 * a
         return _LUT[packed].reshape(len(payloads), 4 * (b - a))[:, skipped : skipped + n_samples]
     return np.frombuffer(raw, "<f8").reshape(len(payloads), n_samples)
 
 
+def _bytes_of(payloads: pa.Array):
+    """The bytes of payloads in a row, which Arrow has so, uncopied."""
+    if not len(payloads) or payloads.null_count or not pa.types.is_binary(payloads.type):
+        return b"".join(payloads.to_pylist())
+    _, offsets, data = payloads.buffers()
+    at = np.frombuffer(offsets, np.int32)[payloads.offset : payloads.offset + len(payloads) + 1]
+    return memoryview(data)[at[0] : at[-1]] if data is not None else b""
+
+
 def pack_dosages(dosages: np.ndarray) -> bytes:
     """Two-bit calls of one marker; NaN is missing."""
     code = np.where(np.isnan(dosages), 1, np.where(dosages == 2, 0, np.where(dosages == 1, 2, 3))).astype(np.uint8)
@@ -110,6 +120,8 @@ class MarkerMatrix:
         self.spark, self.kind, self.present, self.first = spark, kind, np.asarray(present, bool), 0
         self.n_samples = self.n_all = len(self.present)
         self.segment, self.by_segment = max(1, segment), False
+        #: Whether rows tell by themselves, as bits in ``here``, which samples of their segment are present.
+        self.masked = False
         self._diagonal: np.ndarray | None = None
 
     @property
@@ -147,16 +159,18 @@ class MarkerMatrix:
             if not inside.all() or not (isinstance(own, range) or (own[at] == samples).all()):
                 raise ValueError("a cell's sample has no phenotype row")
             values[at] = table["value"].to_numpy(zero_copy_only=False)
-            v = values if here is None else values[here[first : first + length]]
+            own_here = None if here is None else here[first : first + length]
+            v = values if here is None else values[own_here]
             v = v[~np.isnan(v)]
             mean = v.mean() if len(v) else 0.0
             columns = {"marker_idx": [key[1].as_py()], "segment": [key[0].as_py()], "payload": [values.astype("<f8", copy=False).tobytes()]}
+            columns["here"] = [None if here is None else np.packbits(own_here).tobytes()]
             return pa.table(columns | {"c": [len(v)], "m": [mean], "q": [((v - mean) ** 2).sum()]}).cast(pieces_schema)
 
-        pieces_schema = pa.schema([("marker_idx", pa.int64()), ("segment", pa.int32()), ("payload", pa.binary()), ("c", pa.int64()), ("m", pa.float64()), ("q", pa.float64())])
+        pieces_schema = pa.schema([("marker_idx", pa.int64()), ("segment", pa.int32()), ("payload", pa.binary()), ("here", pa.binary()), ("c", pa.int64()), ("m", pa.float64()), ("q", pa.float64())])
         dealt = cells.select("marker_idx", F.col("sample_idx").cast("long").alias("sample_idx"), "value", _segment_of(known, length).alias("segment"))
         dealt = dealt.repartition("segment") if few else dealt
-        pieces = dealt.groupBy("segment", "marker_idx").applyInArrow(lambda key, t: packed(key, t), "marker_idx long, segment int, payload binary, c long, m double, q double")
+        pieces = dealt.groupBy("segment", "marker_idx").applyInArrow(lambda key, t: packed(key, t), "marker_idx long, segment int, payload binary, here binary, c long, m double, q double")
         pieces = pieces.persist(StorageLevel.MEMORY_AND_DISK)
         moments = pieces.groupBy("marker_idx").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("m")).alias("cm"), F.sort_array(F.collect_list(F.struct("segment", "c", "m", "q"))).alias("parts"))
         moments = moments.withColumn("mu", F.coalesce(F.try_divide("cm", "n"), F.lit(0.0)))
@@ -165,10 +179,10 @@ class MarkerMatrix:
         stats = moments.select("marker_idx", "mu", squares.alias("squares"), "n").select(
             "marker_idx", "mu", F.when(F.col("squares") > 0, F.pow(F.col("squares") / scale, F.lit(-alpha / 2))).otherwise(1.0).alias("isd"), "n"
         ).persist()
-        self.n_markers, self.by_segment = stats.count(), few
+        self.n_markers, self.by_segment, self.masked = stats.count(), few, True
         # few markers' statistics are known to be small
         joined = pieces.join(F.broadcast(stats) if few else stats, "marker_idx")
-        self.rows = joined.select("marker_idx", "segment", "payload", "mu", "isd", "n").persist(StorageLevel.MEMORY_AND_DISK)
+        self.rows = joined.select("marker_idx", "segment", "payload", "here", "mu", "isd", "n").persist(StorageLevel.MEMORY_AND_DISK)
         self.rows.count()
         self.n_partitions = self.rows._jdf.rdd().getNumPartitions()
         pieces.unpersist()
@@ -188,7 +202,7 @@ class MarkerMatrix:
         rows = self.rows.groupBy("marker_idx").agg(own.alias("own"), F.first("mu").alias("mu"), F.first("isd").alias("isd"), F.first("n").alias("n"))
         payload = F.aggregate(F.sequence(F.lit(0), F.lit(self.n_segments - 1)), F.lit(b""), lambda a, k: F.concat(a, F.coalesce(F.try_element_at("own", k), empty(k))))
         out.rows = rows.select("marker_idx", F.lit(0).alias("segment"), payload.alias("payload"), "mu", "isd", "n")
-        out.segment, out.by_segment, out._diagonal = n, False, None
+        out.segment, out.by_segment, out.masked, out._diagonal = n, False, False, None
         return out
 
     def sample_range(self, start: int, end: int) -> "MarkerMatrix":
@@ -205,7 +219,26 @@ class MarkerMatrix:
         return part
 
     def _shared(self, x: np.ndarray):
-        return self.spark.sparkContext.broadcast((np.ascontiguousarray(x), self.present))
+        """A broadcast of ``x`` and of which samples are present, if rows don't tell."""
+        return self.spark.sparkContext.broadcast((np.ascontiguousarray(x), None if self.masked else self.present))
+
+    def beside(self, u: np.ndarray):
+        """The rows of the range, a broadcast as :meth:`_shared` has it, and a function that finds the part
+        of ``u``, samples by columns, that a slice needs: from the slice, where its samples begin and
+        how many they are.
+
+        Rows of several segments have it in a column ``own``, so what a task holds doesn't grow with the samples.
+        """
+        if self.n_segments == 1:
+            shared = self._shared(u)
+            return self.rows, shared, lambda part, at, size: shared.value[0][at : at + size]
+        first, length, n, width = self.first, self.segment, self.n_samples, u.shape[1]
+        segments = range(first // length, (first + n - 1) // length + 1)
+        cuts = [u[max(0, s * length - first) : (s + 1) * length - first].tobytes() for s in segments]
+        parts = self.spark.createDataFrame(pa.table({"segment": pa.array(segments, pa.int32()), "own": pa.array(cuts, pa.binary())}))
+        # the payloads stay where they are
+        rows = self.in_range().join(F.broadcast(parts), "segment")
+        return rows, self._shared(np.zeros(0)), lambda part, at, size: np.frombuffer(part.column("own")[0].as_buffer()).reshape(size, width)
 
     def partition_by_marker(self) -> None:
         """Markers hashed over partitions and sorted in them, once, so that tables of markers are
@@ -247,13 +280,13 @@ class MarkerMatrix:
 
     def transpose_times(self, u: np.ndarray) -> np.ndarray:
         """A'u / sqrt(N), one value a marker; ``u`` may have several columns."""
-        wide, n, cut = u.reshape(self.n_samples, -1), self.n_samples, self._cut()
-        shared, sums = self._shared(wide), self.n_markers if self.by_segment else 0
+        wide, n, cut = u.reshape(self.n_samples, -1).astype(float, copy=False), self.n_samples, self._cut()
+        (rows, shared, own), sums, width = self.beside(wide), self.n_markers if self.by_segment else 0, wide.shape[1]
 
         def run(batches):
-            total = np.zeros((sums, shared.value[0].shape[1]))
+            total = np.zeros((sums, width))
             for part, at, z, _ in standardised_slices(batches, cut, shared.value[1]):
-                index, values = part.column("marker_idx").to_numpy(), z @ shared.value[0][at : at + z.shape[1]] / np.sqrt(n)
+                index, values = part.column("marker_idx").to_numpy(), z @ own(part, at, z.shape[1]) / np.sqrt(n)
                 if sums:
                     total[index] += values
                 else:
@@ -261,10 +294,10 @@ class MarkerMatrix:
             if sums:
                 yield pa.RecordBatch.from_pydict({"markers": [np.arange(sums).tobytes()], "value": [total.tobytes()]})
 
-        out = np.zeros((self.n_markers, wide.shape[1]))
+        out = np.zeros((self.n_markers, width))
         # a row for each slice, or task with whole segments; slices come to the doubles of the result in each segment
-        for row in self.in_range().mapInArrow(run, "markers binary, value binary").collect():
-            out[np.frombuffer(row[0], np.int64)] += np.frombuffer(row[1]).reshape(-1, wide.shape[1])
+        for row in rows.mapInArrow(run, "markers binary, value binary").collect():
+            out[np.frombuffer(row[0], np.int64)] += np.frombuffer(row[1]).reshape(-1, width)
         shared.destroy()
         return out.reshape(self.n_markers, *u.shape[1:])
 
@@ -299,19 +332,19 @@ class MarkerMatrix:
     def samples_step(self, p: np.ndarray, diagonal: np.ndarray, w: np.ndarray, tau: float, gamma: float) -> tuple[np.ndarray, np.ndarray]:
         """(q, A' (q / diagonal)) where q = tau A w + gamma p, in one pass: tasks need whole segments."""
         n, m, cut = self.n_samples, self.n_markers, self._cut()
-        shared = self.spark.sparkContext.broadcast((p, diagonal, w, self.present))
+        rows, shared, own = self.beside(np.stack([p, diagonal], axis=1))
 
         def run(batches):
-            (p, d, w, here), back = shared.value, np.zeros(m)
-            for index, at, z in whole_segments(batches, cut, here):
-                own = slice(at, at + z.shape[1])
-                q = tau * (w[index] @ z) / np.sqrt(n) + gamma * p[own]
-                back[index] += z @ (q / d[own])
+            back = np.zeros(m)
+            for index, at, z, part in whole_segments(batches, cut, shared.value[1]):
+                own_p, own_d = own(part, at, z.shape[1]).T
+                q = tau * (w[index] @ z) / np.sqrt(n) + gamma * own_p
+                back[index] += z @ (q / own_d)
                 yield pa.RecordBatch.from_pydict({"start": [at], "value": [q.tobytes()]})
             yield pa.RecordBatch.from_pydict({"start": [-1], "value": [back.tobytes()]})
 
         q, back, seen = gamma * p, np.zeros(m), set()
-        for start, value in self.in_range().mapInArrow(run, "start long, value binary").collect():
+        for start, value in rows.mapInArrow(run, "start long, value binary").collect():
             part = np.frombuffer(value)
             if start < 0:
                 back += part
@@ -368,11 +401,11 @@ class MarkerMatrix:
         return sums.groupBy("i", "j").agg(F.sum("value").alias("value"))
 
     def _gram_of_segments(self) -> DataFrame:
-        n, m, cut, shared = self.n_samples, self.n_markers, self._cut(), self.spark.sparkContext.broadcast(self.present)
+        n, m, cut, shared = self.n_samples, self.n_markers, self._cut(), self._shared(np.zeros(0))
 
         def run(batches):
             total = np.zeros((m, m))
-            for index, _, z in whole_segments(batches, cut, shared.value):
+            for index, _, z, _ in whole_segments(batches, cut, shared.value[1]):
                 total[np.ix_(index, index)] += z @ z.T
             i, j = np.triu_indices(m)
             yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), pa.array(total[i, j] / n)], ["i", "j", "value"])
@@ -462,10 +495,10 @@ class MarkerMatrix:
         self.rows.unpersist()
 
 
-def standardised_slices(batches, cut: tuple[str, int, int, int], here: np.ndarray):
+def standardised_slices(batches, cut: tuple[str, int, int, int], here: np.ndarray | None):
     """Slices of markers in one segment, where its samples begin in the range that ``cut`` tells (see
     :meth:`MarkerMatrix._cut`), their standardised cells, zero where missing or not present, and which
-    cells are valid."""
+    cells are valid.  ``here``: which samples of the range are present, if rows don't tell."""
     kind, length, first, n = cut
     for batch in batches:
         segments = batch.column("segment").to_numpy()
@@ -473,28 +506,34 @@ def standardised_slices(batches, cut: tuple[str, int, int, int], here: np.ndarra
             a, b = max(first, s * length), min(first + n, (s + 1) * length)
             if a >= b:
                 continue
-            inside = segments == s
-            for part in decoded_slices(batch if inside.all() else batch.filter(pa.array(inside)), b - a):
+            inside = np.flatnonzero(segments == s)
+            # a segment's rows in a row needn't be copied
+            in_row = inside[-1] - inside[0] == len(inside) - 1
+            for part in decoded_slices(batch.slice(inside[0], len(inside)) if in_row else batch.take(pa.array(inside)), b - a):
                 z = unpack(part.column("payload"), kind, b - a, a - s * length) - part.column("mu").to_numpy()[:, None]
                 z *= part.column("isd").to_numpy()[:, None]
-                valid = ~np.isnan(z) & here[a - first : b - first]
+                valid = ~np.isnan(z)
+                if here is not None:
+                    valid &= here[a - first : b - first]
+                elif part.column("here")[0].is_valid:
+                    valid &= np.unpackbits(np.frombuffer(part.column("here")[0].as_buffer(), np.uint8)).astype(bool)[a - s * length : b - s * length]
                 z[~valid] = 0.0
                 yield part, a - first, z, valid
 
 
-def whole_segments(batches, cut: tuple[str, int, int, int], here: np.ndarray):
-    """The markers of each segment, where its samples begin in the range and their standardised cells, of
-    rows that are in the order of their segments."""
+def whole_segments(batches, cut: tuple[str, int, int, int], here: np.ndarray | None):
+    """The markers of each segment, where its samples begin in the range, their standardised cells and a row
+    of it, of rows that are in the order of their segments."""
     held: list[tuple[np.ndarray, np.ndarray]] = []
-    before = None
+    before = row = None
     for part, at, z, _ in standardised_slices(batches, cut, here):
         if held and at != before:
-            yield np.concatenate([i for i, _ in held]), before, np.concatenate([z for _, z in held])
+            yield np.concatenate([i for i, _ in held]), before, np.concatenate([z for _, z in held]), row
             held = []
         held.append((part.column("marker_idx").to_numpy(), z))
-        before = at
+        before, row = at, part.slice(0, 1)
     if held:
-        yield np.concatenate([i for i, _ in held]), before, np.concatenate([z for _, z in held])
+        yield np.concatenate([i for i, _ in held]), before, np.concatenate([z for _, z in held]), row
 
 
 def _segment_of(ids, length: int) -> Column:

@@ -282,6 +282,42 @@ def test_cells_are_packed_by_segments_of_samples(spark, monkeypatch, few, gaps):
         MarkerMatrix.from_cells(cells, pheno.where(F.col("sample_idx") != ids[20]))
 
 
+@pytest.mark.parametrize("few", [True, False])
+def test_workers_have_their_segments_part_of_sample_vectors(spark, monkeypatch, few):
+    """Nothing as long as the samples is broadcast to Python workers for a product of several segments, nor
+    which samples are present."""
+    import pickle
+
+    from pyspark import SparkContext
+
+    from tesserix.operators import markers, matrix as packed_matrix
+
+    monkeypatch.setattr(packed_matrix, "SEGMENT", 128)
+    monkeypatch.setattr(packed_matrix, "SEGMENT_MARKERS", 2048 if few else 0)
+    n, rng = 3000, np.random.default_rng(8)
+    values, present = rng.normal(5, 1, size=(3, n)), rng.random(n) > 0.2
+    cells = spark.createDataFrame([(s, j, float(v)) for j in range(3) for s, v in enumerate(values[j])], "sample_idx long, marker_idx long, value double")
+    pheno = spark.createDataFrame([(s, 1.0 if p else None) for s, p in enumerate(present)], "sample_idx long, y double")
+    matrix = MarkerMatrix.from_cells(cells, pheno)
+    known = values[:, present]
+    z = np.where(present, (values - known.mean(axis=1, keepdims=True)) / known.std(axis=1, ddof=1, keepdims=True), 0.0)
+    u, x, sizes = rng.normal(size=(n, 2)), rng.normal(size=3), []
+    plain = SparkContext.broadcast
+    monkeypatch.setattr(SparkContext, "broadcast", lambda self, value: (sizes.append(len(pickle.dumps(value))), plain(self, value))[1])
+    for a, b in ((0, n), (100, 2601)):
+        part, own = matrix.sample_range(a, b), z[:, a:b] / np.sqrt(b - a)
+        assert part.times(x) == pytest.approx(own.T @ x) and part.transpose_times(u[a:b]) == pytest.approx(own @ u[a:b])
+        assert part.sample_diagonal() == pytest.approx((own**2).sum(axis=0))
+        if few:
+            q, back = part.samples_step(u[a:b, 0], 1 + u[a:b, 1] ** 2, x, 1.5, 0.7)
+            assert q == pytest.approx(1.5 * (x @ own) + 0.7 * u[a:b, 0]) and back == pytest.approx(own @ (q / (1 + u[a:b, 1] ** 2)))
+            assert {(r["i"], r["j"]): r["value"] for r in part.gram().collect()} == {(i, j): pytest.approx((own @ own.T)[i, j]) for i in range(3) for j in range(i, 3)}
+    vectors = markers.ClusterMarkers(matrix)
+    vectors.transpose_times("b", u[:, 0])
+    assert vectors.times("b")[:, 0] == pytest.approx(z.T @ (z @ u[:, 0]) / n)
+    assert sizes and max(sizes) < n
+
+
 def test_solves_by_samples_pass_once_a_round(spark, monkeypatch):
     """The rounds of conjugate gradients are the plain ones, and each passes over the segments once."""
     from tesserix.operators import matrix as packed_matrix
