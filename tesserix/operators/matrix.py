@@ -6,7 +6,7 @@ samples, so no row and no group grows with the samples; those of files have one
 stay packed in memory and are decoded in NumPy a bounded number of bytes at a time, where a slice of
 markers times a vector (or several at once) is one BLAS call.  Vectors of samples or markers live on
 the driver, as the solvers need them there: they grow with one side of the matrix only.  Rows of several
-segments are joined with their own part of a vector of samples, so that no Python worker has all of it.
+segments are joined with their own part of a long vector of samples, so that no Python worker has all of it.
 
 ``transpose_times`` is a narrow map.  ``times`` adds up what each task makes of its markers; those
 partial vectors are summed segment by segment in two rounds, so that no group holds those of all
@@ -33,6 +33,8 @@ DECODED_BYTES = 32 << 20
 SEGMENT_MARKERS, SEGMENT_CELLS = 2048, 1 << 20
 #: Bytes of partial sums that a task holds before it passes them on.
 PARTIAL_BYTES = 64 << 20
+#: Bytes up to which vectors of samples are broadcast whole, as their rows needn't get longer then.
+WHOLE_BYTES = 16 << 20
 
 #: Dosage of each two-bit code (fixed values of the format): 2, missing, 1, 0.
 _DOSAGE = np.array([2.0, np.nan, 1.0, 0.0])
@@ -227,11 +229,11 @@ class MarkerMatrix:
         of ``u``, samples by columns, that a slice needs: from the slice, where its samples begin and
         how many they are.
 
-        Rows of several segments have it in a column ``own``, so what a task holds doesn't grow with the samples.
+        Where ``u`` is long, rows of several segments have it in a column ``own``, so what a task holds doesn't grow with the samples.
         """
-        if self.n_segments == 1:
+        if self.n_segments == 1 or u.nbytes <= WHOLE_BYTES:
             shared = self._shared(u)
-            return self.rows, shared, lambda part, at, size: shared.value[0][at : at + size]
+            return self.in_range(), shared, lambda part, at, size: shared.value[0][at : at + size]
         first, length, n, width = self.first, self.segment, self.n_samples, u.shape[1]
         segments = range(first // length, (first + n - 1) // length + 1)
         cuts = [u[max(0, s * length - first) : (s + 1) * length - first].tobytes() for s in segments]

@@ -284,8 +284,8 @@ def test_cells_are_packed_by_segments_of_samples(spark, monkeypatch, few, gaps):
 
 @pytest.mark.parametrize("few", [True, False])
 def test_workers_have_their_segments_part_of_sample_vectors(spark, monkeypatch, few):
-    """Nothing as long as the samples is broadcast to Python workers for a product of several segments, nor
-    which samples are present."""
+    """Nothing as long as the samples is broadcast to Python workers for a product of several segments, where
+    vectors are long, nor which samples are present."""
     import pickle
 
     from pyspark import SparkContext
@@ -293,6 +293,7 @@ def test_workers_have_their_segments_part_of_sample_vectors(spark, monkeypatch,
     from tesserix.operators import markers, matrix as packed_matrix
 
     monkeypatch.setattr(packed_matrix, "SEGMENT", 128)
+    monkeypatch.setattr(packed_matrix, "WHOLE_BYTES", 0)
     monkeypatch.setattr(packed_matrix, "SEGMENT_MARKERS", 2048 if few else 0)
     n, rng = 3000, np.random.default_rng(8)
     values, present = rng.normal(5, 1, size=(3, n)), rng.random(n) > 0.2
